@@ -102,3 +102,126 @@ SELECT org_id, service, {iso('first_ts')} AS first_ts, {iso('last_ts')} AS last_
        array_to_string(metrics, ',') AS metrics, coalesce(array_to_string(events, ','), '') AS events,
        signature_text
 FROM sig"""
+
+MB, TREND_ALL, LB = BREACHES.split(",\nrss AS (")[0], "rss AS (" + BREACHES.split(",\nrss AS (")[1].split(",\nlb AS (")[0], \
+    "lb AS (" + BREACHES.split(",\nlb AS (")[1].split(",\nbreaches AS (")[0]
+
+
+def breach_select(src: str, where: str = "TRUE") -> str:
+    return (f"SELECT org_id, service, metric, round(value, 6) AS value, {iso('ts')} AS ts, severity, event, "
+            f"message, trace_id, seq, src_id FROM {src} WHERE {where}")
+
+
+ORACLE["detect_error_rate"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'error_rate'")
+ORACLE["detect_p99"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'p99_latency_ms'")
+ORACLE["detect_connections"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'active_connections'")
+ORACLE["detect_metric_breaches"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb")
+ORACLE["detect_rss_trend"] = with_views(METRICS_V) + TREND_ALL.replace(">= 5.0 AND a2 >= 200.0", ">= 0.00005 AND a2 >= 160.0") + "\n" + breach_select("trend")
+ORACLE["detect_error_logs"] = with_views(LOGS_V) + LB + "\n" + breach_select("lb")
+ORACLE["all_breaches"] = with_views(METRICS_V, LOGS_V) + BREACHES + "\n" + breach_select("breaches")
+ORACLE["breach_groups"] = with_views(METRICS_V, LOGS_V) + BREACHES + ",\n" + GROUPED + f"""
+SELECT org_id, service, metric, {iso('ts')} AS ts, seq, src_id, sub, {iso('make_timestamp(gs)')} AS group_start
+FROM grouped"""
+ORACLE["signature_text"] = with_views(METRICS_V, LOGS_V) + ",\n".join([BREACHES, GROUPED, SIGNATURES]) + f"""
+SELECT org_id, service, {iso('first_ts')} AS first_ts, signature_text FROM sig"""
+
+ORACLE["detect_rss_trend_sliding"] = with_views(METRICS_V) + f"""rssw AS (
+  SELECT org_id, service, ts, id, CAST(rss_mb AS DOUBLE) AS v,
+         (epoch_us(ts) // 3600000000 - k) * 3600000000 AS ws
+  FROM metrics_v, range(0, 6) AS r(k) WHERE rss_mb IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY org_id, service, ws ORDER BY ts, id) - 1 AS rn,
+         count(*) OVER (PARTITION BY org_id, service, ws) AS n
+  FROM rssw),
+st AS (
+  SELECT org_id, service, ws, n,
+         avg(CASE WHEN rn < n // 2 THEN v END) AS a1, avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+         epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
+  FROM ranked GROUP BY org_id, service, ws, n)
+SELECT org_id, service, {iso('make_timestamp(ws)')} AS win_start,
+       round((a2 - a1) / ((l - f) / 60000000.0), 6) AS value, {iso('last_ts')} AS ts, 'warning' AS severity
+FROM st
+WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 0.1 AND a2 >= 150.0"""
+
+ORACLE["service_catalog"] = with_views(LOG_LINES_V) + f"""seen AS (
+  SELECT ts, app, regexp_extract(line, '\\[([^\\]]+)\\]', 1) AS service FROM log_lines_v),
+firsts AS (
+  SELECT 'app' AS kind, app AS value, min(ts) AS fs FROM seen WHERE app IS NOT NULL AND app <> '' GROUP BY app
+  UNION ALL
+  SELECT 'service', service, min(ts) FROM seen WHERE service IS NOT NULL AND service <> '' GROUP BY service)
+SELECT coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'app')), ','), '') AS apps,
+       coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'service')), ','), '') AS services,
+       {iso('max(fs)')} AS last_updated
+FROM firsts"""
+
+ORACLE["log_totals"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE contains(line, 'WARN')) AS warn,
+       count(*) FILTER (WHERE regexp_matches(line, 'ERROR|CRITICAL')) AS error_or_critical
+FROM log_lines_v"""
+
+ORACLE["log_level_series"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + f"""
+SELECT {iso("date_trunc('hour', ts)")} AS bucket_start,
+       count(*) FILTER (WHERE contains(line, 'INFO')) AS info,
+       count(*) FILTER (WHERE contains(line, 'WARN')) AS warn,
+       count(*) FILTER (WHERE contains(line, 'ERROR')) AS error,
+       count(*) FILTER (WHERE contains(line, 'CRITICAL')) AS critical
+FROM log_lines_v GROUP BY date_trunc('hour', ts)"""
+
+ORACLE["log_volume_series"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + f"""
+SELECT app || '.log' AS filename, {iso("date_trunc('hour', ts)")} AS bucket_start, count(*) AS lines
+FROM log_lines_v GROUP BY app || '.log', date_trunc('hour', ts)"""
+
+ORACLE["latest_errors"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + f"""
+SELECT line_id, {iso('ts')} AS ts, line FROM log_lines_v
+WHERE regexp_matches(line, 'ERROR|CRITICAL') ORDER BY ts DESC, line_id DESC LIMIT 100"""
+
+ORACLE["table_counts"] = """
+SELECT 'metrics' AS tbl, count(*) AS n FROM events
+UNION ALL SELECT 'logs', count(*) FROM events
+UNION ALL SELECT 'traces', count(*) FROM events
+UNION ALL SELECT 'cases', count(*) FROM orders
+UNION ALL SELECT 'alerts', count(*) FROM lineitem"""
+
+ORACLE["alert_time_buckets"] = with_views(METRICS_V, LOGS_V) + BREACHES + f"""
+SELECT org_id, service || '|' || metric || '|' || CAST(epoch_us(ts) // {GAP_US} AS VARCHAR) AS dedup_key,
+       count(*) AS n, {iso('min(ts)')} AS first_ts
+FROM breaches GROUP BY ALL"""
+
+ORACLE["recent_logs"] = with_views(LOGS_V).rstrip().rstrip(",") + f"""
+SELECT id, {iso('ts')} AS ts, service, level, event, trace_id, message FROM logs_v
+WHERE org_id = 'org-1' ORDER BY logs_v.ts DESC NULLS FIRST, id DESC LIMIT 100"""
+
+ORACLE["recent_traces"] = with_views(TRACES_V).rstrip().rstrip(",") + f"""
+SELECT id, {iso('ts')} AS ts, trace_id, service, span_name, round(CAST(duration_ms AS DOUBLE), 6) AS duration_ms,
+       is_error, error_code
+FROM traces_v WHERE service = 'svc-2' AND org_id = 'org-0'
+ORDER BY traces_v.ts DESC NULLS FIRST, id DESC LIMIT 50"""
+
+ORACLE["recent_metrics"] = with_views(METRICS_V).rstrip().rstrip(",") + f"""
+SELECT id, {iso('ts')} AS ts, service, round(CAST(error_rate AS DOUBLE), 6) AS error_rate,
+       round(CAST(p99_latency_ms AS DOUBLE), 6) AS p99_latency_ms, active_connections,
+       round(CAST(rss_mb AS DOUBLE), 6) AS rss_mb, org_id
+FROM metrics_v WHERE service = 'svc-3' ORDER BY metrics_v.ts DESC NULLS FIRST, id DESC LIMIT 100"""
+
+ORACLE["trace_by_id"] = with_views(TRACES_V).rstrip().rstrip(",") + f"""
+SELECT id, {iso('ts')} AS ts, trace_id, service, span_name, is_error, error_code
+FROM traces_v WHERE trace_id = 't42'"""
+
+ORACLE["list_cases"] = with_views(CASES_V).rstrip().rstrip(",") + f"""
+SELECT id, org_id, status, primary_service, {iso('updated_at')} AS updated_at, severity, title
+FROM cases_v WHERE org_id = 'org-2' AND status = 'OPEN'
+ORDER BY cases_v.updated_at DESC NULLS FIRST, id DESC LIMIT 100"""
+
+ORACLE["list_alerts"] = with_views(ALERTS_V).rstrip().rstrip(",") + f"""
+SELECT id, case_id, service, metric, severity, {iso('triggered_at')} AS triggered_at,
+       {iso('received_at')} AS received_at, duplicate_count
+FROM alerts_v WHERE service = 'svc-1' ORDER BY alerts_v.triggered_at DESC NULLS FIRST, id DESC LIMIT 100"""
+
+ORACLE["open_cases_with_alerts"] = with_views(CASES_V, ALERTS_V) + f"""top AS (
+  SELECT * FROM cases_v WHERE status <> 'RESOLVED' AND org_id = 'org-1'
+  ORDER BY updated_at DESC NULLS FIRST, id DESC LIMIT 50)
+SELECT t.id, t.status, {iso('t.updated_at')} AS updated_at, count(a.id) AS n_alerts,
+       coalesce(string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.triggered_at, a.id), '') AS alert_ids
+FROM top t LEFT JOIN alerts_v a ON a.case_id = t.id
+GROUP BY t.id, t.status, t.updated_at"""

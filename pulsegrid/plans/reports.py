@@ -63,3 +63,193 @@ def breach_group_rollup(spark, sf_dir):
         "org_id", "service", iso("first_ts").alias("first_ts"), iso("last_ts").alias("last_ts"),
         "n_breaches", "severity", F.array_join("metrics", ",").alias("metrics"),
         F.array_join("events", ",").alias("events"), "signature_text")
+
+
+def _one_rule(spark, sf_dir, metric):
+    from ..functions.rules import DEFAULT_RULES
+    rules = tuple(r for r in DEFAULT_RULES if r.metric == metric)
+    return _breach_out(detect.detect_metric_breaches(views.metrics_v(spark, sf_dir), rules))
+
+
+@report("detect_error_rate")
+def detect_error_rate(spark, sf_dir):
+    return _one_rule(spark, sf_dir, "error_rate")
+
+
+@report("detect_p99")
+def detect_p99(spark, sf_dir):
+    return _one_rule(spark, sf_dir, "p99_latency_ms")
+
+
+@report("detect_connections")
+def detect_connections(spark, sf_dir):
+    return _one_rule(spark, sf_dir, "active_connections")
+
+
+@report("detect_metric_breaches")
+def detect_metric_breaches(spark, sf_dir):
+    return _breach_out(detect.detect_metric_breaches(views.metrics_v(spark, sf_dir)))
+
+
+@report("detect_rss_trend")
+def detect_rss_trend(spark, sf_dir):
+    return _breach_out(detect.detect_rss_trend(views.metrics_v(spark, sf_dir), slope_mb_per_min=0.00005,
+                                               min_mb=160.0, bucket_seconds=86400.0))
+
+
+# Trailing window, slide and trend thresholds for the driver data
+# (hourly spacing per key, so slopes per minute are small).
+DRIVER_TREND_WINDOW = "6 hours"
+DRIVER_TREND_SLIDE = "1 hour"
+
+
+@report("detect_rss_trend_sliding")
+def detect_rss_trend_sliding(spark, sf_dir):
+    out = detect.detect_rss_trend_sliding(views.metrics_v(spark, sf_dir), DRIVER_TREND_WINDOW, DRIVER_TREND_SLIDE,
+                                          slope_mb_per_min=0.1, min_mb=150.0)
+    return out.select("org_id", "service", iso("win_start").alias("win_start"), r6("value").alias("value"),
+                      iso("ts").alias("ts"), "severity")
+
+
+@report("detect_error_logs")
+def detect_error_logs(spark, sf_dir):
+    return _breach_out(detect.detect_error_logs(views.logs_v(spark, sf_dir)))
+
+
+@report("all_breaches")
+def all_breaches(spark, sf_dir):
+    return _breach_out(_breaches(spark, sf_dir))
+
+
+@report("breach_groups")
+def breach_groups(spark, sf_dir):
+    return _grouped(spark, sf_dir).select(
+        "org_id", "service", "metric", iso("ts").alias("ts"), "seq", "src_id", "sub",
+        iso("group_start").alias("group_start"))
+
+
+@report("signature_text")
+def signature_text_report(spark, sf_dir):
+    sig = signature.group_signatures(_grouped(spark, sf_dir))
+    return sig.select("org_id", "service", iso("first_ts").alias("first_ts"), "signature_text")
+
+
+@report("service_catalog")
+def service_catalog(spark, sf_dir):
+    from ..operators import catalog
+    lines = views.log_lines_v(spark, sf_dir)
+    seen = lines.select("ts", "app", F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("service"))
+    out = catalog.service_catalog(seen)
+    return out.select(F.array_join("apps", ",").alias("apps"), F.array_join("services", ",").alias("services"),
+                      iso("last_updated").alias("last_updated"))
+
+
+# ---------------------------------------------------------------- log series
+
+# Dashboard interval used on the driver data.
+DRIVER_INTERVAL = "1 hour"
+
+
+@report("log_totals")
+def log_totals(spark, sf_dir):
+    from ..operators import logseries
+    return logseries.log_totals(views.log_lines_v(spark, sf_dir))
+
+
+@report("log_level_series")
+def log_level_series(spark, sf_dir):
+    from ..operators import logseries
+    out = logseries.level_series(views.log_lines_v(spark, sf_dir), DRIVER_INTERVAL)
+    return out.select(iso("bucket_start").alias("bucket_start"), "info", "warn", "error", "critical")
+
+
+@report("log_volume_series")
+def log_volume_series(spark, sf_dir):
+    from ..operators import logseries
+    lines = views.log_lines_v(spark, sf_dir).withColumn("filename", F.concat("app", F.lit(".log")))
+    out = logseries.volume_series(lines, DRIVER_INTERVAL)
+    return out.select("filename", iso("bucket_start").alias("bucket_start"), "lines")
+
+
+@report("latest_errors")
+def latest_errors(spark, sf_dir):
+    from ..operators import logseries
+    out = logseries.latest_errors(views.log_lines_v(spark, sf_dir), limit=100)
+    return out.select("line_id", iso("ts").alias("ts"), "line")
+
+
+@report("table_counts")
+def table_counts(spark, sf_dir):
+    from ..operators import logseries
+    return logseries.table_counts(
+        metrics=views.metrics_v(spark, sf_dir), logs=views.logs_v(spark, sf_dir),
+        traces=views.traces_v(spark, sf_dir), cases=views.cases_v(spark, sf_dir),
+        alerts=views.alerts_v(spark, sf_dir))
+
+
+@report("alert_time_buckets")
+def alert_time_buckets(spark, sf_dir):
+    from ..operators import cases
+    keyed = cases.alert_dedup_keys(_breaches(spark, sf_dir), window_seconds=DRIVER_GAP_SECONDS)
+    return keyed.groupBy("org_id", "dedup_key").agg(F.count(F.lit(1)).alias("n"),
+                                                     iso(F.min("ts")).alias("first_ts"))
+
+
+# ---------------------------------------------------------------- reads
+
+@report("recent_logs")
+def recent_logs(spark, sf_dir):
+    from ..operators import reads
+    out = reads.recent(views.logs_v(spark, sf_dir), limit=100, org_id="org-1")
+    return out.select("id", iso("ts").alias("ts"), "service", "level", "event", "trace_id", "message")
+
+
+@report("recent_traces")
+def recent_traces(spark, sf_dir):
+    from ..operators import reads
+    out = reads.recent(views.traces_v(spark, sf_dir), limit=50, service="svc-2", org_id="org-0")
+    return out.select("id", iso("ts").alias("ts"), "trace_id", "service", "span_name",
+                      r6("duration_ms").alias("duration_ms"), "is_error", "error_code")
+
+
+@report("recent_metrics")
+def recent_metrics(spark, sf_dir):
+    from ..operators import reads
+    out = reads.recent(views.metrics_v(spark, sf_dir), limit=0, service="svc-3")
+    return out.select("id", iso("ts").alias("ts"), "service", r6("error_rate").alias("error_rate"),
+                      r6("p99_latency_ms").alias("p99_latency_ms"), "active_connections",
+                      r6("rss_mb").alias("rss_mb"), "org_id")
+
+
+@report("trace_by_id")
+def trace_by_id(spark, sf_dir):
+    from ..operators import reads
+    out = reads.trace_by_id(views.traces_v(spark, sf_dir), "t42")
+    return out.select("id", iso("ts").alias("ts"), "trace_id", "service", "span_name", "is_error", "error_code")
+
+
+@report("list_cases")
+def list_cases(spark, sf_dir):
+    from ..operators import reads
+    out = reads.recent(views.cases_v(spark, sf_dir), ts_col="updated_at", limit=100, org_id="org-2",
+                       status="OPEN")
+    return out.select("id", "org_id", "status", "primary_service", iso("updated_at").alias("updated_at"),
+                      "severity", "title")
+
+
+@report("list_alerts")
+def list_alerts(spark, sf_dir):
+    from ..operators import reads
+    out = reads.recent(views.alerts_v(spark, sf_dir), ts_col="triggered_at", limit=100, service="svc-1")
+    return out.select("id", "case_id", "service", "metric", "severity", iso("triggered_at").alias("triggered_at"),
+                      iso("received_at").alias("received_at"), "duplicate_count")
+
+
+@report("open_cases_with_alerts")
+def open_cases_with_alerts(spark, sf_dir):
+    from ..operators import reads
+    out = reads.open_cases_with_alerts(views.cases_v(spark, sf_dir), views.alerts_v(spark, sf_dir), limit=50,
+                                       org_id="org-1")
+    return out.select("id", "status", iso("updated_at").alias("updated_at"), F.size("alerts").alias("n_alerts"),
+                      F.array_join(F.transform("alerts", lambda a: a["alert_id"].cast("string")), ",")
+                      .alias("alert_ids"))
