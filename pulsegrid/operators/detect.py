@@ -130,7 +130,7 @@ def detect_rss_trend(metrics: DataFrame, keys=("org_id", "service"),
         "org_id", "service", *extra, F.lit("rss_mb").alias("metric"), F.col("slope").alias("value"),
         F.timestamp_micros("last_us").alias("ts"), F.lit("warning").alias("severity"),
         _null_str().alias("event"), _null_str().alias("message"), _null_str().alias("trace_id"),
-        F.lit(SEQ_TREND).alias("seq"), F.lit(None).cast("bigint").alias("src_id"), F.lit(0).alias("sub"),
+        F.lit(SEQ_TREND).alias("seq"), F.lit(-1).cast("bigint").alias("src_id"), F.lit(0).alias("sub"),
     )
 
 
