@@ -107,8 +107,8 @@ def trend_stats(metrics: DataFrame, keys, value_col: str = "rss_mb", bucket_seco
     s1 = F.col("s_full") + F.col("s_part")
     return out.select(
         *keys, "n", "first_us", "last_us",
-        (s1 / F.col("mid")).alias("avg1"),
-        ((F.col("s_all") - s1) / (F.col("n") - F.col("mid"))).alias("avg2"),
+        F.try_divide(s1, F.col("mid")).alias("avg1"),
+        F.try_divide(F.col("s_all") - s1, F.col("n") - F.col("mid")).alias("avg2"),
     )
 
 
@@ -121,7 +121,7 @@ def detect_rss_trend(metrics: DataFrame, keys=("org_id", "service"),
     """
     st = trend_stats(metrics, keys, "rss_mb", bucket_seconds)
     minutes = (F.col("last_us") - F.col("first_us")) / F.lit(60_000_000.0)
-    slope = (F.col("avg2") - F.col("avg1")) / minutes
+    slope = F.try_divide(F.col("avg2") - F.col("avg1"), minutes)
     res = (st.where((F.col("n") >= 4) & (minutes > 0))
            .withColumn("slope", slope)
            .where((F.col("slope") >= slope_mb_per_min) & (F.col("avg2") >= min_mb)))

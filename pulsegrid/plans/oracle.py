@@ -225,3 +225,154 @@ SELECT t.id, t.status, {iso('t.updated_at')} AS updated_at, count(a.id) AS n_ale
        coalesce(string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.triggered_at, a.id), '') AS alert_ids
 FROM top t LEFT JOIN alerts_v a ON a.case_id = t.id
 GROUP BY t.id, t.status, t.updated_at"""
+
+# ---------------------------------------------------------------- parsing
+
+from .oracle_views import ENVELOPES_V  # noqa: E402
+
+HEAD_RE = r"^\S+\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+(.*)$"
+
+
+def trim_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def parse_lines_sql(src: str, ids: str) -> str:
+    """CTEs ``parsed`` (ids, level, service, message, p) and ``ctx`` (ids, key, value, first_i)."""
+    return f"""parts AS (SELECT {ids}, string_split(line, ' | ') AS p FROM {src}),
+parsed AS (
+  SELECT {ids}, p, regexp_extract(p[1], '{HEAD_RE}', 1) AS level,
+         regexp_extract(p[1], '{HEAD_RE}', 2) AS service, regexp_extract(p[1], '{HEAD_RE}', 3) AS message
+  FROM parts WHERE regexp_matches(p[1], '{HEAD_RE}')),
+pieces AS (
+  SELECT {ids}, unnest(p[2:]) AS piece, generate_subscripts(p[2:], 1) AS i FROM parsed),
+kv AS (
+  SELECT {ids}, i, {trim_ws("split_part(piece, '=', 1)")} AS key,
+         {trim_ws("substr(piece, instr(piece, '=') + 1)")} AS value
+  FROM pieces WHERE contains(piece, '=')),
+ctx AS (
+  SELECT {ids}, key, arg_max(value, i) AS value, min(i) AS first_i FROM kv GROUP BY {ids}, key),
+ctxtext AS (
+  SELECT {ids}, string_agg(key || '=' || value, ';' ORDER BY key || '=' || value) AS context,
+         max(CASE WHEN key = 'trace_id' THEN value END) AS trace_id
+  FROM ctx GROUP BY {ids})"""
+
+
+def slug_sql(x: str) -> str:
+    return (f"coalesce(nullif(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), "
+            f"'^_+|_+$', '', 'g'), ''), 'alert')")
+
+
+def pyiso_sql(x: str) -> str:
+    return (f"(strftime({x}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({x}) % 1000000 <> 0 THEN '.' || "
+            f"lpad(CAST(epoch_us({x}) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00')")
+
+
+ORACLE["parse_log_lines"] = with_views(LOG_LINES_V) + parse_lines_sql("log_lines_v", "line_id") + """
+SELECT p.line_id, p.level, p.service, p.message, c.trace_id, c.context
+FROM parsed p LEFT JOIN ctxtext c USING (line_id)"""
+
+ORACLE["parse_log_context"] = with_views(LOG_LINES_V) + parse_lines_sql("log_lines_v", "line_id") + """
+SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY first_i) - 1 AS pos, key, value FROM ctx"""
+
+ORACLE["slugify_events"] = with_views(CASES_V).rstrip().rstrip(",") + f"""
+SELECT id, title, {slug_sql('title')} AS slug FROM cases_v"""
+
+CASE_REFS = """refs AS (
+  SELECT id, CASE WHEN id % 3 = 0 THEN printf('CASE-%04d', id)
+                  WHEN id % 3 = 1 THEN CAST(id AS VARCHAR)
+                  ELSE 'CASE-x' || CAST(id AS VARCHAR) END AS ref
+  FROM cases_v)"""
+
+ORACLE["parse_case_ids"] = with_views(CASES_V) + CASE_REFS + """
+SELECT ref, TRY_CAST(string_split(ref, '-')[-1] AS BIGINT) AS case_id FROM refs"""
+
+ORACLE["json_fields"] = with_views(LOGS_V).rstrip().rstrip(",") + """
+SELECT id, CAST(json_extract_string(context, '$.k') AS BIGINT) AS k, len(json_keys(context)) AS n_keys
+FROM logs_v"""
+
+ORACLE["alert_payloads"] = with_views(METRICS_V, LOGS_V) + BREACHES + f"""
+SELECT org_id, seq, src_id, metric,
+       CAST(json_object('service', service, 'metric', metric, 'value', value, 'ts', {pyiso_sql('ts')},
+                        'severity', severity, 'event', event, 'message', message, 'trace_id', trace_id)
+            AS VARCHAR) AS raw_payload
+FROM breaches"""
+
+MODEL_OUTPUTS = """mo AS (
+  SELECT id AS case_id,
+         CASE WHEN id % 8 = 7 THEN '{"title": "' || coalesce(title, 'untitled') || '", '
+              WHEN id % 4 = 0 THEN '```json' || chr(10) || body || chr(10) || '```'
+              WHEN id % 4 = 1 THEN body
+              WHEN id % 4 = 2 THEN '```' || chr(10) || body || '```'
+              ELSE '  ' || body || chr(10) END AS response
+  FROM (SELECT *, '{"title":"' || coalesce(title, 'untitled') || '","hypotheses":[{"rank":1,"text":"'
+                  || primary_service || ' saturated","confidence":' || CAST(id % 100 AS VARCHAR)
+                  || '}],"evidence":[{"type":"log","label":"' || status || '","text":"seen"}],"ai_summary":"'
+                  || coalesce(ai_summary, '') || '"}' AS body
+        FROM cases_v) b),
+cleaned AS (
+  SELECT case_id, """ + trim_ws(
+    "regexp_replace(regexp_replace(" + trim_ws("response") + ", '^```[a-z]*\\n?', ''), '\\n?```$', '')") + """ AS t
+  FROM mo)"""
+
+ORACLE["parse_model_json"] = with_views(CASES_V) + MODEL_OUTPUTS + """
+SELECT case_id, json_valid(t) AS ok,
+       CASE WHEN json_valid(t) THEN json_extract_string(t, '$.title') END AS title,
+       CASE WHEN json_valid(t) THEN CAST(json_array_length(t, '$.hypotheses') AS INTEGER) END AS n_hypotheses,
+       CASE WHEN json_valid(t) THEN json_extract_string(t, '$.hypotheses[0].text') END AS first_hypothesis,
+       CASE WHEN json_valid(t) THEN CAST(json_extract(t, '$.hypotheses[0].confidence') AS INTEGER) END AS confidence,
+       CASE WHEN json_valid(t) THEN json_extract_string(t, '$.ai_summary') END AS ai_summary
+FROM cleaned"""
+
+ALERTS_SQL = """env AS (
+  SELECT env_id, ts, org_id, payload,
+         CASE WHEN json_extract(payload, '$.alerts') IS NULL THEN [CAST(payload AS JSON)]
+              ELSE CAST(json_extract(payload, '$.alerts') AS JSON[]) END AS alist
+  FROM envelopes_v),
+al AS (SELECT env_id, ts, org_id, unnest(alist) AS a, generate_subscripts(alist, 1) - 1 AS pos FROM env),
+alf AS (
+  SELECT env_id, ts, org_id, pos, coalesce(json_extract_string(a, '$.status'), 'firing') AS status,
+         json_extract_string(a, '$.labels.alertname') AS alertname,
+         coalesce(nullif(json_extract_string(a, '$.labels.service_name'), ''),
+                  nullif(json_extract_string(a, '$.labels.service'), '')) AS service,
+         coalesce(nullif(json_extract_string(a, '$.labels.app'), ''),
+                  nullif(json_extract_string(a, '$.labels.job'), '')) AS app
+  FROM al),
+fr AS (SELECT *, row_number() OVER (PARTITION BY env_id ORDER BY pos) AS fpos FROM alf WHERE status = 'firing'),
+lim AS (
+  SELECT env_id, coalesce(min(fpos) FILTER (WHERE service IS NOT NULL), max(fpos)) AS last_pos
+  FROM fr GROUP BY env_id),
+names AS (
+  SELECT fr.env_id, arg_min(fr.alertname, fr.fpos) AS alertname
+  FROM fr JOIN lim USING (env_id)
+  WHERE fr.fpos <= lim.last_pos AND fr.alertname IS NOT NULL AND fr.alertname <> ''
+  GROUP BY fr.env_id),
+hdr AS (
+  SELECT l.env_id, f.ts, f.org_id, f.service, f.app, n.alertname
+  FROM lim l JOIN fr f ON f.env_id = l.env_id AND f.fpos = l.last_pos
+  LEFT JOIN names n ON n.env_id = l.env_id)"""
+
+ORACLE["firing_alerts"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + """
+SELECT env_id, pos, status, alertname, service, app FROM fr"""
+
+ORACLE["alert_header"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + """
+SELECT env_id, service, app, alertname FROM hdr"""
+
+ORACLE["alert_to_logs"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + f""",
+lines AS (
+  SELECT h.env_id, h.alertname, unnest(CAST(json_extract(e.payload, '$.context.logs') AS VARCHAR[])) AS line,
+         generate_subscripts(CAST(json_extract(e.payload, '$.context.logs') AS VARCHAR[]), 1) - 1 AS pos
+  FROM hdr h JOIN envelopes_v e USING (env_id)),
+""" + parse_lines_sql("lines", "env_id, pos") + f"""
+SELECT p.env_id, p.pos, p.level, p.service, {slug_sql('l.alertname')} AS event, p.message, c.trace_id, c.context
+FROM parsed p JOIN lines l USING (env_id, pos) LEFT JOIN ctxtext c USING (env_id, pos)"""
+
+ORACLE["service_catalog"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + f""",
+firsts AS (
+  SELECT 'app' AS kind, app AS value, min(ts) AS fs FROM hdr WHERE app IS NOT NULL AND app <> '' GROUP BY app
+  UNION ALL
+  SELECT 'service', service, min(ts) FROM hdr WHERE service IS NOT NULL AND service <> '' GROUP BY service)
+SELECT coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'app')), ','), '') AS apps,
+       coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'service')), ','), '') AS services,
+       {iso('max(fs)')} AS last_updated
+FROM firsts"""

@@ -137,3 +137,26 @@ LOG_FILES_V = """log_files_v AS (
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + ",\n"
+
+ENVELOPES_V = """envelopes_v AS (
+  SELECT env_id, ts, org_id,
+         CASE WHEN env_id % 5 = 0
+              THEN '{' || st || '"labels":' || lbl || ',"context":' || ctx || '}'
+              ELSE '{"alerts":[{' || st || '"labels":' || lbl || '},' || second || '],"context":' || ctx || '}'
+         END AS payload
+  FROM (
+    SELECT e.event_id AS env_id, e.ts, 'org-' || CAST(e.user_id % 3 AS VARCHAR) AS org_id,
+           CASE e.event_type WHEN 'view' THEN '"status":"resolved",' WHEN 'signup' THEN ''
+                ELSE '"status":"firing",' END AS st,
+           '{"alertname":"' || upper(substr(e.event_type, 1, 1)) || substr(e.event_type, 2, 100) || ' / '
+             || CASE WHEN e.event_type = 'error' AND e.value >= 400.0 THEN 'CRITICAL'
+                     WHEN e.event_type = 'error' THEN 'ERROR'
+                     WHEN e.event_type = 'purchase' THEN 'WARN' ELSE 'INFO' END || '",'
+             || CASE WHEN e.event_id % 3 = 0 THEN ''
+                     WHEN e.event_id % 2 = 0 THEN '"service_name":"svc-' || CAST(e.user_id % 5 AS VARCHAR) || '",'
+                     ELSE '"service":"svc-' || CAST(e.user_id % 5 AS VARCHAR) || '",' END
+             || '"app":"app-' || CAST(e.user_id % 2 AS VARCHAR) || '"}' AS lbl,
+           '{"status":"firing","labels":{"alertname":"","service":"svc-' || CAST((e.user_id + 1) % 5 AS VARCHAR)
+             || '","job":"job-' || CAST(e.user_id % 4 AS VARCHAR) || '"}}' AS second,
+           '{"logs":["' || l.line || '"]}' AS ctx
+    FROM events e JOIN log_lines_v l ON l.line_id = e.event_id) x)"""

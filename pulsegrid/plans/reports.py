@@ -137,9 +137,9 @@ def signature_text_report(spark, sf_dir):
 @report("service_catalog")
 def service_catalog(spark, sf_dir):
     from ..operators import catalog
-    lines = views.log_lines_v(spark, sf_dir)
-    seen = lines.select("ts", "app", F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("service"))
-    out = catalog.service_catalog(seen)
+    from ..sources import envelopes
+    hdr = envelopes.alert_header(_envelopes(spark, sf_dir))
+    out = catalog.service_catalog(hdr)
     return out.select(F.array_join("apps", ",").alias("apps"), F.array_join("services", ",").alias("services"),
                       iso("last_updated").alias("last_updated"))
 
@@ -253,3 +253,114 @@ def open_cases_with_alerts(spark, sf_dir):
     return out.select("id", "status", iso("updated_at").alias("updated_at"), F.size("alerts").alias("n_alerts"),
                       F.array_join(F.transform("alerts", lambda a: a["alert_id"].cast("string")), ",")
                       .alias("alert_ids"))
+
+
+# ---------------------------------------------------------------- parsing
+
+@report("parse_log_lines")
+def parse_log_lines(spark, sf_dir):
+    from ..functions import parse
+    from ..operators import logparse
+    out = logparse.parse_lines(views.log_lines_v(spark, sf_dir))
+    return out.select("line_id", "level", "service", "message", "trace_id",
+                      parse.context_text("context").alias("context"))
+
+
+@report("parse_log_context")
+def parse_log_context(spark, sf_dir):
+    from ..operators import logparse
+    return logparse.context_pairs(views.log_lines_v(spark, sf_dir))
+
+
+@report("slugify_events")
+def slugify_events(spark, sf_dir):
+    from ..functions import parse
+    c = views.cases_v(spark, sf_dir)
+    return c.select("id", "title", parse.slug("title").alias("slug"))
+
+
+def _case_refs(spark, sf_dir):
+    from ..functions import parse
+    c = views.cases_v(spark, sf_dir)
+    ref = (F.when(F.col("id") % 3 == 0, parse.case_label("id"))
+           .when(F.col("id") % 3 == 1, F.col("id").cast("string"))
+           .otherwise(F.concat(F.lit("CASE-x"), F.col("id").cast("string"))))
+    return c.select("id", ref.alias("ref"))
+
+
+@report("parse_case_ids")
+def parse_case_ids(spark, sf_dir):
+    from ..functions import parse
+    return _case_refs(spark, sf_dir).select("ref", parse.parse_case_id("ref").alias("case_id"))
+
+
+@report("json_fields")
+def json_fields(spark, sf_dir):
+    logs = views.logs_v(spark, sf_dir)
+    return logs.select("id", F.get_json_object("context", "$.k").cast("bigint").alias("k"),
+                       F.size(F.json_object_keys("context")).alias("n_keys"))
+
+
+@report("alert_payloads")
+def alert_payloads(spark, sf_dir):
+    from ..functions import jsonfn, parse
+    b = _breaches(spark, sf_dir)
+    payload = jsonfn.to_json_keep_nulls(
+        F.col("service"), F.col("metric"), F.col("value"), parse.py_isoformat("ts").alias("ts"),
+        F.col("severity"), F.col("event"), F.col("message"), F.col("trace_id"))
+    return b.select("org_id", "seq", "src_id", "metric", payload.alias("raw_payload"))
+
+
+def _model_outputs(spark, sf_dir):
+    c = views.cases_v(spark, sf_dir)
+    title = F.coalesce(F.col("title"), F.lit("untitled"))
+    body = F.concat(
+        F.lit('{"title":"'), title, F.lit('","hypotheses":[{"rank":1,"text":"'), F.col("primary_service"),
+        F.lit(' saturated","confidence":'), (F.col("id") % 100).cast("string"),
+        F.lit('}],"evidence":[{"type":"log","label":"'), F.col("status"),
+        F.lit('","text":"seen"}],"ai_summary":"'), F.coalesce(F.col("ai_summary"), F.lit("")), F.lit('"}'))
+    text = (F.when(F.col("id") % 8 == 7, F.concat(F.lit('{"title": "'), title, F.lit('", ')))
+            .when(F.col("id") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(F.col("id") % 4 == 1, body)
+            .when(F.col("id") % 4 == 2, F.concat(F.lit("```\n"), body, F.lit("```")))
+            .otherwise(F.concat(F.lit("  "), body, F.lit("\n"))))
+    return c.select(F.col("id").alias("case_id"), text.alias("response"))
+
+
+@report("parse_model_json")
+def parse_model_json(spark, sf_dir):
+    from ..functions import jsonfn
+    m = _model_outputs(spark, sf_dir).withColumn("s", jsonfn.parse_summary("response"))
+    return m.select("case_id", F.col("s").isNotNull().alias("ok"), F.col("s.title").alias("title"),
+                    F.size("s.hypotheses").alias("n_hypotheses"),
+                    F.col("s.hypotheses")[0]["text"].alias("first_hypothesis"),
+                    F.col("s.hypotheses")[0]["confidence"].alias("confidence"),
+                    F.col("s.ai_summary").alias("ai_summary"))
+
+
+def _envelopes(spark, sf_dir):
+    from ..sources import envelopes
+    return envelopes.parse_envelopes(views.envelopes_v(spark, sf_dir))
+
+
+@report("firing_alerts")
+def firing_alerts(spark, sf_dir):
+    from ..sources import envelopes
+    out = envelopes.firing_alerts(_envelopes(spark, sf_dir))
+    return out.select("env_id", "pos", "status", "alertname", "service", "app")
+
+
+@report("alert_header")
+def alert_header(spark, sf_dir):
+    from ..sources import envelopes
+    out = envelopes.alert_header(_envelopes(spark, sf_dir))
+    return out.select("env_id", "service", "app", "alertname")
+
+
+@report("alert_to_logs")
+def alert_to_logs(spark, sf_dir):
+    from ..functions import parse
+    from ..sources import envelopes
+    out = envelopes.alert_to_logs(_envelopes(spark, sf_dir))
+    return out.select("env_id", "pos", "level", "service", "event", "message", "trace_id",
+                      parse.context_text("context").alias("context"))

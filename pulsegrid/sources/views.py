@@ -102,13 +102,12 @@ def traces_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wire_line() -> Column:
     """Events rendered as wire log lines ``date time LEVEL [service] message | k=v | trace_id=..``.
 
     Some lines carry a piece without ``=``, a repeated key, no context at all,
     or lose their brackets (unparseable), so every parser branch is exercised.
     """
-    ev = table(spark, sf_dir, "events")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     k = F.get_json_object("props", "$.k")
     head = F.concat(stamp, F.lit(" "), _level(), F.lit(" ["), _svc("user_id"), F.lit("] "), _message())
@@ -119,19 +118,57 @@ def log_lines_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("")),
         F.lit(" | trace_id="), _trace_id(),
     )
-    line = (F.when(F.col("event_id") % 97 == 0,
+    return (F.when(F.col("event_id") % 97 == 0,
                    F.concat(stamp, F.lit(" "), _level(), F.lit(" "), _svc("user_id"), F.lit(" "), _message()))
             .when(F.col("event_id") % 13 == 0, head)
             .otherwise(F.concat(head, pieces)))
+
+
+def log_lines_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("line_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         _org("user_id").alias("org_id"),
         F.concat(F.lit("app-"), (F.col("user_id") % 2).cast("string")).alias("app"),
-        line.alias("line"),
+        _wire_line().alias("line"),
     )
 
 
+def envelopes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert-webhook JSON payload per event, carrying the event's wire line inline.
+
+    Every fifth payload is a bare alert (no ``alerts`` list); ``view`` events
+    are resolved, ``signup`` ones omit the status (defaults to firing); a
+    third of the first alerts lack a service label so the header scan has to
+    move on to the second alert.
+    """
+    ev = table(spark, sf_dir, "events")
+    svc = _svc("user_id")
+    name = F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100),
+                    F.lit(" / "), _level())
+    svc_part = (F.when(F.col("event_id") % 3 == 0, F.lit(""))
+                .when(F.col("event_id") % 2 == 0, F.concat(F.lit('"service_name":"'), svc, F.lit('",')))
+                .otherwise(F.concat(F.lit('"service":"'), svc, F.lit('",'))))
+    labels = F.concat(F.lit('{"alertname":"'), name, F.lit('",'), svc_part, F.lit('"app":"app-'),
+                      (F.col("user_id") % 2).cast("string"), F.lit('"}'))
+    status = (F.when(F.col("event_type") == "view", F.lit('"status":"resolved",'))
+              .when(F.col("event_type") == "signup", F.lit(""))
+              .otherwise(F.lit('"status":"firing",')))
+    first = F.concat(F.lit("{"), status, F.lit('"labels":'), labels, F.lit("}"))
+    second = F.concat(F.lit('{"status":"firing","labels":{"alertname":"","service":"svc-'),
+                      ((F.col("user_id") + 1) % N_SERVICES).cast("string"), F.lit('","job":"job-'),
+                      (F.col("user_id") % 4).cast("string"), F.lit('"}}'))
+    context = F.concat(F.lit('{"logs":["'), _wire_line(), F.lit('"]}'))
+    payload = (F.when(F.col("event_id") % 5 == 0,
+                      F.concat(F.lit("{"), status, F.lit('"labels":'), labels, F.lit(',"context":'), context,
+                               F.lit("}")))
+               .otherwise(F.concat(F.lit('{"alerts":['), first, F.lit(","), second, F.lit('],"context":'),
+                                   context, F.lit("}"))))
+    return ev.select(F.col("event_id").alias("env_id"), F.col("ts").cast("timestamp").alias("ts"),
+                     _org("user_id").alias("org_id"), payload.alias("payload"))
+
+
 def cases_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     opened = F.col("o_orderdate").cast("timestamp")
