@@ -376,3 +376,45 @@ SELECT coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'app'
        coalesce(array_to_string(list_sort(list(value) FILTER (WHERE kind = 'service')), ','), '') AS services,
        {iso('max(fs)')} AS last_updated
 FROM firsts"""
+
+# ---------------------------------------------------------------- similarity
+
+PAIRS = """pairs AS (
+  SELECT q.case_id AS qid, i.case_id AS iid, q.org_id AS qorg, q.service AS qsvc, i.org_id AS iorg,
+         i.service AS isvc,
+         list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(i.vector AS DOUBLE[])) AS score
+  FROM case_vectors_v q JOIN case_vectors_v i ON q.case_id <> i.case_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS rk FROM pairs)"""
+
+ORACLE["vector_topk"] = with_views(CASE_VECTORS_V) + PAIRS + """
+SELECT qid AS case_id, rk AS rank, iid AS match_id, round(score, 6) AS score FROM ranked WHERE rk <= 5"""
+
+ORACLE["dedup_post_filter"] = with_views(CASE_VECTORS_V) + PAIRS + """,
+hit AS (
+  SELECT qid, arg_min(iid, rk) AS iid, arg_min(score, rk) AS score
+  FROM ranked WHERE rk <= 5 AND iorg = qorg AND isvc = qsvc GROUP BY qid)
+SELECT q.case_id, CASE WHEN h.score >= 0.30 THEN h.iid END AS matched_case_id, round(h.score, 6) AS score,
+       coalesce(h.score >= 0.30, false) AS is_duplicate
+FROM case_vectors_v q LEFT JOIN hit h ON h.qid = q.case_id"""
+
+ORACLE["dedup_pre_filter"] = with_views(CASE_VECTORS_V) + """pairs AS (
+  SELECT q.case_id AS qid, i.case_id AS iid,
+         list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(i.vector AS DOUBLE[])) AS score
+  FROM case_vectors_v q JOIN case_vectors_v i
+    ON q.case_id <> i.case_id AND q.org_id = i.org_id AND q.service = i.service),
+hit AS (SELECT qid, arg_max(iid, score) AS iid, max(score) AS score FROM pairs GROUP BY qid)
+SELECT q.case_id, CASE WHEN h.score >= 0.30 THEN h.iid END AS matched_case_id, round(h.score, 6) AS score,
+       coalesce(h.score >= 0.30, false) AS is_duplicate
+FROM case_vectors_v q LEFT JOIN hit h ON h.qid = q.case_id"""
+
+ORACLE["action_match"] = with_views(CASE_VECTORS_V) + """comp AS (
+  SELECT label, pos, avg(x) AS m
+  FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM case_vectors_v) t
+  GROUP BY label, pos),
+norms AS (SELECT label, sqrt(sum(m * m)) AS nrm FROM comp GROUP BY label),
+cat AS (SELECT c.label, list(c.m / n.nrm ORDER BY c.pos) AS v FROM comp c JOIN norms n USING (label) GROUP BY c.label),
+sc AS (
+  SELECT q.case_id, c.label AS action_id, list_dot_product(CAST(q.vector AS DOUBLE[]), c.v) AS score
+  FROM case_vectors_v q JOIN cat c ON TRUE),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, action_id) AS rank FROM sc)
+SELECT case_id, rank, action_id, round(score, 6) AS score FROM rk WHERE rank <= 3"""

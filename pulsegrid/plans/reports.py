@@ -364,3 +364,40 @@ def alert_to_logs(spark, sf_dir):
     out = envelopes.alert_to_logs(_envelopes(spark, sf_dir))
     return out.select("env_id", "pos", "level", "service", "event", "message", "trace_id",
                       parse.context_text("context").alias("context"))
+
+
+# ---------------------------------------------------------------- similarity
+
+@report("vector_topk")
+def vector_topk(spark, sf_dir):
+    from ..operators import similarity
+    v = views.case_vectors_v(spark, sf_dir)
+    out = similarity.exact_topk(v, v, 5, q_id="case_id", i_id="case_id", exclude_self=True)
+    return out.select(F.col("query_id").alias("case_id"), "rank", F.col("match_id").alias("match_id"),
+                      r6("score").alias("score"))
+
+
+@report("dedup_post_filter")
+def dedup_post_filter(spark, sf_dir):
+    from ..operators import similarity
+    v = views.case_vectors_v(spark, sf_dir).select("case_id", "org_id", "service", "vector")
+    out = similarity.dedup_post_filter(v, v, threshold=DRIVER_SIMILARITY, exclude_self=True)
+    return out.select("case_id", "matched_case_id", r6("score").alias("score"), "is_duplicate")
+
+
+@report("dedup_pre_filter")
+def dedup_pre_filter(spark, sf_dir):
+    from ..operators import similarity
+    v = views.case_vectors_v(spark, sf_dir).select("case_id", "org_id", "service", "vector")
+    out = similarity.dedup_pre_filter(v, v, threshold=DRIVER_SIMILARITY, exclude_self=True)
+    return out.select("case_id", "matched_case_id", r6("score").alias("score"), "is_duplicate")
+
+
+@report("action_match")
+def action_match(spark, sf_dir):
+    from ..operators import similarity
+    v = views.case_vectors_v(spark, sf_dir)
+    catalog = similarity.normalized_centroids(v.select("label", "vector"))
+    out = similarity.exact_topk(v, catalog, 3, q_id="case_id", i_id="label")
+    return out.select(F.col("query_id").alias("case_id"), "rank", F.col("match_id").alias("action_id"),
+                      r6("score").alias("score"))
