@@ -1,0 +1,18 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after its row count is measured and found under a
+bound; otherwise it is returned as is and the planner shuffles (AQE may still
+switch to a broadcast at run time from real statistics).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -418,3 +418,177 @@ sc AS (
   FROM case_vectors_v q JOIN cat c ON TRUE),
 rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, action_id) AS rank FROM sc)
 SELECT case_id, rank, action_id, round(score, 6) AS score FROM rk WHERE rank <= 3"""
+
+# ---------------------------------------------------------------- teams, cases, tenancy, traces
+
+from ..functions.catalog_data import action_types_sql  # noqa: E402
+from .oracle_views import INGEST_REQUESTS_V, ORGS_V  # noqa: E402
+
+ACTION_MATCH_CTES = ORACLE["action_match"].split("\nSELECT case_id, rank, action_id")[0].split("WITH ", 1)[1]
+CASE_ACTIONS = ACTION_MATCH_CTES + """,
+case_actions AS (
+  SELECT case_id, CAST(action_id + 1 AS INTEGER) AS action_id,
+         CAST(round(score, 6) AS DECIMAL(5,4)) AS similarity_score
+  FROM rk WHERE rank <= 3)"""
+
+ORACLE["case_actions_ranked"] = "WITH " + CASE_ACTIONS + f"""
+SELECT ca.case_id, ca.action_id, a.name, a.action_type, round(CAST(ca.similarity_score AS DOUBLE), 6) AS score
+FROM case_actions ca JOIN {action_types_sql()} ON a_id = ca.action_id""".replace(
+    "AS actions(id, name, action_type)", "AS a(a_id, name, action_type)")
+
+ORACLE["users_with_teams"] = with_views(USERS_V, TEAMS_V).rstrip().rstrip(",") + """
+SELECT u.id, u.name, u.role, t.name AS team_name
+FROM users_v u LEFT JOIN teams_v t ON t.id = u.team_id AND t.org_id = u.org_id"""
+
+ORACLE["team_members"] = with_views(USERS_V, TEAMS_V).rstrip().rstrip(",") + """
+SELECT t.id AS team_id, u.id AS user_id, u.name, u.role AS org_role
+FROM teams_v t JOIN users_v u ON u.team_id = t.id AND u.org_id = t.org_id"""
+
+OWNERS = """owners AS (
+  SELECT org_id, service, min(name) AS team
+  FROM (SELECT org_id, name, unnest(services) AS service FROM teams_v) t GROUP BY org_id, service)"""
+
+ORACLE["team_routing"] = with_views(CASES_V, TEAMS_V) + OWNERS + """
+SELECT c.id, coalesce(o.team, 'Unassigned') AS team
+FROM cases_v c LEFT JOIN owners o ON o.org_id = c.org_id AND o.service = c.primary_service"""
+
+CASE_VIEW = OWNERS + f""",
+view AS (
+  SELECT c.id, c.org_id, c.primary_service, c.updated_at, printf('CASE-%04d', c.id) AS inc_id,
+         coalesce(nullif(c.title, ''), c.primary_service || ' — investigating') AS title,
+         coalesce(nullif(c.severity, ''), 'warning') AS severity,
+         CASE WHEN c.status = 'RESOLVED' THEN 'resolved' ELSE 'open' END AS status,
+         CASE WHEN nullif(c.primary_service, '') IS NOT NULL THEN c.primary_service ELSE '' END AS services,
+         coalesce(o.team, 'Unassigned') AS team,
+         coalesce(c.ai_summary, '') AS ai_summary, c.occurrence_count AS occurrences,
+         {pyiso_sql('c.opened_at')} AS first_seen, {pyiso_sql('c.updated_at')} AS last_seen
+  FROM cases_v c LEFT JOIN owners o ON o.org_id = c.org_id AND o.service = c.primary_service)"""
+VIEW_COLS = "inc_id, title, severity, status, services, team, ai_summary, occurrences, first_seen, last_seen"
+
+ORACLE["case_view"] = with_views(CASES_V, TEAMS_V) + CASE_VIEW + f"\nSELECT {VIEW_COLS} FROM view"
+
+ORACLE["case_list"] = with_views(CASES_V, TEAMS_V) + CASE_VIEW + f"""
+SELECT {VIEW_COLS} FROM view WHERE org_id = 'org-1' AND primary_service IN ('svc-1', 'svc-2')"""
+
+ORACLE["case_detail"] = "WITH " + CASES_V + ",\n" + TEAMS_V + ",\n" + CASE_ACTIONS \
+    + ",\n" + CASE_VIEW + ",\n" + CASE_REFS + f""",
+req AS (SELECT ref, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id,
+               TRY_CAST(string_split(ref, '-')[-1] AS BIGINT) AS case_id FROM refs),
+acts AS (
+  SELECT ca.case_id, count(*) AS n_actions,
+         arg_max(a.name, (CAST(ca.similarity_score AS DOUBLE), -ca.action_id)) AS top_action
+  FROM case_actions ca JOIN {action_types_sql()} ON a.id = ca.action_id GROUP BY ca.case_id)
+SELECT r.ref, v.inc_id, v.title, v.team, coalesce(x.n_actions, 0) AS n_actions, x.top_action
+FROM req r JOIN view v ON v.id = r.case_id AND v.org_id = r.org_id LEFT JOIN acts x ON x.case_id = r.case_id""".replace(
+    "AS actions(id, name, action_type)", "AS a(id, name, action_type)")
+
+ORACLE["services_for_teams"] = with_views(TEAMS_V).rstrip().rstrip(",") + """
+SELECT org_id, array_to_string(list_sort(list(DISTINCT service)), ',') AS services
+FROM (SELECT org_id, unnest(services) AS service FROM teams_v) t GROUP BY org_id"""
+
+ORACLE["org_overview"] = with_views(ORGS_V, TEAMS_V, USERS_V).rstrip().rstrip(",") + """
+SELECT o.org_id, coalesce(t.n, 0) AS team_count, coalesce(u.n, 0) AS user_count
+FROM orgs_v o LEFT JOIN (SELECT org_id, count(*) AS n FROM teams_v GROUP BY org_id) t USING (org_id)
+LEFT JOIN (SELECT org_id, count(*) AS n FROM users_v GROUP BY org_id) u USING (org_id)"""
+
+ORACLE["org_detail"] = with_views(ORGS_V, TEAMS_V, USERS_V).rstrip().rstrip(",") + """
+SELECT o.org_id, t.teams, coalesce(u.n, 0) AS user_count, u.first_user
+FROM orgs_v o
+LEFT JOIN (SELECT org_id, string_agg(name, ',' ORDER BY name, id) AS teams FROM teams_v GROUP BY org_id) t
+  USING (org_id)
+LEFT JOIN (SELECT org_id, count(*) AS n, arg_min(name, (name, id)) AS first_user FROM users_v GROUP BY org_id) u
+  USING (org_id)"""
+
+ORACLE["visible_cases"] = with_views(CASES_V, TEAMS_V, USERS_V) + """per_svc AS (
+  SELECT org_id, primary_service AS service, count(*) AS n FROM cases_v GROUP BY ALL),
+per_org AS (SELECT org_id, sum(n) AS org_n FROM per_svc GROUP BY org_id),
+u AS (
+  SELECT u.id AS user_id, u.org_id, u.role, coalesce(t.services, CAST([] AS VARCHAR[])) AS services
+  FROM users_v u LEFT JOIN teams_v t ON t.id = u.team_id AND t.org_id = u.org_id)
+SELECT user_id, CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS n_visible
+FROM (SELECT user_id, org_id, unnest(list_distinct(services)) AS service FROM u
+      WHERE role <> 'org_admin' AND len(services) > 0) x
+LEFT JOIN per_svc p USING (org_id, service) GROUP BY user_id
+UNION ALL
+SELECT user_id, CAST(coalesce(org_n, 0) AS BIGINT) FROM u LEFT JOIN per_org USING (org_id)
+WHERE role = 'org_admin' OR len(services) = 0"""
+
+ORACLE["service_overlap"] = with_views(TEAMS_V).rstrip().rstrip(",") + """
+SELECT id, name FROM teams_v WHERE list_has_any(services, ['svc-1', 'svc-3'])"""
+
+ORACLE["log_selector"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
+SELECT line_id, app FROM log_lines_v WHERE regexp_full_match(app, 'app-0|aiops-api') AND org_id = 'org-1'"""
+
+ORACLE["log_line_contains"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
+SELECT line_id FROM log_lines_v WHERE contains(line, 'value=1')"""
+
+ORACLE["log_line_regex"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
+SELECT line_id, app FROM log_lines_v WHERE regexp_matches(line, 'ERROR|CRITICAL')"""
+
+RESOLVED_REQ = """ko AS (
+  SELECT k.id AS key_id, k.key_hash, t.org_id AS key_org, k.revoked_at
+  FROM ingest_keys_v k JOIN teams_v t ON t.id = k.team_id),
+res AS (
+  SELECT r.*, ko.key_id, ko.key_org,
+         CASE WHEN r.api_key IS NULL THEN 'trusted' WHEN ko.key_id IS NULL THEN 'unknown'
+              WHEN ko.revoked_at IS NOT NULL THEN 'revoked' ELSE 'accepted' END AS status
+  FROM ingest_requests_v r LEFT JOIN ko ON ko.key_hash = sha256(r.api_key))"""
+
+ORACLE["resolve_ingestion_keys"] = with_views(INGEST_REQUESTS_V, INGEST_KEYS_V, TEAMS_V) + RESOLVED_REQ + f"""
+SELECT key_id, key_org AS org_id, count(*) AS n_requests, {iso('max(ts)')} AS last_used_at
+FROM res WHERE status = 'accepted' GROUP BY key_id, key_org"""
+
+ORACLE["rejected_ingestion"] = with_views(INGEST_REQUESTS_V, INGEST_KEYS_V, TEAMS_V) + RESOLVED_REQ + """
+SELECT request_id, status AS reason FROM res WHERE status IN ('unknown', 'revoked')"""
+
+ORACLE["assign_org"] = with_views(INGEST_REQUESTS_V, INGEST_KEYS_V, TEAMS_V) + RESOLVED_REQ + """
+SELECT request_id, coalesce(CASE WHEN status = 'accepted' THEN key_org END, body_org, 'org-default') AS org_id
+FROM res WHERE status IN ('trusted', 'accepted')"""
+
+ORACLE["tenant_scope"] = with_views(INGEST_REQUESTS_V, INGEST_KEYS_V, TEAMS_V, LOGS_V) + RESOLVED_REQ + """,
+sc AS (SELECT request_id, coalesce(CASE WHEN status = 'accepted' THEN key_org END, requested_org) AS read_org
+       FROM res WHERE status IN ('trusted', 'accepted')),
+per_org AS (SELECT org_id, count(*) AS n FROM logs_v GROUP BY org_id)
+SELECT request_id, read_org,
+       CAST(CASE WHEN read_org IS NULL THEN (SELECT sum(n) FROM per_org)
+                 ELSE coalesce((SELECT n FROM per_org p WHERE p.org_id = sc.read_org), 0) END AS BIGINT)
+         AS n_visible_logs
+FROM sc"""
+
+ROLLUP = """roll AS (
+  SELECT org_id, trace_id, count(*) AS n_spans, count(*) FILTER (WHERE is_error) AS n_errors,
+         sum(CAST(duration_ms AS DOUBLE)) AS total_ms,
+         arg_min(service, (epoch_us(ts), id)) FILTER (WHERE is_error) AS first_error_service,
+         arg_max(span_name, (duration_ms, -id)) AS slowest_span
+  FROM traces_v GROUP BY org_id, trace_id)"""
+
+ORACLE["trace_rollup"] = with_views(TRACES_V) + ROLLUP + """
+SELECT org_id, trace_id, n_spans, n_errors, round(total_ms, 6) AS total_ms, first_error_service, slowest_span
+FROM roll"""
+
+ORACLE["log_span_join"] = with_views(TRACES_V, LOGS_V) + ROLLUP + """
+SELECT l.id, l.trace_id, r.n_spans, r.n_errors, r.slowest_span
+FROM logs_v l LEFT JOIN roll r ON r.org_id = l.org_id AND r.trace_id = l.trace_id"""
+
+ORACLE["cascade_candidates"] = with_views(TRACES_V, CASES_V) + """e0 AS (
+  SELECT org_id, service AS dst, lag(service) OVER (PARTITION BY org_id, trace_id ORDER BY ts, id) AS src
+  FROM traces_v),
+edges AS (SELECT org_id, src, dst, count(*) AS n_edges FROM e0 WHERE src IS NOT NULL AND src <> dst GROUP BY ALL),
+oc AS (SELECT org_id, primary_service AS dst, count(*) AS dst_open_cases FROM cases_v
+       WHERE status <> 'RESOLVED' GROUP BY ALL),
+cand AS (SELECT * FROM edges JOIN oc USING (org_id, dst))
+SELECT org_id, dst, src, n_edges, dst_open_cases,
+       NOT EXISTS (SELECT 1 FROM cand c2 WHERE c2.org_id = cand.org_id AND c2.src = cand.dst) AS dst_is_root
+FROM cand"""
+
+ORACLE["cofailure_pairs"] = with_views(TRACES_V) + """es AS (
+  SELECT DISTINCT org_id, trace_id, service FROM traces_v WHERE is_error)
+SELECT a.org_id, a.service AS service_a, b.service AS service_b, count(*) AS n_traces
+FROM es a JOIN es b ON a.org_id = b.org_id AND a.trace_id = b.trace_id AND a.service < b.service
+GROUP BY ALL"""
+
+ORACLE["case_kpis"] = with_views(CASES_V).rstrip().rstrip(",") + """
+SELECT org_id, count(*) FILTER (WHERE status <> 'RESOLVED') AS open,
+       count(*) FILTER (WHERE status = 'RESOLVED') AS resolved,
+       count(*) FILTER (WHERE occurrence_count > 1) AS recurring
+FROM cases_v GROUP BY org_id"""

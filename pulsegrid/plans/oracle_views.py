@@ -160,3 +160,12 @@ ENVELOPES_V = """envelopes_v AS (
              || '","job":"job-' || CAST(e.user_id % 4 AS VARCHAR) || '"}}' AS second,
            '{"logs":["' || l.line || '"]}' AS ctx
     FROM events e JOIN log_lines_v l ON l.line_id = e.event_id) x)"""
+
+INGEST_REQUESTS_V = """ingest_requests_v AS (
+  SELECT event_id AS request_id, ts,
+         CASE WHEN user_id % 10 = 9 THEN NULL ELSE 'key-' || CAST(user_id AS VARCHAR) END AS api_key,
+         CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'org-' || CAST(user_id % 3 AS VARCHAR) END AS body_org,
+         CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'org-' || CAST((user_id + 1) % 3 AS VARCHAR) END AS requested_org
+  FROM events)"""
+
+ORGS_V = """orgs_v AS (SELECT DISTINCT 'org-' || CAST(r_regionkey % 3 AS VARCHAR) AS org_id FROM region)"""

@@ -401,3 +401,201 @@ def action_match(spark, sf_dir):
     out = similarity.exact_topk(v, catalog, 3, q_id="case_id", i_id="label")
     return out.select(F.col("query_id").alias("case_id"), "rank", F.col("match_id").alias("action_id"),
                       r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- teams, cases, tenancy, traces
+
+def _case_actions(spark, sf_dir):
+    return action_match(spark, sf_dir).select(
+        "case_id", (F.col("action_id") + 1).cast("int").alias("action_id"),
+        F.col("score").cast("decimal(5,4)").alias("similarity_score"))
+
+
+@report("case_actions_ranked")
+def case_actions_ranked(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import caseview
+    out = caseview.ranked_case_actions(_case_actions(spark, sf_dir), actions_frame(spark))
+    return out.select("case_id", "action_id", "name", "action_type", r6("similarity_score").alias("score"))
+
+
+@report("users_with_teams")
+def users_with_teams(spark, sf_dir):
+    from ..operators import teams
+    out = teams.users_with_teams(views.users_v(spark, sf_dir), views.teams_v(spark, sf_dir))
+    return out.select("id", "name", "role", "team_name")
+
+
+@report("team_members")
+def team_members(spark, sf_dir):
+    u = views.users_v(spark, sf_dir)
+    t = views.teams_v(spark, sf_dir).select(F.col("id").alias("team_id"), F.col("org_id").alias("team_org"))
+    return (t.join(u, "team_id", "inner").where(F.col("org_id") == F.col("team_org"))
+            .select("team_id", F.col("id").alias("user_id"), "name", F.col("role").alias("org_role")))
+
+
+@report("team_routing")
+def team_routing(spark, sf_dir):
+    from ..operators import teams
+    out = teams.route(views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir))
+    return out.select("id", "team")
+
+
+def _view_out(df):
+    return df.select("inc_id", "title", "severity", "status", F.array_join("services", ",").alias("services"),
+                     "team", "ai_summary", "occurrences", "first_seen", "last_seen")
+
+
+@report("case_view")
+def case_view(spark, sf_dir):
+    from ..operators import caseview
+    return _view_out(caseview.case_view(views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir)))
+
+
+@report("case_list")
+def case_list(spark, sf_dir):
+    from ..operators import caseview
+    return _view_out(caseview.case_list(views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir), "org-1",
+                                        ["svc-1", "svc-2"]))
+
+
+@report("case_detail")
+def case_detail(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import caseview
+    req = _case_refs(spark, sf_dir).select("ref", F.concat(F.lit("org-"), (F.col("id") % 3).cast("string"))
+                                           .alias("org_id"))
+    out = caseview.case_detail(req, views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir),
+                               _case_actions(spark, sf_dir), actions_frame(spark))
+    return out.select("ref", "inc_id", "title", "team", F.size("actions").alias("n_actions"),
+                      F.try_element_at("actions", F.lit(1))["name"].alias("top_action"))
+
+
+@report("services_for_teams")
+def services_for_teams(spark, sf_dir):
+    from ..operators import teams
+    out = teams.services_for_teams(views.teams_v(spark, sf_dir))
+    return out.select("org_id", F.array_join("services", ",").alias("services"))
+
+
+@report("org_overview")
+def org_overview(spark, sf_dir):
+    from ..operators import teams
+    return teams.org_overview(views.orgs_v(spark, sf_dir), views.teams_v(spark, sf_dir),
+                              views.users_v(spark, sf_dir))
+
+
+@report("org_detail")
+def org_detail(spark, sf_dir):
+    from ..operators import teams
+    out = teams.org_detail(views.orgs_v(spark, sf_dir), views.teams_v(spark, sf_dir), views.users_v(spark, sf_dir))
+    return out.select("org_id", F.array_join(F.transform("teams", lambda t: t["name"]), ",").alias("teams"),
+                      F.coalesce("user_count", F.lit(0)).alias("user_count"),
+                      F.col("first_user.name").alias("first_user"))
+
+
+@report("visible_cases")
+def visible_cases(spark, sf_dir):
+    from ..operators import teams
+    return teams.visible_case_counts(views.users_v(spark, sf_dir), views.teams_v(spark, sf_dir),
+                                     views.cases_v(spark, sf_dir))
+
+
+@report("service_overlap")
+def service_overlap(spark, sf_dir):
+    t = views.teams_v(spark, sf_dir)
+    return t.where(F.arrays_overlap("services", F.array(F.lit("svc-1"), F.lit("svc-3")))).select("id", "name")
+
+
+@report("log_selector")
+def log_selector(spark, sf_dir):
+    from ..operators import logseries
+    lines = views.log_lines_v(spark, sf_dir)
+    return lines.where(logseries.label_regex(F.col("app"), "app-0|aiops-api") & (F.col("org_id") == "org-1")) \
+        .select("line_id", "app")
+
+
+@report("log_line_contains")
+def log_line_contains(spark, sf_dir):
+    from ..operators import logseries
+    lines = views.log_lines_v(spark, sf_dir)
+    return lines.where(logseries.line_contains(F.col("line"), "value=1")).select("line_id")
+
+
+@report("log_line_regex")
+def log_line_regex(spark, sf_dir):
+    from ..operators import logseries
+    lines = views.log_lines_v(spark, sf_dir)
+    return lines.where(logseries.line_regex(F.col("line"), "ERROR|CRITICAL")).select("line_id", "app")
+
+
+def _resolved_requests(spark, sf_dir):
+    from ..operators import tenancy
+    return tenancy.resolve_requests(views.ingest_requests_v(spark, sf_dir), views.ingest_keys_v(spark, sf_dir),
+                                    views.teams_v(spark, sf_dir))
+
+
+@report("resolve_ingestion_keys")
+def resolve_ingestion_keys(spark, sf_dir):
+    from ..operators import tenancy
+    out = tenancy.key_usage(_resolved_requests(spark, sf_dir))
+    return out.select("key_id", F.col("key_org").alias("org_id"), "n_requests",
+                      iso("last_used_at").alias("last_used_at"))
+
+
+@report("rejected_ingestion")
+def rejected_ingestion(spark, sf_dir):
+    r = _resolved_requests(spark, sf_dir)
+    return r.where(F.col("status").isin("unknown", "revoked")).select("request_id", F.col("status").alias("reason"))
+
+
+@report("assign_org")
+def assign_org(spark, sf_dir):
+    from ..operators import tenancy
+    return tenancy.write_org(_resolved_requests(spark, sf_dir)).select("request_id", "org_id")
+
+
+@report("tenant_scope")
+def tenant_scope(spark, sf_dir):
+    from ..operators import tenancy
+    scoped = tenancy.read_scope(_resolved_requests(spark, sf_dir))
+    per_org = views.logs_v(spark, sf_dir).groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
+    # a NULL-org row holds the all-orgs total, matched null-safely by unscoped (trusted) reads
+    scopes = per_org.unionByName(per_org.agg(F.lit(None).cast("string").alias("org_id"), F.sum("n").alias("n")))
+    out = scoped.join(scopes, scoped.read_org.eqNullSafe(scopes.org_id), "left")
+    return out.select("request_id", "read_org", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_visible_logs"))
+
+
+@report("trace_rollup")
+def trace_rollup(spark, sf_dir):
+    from ..operators import traces
+    out = traces.trace_rollup(views.traces_v(spark, sf_dir))
+    return out.select("org_id", "trace_id", "n_spans", "n_errors", r6("total_ms").alias("total_ms"),
+                      "first_error_service", "slowest_span")
+
+
+@report("log_span_join")
+def log_span_join(spark, sf_dir):
+    from ..operators import traces
+    out = traces.logs_with_trace(views.logs_v(spark, sf_dir), views.traces_v(spark, sf_dir))
+    return out.select("id", "trace_id", "n_spans", "n_errors", "slowest_span")
+
+
+@report("cascade_candidates")
+def cascade_candidates(spark, sf_dir):
+    from ..operators import traces
+    return traces.cascade_candidates(views.traces_v(spark, sf_dir), views.cases_v(spark, sf_dir))
+
+
+@report("cofailure_pairs")
+def cofailure_pairs(spark, sf_dir):
+    from ..operators import traces
+    return traces.cofailure_pairs(views.traces_v(spark, sf_dir))
+
+
+@report("case_kpis")
+def case_kpis(spark, sf_dir):
+    c = views.cases_v(spark, sf_dir)
+    return c.groupBy("org_id").agg(F.count_if(F.col("status") != "RESOLVED").alias("open"),
+                                   F.count_if(F.col("status") == "RESOLVED").alias("resolved"),
+                                   F.count_if(F.col("occurrence_count") > 1).alias("recurring"))

@@ -271,3 +271,23 @@ def ingest_keys_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_files_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id"), F.col("source").alias("filename"), F.col("text").alias("line"))
+
+
+def ingest_requests_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ingest/read request per event: presented key (none = trusted caller), body and requested org."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("user_id") % 10 == 9, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("key-"), F.col("user_id").cast("string"))).alias("api_key"),
+        F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string"))
+        .otherwise(_org("user_id")).alias("body_org"),
+        F.when(F.col("event_id") % 6 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("org-"), ((F.col("user_id") + 1) % N_ORGS).cast("string"))).alias("requested_org"),
+    )
+
+
+def orgs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region")
+    return r.select(F.concat(F.lit("org-"), (F.col("r_regionkey") % N_ORGS).cast("string")).alias("org_id")).distinct()
