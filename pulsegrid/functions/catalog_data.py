@@ -64,5 +64,13 @@ def action_types_sql() -> str:
     return f"(VALUES {vals}) AS actions(id, name, action_type)"
 
 
+def actions_sql(alias: str = "a") -> str:
+    """The catalog with descriptions as a SQL VALUES list (for oracles)."""
+    def q(x):
+        return "'" + x.replace("'", "''") + "'"
+    vals = ", ".join(f"({i + 1}, {q(n)}, {q(t)}, {q(d)})" for i, (n, t, d) in enumerate(ACTIONS))
+    return f"(VALUES {vals}) AS {alias}(id, name, action_type, description)"
+
+
 def lit_actions(spark: SparkSession) -> DataFrame:
     return actions_frame(spark).select("id", "name", "action_type", F.col("description"))

@@ -592,3 +592,166 @@ SELECT org_id, count(*) FILTER (WHERE status <> 'RESOLVED') AS open,
        count(*) FILTER (WHERE status = 'RESOLVED') AS resolved,
        count(*) FILTER (WHERE occurrence_count > 1) AS recurring
 FROM cases_v GROUP BY org_id"""
+
+# ---------------------------------------------------------------- case state and context
+
+from ..functions.catalog_data import actions_sql  # noqa: E402
+
+GROUP_CTES = ",\n".join([BREACHES, GROUPED, SIGNATURES])
+AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
+
+ORACLE["open_cases"] = with_views(METRICS_V, LOGS_V) + GROUP_CTES + f"""
+SELECT org_id, service AS primary_service, {iso('first_ts')} AS opened_at, {iso('last_ts')} AS updated_at,
+       'OPEN' AS status, 1 AS occurrence_count, severity, signature_text,
+       strftime(last_ts, '%H:%M:%S') AS opened_time
+FROM sig"""
+
+ORACLE["recur_cases"] = with_views(CASES_V, ALERTS_V) + f"""m AS (
+  SELECT case_id, count(*) AS n, arg_max(score, (rat, seq, score)) AS score, max(rat) AS at,
+         bool_or(severity = 'critical') AS crit
+  FROM (SELECT case_id, CAST((86 + CAST(quantity AS INTEGER) % 10) / 100.0 AS DECIMAL(5,4)) AS score,
+               received_at AS rat, id AS seq, severity FROM alerts_v) x
+  GROUP BY case_id)
+SELECT c.id,
+       CASE WHEN m.n IS NOT NULL AND c.status = 'RESOLVED' THEN 'INVESTIGATING' ELSE c.status END AS status,
+       CAST(c.occurrence_count + coalesce(m.n, 0) AS INTEGER) AS occurrence_count,
+       round(CAST(CASE WHEN m.n IS NOT NULL THEN m.score ELSE c.similarity_score END AS DOUBLE), 6) AS score,
+       {iso('CASE WHEN m.n IS NOT NULL THEN m.at ELSE c.updated_at END')} AS updated_at,
+       CASE WHEN coalesce(m.crit, false) THEN 'critical' ELSE c.severity END AS severity,
+       {iso("CASE WHEN m.n IS NOT NULL AND c.status = 'RESOLVED' THEN NULL ELSE c.summarized_at END")}
+         AS summarized_at,
+       {iso("CASE WHEN m.n IS NOT NULL AND c.status = 'RESOLVED' THEN NULL ELSE c.matched_at END")} AS matched_at
+FROM cases_v c LEFT JOIN m ON m.case_id = c.id"""
+
+ROLLED = """rolled AS (
+  SELECT arg_min(id, (triggered_at, id)) AS id, case_id, service, metric,
+         arg_min(severity, (triggered_at, id)) AS severity, min(triggered_at) AS triggered_at,
+         count(*) AS duplicate_count, arg_max(received_at, (triggered_at, id)) AS received_at
+  FROM alerts_v GROUP BY case_id, service, metric)"""
+
+ORACLE["alert_rollup"] = with_views(ALERTS_V) + ROLLED + f"""
+SELECT id, case_id, service, metric, severity, {iso('triggered_at')} AS triggered_at,
+       CAST(duplicate_count AS INTEGER) AS duplicate_count, {iso('received_at')} AS received_at
+FROM rolled"""
+
+ORACLE["case_timeline"] = with_views(ALERTS_V) + ROLLED + """,
+e AS (SELECT case_id, triggered_at, id, service, metric, strftime(triggered_at, '%H:%M:%S') AS time,
+             'Alert ' || metric || ' on ' || service || ' (' || severity || ')' AS event FROM rolled)
+SELECT case_id, CAST(count(*) AS INTEGER) AS n_entries,
+       arg_min(event, (triggered_at, id, service, metric)) AS first_event,
+       string_agg(time || ' ' || event, '; ' ORDER BY triggered_at, id, service, metric) AS timeline_text
+FROM e GROUP BY case_id"""
+
+ORACLE["save_summaries"] = with_views(CASES_V) + MODEL_OUTPUTS + f"""
+SELECT c.id,
+       CASE WHEN json_valid(m.t) THEN json_extract_string(m.t, '$.title') ELSE c.title END AS title,
+       CASE WHEN json_valid(m.t) THEN json_extract_string(m.t, '$.ai_summary') ELSE c.ai_summary END AS ai_summary,
+       coalesce(json_valid(m.t), false) AS summarized,
+       CASE WHEN json_valid(m.t) THEN {iso(AS_OF)} END AS summarized_at
+FROM cases_v c LEFT JOIN cleaned m ON m.case_id = c.id
+WHERE c.summarized_at IS NULL"""
+
+ORACLE["resolve_cases"] = with_views(CASES_V, ALERTS_V) + f"""agg AS (
+  SELECT case_id, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id, max(received_at) AS at, count(*) AS n
+  FROM alerts_v WHERE metric = 'R' GROUP BY ALL)
+SELECT c.id, 'RESOLVED' AS status, {iso('a.at')} AS updated_at, a.n AS resolve_commands
+FROM cases_v c JOIN agg a ON a.case_id = c.id AND a.org_id = c.org_id"""
+
+ORACLE["apply_actions"] = "WITH " + CASES_V + ",\n" + CASE_ACTIONS + f""",
+cmds AS (SELECT DISTINCT case_id, 'org-' || CAST(case_id % 3 AS VARCHAR) AS org_id,
+                CAST(case_id % 10 + 1 AS INTEGER) AS action_id FROM case_actions),
+sugg AS (SELECT DISTINCT case_id, action_id FROM case_actions),
+j AS (
+  SELECT x.case_id, x.action_id, c.id AS cid, c.status, s.case_id AS sid, a.action_type
+  FROM cmds x LEFT JOIN cases_v c ON c.id = x.case_id AND c.org_id = x.org_id
+  LEFT JOIN sugg s ON s.case_id = x.case_id AND s.action_id = x.action_id
+  LEFT JOIN {actions_sql()} ON a.id = x.action_id)
+SELECT case_id, action_id,
+       CASE WHEN cid IS NULL THEN 'not_found' WHEN sid IS NULL THEN 'not_suggested' ELSE 'applied' END AS outcome,
+       action_type,
+       CASE WHEN cid IS NULL OR sid IS NULL THEN status WHEN action_type = 'raise_pr' THEN status
+            ELSE 'RESOLVED' END AS new_status
+FROM j"""
+
+ORACLE["work_queues"] = with_views(CASES_V).rstrip().rstrip(",") + """
+SELECT id, CASE WHEN summarized_at IS NULL THEN 'summarize' WHEN matched_at IS NULL THEN 'match' ELSE 'done' END
+         AS queue
+FROM cases_v"""
+
+ORACLE["case_context_logs"] = with_views(METRICS_V, LOGS_V) + GROUP_CTES + f"""
+SELECT c.org_id, c.service, {iso('c.first_ts')} AS opened_at, l.id AS log_id, {iso('l.ts')} AS ts
+FROM sig c JOIN logs_v l ON l.org_id = c.org_id AND l.service = c.service
+ AND l.ts BETWEEN c.first_ts - INTERVAL 30 SECOND AND c.last_ts + INTERVAL 30 SECOND"""
+
+ORACLE["case_context_alerts"] = with_views(CASES_V, ALERTS_V).rstrip().rstrip(",") + f"""
+SELECT case_id, id, {iso('triggered_at')} AS triggered_at, metric, severity
+FROM alerts_v WHERE case_id IN (SELECT id FROM cases_v)"""
+
+ORACLE["recurrence_candidates"] = with_views(METRICS_V, LOGS_V) + GROUP_CTES + f"""
+SELECT g.org_id, g.service, {iso('g.first_ts')} AS first_ts, {iso('c.first_ts')} AS cand_opened_at
+FROM sig g JOIN sig c ON c.org_id = g.org_id AND c.service = g.service
+ AND c.last_ts >= g.first_ts - INTERVAL 6 HOUR AND c.last_ts < g.first_ts"""
+
+ORACLE["case_prompt"] = with_views(METRICS_V, LOGS_V) + GROUP_CTES + f""",
+ca AS (
+  SELECT org_id, service, gs, metric, arg_min(severity, (ts, src_id * 16 + seq * 3 + sub)) AS severity,
+         min(ts) AS triggered_at, min_by(src_id * 16 + seq * 3 + sub, (ts, src_id * 16 + seq * 3 + sub)) AS fid,
+         count(*) AS n
+  FROM grouped GROUP BY org_id, service, gs, metric),
+al AS (
+  SELECT org_id, service, gs, count(*) AS n_alerts,
+         string_agg(printf('- [%s] %s on %s at %s seen %dx', severity, metric, service,
+                           strftime(triggered_at, '%Y-%m-%d %H:%M:%S'), n), chr(10) ORDER BY triggered_at, fid) AS txt
+  FROM ca GROUP BY org_id, service, gs),
+lg AS (
+  SELECT c.org_id, c.service, c.gs, count(*) AS n_logs,
+         string_agg(printf('[%s] [%s] [%s] %s', strftime(l.ts, '%Y-%m-%d %H:%M:%S'), l.level, l.event, l.message),
+                    chr(10) ORDER BY l.ts, l.id) AS txt
+  FROM sig c JOIN logs_v l ON l.org_id = c.org_id AND l.service = c.service
+   AND l.ts BETWEEN c.first_ts - INTERVAL 30 SECOND AND c.last_ts + INTERVAL 30 SECOND
+  GROUP BY c.org_id, c.service, c.gs)
+SELECT s.org_id, s.service AS primary_service, {iso('s.first_ts')} AS opened_at,
+       CAST(coalesce(a.n_alerts, 0) AS INTEGER) AS n_alerts, CAST(coalesce(g.n_logs, 0) AS INTEGER) AS n_logs,
+       'CASE' || chr(10) || 'service=' || s.service || ' | status=OPEN | occurrence_count=1' || chr(10)
+         || 'signature: ' || s.signature_text || chr(10) || chr(10) || 'ALERTS' || chr(10)
+         || coalesce(nullif(a.txt, ''), 'none') || chr(10) || chr(10) || 'LOGS' || chr(10)
+         || coalesce(nullif(g.txt, ''), 'none') AS prompt
+FROM sig s LEFT JOIN al a USING (org_id, service, gs) LEFT JOIN lg g USING (org_id, service, gs)"""
+
+ORACLE["upload_context"] = with_views(CASES_V, LOG_FILES_V) + """top AS (
+  SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY updated_at DESC NULLS FIRST, id DESC) AS rn
+  FROM cases_v WHERE status <> 'RESOLVED'),
+inc AS (
+  SELECT org_id, string_agg('- ' || printf('CASE-%04d', id) || ': ' || coalesce(title, 'None') || ' | '
+                            || coalesce(severity, 'None') || ' | ' || coalesce(ai_summary, 'None'),
+                            chr(10) ORDER BY rn) AS lines
+  FROM top WHERE rn <= 20 GROUP BY org_id),
+docs AS (SELECT doc_id, line AS text, 'org-' || CAST(doc_id % 3 AS VARCHAR) AS org_id FROM log_files_v),
+ctx AS (
+  SELECT d.doc_id, d.org_id,
+         'RAW LOG TEXT (unparsed):' || chr(10) || d.text || chr(10) || chr(10)
+         || CASE WHEN i.lines IS NOT NULL THEN 'CURRENTLY OPEN INCIDENTS:' || chr(10) || i.lines
+                 ELSE 'CURRENTLY OPEN INCIDENTS: none' END AS c
+  FROM docs d LEFT JOIN inc i USING (org_id))
+SELECT doc_id, org_id, CAST(length(c) AS INTEGER) AS n_chars, sha256(c) AS context_sha256 FROM ctx"""
+
+ORACLE["remediation_notes"] = "WITH " + CASES_V + ",\n" + CASE_ACTIONS + ",\n" + MODEL_OUTPUTS.replace(
+    "mo AS (", "mo AS (", 1) + f""",
+top AS (
+  SELECT ca.case_id, arg_min(a.name, (-ca.similarity_score, ca.action_id)) AS name,
+         arg_min(a.description, (-ca.similarity_score, ca.action_id)) AS description
+  FROM case_actions ca JOIN {actions_sql()} ON a.id = ca.action_id GROUP BY ca.case_id),
+hyp AS (
+  SELECT case_id,
+         CASE WHEN json_valid(t) THEN array_to_string(list_transform(
+              CAST(json_extract(t, '$.hypotheses') AS JSON[]),
+              lambda h: '- (' || coalesce(json_extract_string(h, '$.confidence'), 'None') || '%) '
+                   || coalesce(json_extract_string(h, '$.text'), 'None')), chr(10)) ELSE '' END AS lines
+  FROM cleaned)
+SELECT c.id AS case_id,
+       '# Remediation for ' || coalesce(c.primary_service, 'None') || ' — Case #' || CAST(c.id AS VARCHAR)
+       || chr(10) || chr(10) || '**Title:** ' || coalesce(nullif(c.title, ''), 'Untitled case')
+       || chr(10) || chr(10) || '**AI summary:** ' || coalesce(nullif(c.ai_summary, ''), 'n/a')
+       || chr(10) || chr(10) || '**Suggested action:** ' || t.name || ' — ' || t.description
+       || chr(10) || chr(10) || '**Hypotheses:**' || chr(10) || coalesce(h.lines, '') AS note
+FROM cases_v c JOIN top t ON t.case_id = c.id LEFT JOIN hyp h ON h.case_id = c.id"""

@@ -599,3 +599,225 @@ def case_kpis(spark, sf_dir):
     return c.groupBy("org_id").agg(F.count_if(F.col("status") != "RESOLVED").alias("open"),
                                    F.count_if(F.col("status") == "RESOLVED").alias("resolved"),
                                    F.count_if(F.col("occurrence_count") > 1).alias("recurring"))
+
+
+# ---------------------------------------------------------------- case state and context
+
+# Replay parameters for the driver data.
+DRIVER_LOOKBACK_SECONDS = 21600.0
+DRIVER_AS_OF = "2024-02-01 00:00:00"
+
+
+def _groups(spark, sf_dir):
+    return signature.group_signatures(_grouped(spark, sf_dir))
+
+
+def _opened(spark, sf_dir):
+    from ..operators import cases
+    return cases.open_cases(_groups(spark, sf_dir))
+
+
+@report("open_cases")
+def open_cases(spark, sf_dir):
+    out = _opened(spark, sf_dir)
+    return out.select("org_id", "primary_service", iso("opened_at").alias("opened_at"),
+                      iso("updated_at").alias("updated_at"), "status", "occurrence_count", "severity",
+                      "signature_text", F.col("timeline")[0]["time"].alias("opened_time"))
+
+
+def _matches(spark, sf_dir):
+    a = views.alerts_v(spark, sf_dir)
+    score = ((F.lit(86) + F.col("quantity").cast("int") % 10).cast("decimal(10,0)") / 100).cast("decimal(5,4)")
+    return a.select("case_id", score.alias("score"), F.col("received_at").alias("at"), F.col("id").alias("seq"),
+                    "severity")
+
+
+@report("recur_cases")
+def recur_cases(spark, sf_dir):
+    from ..operators import cases
+    out = cases.recur_cases(views.cases_v(spark, sf_dir), _matches(spark, sf_dir))
+    return out.select("id", "status", "occurrence_count", r6("similarity_score").alias("score"),
+                      iso("updated_at").alias("updated_at"), "severity", iso("summarized_at").alias("summarized_at"),
+                      iso("matched_at").alias("matched_at"))
+
+
+def _alert_state_schema():
+    return ("id bigint, case_id bigint, service string, metric string, severity string, triggered_at timestamp, "
+            "source_tool string, duplicate_count int, received_at timestamp")
+
+
+def _rolled_alerts(spark, sf_dir):
+    from ..operators import cases
+    empty = spark.createDataFrame([], _alert_state_schema())
+    return cases.alert_rollup(empty, views.alerts_v(spark, sf_dir))
+
+
+@report("alert_rollup")
+def alert_rollup(spark, sf_dir):
+    out = _rolled_alerts(spark, sf_dir)
+    return out.select("id", "case_id", "service", "metric", "severity", iso("triggered_at").alias("triggered_at"),
+                      "duplicate_count", iso("received_at").alias("received_at"))
+
+
+@report("case_timeline")
+def case_timeline(spark, sf_dir):
+    from ..operators import cases
+    a = _rolled_alerts(spark, sf_dir)
+    # alert ids of the driver data repeat, so service and metric complete the order
+    entries = a.select("case_id", F.col("triggered_at").alias("at"), F.struct("id", "service", "metric").alias("seq"),
+                       F.date_format("triggered_at", "HH:mm:ss").alias("time"),
+                       F.concat(F.lit("Alert "), F.col("metric"), F.lit(" on "), F.col("service"), F.lit(" ("),
+                                F.col("severity"), F.lit(")")).alias("event"),
+                       F.when(F.col("severity") == "critical", "#f87171").otherwise("#fbbf24").alias("color"))
+    t = cases.fold_timeline(entries)
+    return t.select("case_id", F.size("timeline").alias("n_entries"),
+                    F.col("timeline")[0]["event"].alias("first_event"),
+                    F.array_join(F.transform("timeline", lambda e: F.concat(e["time"], F.lit(" "), e["event"])),
+                                 "; ").alias("timeline_text"))
+
+
+def _summaries(spark, sf_dir):
+    from ..functions import jsonfn
+    return _model_outputs(spark, sf_dir).select(
+        "case_id", jsonfn.parse_summary("response").alias("s"), F.lit(DRIVER_AS_OF).cast("timestamp").alias("at"))
+
+
+@report("save_summaries")
+def save_summaries(spark, sf_dir):
+    from ..operators import cases
+    c = views.cases_v(spark, sf_dir)
+    queued = c.where(F.col("summarized_at").isNull())
+    out = cases.save_summaries(queued, _summaries(spark, sf_dir))
+    return out.select("id", "title", "ai_summary", F.col("summarized_at").isNotNull().alias("summarized"),
+                      iso("summarized_at").alias("summarized_at"))
+
+
+@report("resolve_cases")
+def resolve_cases(spark, sf_dir):
+    from ..operators import cases
+    a = views.alerts_v(spark, sf_dir)
+    cmds = a.where(F.col("metric") == "R").select(
+        "case_id", F.concat(F.lit("org-"), (F.col("id") % 3).cast("string")).alias("org_id"),
+        F.col("received_at").alias("at"))
+    out = cases.resolve_cases(views.cases_v(spark, sf_dir), cmds)
+    return out.where(F.col("resolve_commands") > 0).select("id", "status", iso("updated_at").alias("updated_at"),
+                                                           "resolve_commands")
+
+
+@report("apply_actions")
+def apply_actions(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import cases
+    ca = _case_actions(spark, sf_dir)
+    cmds = ca.select("case_id").distinct().select(
+        "case_id", F.concat(F.lit("org-"), (F.col("case_id") % 3).cast("string")).alias("org_id"),
+        (F.col("case_id") % 10 + 1).cast("int").alias("action_id"),
+        F.lit(DRIVER_AS_OF).cast("timestamp").alias("at"))
+    out = cases.apply_actions(cmds, views.cases_v(spark, sf_dir), ca, actions_frame(spark))
+    return out.select("case_id", "action_id", "outcome", "action_type", "new_status")
+
+
+@report("work_queues")
+def work_queues(spark, sf_dir):
+    from ..operators import cases
+    return cases.work_queues(views.cases_v(spark, sf_dir)).select("id", "queue")
+
+
+@report("case_context_logs")
+def case_context_logs(spark, sf_dir):
+    from ..operators import context
+    out = context.case_context_logs(_opened(spark, sf_dir), views.logs_v(spark, sf_dir))
+    return out.select("org_id", "service", iso("opened_at").alias("opened_at"), "log_id", iso("ts").alias("ts"))
+
+
+@report("case_context_alerts")
+def case_context_alerts(spark, sf_dir):
+    from ..operators import context
+    out = context.case_context_alerts(views.cases_v(spark, sf_dir), views.alerts_v(spark, sf_dir))
+    return out.select("case_id", "id", iso("triggered_at").alias("triggered_at"), "metric", "severity")
+
+
+@report("recurrence_candidates")
+def recurrence_candidates(spark, sf_dir):
+    from ..operators import context
+    g = _groups(spark, sf_dir)
+    cases = _opened(spark, sf_dir).withColumnRenamed("primary_service", "service")
+    out = context.recurrence_candidates(g, cases, lookback_seconds=DRIVER_LOOKBACK_SECONDS)
+    return out.select("org_id", "service", iso("first_ts").alias("first_ts"),
+                      iso("cand_opened_at").alias("cand_opened_at"))
+
+
+def _case_alerts_from_breaches(spark, sf_dir):
+    """Breaches as alert rows of the case their group opened, rolled up per (case, service, metric)."""
+    from ..operators import cases
+    g = _grouped(spark, sf_dir)
+    batch = g.select(
+        F.xxhash64("org_id", "service", "group_start").alias("case_id"), "service", "metric", "severity",
+        F.col("ts").alias("triggered_at"), F.col("ts").alias("received_at"),
+        (F.col("src_id") * 16 + F.col("seq") * 3 + F.col("sub")).alias("id"),
+        F.lit("stage1_poller").alias("source_tool"))
+    return cases.alert_rollup(spark.createDataFrame([], _alert_state_schema()), batch)
+
+
+def _prompts(spark, sf_dir):
+    from ..operators import context
+    opened = _opened(spark, sf_dir)
+    logs = context.case_context_logs(opened, views.logs_v(spark, sf_dir))
+    return opened, context.case_prompt(opened, _case_alerts_from_breaches(spark, sf_dir), logs)
+
+
+@report("case_prompt")
+def case_prompt(spark, sf_dir):
+    opened, p = _prompts(spark, sf_dir)
+    out = p.join(opened.select(F.col("id").alias("case_id"), "org_id", "primary_service", "opened_at"), "case_id")
+    return out.select("org_id", "primary_service", iso("opened_at").alias("opened_at"), "n_alerts", "n_logs",
+                      "prompt")
+
+
+@report("summarize_cases")
+def summarize_cases(spark, sf_dir):
+    from ..operators import context
+    opened, p = _prompts(spark, sf_dir)
+    s = context.summarize_cases(p)
+    out = s.join(opened.select(F.col("id").alias("case_id"), "org_id", "primary_service", "opened_at"), "case_id")
+    return out.select("org_id", "primary_service", iso("opened_at").alias("opened_at"),
+                      F.col("s").isNotNull().alias("ok"), F.col("s.title").alias("title"))
+
+
+@report("upload_context")
+def upload_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..functions import parse
+    docs = views.log_files_v(spark, sf_dir).select(
+        "doc_id", F.col("line").alias("text"), F.concat(F.lit("org-"), (F.col("doc_id") % 3).cast("string"))
+        .alias("org_id"))
+    c = views.cases_v(spark, sf_dir).where(F.col("status") != "RESOLVED")
+    w = Window.partitionBy("org_id").orderBy(F.col("updated_at").desc_nulls_first(), F.col("id").desc())
+    top = c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 20)
+    inc = top.groupBy("org_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "rn", F.concat(F.lit("- "), parse.case_label("id"), F.lit(": "), F.coalesce("title", F.lit("None")),
+                       F.lit(" | "), F.coalesce("severity", F.lit("None")), F.lit(" | "),
+                       F.coalesce("ai_summary", F.lit("None"))).alias("t")))), lambda x: x["t"]).alias("lines"))
+    j = docs.join(inc, "org_id", "left")
+    section = F.when(F.coalesce(F.size("lines"), F.lit(0)) > 0,
+                     F.concat(F.lit("CURRENTLY OPEN INCIDENTS:\n"), F.array_join("lines", "\n"))) \
+        .otherwise(F.lit("CURRENTLY OPEN INCIDENTS: none"))
+    ctx = F.concat(F.lit("RAW LOG TEXT (unparsed):\n"), F.col("text"), F.lit("\n\n"), section)
+    return j.select("doc_id", "org_id", F.length(ctx).alias("n_chars"),
+                    F.sha2(ctx, 256).alias("context_sha256"))
+
+
+@report("remediation_notes")
+def remediation_notes(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import caseview, context
+    c = views.cases_v(spark, sf_dir)
+    s = _summaries(spark, sf_dir).select("case_id", F.col("s.hypotheses").alias("hypotheses"))
+    ranked = caseview.ranked_case_actions(_case_actions(spark, sf_dir), actions_frame(spark))
+    top = ranked.groupBy("case_id").agg(F.min_by(F.struct("name", "description"), F.struct(
+        (-F.col("similarity_score")).alias("ns"), F.col("action_id"))).alias("a"))
+    j = c.join(top, c.id == top.case_id, "inner").drop("case_id").join(s, c.id == s.case_id, "left")
+    note = context.remediation_note(F.col("id"), F.col("primary_service"), F.col("title"), F.col("ai_summary"),
+                                    F.col("a.name"), F.col("a.description"), F.col("hypotheses"))
+    return j.select(F.col("id").alias("case_id"), note.alias("note"))
