@@ -755,3 +755,50 @@ SELECT c.id AS case_id,
        || chr(10) || chr(10) || '**Suggested action:** ' || t.name || ' — ' || t.description
        || chr(10) || chr(10) || '**Hypotheses:**' || chr(10) || coalesce(h.lines, '') AS note
 FROM cases_v c JOIN top t ON t.case_id = c.id LEFT JOIN hyp h ON h.case_id = c.id"""
+
+# ---------------------------------------------------------------- ingest
+
+
+def _ingest_sql(view: str, cols: str) -> str:
+    return f"""b AS (SELECT *, org_id AS batch_user, CAST(ts AS DATE) AS batch_day FROM {view}),
+ok AS (SELECT batch_user, batch_day FROM b GROUP BY ALL HAVING count(*) <= 5000),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY batch_user, batch_day ORDER BY id) - 1 AS pos,
+         max(ts) OVER (PARTITION BY batch_user, batch_day) AS rts
+  FROM b JOIN ok USING (batch_user, batch_day))
+SELECT batch_user, CAST(batch_day AS VARCHAR) AS batch_day, pos, {cols}, {iso('rts')} AS ts FROM r"""
+
+
+ORACLE["ingest_logs"] = with_views(LOGS_V) + _ingest_sql(
+    "logs_v", "service, level, event, trace_id, message, 'k=' || json_extract_string(context, '$.k') AS context, "
+              "org_id")
+ORACLE["ingest_traces"] = with_views(TRACES_V) + _ingest_sql(
+    "traces_v", "trace_id, service, span_name, round(CAST(duration_ms AS DOUBLE), 6) AS duration_ms, is_error, "
+                "error_code")
+ORACLE["ingest_metrics"] = with_views(METRICS_V) + _ingest_sql(
+    "metrics_v", "service, round(CAST(error_rate AS DOUBLE), 6) AS error_rate, "
+                 "round(CAST(p99_latency_ms AS DOUBLE), 6) AS p99_latency_ms, active_connections, "
+                 "round(CAST(rss_mb AS DOUBLE), 6) AS rss_mb")
+
+ORACLE["ingest_alerts"] = with_views(ALERTS_V) + f"""r AS (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id, case_id, source_tool, service, metric, severity,
+                                                        triggered_at) - 1 AS pos,
+         max(received_at) OVER (PARTITION BY case_id) AS rts,
+         count(*) OVER (PARTITION BY case_id) AS n
+  FROM alerts_v)
+SELECT case_id AS batch_case, pos, service, metric, severity, {iso('triggered_at')} AS triggered_at,
+       1 AS duplicate_count, {iso('rts')} AS received_at
+FROM r WHERE n <= 5000"""
+
+ORACLE["ingest_batch_guard"] = """
+SELECT user_id AS batch_user, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_day, count(*) AS n_rows,
+       count(*) <= 3 AS accepted
+FROM events GROUP BY ALL"""
+
+ORACLE["incremental_scan"] = with_views(METRICS_V, LOGS_V) + f"""cp AS (SELECT TIMESTAMP '2024-01-29 00:00:00' AS t)
+SELECT 'metrics' AS src, id, {iso('ts')} AS ts FROM metrics_v, cp WHERE ts > cp.t
+UNION ALL
+SELECT 'logs', id, {iso('ts')} FROM logs_v, cp WHERE ts > cp.t"""
+
+ORACLE["high_water_mark"] = with_views(METRICS_V, LOGS_V).rstrip().rstrip(",") + f"""
+SELECT {iso('greatest((SELECT max(ts) FROM metrics_v), (SELECT max(ts) FROM logs_v))')} AS max_ts"""

@@ -821,3 +821,125 @@ def remediation_notes(spark, sf_dir):
     note = context.remediation_note(F.col("id"), F.col("primary_service"), F.col("title"), F.col("ai_summary"),
                                     F.col("a.name"), F.col("a.description"), F.col("hypotheses"))
     return j.select(F.col("id").alias("case_id"), note.alias("note"))
+
+
+# ---------------------------------------------------------------- ingest
+
+# Batch size cap used by the guard report on the driver data.
+DRIVER_BATCH_CAP = 3
+
+
+def _day_batches(df):
+    return df.withColumn("batch_day", F.to_date("ts"))
+
+
+def _ingested(spark, sf_dir, kind):
+    from ..sources import ingest
+    if kind == "logs":
+        src = _day_batches(views.logs_v(spark, sf_dir)).withColumn("batch_user", F.col("org_id"))
+        entry = F.struct(F.col("service"), F.col("level"), F.col("event"), F.col("trace_id").alias("traceId"),
+                         F.col("message"), F.from_json("context", "map<string,string>").alias("context"),
+                         F.col("org_id").alias("orgId"))
+        schema = ingest.LOG_ENTRY
+    elif kind == "traces":
+        src = _day_batches(views.traces_v(spark, sf_dir)).withColumn("batch_user", F.col("org_id"))
+        entry = F.struct(F.col("trace_id").alias("traceId"), F.col("service"), F.col("span_name").alias("spanName"),
+                         F.col("duration_ms").alias("durationMs"), F.col("is_error").alias("isError"),
+                         F.col("error_code").alias("errorCode"),
+                         F.from_json("attributes", "map<string,string>").alias("attributes"),
+                         F.col("org_id").alias("orgId"))
+        schema = ingest.SPAN_ENTRY
+    else:
+        src = _day_batches(views.metrics_v(spark, sf_dir)).withColumn("batch_user", F.col("org_id"))
+        entry = F.struct(F.col("service"), F.col("error_rate").alias("errorRate"),
+                         F.col("p99_latency_ms").alias("p99LatencyMs"),
+                         F.col("active_connections").alias("activeConnections"), F.col("rss_mb").alias("rssMb"),
+                         F.col("org_id").alias("orgId"))
+        schema = ingest.METRIC_ENTRY
+    keys = ["batch_user", "batch_day"]
+    capped = ingest.within_cap(src, keys)
+    bodies = ingest.build_bodies(capped, keys, entry, "id")
+    return ingest.parse_bodies(bodies, schema)
+
+
+@report("ingest_logs")
+def ingest_logs(spark, sf_dir):
+    from ..functions import parse
+    e = _ingested(spark, sf_dir, "logs")
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+                    F.col("entry.service").alias("service"), F.col("entry.level").alias("level"),
+                    F.col("entry.event").alias("event"), F.col("entry.traceId").alias("trace_id"),
+                    F.col("entry.message").alias("message"),
+                    parse.context_text(F.col("entry.context")).alias("context"),
+                    F.coalesce(F.col("entry.orgId"), F.lit("org-default")).alias("org_id"),
+                    iso("received_at").alias("ts"))
+
+
+@report("ingest_traces")
+def ingest_traces(spark, sf_dir):
+    e = _ingested(spark, sf_dir, "traces")
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+                    F.col("entry.traceId").alias("trace_id"), F.col("entry.service").alias("service"),
+                    F.col("entry.spanName").alias("span_name"), r6("entry.durationMs").alias("duration_ms"),
+                    F.col("entry.isError").alias("is_error"), F.col("entry.errorCode").alias("error_code"),
+                    iso("received_at").alias("ts"))
+
+
+@report("ingest_metrics")
+def ingest_metrics(spark, sf_dir):
+    e = _ingested(spark, sf_dir, "metrics")
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+                    F.col("entry.service").alias("service"), r6("entry.errorRate").alias("error_rate"),
+                    r6("entry.p99LatencyMs").alias("p99_latency_ms"),
+                    F.col("entry.activeConnections").alias("active_connections"),
+                    r6("entry.rssMb").alias("rss_mb"), iso("received_at").alias("ts"))
+
+
+@report("ingest_alerts")
+def ingest_alerts(spark, sf_dir):
+    from ..sources import ingest
+    a = views.alerts_v(spark, sf_dir)
+    entry = F.struct(F.col("case_id").alias("caseId"), F.col("source_tool").alias("sourceTool"),
+                     F.col("service"), F.col("metric"), F.col("severity"),
+                     F.col("triggered_at").alias("triggeredAt"),
+                     F.when(F.col("id") % 2 == 0, F.col("duplicate_count")).alias("duplicateCount"))
+    # alert ids of the driver data repeat: order entries by the whole row
+    a = a.withColumn("batch_case", F.col("case_id")).withColumn(
+        "_ord", F.struct("id", "case_id", "source_tool", "service", "metric", "severity", "triggered_at"))
+    capped = ingest.within_cap(a, ["batch_case"])
+    bodies = ingest.build_bodies(capped, ["batch_case"], entry, "_ord", received_col="received_at")
+    e = ingest.parse_bodies(bodies, ingest.ALERT_ENTRY)
+    return e.select("batch_case", "pos", F.col("entry.service").alias("service"),
+                    F.col("entry.metric").alias("metric"), F.col("entry.severity").alias("severity"),
+                    iso("entry.triggeredAt").alias("triggered_at"),
+                    F.coalesce(F.col("entry.duplicateCount"), F.lit(1)).alias("duplicate_count"),
+                    iso("received_at").alias("received_at"))
+
+
+@report("ingest_batch_guard")
+def ingest_batch_guard(spark, sf_dir):
+    from ..sources import ingest
+    ev = views.table(spark, sf_dir, "events")
+    src = ev.select(F.col("user_id").alias("batch_user"), F.to_date(F.col("ts").cast("timestamp")).alias("batch_day"))
+    out = ingest.batch_guard(src, ["batch_user", "batch_day"], DRIVER_BATCH_CAP)
+    return out.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "n_rows", "accepted")
+
+
+# Replay checkpoint for the incremental scan.
+DRIVER_CHECKPOINT = "2024-01-29 00:00:00"
+
+
+@report("incremental_scan")
+def incremental_scan(spark, sf_dir):
+    cp = F.lit(DRIVER_CHECKPOINT).cast("timestamp")
+    m = views.metrics_v(spark, sf_dir).where(F.col("ts") > cp).select(F.lit("metrics").alias("src"), "id", "ts")
+    lg = views.logs_v(spark, sf_dir).where(F.col("ts") > cp).select(F.lit("logs").alias("src"), "id", "ts")
+    return m.unionByName(lg).select("src", "id", iso("ts").alias("ts"))
+
+
+@report("high_water_mark")
+def high_water_mark(spark, sf_dir):
+    m = views.metrics_v(spark, sf_dir).agg(F.max("ts").alias("m"))
+    lg = views.logs_v(spark, sf_dir).agg(F.max("ts").alias("l"))
+    both = m.unionByName(lg.withColumnRenamed("l", "m"))
+    return both.agg(iso(F.max("m")).alias("max_ts"))
