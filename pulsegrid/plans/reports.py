@@ -943,3 +943,47 @@ def high_water_mark(spark, sf_dir):
     lg = views.logs_v(spark, sf_dir).agg(F.max("ts").alias("l"))
     both = m.unionByName(lg.withColumnRenamed("l", "m"))
     return both.agg(iso(F.max("m")).alias("max_ts"))
+
+
+# ---------------------------------------------------------------- cooldown and streams
+
+# Cooldown used on the driver data (events per key are hours apart).
+DRIVER_COOLDOWN_SECONDS = 21600.0
+
+
+def _wanted_alerts(spark, sf_dir):
+    ev = views.table(spark, sf_dir, "events")
+    return ev.select(views._svc("user_id").alias("service"), F.col("event_type").alias("alert"),
+                     F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
+
+
+def _fired_out(df):
+    return df.select("service", "alert", "id", iso(F.timestamp_micros("us")).alias("ts"))
+
+
+@report("alert_cooldown")
+def alert_cooldown(spark, sf_dir):
+    from ..operators import cooldown
+    fired = cooldown.fired_alerts(_wanted_alerts(spark, sf_dir), ["service", "alert"], DRIVER_COOLDOWN_SECONDS,
+                                  bucket_seconds=86400.0)
+    return _fired_out(fired)
+
+
+@report("stream_cooldown")
+def stream_cooldown(spark, sf_dir):
+    from ..streaming import jobs
+    return _fired_out(jobs.stream_cooldown(spark, sf_dir, DRIVER_COOLDOWN_SECONDS))
+
+
+@report("stream_detect")
+def stream_detect(spark, sf_dir):
+    from ..streaming import jobs
+    return _breach_out(jobs.stream_detect(spark, sf_dir))
+
+
+@report("stream_breach_sessions")
+def stream_breach_sessions(spark, sf_dir):
+    from ..streaming import jobs
+    out = jobs.stream_breach_sessions(spark, sf_dir, DRIVER_GAP_SECONDS)
+    return out.select("org_id", "service", iso("first_ts").alias("first_ts"), iso("last_ts").alias("last_ts"),
+                      "n_breaches", "severity", F.array_join("metrics", ",").alias("metrics"))

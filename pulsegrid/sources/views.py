@@ -52,7 +52,11 @@ def _message() -> Column:
 
 
 def logs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return logs_from(table(spark, sf_dir, "events"))
+
+
+def logs_from(ev: DataFrame) -> DataFrame:
+    """logs shape from an events DataFrame (batch or streaming)."""
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -67,7 +71,11 @@ def logs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return metrics_from(table(spark, sf_dir, "events"))
+
+
+def metrics_from(ev: DataFrame) -> DataFrame:
+    """metrics shape from an events DataFrame (batch or streaming)."""
     cents = _cents()
     return ev.select(
         F.col("event_id").alias("id"),
