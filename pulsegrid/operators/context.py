@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonfn
@@ -135,3 +135,43 @@ def remediation_note(case_id: Column, service: Column, title: Column, ai_summary
         F.lit("\n\n**AI summary:** "), F.coalesce(F.nullif(ai_summary, F.lit("")), F.lit("n/a")),
         F.lit("\n\n**Suggested action:** "), action_name, F.lit(" — "), action_description,
         F.lit("\n\n**Hypotheses:**\n"), hyp)
+
+
+# Context fetch windows and the level filter of the service branch.
+TRACE_LOOKBACK_SECONDS = 90.0
+SERVICE_LOOKBACK_SECONDS = 300.0
+SERVICE_LEVELS = "ERROR|CRITICAL|WARN"
+
+
+def fetch_context_logs(requests: DataFrame, lines: DataFrame, limit: int = 50,
+                       trace_lookback: float = TRACE_LOOKBACK_SECONDS,
+                       service_lookback: float = SERVICE_LOOKBACK_SECONDS) -> DataFrame:
+    """Log lines for each request (req_id, as_of, service, trace_id), keeping the last ``limit`` lines.
+
+    With a trace id: lines carrying ``trace_id=<id>`` in [as_of - 90 s, as_of];
+    if none, the service branch over the same 90 s. Without a trace id: the
+    service branch over 300 s. The service branch keeps lines of the service
+    (bracket label) matching ERROR|CRITICAL|WARN. Matching is on parsed
+    tokens, so both branches are equi-joins plus a time range.
+    """
+    lk = lines.select("line_id", "ts", "line",
+                      F.regexp_extract("line", r"trace_id=(\S+)", 1).alias("trace_tok"),
+                      F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("svc_tok"))
+    t_us = int(trace_lookback * 1_000_000)
+    lb = F.expr(f"INTERVAL {t_us} MICROSECONDS")
+    by_trace = interval_join(
+        requests.where(F.col("trace_id").isNotNull()).select("req_id", "as_of", F.col("trace_id").alias("trace_tok")),
+        lk.where(F.col("trace_tok") != ""), ["trace_tok"], F.col("as_of") - lb, F.col("as_of"),
+        bucket_seconds=trace_lookback).select("req_id", "line_id", "ts").withColumn("branch", F.lit("trace"))
+    has_trace = by_trace.select("req_id").distinct()
+    svc_req = (requests.join(has_trace, "req_id", "left_anti")
+               .withColumn("_lb", F.when(F.col("trace_id").isNotNull(), F.lit(trace_lookback))
+                           .otherwise(F.lit(service_lookback))))
+    by_service = interval_join(
+        svc_req.select("req_id", "as_of", "_lb", F.col("service").alias("svc_tok")),
+        lk.where(F.col("line").rlike(SERVICE_LEVELS)), ["svc_tok"],
+        F.col("as_of") - F.make_dt_interval(secs=F.col("_lb")), F.col("as_of"),
+        bucket_seconds=service_lookback).select("req_id", "line_id", "ts").withColumn("branch", F.lit("service"))
+    both = by_trace.unionByName(by_service)
+    w = Window.partitionBy("req_id").orderBy(F.col("ts").desc(), F.col("line_id").desc())
+    return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")

@@ -841,3 +841,60 @@ SELECT org_id, service, {iso('min(ts)')} AS first_ts, {iso('max(ts)')} AS last_t
        CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity,
        array_to_string(list_sort(list_distinct(list(metric))), ',') AS metrics
 FROM grouped GROUP BY org_id, service, gs"""
+
+# ---------------------------------------------------------------- files, incidents, context fetch
+
+DOC_LINES = """
+SELECT source AS filename, {extra} unnest(string_split(text, chr(10))) AS line FROM documents"""
+
+ORACLE["tail_log_files"] = DOC_LINES.format(extra="'varlogs' AS job,")
+ORACLE["load_log_uploads"] = DOC_LINES.format(extra="false AS refused,")
+
+INCIDENTS = """inc AS (
+  SELECT org_id, coalesce(alertname, 'alert') AS title,
+         arg_min(CASE WHEN regexp_matches(coalesce(alertname, ''), 'ERROR|CRITICAL') THEN 'critical'
+                      ELSE 'warning' END, (ts, env_id)) AS severity,
+         count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen,
+         arg_min(env_id, (ts, env_id)) AS first_env
+  FROM hdr GROUP BY org_id, coalesce(alertname, 'alert')),
+numbered AS (
+  SELECT *, printf('INC-%04d', row_number() OVER (ORDER BY first_seen, first_env, org_id, title)) AS inc_id
+  FROM inc)"""
+
+ORACLE["incident_upsert"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENTS + f"""
+SELECT inc_id, org_id, title, severity, CAST(occurrences AS INTEGER) AS occurrences,
+       {iso('first_seen')} AS first_seen, {iso('last_seen')} AS last_seen, 'open' AS status
+FROM numbered"""
+
+ORACLE["open_incidents"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENTS + """
+SELECT org_id, inc_id, title, severity FROM (
+  SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY last_seen DESC NULLS FIRST, inc_id DESC) AS rn
+  FROM numbered) t WHERE rn <= 20"""
+
+ORACLE["fetch_context_logs"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + """,
+lines AS (
+  SELECT h.env_id, h.alertname, unnest(CAST(json_extract(e.payload, '$.context.logs') AS VARCHAR[])) AS line,
+         generate_subscripts(CAST(json_extract(e.payload, '$.context.logs') AS VARCHAR[]), 1) - 1 AS pos
+  FROM hdr h JOIN envelopes_v e USING (env_id)),
+""" + parse_lines_sql("lines", "env_id, pos") + """,
+req AS (
+  SELECT h.env_id AS req_id, h.ts AS as_of, h.service, c.trace_id
+  FROM hdr h LEFT JOIN (SELECT p.env_id, c.trace_id FROM parsed p JOIN ctxtext c USING (env_id, pos)
+                        WHERE p.pos = 0) c ON c.env_id = h.env_id),
+lk AS (
+  SELECT line_id, ts, line, regexp_extract(line, 'trace_id=(\\S+)', 1) AS trace_tok,
+         regexp_extract(line, '\\[([^\\]]+)\\]', 1) AS svc_tok
+  FROM log_lines_v),
+bt AS (
+  SELECT r.req_id, l.line_id, l.ts, 'trace' AS branch FROM req r JOIN lk l
+    ON l.trace_tok = r.trace_id AND l.trace_tok <> '' AND l.ts BETWEEN r.as_of - INTERVAL 90 SECOND AND r.as_of),
+bs AS (
+  SELECT r.req_id, l.line_id, l.ts, 'service' AS branch FROM req r JOIN lk l
+    ON l.svc_tok = r.service AND regexp_matches(l.line, 'ERROR|CRITICAL|WARN')
+   AND l.ts BETWEEN r.as_of - (CASE WHEN r.trace_id IS NOT NULL THEN INTERVAL 90 SECOND ELSE INTERVAL 300 SECOND END)
+                AND r.as_of
+  WHERE r.req_id NOT IN (SELECT req_id FROM bt)),
+both_ AS (SELECT * FROM bt UNION ALL SELECT * FROM bs)
+SELECT req_id, branch, line_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ts DESC, line_id DESC) AS rn FROM both_) t
+WHERE rn <= 50"""

@@ -987,3 +987,110 @@ def stream_breach_sessions(spark, sf_dir):
     out = jobs.stream_breach_sessions(spark, sf_dir, DRIVER_GAP_SECONDS)
     return out.select("org_id", "service", iso("first_ts").alias("first_ts"), iso("last_ts").alias("last_ts"),
                       "n_breaches", "severity", F.array_join("metrics", ",").alias("metrics"))
+
+
+# ---------------------------------------------------------------- embeddings (rows-only checks)
+
+def _vec_stats(col):
+    return (F.size(F.filter(col, lambda x: x != 0)).alias("nnz"),
+            F.round(F.sqrt(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x * x)), 6).alias("norm"))
+
+
+@report("embed_text")
+def embed_text(spark, sf_dir):
+    from ..operators import embed
+    d = views.log_files_v(spark, sf_dir).select("doc_id", F.col("line").alias("text"))
+    out = embed.embed_text(d, "text")
+    return out.select("doc_id", *_vec_stats(F.col("vector")))
+
+
+@report("rebuild_vectors")
+def rebuild_vectors(spark, sf_dir):
+    from ..operators import embed
+    out = embed.rebuild_vectors(_opened(spark, sf_dir))
+    return out.select("org_id", "primary_service", *_vec_stats(F.col("vector")))
+
+
+@report("action_match_text")
+def action_match_text(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import embed
+    c = views.cases_v(spark, sf_dir).where(F.col("summarized_at").isNotNull() & F.col("matched_at").isNull())
+    out = embed.match_actions(c, actions_frame(spark))
+    return out.select("case_id", "rank", "action_id", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- files, incidents, context fetch
+
+def _doc_files(spark, sf_dir):
+    from ..sources import files
+    from ..streaming import jobs
+    path = jobs.run_folder(spark, "logfiles")
+    d = views.log_files_v(spark, sf_dir)
+    return files.write_log_files(d, path, "filename", "line")
+
+
+@report("tail_log_files")
+def tail_log_files(spark, sf_dir):
+    from ..sources import files
+    from ..streaming import jobs
+    path = _doc_files(spark, sf_dir)
+    out, ck = jobs.run_folder(spark, "tail-out"), jobs.run_folder(spark, "tail-ckpt")
+    jobs.run_available(files.tail_log_files(spark, path), out, ck)
+    lines = jobs.read_batches(spark, out)
+    return lines.select(F.regexp_extract("path", r"filename=([^/]+)/", 1).alias("filename"), "job", "line")
+
+
+@report("load_log_uploads")
+def load_log_uploads(spark, sf_dir):
+    from ..sources import files
+    path = _doc_files(spark, sf_dir)
+    out = files.load_uploads(spark, path)
+    return out.select(F.regexp_extract("path", r"filename=([^/]+)/", 1).alias("filename"), "refused", "line")
+
+
+def _analyses(spark, sf_dir):
+    from ..sources import envelopes
+    hdr = envelopes.alert_header(_envelopes(spark, sf_dir))
+    return hdr.select(
+        "org_id", F.coalesce("alertname", F.lit("alert")).alias("title"),
+        F.when(F.coalesce("alertname", F.lit("")).rlike("ERROR|CRITICAL"), "critical").otherwise("warning")
+        .alias("severity"),
+        F.when(F.col("service").isNotNull(), F.array("service")).otherwise(F.array().cast("array<string>"))
+        .alias("services"),
+        F.coalesce("app", F.lit("Unknown")).alias("team"), "ts", F.col("env_id").alias("seq"),
+        F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("string").alias("cascade_of"),
+        F.lit(None).cast("struct<service:string,symptom:string>").alias("cascade_entry"))
+
+
+def _incidents(spark, sf_dir):
+    from ..operators import incidents
+    empty = spark.createDataFrame([], incidents.INCIDENT_SCHEMA)
+    return incidents.upsert_incidents(empty, _analyses(spark, sf_dir))
+
+
+@report("incident_upsert")
+def incident_upsert(spark, sf_dir):
+    out = _incidents(spark, sf_dir)
+    return out.select("inc_id", "org_id", "title", "severity", "occurrences", iso("first_seen").alias("first_seen"),
+                      iso("last_seen").alias("last_seen"), "status")
+
+
+@report("open_incidents")
+def open_incidents(spark, sf_dir):
+    from ..operators import incidents
+    out = incidents.open_incidents(_incidents(spark, sf_dir), 20)
+    return out.select("org_id", "inc_id", "title", "severity")
+
+
+@report("fetch_context_logs")
+def fetch_context_logs(spark, sf_dir):
+    from ..operators import context
+    from ..sources import envelopes
+    env = _envelopes(spark, sf_dir)
+    hdr = envelopes.alert_header(env)
+    traces = envelopes.alert_to_logs(env).where(F.col("pos") == 0).select("env_id", "trace_id")
+    req = hdr.join(traces, "env_id", "left").select(F.col("env_id").alias("req_id"), F.col("ts").alias("as_of"),
+                                                      "service", "trace_id")
+    out = context.fetch_context_logs(req, views.log_lines_v(spark, sf_dir), limit=50)
+    return out.select("req_id", "branch", "line_id")
