@@ -1094,3 +1094,45 @@ def fetch_context_logs(spark, sf_dir):
                                                       "service", "trace_id")
     out = context.fetch_context_logs(req, views.log_lines_v(spark, sf_dir), limit=50)
     return out.select("req_id", "branch", "line_id")
+
+
+# ---------------------------------------------------------------- poll ticks and stages (rows-only checks)
+
+# Tick length of the driver replay (events span 30 days).
+DRIVER_TICK_DAYS = 10
+
+
+def _tick_replay(spark, sf_dir, mode="pre_filter"):
+    from ..streaming import jobs, ticks
+    src = ticks.split_by_day(spark, sf_dir, jobs.run_folder(spark, "tick-input"), DRIVER_TICK_DAYS)
+    state = jobs.run_folder(spark, "cases")
+    cur = ticks.stream_recurrence(spark, src, "*.parquet", DRIVER_GAP_SECONDS, state, threshold=0.86,
+                                  lookback_seconds=DRIVER_TICK_DAYS * 86400.0, mode=mode)
+    return state, cur
+
+
+@report("stream_recurrence")
+def stream_recurrence(spark, sf_dir):
+    _, cur = _tick_replay(spark, sf_dir)
+    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"), "occurrence_count",
+                      "status", "severity")
+
+
+@report("recurrence_replay")
+def recurrence_replay(spark, sf_dir):
+    _, cur = _tick_replay(spark, sf_dir, mode="post_filter")
+    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"), "occurrence_count",
+                      "status", "severity")
+
+
+@report("stream_stages")
+def stream_stages(spark, sf_dir):
+    from ..streaming import jobs, ticks
+    state, _ = _tick_replay(spark, sf_dir)
+    s2, s3 = jobs.run_folder(spark, "stage2"), jobs.run_folder(spark, "stage3")
+    ticks.summarize_stage(spark, state, s2, views.logs_v(spark, sf_dir))
+    ticks.match_stage(spark, s2, s3)
+    cur = ticks.current_cases(spark, state, s2, s3)
+    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"),
+                      F.col("summarized_at").isNotNull().alias("summarized"),
+                      F.col("matched_at").isNotNull().alias("matched"), "title")
