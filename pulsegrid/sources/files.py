@@ -37,5 +37,7 @@ def load_uploads(spark: SparkSession, path: str, glob: str = UPLOAD_GLOB) -> Dat
              .load(path).select("path", F.decode("content", "UTF-8").alias("text")))
     blank = F.regexp_replace("text", r"(?U)\s", "") == ""
     lines = F.split(F.regexp_replace("text", r"\n$", ""), "\n")
-    return files.select("path", blank.alias("refused"),
-                        F.explode(F.when(~blank, lines).otherwise(F.array(F.lit(None).cast("string")))).alias("line"))
+    # build the line array first and drop the text: an explode must not copy a whole file into every line row
+    split = files.select("path", blank.alias("refused"),
+                         F.when(~blank, lines).otherwise(F.array(F.lit(None).cast("string"))).alias("lines"))
+    return split.select("path", "refused", F.explode("lines").alias("line"))
