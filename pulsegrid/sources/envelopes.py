@@ -55,18 +55,19 @@ def firing_alerts(envs: DataFrame, id_col: str = "env_id") -> DataFrame:
 
 def alert_header(envs: DataFrame, id_col: str = "env_id") -> DataFrame:
     """service, app, alertname per payload with at least one firing alert."""
-    firing = F.filter(_alerts(F.col("env")), _firing)
-    found = F.array_position(F.transform(firing, lambda a: _svc(a).isNotNull()), True)
-    upto = F.when(found > 0, found).otherwise(F.size(firing))
-    scanned = F.slice(firing, 1, upto)
-    last = F.try_element_at(scanned, F.lit(-1))
-    names = F.filter(F.transform(scanned, lambda a: parse.nonempty(a["labels"]["alertname"])),
+    keep = [c for c in (id_col, "ts", "org_id") if c in envs.columns]
+    # the firing list is computed once per row and referenced by name below
+    step = envs.select(*keep, F.filter(_alerts(F.col("env")), _firing).alias("_firing"),
+                       F.coalesce(F.col("env.context.logs"), F.array().cast("array<string>")).alias("logs"))
+    step = step.where(F.size("_firing") > 0)
+    found = F.array_position(F.transform("_firing", lambda a: _svc(a).isNotNull()), True)
+    upto = F.when(found > 0, found).otherwise(F.size("_firing"))
+    scanned = step.select(*keep, "logs", F.slice("_firing", F.lit(1), upto).alias("_scanned"))
+    last = F.try_element_at(F.col("_scanned"), F.lit(-1))
+    names = F.filter(F.transform("_scanned", lambda a: parse.nonempty(a["labels"]["alertname"])),
                      lambda x: x.isNotNull())
-    out = envs.where(F.size(firing) > 0)
-    return out.select(id_col, "ts", *[c for c in ("org_id",) if c in envs.columns],
-                      _svc(last).alias("service"), _app(last).alias("app"),
-                      F.try_element_at(names, F.lit(1)).alias("alertname"),
-                      F.coalesce(F.col("env.context.logs"), F.array().cast("array<string>")).alias("logs"))
+    return scanned.select(*keep, _svc(last).alias("service"), _app(last).alias("app"),
+                          F.try_element_at(names, F.lit(1)).alias("alertname"), "logs")
 
 
 def alert_to_logs(envs: DataFrame, id_col: str = "env_id") -> DataFrame:
