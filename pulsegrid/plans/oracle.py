@@ -52,7 +52,7 @@ trend AS (
   FROM tr
   WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 5.0 AND a2 >= 200.0),
 lb AS (
-  SELECT org_id, service, 'log_error' AS metric, 1.0 AS value, ts, 'critical' AS severity,
+  SELECT org_id, service, 'log_error' AS metric, CAST(1.0 AS DOUBLE) AS value, ts, 'critical' AS severity,
          event, message, trace_id, 2 AS seq, id AS src_id, 0 AS sub
   FROM logs_v WHERE level IN ('ERROR', 'CRITICAL')),
 breaches AS (

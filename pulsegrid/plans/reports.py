@@ -250,7 +250,8 @@ def open_cases_with_alerts(spark, sf_dir):
     from ..operators import reads
     out = reads.open_cases_with_alerts(views.cases_v(spark, sf_dir), views.alerts_v(spark, sf_dir), limit=50,
                                        org_id="org-1")
-    return out.select("id", "status", iso("updated_at").alias("updated_at"), F.size("alerts").alias("n_alerts"),
+    return out.select("id", "status", iso("updated_at").alias("updated_at"),
+                      F.size("alerts").cast("bigint").alias("n_alerts"),
                       F.array_join(F.transform("alerts", lambda a: a["alert_id"].cast("string")), ",")
                       .alias("alert_ids"))
 
@@ -269,7 +270,8 @@ def parse_log_lines(spark, sf_dir):
 @report("parse_log_context")
 def parse_log_context(spark, sf_dir):
     from ..operators import logparse
-    return logparse.context_pairs(views.log_lines_v(spark, sf_dir))
+    out = logparse.context_pairs(views.log_lines_v(spark, sf_dir))
+    return out.select("line_id", F.col("pos").cast("bigint").alias("pos"), "key", "value")
 
 
 @report("slugify_events")
@@ -298,7 +300,7 @@ def parse_case_ids(spark, sf_dir):
 def json_fields(spark, sf_dir):
     logs = views.logs_v(spark, sf_dir)
     return logs.select("id", F.get_json_object("context", "$.k").cast("bigint").alias("k"),
-                       F.size(F.json_object_keys("context")).alias("n_keys"))
+                       F.size(F.json_object_keys("context")).cast("bigint").alias("n_keys"))
 
 
 @report("alert_payloads")
@@ -347,7 +349,7 @@ def _envelopes(spark, sf_dir):
 def firing_alerts(spark, sf_dir):
     from ..sources import envelopes
     out = envelopes.firing_alerts(_envelopes(spark, sf_dir))
-    return out.select("env_id", "pos", "status", "alertname", "service", "app")
+    return out.select("env_id", F.col("pos").cast("bigint").alias("pos"), "status", "alertname", "service", "app")
 
 
 @report("alert_header")
@@ -362,7 +364,8 @@ def alert_to_logs(spark, sf_dir):
     from ..functions import parse
     from ..sources import envelopes
     out = envelopes.alert_to_logs(_envelopes(spark, sf_dir))
-    return out.select("env_id", "pos", "level", "service", "event", "message", "trace_id",
+    return out.select("env_id", F.col("pos").cast("bigint").alias("pos"), "level", "service", "event", "message",
+                      "trace_id",
                       parse.context_text("context").alias("context"))
 
 
@@ -373,8 +376,8 @@ def vector_topk(spark, sf_dir):
     from ..operators import similarity
     v = views.case_vectors_v(spark, sf_dir)
     out = similarity.exact_topk(v, v, 5, q_id="case_id", i_id="case_id", exclude_self=True)
-    return out.select(F.col("query_id").alias("case_id"), "rank", F.col("match_id").alias("match_id"),
-                      r6("score").alias("score"))
+    return out.select(F.col("query_id").alias("case_id"), F.col("rank").cast("bigint").alias("rank"),
+                      F.col("match_id").alias("match_id"), r6("score").alias("score"))
 
 
 @report("dedup_post_filter")
@@ -399,8 +402,8 @@ def action_match(spark, sf_dir):
     v = views.case_vectors_v(spark, sf_dir)
     catalog = similarity.normalized_centroids(v.select("label", "vector"))
     out = similarity.exact_topk(v, catalog, 3, q_id="case_id", i_id="label")
-    return out.select(F.col("query_id").alias("case_id"), "rank", F.col("match_id").alias("action_id"),
-                      r6("score").alias("score"))
+    return out.select(F.col("query_id").alias("case_id"), F.col("rank").cast("bigint").alias("rank"),
+                      F.col("match_id").cast("int").alias("action_id"), r6("score").alias("score"))
 
 
 # ---------------------------------------------------------------- teams, cases, tenancy, traces
@@ -467,7 +470,7 @@ def case_detail(spark, sf_dir):
                                            .alias("org_id"))
     out = caseview.case_detail(req, views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir),
                                _case_actions(spark, sf_dir), actions_frame(spark))
-    return out.select("ref", "inc_id", "title", "team", F.size("actions").alias("n_actions"),
+    return out.select("ref", "inc_id", "title", "team", F.size("actions").cast("bigint").alias("n_actions"),
                       F.try_element_at("actions", F.lit(1))["name"].alias("top_action"))
 
 
@@ -866,7 +869,8 @@ def _ingested(spark, sf_dir, kind):
 def ingest_logs(spark, sf_dir):
     from ..functions import parse
     e = _ingested(spark, sf_dir, "logs")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+                    F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.service").alias("service"), F.col("entry.level").alias("level"),
                     F.col("entry.event").alias("event"), F.col("entry.traceId").alias("trace_id"),
                     F.col("entry.message").alias("message"),
@@ -878,7 +882,8 @@ def ingest_logs(spark, sf_dir):
 @report("ingest_traces")
 def ingest_traces(spark, sf_dir):
     e = _ingested(spark, sf_dir, "traces")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+                    F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.traceId").alias("trace_id"), F.col("entry.service").alias("service"),
                     F.col("entry.spanName").alias("span_name"), r6("entry.durationMs").alias("duration_ms"),
                     F.col("entry.isError").alias("is_error"), F.col("entry.errorCode").alias("error_code"),
@@ -888,7 +893,8 @@ def ingest_traces(spark, sf_dir):
 @report("ingest_metrics")
 def ingest_metrics(spark, sf_dir):
     e = _ingested(spark, sf_dir, "metrics")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "pos",
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+                    F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.service").alias("service"), r6("entry.errorRate").alias("error_rate"),
                     r6("entry.p99LatencyMs").alias("p99_latency_ms"),
                     F.col("entry.activeConnections").alias("active_connections"),
@@ -909,7 +915,7 @@ def ingest_alerts(spark, sf_dir):
     capped = ingest.within_cap(a, ["batch_case"])
     bodies = ingest.build_bodies(capped, ["batch_case"], entry, "_ord", received_col="received_at")
     e = ingest.parse_bodies(bodies, ingest.ALERT_ENTRY)
-    return e.select("batch_case", "pos", F.col("entry.service").alias("service"),
+    return e.select("batch_case", F.col("pos").cast("bigint").alias("pos"), F.col("entry.service").alias("service"),
                     F.col("entry.metric").alias("metric"), F.col("entry.severity").alias("severity"),
                     iso("entry.triggeredAt").alias("triggered_at"),
                     F.coalesce(F.col("entry.duplicateCount"), F.lit(1)).alias("duplicate_count"),
