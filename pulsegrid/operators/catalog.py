@@ -12,11 +12,12 @@ def service_catalog(seen: DataFrame, app_col: str = "app", service_col: str = "s
     Empty strings count as missing. Each value's first sighting is a bounded
     per-value aggregate; the catalog is the union of those (vocabulary-sized).
     """
-    def firsts(col, kind):
-        return (seen.where(F.col(col).isNotNull() & (F.col(col) != ""))
-                .groupBy(F.col(col).alias("value")).agg(F.min("ts").alias("first_seen"))
-                .withColumn("kind", F.lit(kind)))
-    both = firsts(app_col, "app").unionByName(firsts(service_col, "service"))
+    pairs = F.array(F.struct(F.lit("app").alias("kind"), F.col(app_col).alias("value")),
+                    F.struct(F.lit("service").alias("kind"), F.col(service_col).alias("value")))
+    both = (seen.select("ts", F.explode(pairs).alias("p"))  # one pass over the input
+            .where(F.col("p.value").isNotNull() & (F.col("p.value") != ""))
+            .groupBy(F.col("p.kind").alias("kind"), F.col("p.value").alias("value"))
+            .agg(F.min("ts").alias("first_seen")))
     return both.agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "app", F.col("value")))).alias("apps"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "service", F.col("value")))).alias("services"),
