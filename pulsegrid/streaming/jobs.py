@@ -89,7 +89,7 @@ def stream_detect(spark: SparkSession, src_dir: str, max_files_per_trigger: int
     return read_batches(spark, out).drop("batch", "_batch")
 
 
-def end_of_input_marker(spark: SparkSession) -> str:
+def end_of_input_marker(spark: SparkSession, path: str | None = None) -> str:
     """Folder with one control event far in the future (an ``error`` of tenant ``org--1``).
 
     Append-mode session windows are emitted only once the watermark passes
@@ -97,12 +97,12 @@ def end_of_input_marker(spark: SparkSession) -> str:
     Streaming this marker after the data moves the watermark past every real
     session; its own breach is filtered out by tenant.
     """
-    path = run_folder(spark, "eoi")
+    path = path or run_folder(spark, "eoi")
     row = [(-1, "2200-01-01 00:00:00", -1, "error", 0.0, "{}")]
     (spark.createDataFrame(row, "event_id long, ts string, user_id long, event_type string, value double, "
                                 "props string")
      .select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
-     .write.parquet(path))
+     .write.mode("append").parquet(path))
     return path
 
 
@@ -110,15 +110,19 @@ MARKER_ORG = "org--1"
 
 
 def stream_breach_sessions(spark: SparkSession, src_dir: str, gap_seconds: float, watermark: str = "1 hour",
-                           max_files_per_trigger: int | None = None, close: bool = True) -> DataFrame:
+                           max_files_per_trigger: int | None = None, close: bool = True,
+                           glob: str = "events.parquet") -> DataFrame:
     """G5: event-time session windows in append mode (a session is final once the watermark passes it).
 
-    With ``close`` an end-of-input marker follows the data so every real
-    session is emitted by the end of a bounded replay.
+    With ``close`` an end-of-input marker is streamed with the data so every
+    real session is emitted by the end of a bounded single-batch replay. For
+    multi-batch replays (``max_files_per_trigger``) the marker must be the last
+    file of the source itself (``end_of_input_marker(spark, src_dir)``), so
+    ``close`` is ignored there.
     """
     out, ck = run_folder(spark, "sessions-out"), run_folder(spark, "sessions-ckpt")
-    ev = events_stream(spark, src_dir, max_files_per_trigger=max_files_per_trigger)
-    if close:
+    ev = events_stream(spark, src_dir, glob=glob, max_files_per_trigger=max_files_per_trigger)
+    if close and not max_files_per_trigger:
         ev = ev.unionByName(events_stream(spark, end_of_input_marker(spark), glob="*.parquet"))
     run_available(breach_sessions(stream_breaches(ev), gap_seconds, watermark), out, ck, mode="append")
     return read_batches(spark, out).drop("batch", "_batch").where(F.col("org_id") != MARKER_ORG)
