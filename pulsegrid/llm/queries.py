@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import packing, urlfilter
+from . import packing, pieces, urlfilter
 from .common import read
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(prepare(spark), sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
     return urlfilter.judge(read(prepare(spark), sf_dir, "pages"), rules)
@@ -19,7 +23,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(prepare(spark), sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_url_filter, op9_packing)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
