@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import packing, pieces, urlfilter
+from . import classifier, packing, pieces, rules, urlfilter
 from .common import read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return classifier.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(read(prepare(spark), sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(prepare(spark), sf_dir, "documents"))
 
@@ -23,7 +32,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(prepare(spark), sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_url_filter, op9_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op9_packing)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
