@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import classifier, packing, pieces, rules, urlfilter
+from . import classifier, linededup, packing, pieces, rules, urlfilter
 from .common import read
 
 
@@ -28,12 +28,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(prepare(spark), sf_dir, "pages"), rules)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(prepare(spark), sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(prepare(spark), sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op9_packing)}
+    op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op6_line_dedup,
+    op9_packing)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
@@ -49,4 +54,27 @@ SELECT p.page_id, p.host, p.path, max_by(rhost || rpath, length(rhost || rpath)
   coalesce(max_by(rverdict, length(rhost || rpath) * 1000 + length(rhost)), 'allow') AS verdict
 FROM parts p LEFT JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
 GROUP BY p.n, p.page_id, p.host, p.path""",
+    "op6_line_dedup": """
+WITH lines AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+ends AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS e FROM lines WHERE words > 0),
+spans AS (SELECT doc_id, pos,
+  list(line) OVER a AS a_content, max(pos) OVER a AS a_last, sum(words) OVER a AS a_words,
+  list(line) OVER b AS b_content, min(pos) OVER b AS b_first, sum(words) OVER b AS b_words
+  FROM (SELECT *, e - words AS s FROM ends)
+  WINDOW a AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         b AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+windows AS (SELECT DISTINCT * FROM (
+  SELECT doc_id, pos AS i, a_last AS j, a_content AS content FROM spans WHERE a_words >= 50
+  UNION ALL SELECT doc_id, b_first, pos, b_content FROM spans WHERE b_words >= 50)),
+placed AS (SELECT *, first_value({'doc_id': doc_id, 'i': i, 'j': j}) OVER (PARTITION BY content ORDER BY doc_id, i, j) AS o
+  FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(CASE WHEN o.doc_id = doc_id THEN greatest(i, o.j + 1) ELSE i END, j)) AS pos
+  FROM placed WHERE o.doc_id <> doc_id OR o.i <> i)
+SELECT d.doc_id, CASE WHEN count(g.pos) = 0 THEN any_value(d.text)
+    ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') END AS text,
+  count(g.pos) AS lines_removed
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+GROUP BY d.doc_id""",
 }
