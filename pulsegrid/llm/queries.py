@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import classifier, linededup, packing, pieces, rules, urlfilter
+from . import classifier, linededup, ngramjoin, packing, pieces, rules, urlfilter
 from .common import read
 
 
@@ -36,9 +36,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(prepare(spark), sf_dir, "documents")))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link_components(read(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op6_line_dedup,
-    op9_packing)}
+    op9_packing, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
@@ -77,4 +81,17 @@ SELECT d.doc_id, CASE WHEN count(g.pos) = 0 THEN any_value(d.text)
   count(g.pos) AS lines_removed
 FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
 GROUP BY d.doc_id""",
+    "op10_ngram_jaccard": """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
