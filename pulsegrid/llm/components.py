@@ -8,6 +8,7 @@ labels that changed.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def components(links: DataFrame) -> DataFrame:
             (F.least("label", "further") != F.col("old")).alias("changed")), "labels")
         if labels.where("changed").isEmpty():
             return labels.select("node", "label")
+
+
+def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n nodes by the links a[i] - b[i], within one block."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .components import components
+from .components import components, local_labels
 
 WORDS = 5
 SLOTS = 1 << 18
@@ -359,17 +359,7 @@ def _spanning(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     need = overlap_needed(sizes[left][:, None], sizes[right][None, :])
     link = np.rint(common).astype(np.int64) >= need
     la, lb = np.nonzero(link)
-    label = np.arange(len(sets))
-    a, b = left[la], right[lb]
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
+    label = local_labels(len(sets), left[la], right[lb])
     moved = np.flatnonzero(label != np.arange(len(sets)))
     return [(int(keys[i]), int(keys[label[i]])) for i in moved]
 

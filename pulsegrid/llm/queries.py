@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import classifier, linededup, ngramjoin, packing, pieces, rules, urlfilter
+from . import classifier, linededup, neardup, ngramjoin, packing, pieces, rules, urlfilter
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(prepare(spark), sf_dir, "documents"))
 
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(prepare(spark), sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(prepare(spark), sf_dir, "documents")))
 
@@ -42,7 +46,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op6_line_dedup,
-    op9_packing, op10_ngram_jaccard)}
+    op8_embedding_neardup, op9_packing, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
@@ -94,4 +98,15 @@ links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
 SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op8_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT l.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, l.vec_id = l.component_id AS kept
+FROM lowest l LEFT JOIN degree d ON d.x = l.vec_id""",
 }
