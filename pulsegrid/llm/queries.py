@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import classifier, linededup, neardup, ngramjoin, packing, pieces, rules, urlfilter
+from . import classifier, htmltext, linededup, neardup, ngramjoin, packing, pieces, rules, tokencounts, urlfilter
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(prepare(spark), sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(prepare(spark), sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urlfilter.RULES), "host string, path string, verdict string")
     return urlfilter.judge(read(prepare(spark), sf_dir, "pages"), rules)
@@ -32,6 +36,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(prepare(spark), sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(read(prepare(spark), sf_dir, "documents"))
+
+
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(prepare(spark), sf_dir, "embeddings"))
 
@@ -45,8 +53,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op5_url_filter, op6_line_dedup,
-    op8_embedding_neardup, op9_packing, op10_ngram_jaccard)}
+    op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op4_html_extraction, op5_url_filter,
+    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
