@@ -163,7 +163,7 @@ def apply_actions(commands: DataFrame, cases: DataFrame, case_actions: DataFrame
     """
     c = cases.select(F.col("id").alias("case_id"), F.col("org_id").alias("_corg"), F.col("status").alias("_status"))
     sugg = case_actions.select("case_id", "action_id").distinct().withColumn("_sugg", F.lit(True))
-    a = F.broadcast(actions.select(F.col("id").alias("action_id"), "action_type", "name"))
+    a = actions.select(F.col("id").alias("action_id"), "action_type", "name")
     j = (commands.join(c, (commands.case_id == c.case_id) & (commands.org_id == c._corg), "left")
          .drop(c.case_id)
          .join(sugg, ["case_id", "action_id"], "left")

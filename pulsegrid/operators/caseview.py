@@ -52,7 +52,7 @@ def case_list(cases: DataFrame, teams: DataFrame, org_id: str, services=None) ->
 
 def ranked_case_actions(case_actions: DataFrame, actions: DataFrame) -> DataFrame:
     """case_actions joined with the catalog, best score first (NULL scores last)."""
-    a = F.broadcast(actions.select(F.col("id").alias("action_id"), "name", "action_type", "description"))
+    a = actions.select(F.col("id").alias("action_id"), "name", "action_type", "description")
     j = case_actions.join(a, "action_id", "inner")
     return j.orderBy(F.col("case_id"), F.col("similarity_score").desc_nulls_last(), F.col("action_id"))
 

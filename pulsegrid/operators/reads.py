@@ -44,15 +44,15 @@ def trace_by_id(traces: DataFrame, trace_id: str, org_id: str | None = None) ->
     return by_id(traces, "trace_id", trace_id, org_id).orderBy("ts", "id")
 
 
-def open_cases_with_alerts(cases: DataFrame, alerts: DataFrame, limit: int = 20,
+def open_cases_with_alerts(cases: DataFrame, alerts: DataFrame, limit: int = 5, service: str | None = None,
                            org_id: str | None = None) -> DataFrame:
-    """Not-resolved cases, newest first, each with its alerts nested (``[]`` when none).
+    """Not-resolved cases, last opened first, each with its alerts nested (``[]`` when none).
 
     The top-n cases are picked first and only their alerts are joined, so the
     alert side is filtered by a small semi-join instead of grouped whole.
     """
-    c = optional_eq(cases.where(F.col("status") != "RESOLVED"), org_id=org_id)
-    top = c.orderBy(F.col("updated_at").desc_nulls_first(), F.col("id").desc()).limit(limit)
+    c = optional_eq(cases.where(F.col("status") != "RESOLVED"), primary_service=service, org_id=org_id)
+    top = c.orderBy(F.col("opened_at").desc_nulls_first(), F.col("id").desc()).limit(limit)
     a = alerts.join(top.select(F.col("id").alias("case_id")), "case_id", "left_semi")
     nested = a.groupBy("case_id").agg(F.array_sort(F.collect_list(
         F.struct(F.col("triggered_at"), F.col("id").alias("alert_id"), "service", "metric", "severity"))).alias("alerts"))

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from ..functions.rules import DEDUP_TOP_K, SIMILARITY_THRESHOLD
 
 DEFAULT_BLOCK_ROWS = 2048
+# Sums of products differ in the last bits with the block's shape: scores count to this many
+# decimals, so equal vectors tie in every block.
+SCORE_DIGITS = 9
 
 
 def _block_counts(queries: DataFrame, index: DataFrame, keys, block_rows: int) -> DataFrame:
@@ -40,7 +43,7 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
 
     Returns (keys..., query_id, match_id, score, rank). ``exclude_self`` drops
     pairs with equal ids (self-search over one table). Scores are float64 sums
-    of float32 products; ties break by lower index id.
+    of products, rounded to SCORE_DIGITS; ties go to the lower index id.
     """
     keys = list(keys)
     if not keys:  # one global partition key; keeps every step an equi-join
@@ -75,16 +78,17 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
         im = np.stack(idf["_v"].to_numpy()).astype(np.float64)
         qids = qdf["_qid"].to_numpy()
         iids = idf["_iid"].to_numpy()
-        scores = qm @ im.T
+        by_id = np.argsort(iids, kind="stable")
+        iids, im = iids[by_id], im[by_id]
+        scores = np.round(qm @ im.T, SCORE_DIGITS)
         if exclude_self:
             scores[qids[:, None] == iids[None, :]] = -np.inf
         kk = min(k, scores.shape[1])
-        if kk < scores.shape[1]:
-            part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-        else:
-            part = np.tile(np.arange(scores.shape[1]), (scores.shape[0], 1))
-        rows_q = np.repeat(np.arange(scores.shape[0]), part.shape[1])
-        cols_i = part.reshape(-1)
+        # all above the k-th score, then of those at it the lowest ids (columns are in id order)
+        kth = np.partition(scores, scores.shape[1] - kk, axis=1)[:, [scores.shape[1] - kk]]
+        above, level = scores > kth, scores == kth
+        level &= level.cumsum(axis=1) <= kk - above.sum(axis=1, keepdims=True)
+        rows_q, cols_i = np.nonzero(above | level)
         sc = scores[rows_q, cols_i]
         keep = np.isfinite(sc)
         out = pd.DataFrame({"_qid": qids[rows_q][keep], "_iid": iids[cols_i][keep], "score": sc[keep]})

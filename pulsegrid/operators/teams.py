@@ -1,7 +1,6 @@
 """Teams, users and organisations: routing, membership, visibility and counts.
 
-Teams and users are dimensions; they are broadcast only behind a row-count
-check. Visibility is computed from per-(org, service) case counts joined to
+Teams and users are dimensions; the planner chooses their join from statistics. Visibility is computed from per-(org, service) case counts joined to
 users, never by pairing users with cases.
 """
 
@@ -10,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
 
 UNASSIGNED = "Unassigned"
 
@@ -22,7 +20,7 @@ def service_owner(teams: DataFrame) -> DataFrame:
 
 
 def route(df: DataFrame, teams: DataFrame, service_col: str = "primary_service") -> DataFrame:
-    owners = broadcast_if_small(service_owner(teams)).withColumnRenamed("service", "_svc")
+    owners = service_owner(teams).withColumnRenamed("service", "_svc")
     out = df.join(owners.withColumnRenamed("org_id", "_org"),
                   (F.col("org_id") == F.col("_org")) & (F.col(service_col) == F.col("_svc")), "left")
     return out.withColumn("team", F.coalesce(F.col("team"), F.lit(UNASSIGNED))).drop("_org", "_svc")
@@ -31,7 +29,7 @@ def route(df: DataFrame, teams: DataFrame, service_col: str = "primary_service")
 def users_with_teams(users: DataFrame, teams: DataFrame) -> DataFrame:
     t = teams.select(F.col("id").alias("team_id"), F.col("org_id").alias("_torg"),
                      F.col("name").alias("team_name"), F.col("services").alias("team_services"))
-    out = users.join(broadcast_if_small(t), (users.team_id == t.team_id) & (users.org_id == t._torg), "left")
+    out = users.join(t, (users.team_id == t.team_id) & (users.org_id == t._torg), "left")
     return out.select(users.id, users.name, users.role, users.team_id, users.org_id, "team_name",
                       "team_services").orderBy(F.col("role").desc(), F.col("name"))
 
@@ -65,8 +63,7 @@ def visible_case_counts(users: DataFrame, teams: DataFrame, cases: DataFrame,
     per_svc = cases.groupBy("org_id", F.col("primary_service").alias("service")).agg(
         F.count(F.lit(1)).alias("n"))
     per_org = per_svc.groupBy("org_id").agg(F.sum("n").alias("org_n"))
-    t = broadcast_if_small(teams.select(F.col("id").alias("team_id"), F.col("org_id").alias("_torg"),
-                                        "services"))
+    t = teams.select(F.col("id").alias("team_id"), F.col("org_id").alias("_torg"), "services")
     u = users.join(t, (users.team_id == t.team_id) & (users.org_id == t._torg), "left") \
         .select(users.id.alias("user_id"), users.org_id, users.role,
                 F.coalesce(F.col("services"), F.array().cast("array<string>")).alias("services"))

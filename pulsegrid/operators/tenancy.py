@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
 
 # Org used when neither a key nor the body names one.
 DEFAULT_ORG = "org-default"
@@ -19,7 +18,7 @@ DEFAULT_ORG = "org-default"
 
 def key_orgs(keys: DataFrame, teams: DataFrame) -> DataFrame:
     t = teams.select(F.col("id").alias("team_id"), F.col("org_id").alias("key_org"))
-    return keys.join(broadcast_if_small(t), "team_id", "inner").select(
+    return keys.join(t, "team_id", "inner").select(
         F.col("id").alias("key_id"), "key_hash", "key_org", "revoked_at")
 
 

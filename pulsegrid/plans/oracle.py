@@ -209,22 +209,38 @@ SELECT id, {iso('ts')} AS ts, trace_id, service, span_name, is_error, error_code
 FROM traces_v WHERE trace_id = 't42'"""
 
 ORACLE["list_cases"] = with_views(CASES_V).rstrip().rstrip(",") + f"""
-SELECT id, org_id, status, primary_service, {iso('updated_at')} AS updated_at, severity, title
+SELECT id, org_id, status, primary_service, {iso('opened_at')} AS opened_at, {iso('updated_at')} AS updated_at, severity,
+  title
 FROM cases_v WHERE org_id = 'org-2' AND status = 'OPEN'
-ORDER BY cases_v.updated_at DESC NULLS FIRST, id DESC LIMIT 100"""
+ORDER BY cases_v.opened_at DESC NULLS FIRST, id DESC LIMIT 100"""
 
 ORACLE["list_alerts"] = with_views(ALERTS_V).rstrip().rstrip(",") + f"""
 SELECT id, case_id, service, metric, severity, {iso('triggered_at')} AS triggered_at,
        {iso('received_at')} AS received_at, duplicate_count
 FROM alerts_v WHERE service = 'svc-1' ORDER BY alerts_v.triggered_at DESC NULLS FIRST, id DESC LIMIT 100"""
 
-ORACLE["open_cases_with_alerts"] = with_views(CASES_V, ALERTS_V) + f"""top AS (
-  SELECT * FROM cases_v WHERE status <> 'RESOLVED' AND org_id = 'org-1'
-  ORDER BY updated_at DESC NULLS FIRST, id DESC LIMIT 50)
-SELECT t.id, t.status, {iso('t.updated_at')} AS updated_at, count(a.id) AS n_alerts,
+OPEN_WITH_ALERTS = f"""top AS (
+  SELECT * FROM cases_v WHERE status <> 'RESOLVED' AND org_id = 'org-1' @service@
+  ORDER BY opened_at DESC NULLS FIRST, id DESC LIMIT @limit@)
+SELECT t.id, t.status, {iso('t.opened_at')} AS opened_at, count(a.id) AS n_alerts,
        coalesce(string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.triggered_at, a.id), '') AS alert_ids
 FROM top t LEFT JOIN alerts_v a ON a.case_id = t.id
-GROUP BY t.id, t.status, t.updated_at"""
+GROUP BY t.id, t.status, t.opened_at"""
+
+ORACLE["open_cases_with_alerts"] = with_views(CASES_V, ALERTS_V) + OPEN_WITH_ALERTS.replace("@service@", "").replace(
+    "@limit@", "50")
+ORACLE["open_service_cases_with_alerts"] = with_views(CASES_V, ALERTS_V) + OPEN_WITH_ALERTS.replace(
+    "@service@", "AND primary_service = 'svc-2'").replace("@limit@", "5")
+
+ORACLE["case_by_id"] = with_views(CASES_V).rstrip().rstrip(",") + f"""
+SELECT id, org_id, status, primary_service, {iso('opened_at')} AS opened_at, title FROM cases_v WHERE id = 7"""
+
+ALERT_ROWS = f"""
+SELECT id, case_id, service, metric, severity, {iso('triggered_at')} AS triggered_at,
+       {iso('received_at')} AS received_at, duplicate_count FROM alerts_v"""
+ORACLE["alerts_of_case"] = with_views(ALERTS_V).rstrip().rstrip(",") + ALERT_ROWS + """
+WHERE case_id = 7 ORDER BY alerts_v.triggered_at DESC NULLS FIRST, id DESC LIMIT 100"""
+ORACLE["alert_by_id"] = with_views(ALERTS_V).rstrip().rstrip(",") + ALERT_ROWS + " WHERE id = 60"
 
 # ---------------------------------------------------------------- parsing
 
@@ -517,7 +533,7 @@ ORACLE["service_overlap"] = with_views(TEAMS_V).rstrip().rstrip(",") + """
 SELECT id, name FROM teams_v WHERE list_has_any(services, ['svc-1', 'svc-3'])"""
 
 ORACLE["log_selector"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
-SELECT line_id, app FROM log_lines_v WHERE regexp_full_match(app, 'app-0|aiops-api') AND org_id = 'org-1'"""
+SELECT line_id, app FROM log_lines_v WHERE regexp_full_match(app, 'app-0|gateway') AND org_id = 'org-1'"""
 
 ORACLE["log_line_contains"] = with_views(LOG_LINES_V).rstrip().rstrip(",") + """
 SELECT line_id FROM log_lines_v WHERE contains(line, 'value=1')"""

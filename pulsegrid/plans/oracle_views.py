@@ -71,7 +71,7 @@ CASES_V = """cases_v AS (
          CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'INVESTIGATING' ELSE 'RESOLVED' END AS status,
          'svc-' || CAST(o_custkey % 5 AS VARCHAR) AS primary_service,
          o_orderdate AS opened_at,
-         o_orderdate + INTERVAL 1 HOUR AS updated_at,
+         o_orderdate + to_hours(o_orderkey % 200 + 1) AS updated_at,
          'service=svc-' || CAST(o_custkey % 5 AS VARCHAR) || '; priority=' || o_orderpriority AS signature_text,
          CAST((CAST(ROUND(o_totalprice * 100) AS BIGINT) % 10000) / 10000.0 AS DECIMAL(5,4)) AS similarity_score,
          CAST(o_orderkey % 4 + 1 AS INTEGER) AS occurrence_count,
@@ -81,8 +81,8 @@ CASES_V = """cases_v AS (
               WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
               ELSE 'svc-' || CAST(o_custkey % 5 AS VARCHAR) || ' ' || lower(o_orderpriority) END AS title,
          CASE WHEN o_orderstatus <> 'O' THEN 'Summary of case ' || CAST(o_orderkey AS VARCHAR) END AS ai_summary,
-         CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 HOUR + INTERVAL 5 MINUTE END AS summarized_at,
-         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 HOUR + INTERVAL 10 MINUTE END AS matched_at
+         CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_hours(o_orderkey % 200 + 1) + INTERVAL 5 MINUTE END AS summarized_at,
+         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_hours(o_orderkey % 200 + 1) + INTERVAL 10 MINUTE END AS matched_at
   FROM orders)"""
 
 ALERTS_V = """alerts_v AS (

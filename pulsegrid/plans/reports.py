@@ -231,9 +231,9 @@ def trace_by_id(spark, sf_dir):
 @report("list_cases")
 def list_cases(spark, sf_dir):
     from ..operators import reads
-    out = reads.recent(views.cases_v(spark, sf_dir), ts_col="updated_at", limit=100, org_id="org-2",
+    out = reads.recent(views.cases_v(spark, sf_dir), ts_col="opened_at", limit=100, org_id="org-2",
                        status="OPEN")
-    return out.select("id", "org_id", "status", "primary_service", iso("updated_at").alias("updated_at"),
+    return out.select("id", "org_id", "status", "primary_service", iso("opened_at").alias("opened_at"), iso("updated_at").alias("updated_at"),
                       "severity", "title")
 
 
@@ -241,7 +241,11 @@ def list_cases(spark, sf_dir):
 def list_alerts(spark, sf_dir):
     from ..operators import reads
     out = reads.recent(views.alerts_v(spark, sf_dir), ts_col="triggered_at", limit=100, service="svc-1")
-    return out.select("id", "case_id", "service", "metric", "severity", iso("triggered_at").alias("triggered_at"),
+    return _alert_columns(out)
+
+
+def _alert_columns(df):
+    return df.select("id", "case_id", "service", "metric", "severity", iso("triggered_at").alias("triggered_at"),
                       iso("received_at").alias("received_at"), "duplicate_count")
 
 
@@ -250,12 +254,47 @@ def open_cases_with_alerts(spark, sf_dir):
     from ..operators import reads
     out = reads.open_cases_with_alerts(views.cases_v(spark, sf_dir), views.alerts_v(spark, sf_dir), limit=50,
                                        org_id="org-1")
-    return out.select("id", "status", iso("updated_at").alias("updated_at"),
+    return _nested(out)
+
+
+@report("open_service_cases_with_alerts")
+def open_service_cases_with_alerts(spark, sf_dir):
+    from ..operators import reads
+    return _nested(reads.open_cases_with_alerts(views.cases_v(spark, sf_dir), views.alerts_v(spark, sf_dir),
+                                                service="svc-2", org_id="org-1"))
+
+
+def _nested(out):
+    return out.select("id", "status", iso("opened_at").alias("opened_at"),
                       F.size("alerts").cast("bigint").alias("n_alerts"),
                       F.array_join(F.transform("alerts", lambda a: a["alert_id"].cast("string")), ",")
                       .alias("alert_ids"))
 
 
+# Ids that the by-id reads look up in the driver data.
+DRIVER_CASE_ID, DRIVER_ALERT_ID = 7, 60
+
+
+@report("case_by_id")
+def case_by_id(spark, sf_dir):
+    from ..operators import reads
+    out = reads.by_id(views.cases_v(spark, sf_dir), "id", DRIVER_CASE_ID)
+    return out.select("id", "org_id", "status", "primary_service", iso("opened_at").alias("opened_at"), "title")
+
+
+@report("alerts_of_case")
+def alerts_of_case(spark, sf_dir):
+    from ..operators import reads
+    return _alert_columns(reads.recent(views.alerts_v(spark, sf_dir), ts_col="triggered_at", limit=100,
+                                       case_id=DRIVER_CASE_ID))
+
+
+@report("alert_by_id")
+def alert_by_id(spark, sf_dir):
+    from ..operators import reads
+    return _alert_columns(reads.by_id(views.alerts_v(spark, sf_dir), "id", DRIVER_ALERT_ID))
+
+
 # ---------------------------------------------------------------- parsing
 
 @report("parse_log_lines")
@@ -514,7 +553,7 @@ def service_overlap(spark, sf_dir):
 def log_selector(spark, sf_dir):
     from ..operators import logseries
     lines = views.log_lines_v(spark, sf_dir)
-    return lines.where(logseries.label_regex(F.col("app"), "app-0|aiops-api") & (F.col("org_id") == "org-1")) \
+    return lines.where(logseries.label_regex(F.col("app"), "app-0|gateway") & (F.col("org_id") == "org-1")) \
         .select("line_id", "app")
 
 

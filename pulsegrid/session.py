@@ -8,6 +8,7 @@ partition counts and skewed joins are re-planned at run time.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,13 +48,15 @@ def get_session(master: str | None = None, app: str = "pulsegrid",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage. Only when it is
-    unset (local tests) do we create a private folder and register it.
+    On a cluster it must be set to shared storage; where it is unset there, this
+    raises. Only a single-process session (tests) gets a private folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="pulsegrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)

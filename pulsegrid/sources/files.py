@@ -1,9 +1,9 @@
 """Log files: write text per source, tail them as a stream, load uploads.
 
 ``tail_log_files`` is a text file stream labelled with the file it came from
-and a fixed ``job`` label (like a log shipper). ``load_uploads`` reads whole
-files with ``binaryFile`` restricted to ``*.log``, ``*.txt`` and ``*.out``,
-decodes them as UTF-8, refuses blank files and splits the rest into lines.
+and a fixed ``job`` label (like a log shipper). ``load_uploads`` reads
+``*.log``, ``*.txt`` and ``*.out`` line by line, replaces bytes that are no
+UTF-8 by U+FFFD, and refuses blank files. No file is held in one row.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ UPLOAD_GLOB = "*.{log,txt,out}"
 
 
 def write_log_files(df: DataFrame, path: str, name_col: str, text_col: str) -> str:
-    """One text file per ``name_col`` value under ``path/<name_col>=<value>/``."""
-    (df.select(name_col, text_col).repartition(name_col).write.partitionBy(name_col).mode("overwrite")
+    """Text files per ``name_col`` value under ``path/<name_col>=<value>/``; a large source is several files."""
+    (df.select(name_col, text_col).hint("rebalance", F.col(name_col)).write.partitionBy(name_col).mode("overwrite")
      .text(path))
     return path
 
@@ -33,11 +33,15 @@ def tail_log_files(spark: SparkSession, path: str, job: str = "varlogs", glob: s
 
 def load_uploads(spark: SparkSession, path: str, glob: str = UPLOAD_GLOB) -> DataFrame:
     """Accepted upload files split into lines, with ``refused`` rows for blank files (line NULL)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-             .load(path).select("path", F.decode("content", "UTF-8").alias("text")))
-    blank = F.regexp_replace("text", r"(?U)\s", "") == ""
-    lines = F.split(F.regexp_replace("text", r"\n$", ""), "\n")
-    # build the line array first and drop the text: an explode must not copy a whole file into every line row
-    split = files.select("path", blank.alias("refused"),
-                         F.when(~blank, lines).otherwise(F.array(F.lit(None).cast("string"))).alias("lines"))
-    return split.select("path", "refused", F.explode("lines").alias("line"))
+    def source(kind: str):
+        return spark.read.format(kind).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+
+    file = F.col("_metadata.file_path").alias("path")
+    lines = source("text").option("lineSep", "\n").load(path).select(file, F.make_valid_utf8("value").alias("line"))
+    visible = F.regexp_replace("line", r"(?U)\s", "") != ""
+    accepted = lines.where(visible).select(F.col("path").alias("_path")).distinct()
+    blank = (source("binaryFile").load(path).select(file)
+             .join(accepted, F.col("path") == F.col("_path"), "left_anti")
+             .select("path", F.lit(True).alias("refused"), F.lit(None).cast("string").alias("line")))
+    return (lines.join(accepted, F.col("path") == F.col("_path"), "left_semi")
+            .select("path", F.lit(False).alias("refused"), "line").unionByName(blank))

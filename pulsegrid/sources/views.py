@@ -180,7 +180,7 @@ def envelopes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cases_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     opened = F.col("o_orderdate").cast("timestamp")
-    updated = opened + F.expr("INTERVAL 1 HOUR")
+    updated = opened + F.make_dt_interval(days=F.lit(0), hours=(F.col("o_orderkey") % 200 + 1).cast("int"))
     status = (F.when(F.col("o_orderstatus") == "O", "OPEN")
               .when(F.col("o_orderstatus") == "P", "INVESTIGATING")
               .otherwise("RESOLVED"))

@@ -32,3 +32,18 @@ def test_blocked_topk_equals_brute_force(spark):
     np.fill_diagonal(s, -np.inf)
     want = {(i, int(j)) for i in range(60) for j in np.argsort(-s[i], kind="stable")[:3]}
     assert {(r["query_id"], r["match_id"]) for r in got} == want
+
+
+def test_ties_go_to_the_lowest_ids_in_every_block(spark):
+    from pulsegrid.operators.similarity import dedup_pre_filter, exact_topk
+    rng = np.random.default_rng(4)
+    v = [float(x) for x in rng.normal(size=37)]
+    rows = [(i, "o", "s", v if i >= 100 else [float(x) for x in rng.normal(size=37) * 0.01]) for i in range(400)]
+    rng.shuffle(rows)
+    index = spark.createDataFrame([(int(a), str(b), str(c), list(map(float, d))) for a, b, c, d in rows],
+                                  "case_id long, org_id string, service string, vector array<double>")
+    query = spark.createDataFrame([(9001, "o", "s", v)], index.schema)
+    for block in (16, 64, 2048):
+        top = exact_topk(query, index, 5, q_id="case_id", i_id="case_id", block_rows=block).orderBy("rank").collect()
+        assert [r.match_id for r in top] == [100, 101, 102, 103, 104]
+        assert dedup_pre_filter(query, index, threshold=0.5, block_rows=block).first().matched_case_id == 100
