@@ -775,14 +775,18 @@ FROM cases_v c JOIN top t ON t.case_id = c.id LEFT JOIN hyp h ON h.case_id = c.i
 # ---------------------------------------------------------------- ingest
 
 
+def _numbered_sql(view: str, ts: str = "ts") -> str:
+    return f"""r AS (
+  SELECT *, CAST(ts AS DATE) AS d, row_number() OVER (PARTITION BY org_id, CAST(ts AS DATE)
+    ORDER BY date_trunc('hour', ts), id) - 1 AS seq FROM {view}),
+b AS (SELECT *, seq // 40 AS body_no, seq % 40 AS pos, max(ts) OVER (PARTITION BY org_id, d, seq // 40) AS rts,
+  count(*) OVER (PARTITION BY org_id, d, seq // 40) AS body_rows FROM r)"""
+
+
 def _ingest_sql(view: str, cols: str) -> str:
-    return f"""b AS (SELECT *, org_id AS batch_user, CAST(ts AS DATE) AS batch_day FROM {view}),
-ok AS (SELECT batch_user, batch_day FROM b GROUP BY ALL HAVING count(*) <= 5000),
-r AS (
-  SELECT b.*, row_number() OVER (PARTITION BY batch_user, batch_day ORDER BY id) - 1 AS pos,
-         max(ts) OVER (PARTITION BY batch_user, batch_day) AS rts
-  FROM b JOIN ok USING (batch_user, batch_day))
-SELECT batch_user, CAST(batch_day AS VARCHAR) AS batch_day, pos, {cols}, {iso('rts')} AS ts FROM r"""
+    return _numbered_sql(view) + f"""
+SELECT org_id AS batch_user, CAST(d AS VARCHAR) AS batch_day, body_no, pos, {cols}, {iso('rts')} AS ts
+FROM b"""
 
 
 ORACLE["ingest_logs"] = with_views(LOGS_V) + _ingest_sql(
@@ -797,14 +801,27 @@ ORACLE["ingest_metrics"] = with_views(METRICS_V) + _ingest_sql(
                  "round(CAST(rss_mb AS DOUBLE), 6) AS rss_mb")
 
 ORACLE["ingest_alerts"] = with_views(ALERTS_V) + f"""r AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY id, case_id, source_tool, service, metric, severity,
-                                                        triggered_at) - 1 AS pos,
-         max(received_at) OVER (PARTITION BY case_id) AS rts,
-         count(*) OVER (PARTITION BY case_id) AS n
-  FROM alerts_v)
-SELECT case_id AS batch_case, pos, service, metric, severity, {iso('triggered_at')} AS triggered_at,
-       1 AS duplicate_count, {iso('rts')} AS received_at
-FROM r WHERE n <= 5000"""
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY floor(epoch_us(triggered_at) / (400 * 86400000000.0)), id,
+    case_id, source_tool, service, metric, severity, triggered_at) - 1 AS seq FROM alerts_v)
+SELECT case_id AS batch_case, seq // 3 AS body_no, seq % 3 AS pos, service, metric, severity,
+       {iso('triggered_at')} AS triggered_at, 1 AS duplicate_count,
+       {iso('max(received_at) OVER (PARTITION BY case_id, seq // 3)')} AS received_at
+FROM r"""
+
+ORACLE["ingest_cases"] = with_views(CASES_V) + f"""r AS (
+  SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY floor(epoch_us(opened_at) / (7 * 86400000000.0)), id) - 1 AS seq
+  FROM cases_v)
+SELECT org_id AS batch_org, seq // 40 AS body_no, seq % 40 AS pos, status, primary_service,
+  {iso('opened_at')} AS opened_at, signature_text, round(CAST(similarity_score AS DOUBLE), 6) AS score,
+  CASE WHEN id % 2 = 0 THEN occurrence_count ELSE 1 END AS occurrence_count, severity,
+  CASE WHEN id % 3 > 0 THEN org_id ELSE 'org-default' END AS org_id FROM r"""
+
+ORACLE["ingest_refused"] = with_views(METRICS_V) + _numbered_sql("metrics_v") + """,
+bodies AS (SELECT org_id, d, body_no, any_value(body_rows) AS n FROM b GROUP BY ALL)
+SELECT org_id AS batch_user, CAST(d AS VARCHAR) AS batch_day, body_no,
+  CASE WHEN body_no % 7 = 2 THEN 'unparseable' WHEN n > 35 THEN 'too_many_rows' ELSE 'missing_field' END AS reason,
+  CASE WHEN body_no % 7 = 2 THEN NULL ELSE n END AS n_rows
+FROM bodies WHERE body_no % 7 IN (1, 2) OR n > 35"""
 
 ORACLE["ingest_batch_guard"] = """
 SELECT user_id AS batch_user, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_day, count(*) AS n_rows,

@@ -867,15 +867,19 @@ def remediation_notes(spark, sf_dir):
 
 # ---------------------------------------------------------------- ingest
 
-# Batch size cap used by the guard report on the driver data.
+# Caps used on the driver data by the guard report, the clients (rows in a body) and
+# the refusal report (a server that takes fewer rows than the clients send).
 DRIVER_BATCH_CAP = 3
+DRIVER_BODY_ROWS = 40
+DRIVER_SMALL_CAP = 35
 
 
 def _day_batches(df):
     return df.withColumn("batch_day", F.to_date("ts"))
 
 
-def _ingested(spark, sf_dir, kind):
+def _bodies(spark, sf_dir, kind):
+    """Client side: bodies of one kind of rows and the schema of their entries."""
     from ..sources import ingest
     if kind == "logs":
         src = _day_batches(views.logs_v(spark, sf_dir)).withColumn("batch_user", F.col("org_id"))
@@ -899,16 +903,54 @@ def _ingested(spark, sf_dir, kind):
                          F.col("org_id").alias("orgId"))
         schema = ingest.METRIC_ENTRY
     keys = ["batch_user", "batch_day"]
-    capped = ingest.within_cap(src, keys)
-    bodies = ingest.build_bodies(capped, keys, entry, "id")
-    return ingest.parse_bodies(bodies, schema)
+    numbered = ingest.number_bodies(src, keys, "id", cap=DRIVER_BODY_ROWS)
+    return ingest.build_bodies(numbered, [*keys, "body_no"], entry), schema
+
+
+def _ingested(spark, sf_dir, kind):
+    from ..sources import ingest
+    return ingest.parse_bodies(*_bodies(spark, sf_dir, kind))
+
+
+@report("ingest_refused")
+def ingest_refused(spark, sf_dir):
+    """Bodies that a server with a lower cap refuses; every seventh body of a batch lacks a service."""
+    from ..sources import ingest
+    bodies, schema = _bodies(spark, sf_dir, "metrics")
+    damaged = F.when(F.col("body_no") % 7 == 1, F.regexp_replace("body", '"service"', '"svc"'))
+    cut = F.when(F.col("body_no") % 7 == 2, F.substring("body", 1, 20))
+    out = ingest.refused_bodies(bodies.withColumn("body", F.coalesce(damaged, cut, "body")), schema,
+                                cap=DRIVER_SMALL_CAP)
+    return out.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "body_no", "reason", "n_rows")
+
+
+@report("ingest_cases")
+def ingest_cases(spark, sf_dir):
+    from ..sources import ingest
+    c = views.cases_v(spark, sf_dir)
+    entry = F.struct("status", F.col("primary_service").alias("primaryService"), F.col("opened_at").alias("openedAt"),
+                     F.col("signature_text").alias("signatureText"), F.col("similarity_score").alias("similarityScore"),
+                     F.when(F.col("id") % 2 == 0, F.col("occurrence_count")).alias("occurrenceCount"), "severity",
+                     F.when(F.col("id") % 3 > 0, F.col("org_id")).alias("orgId"))
+    numbered = ingest.number_bodies(c.withColumn("batch_org", F.col("org_id")), ["batch_org"], "id", ts_col="opened_at",
+                                    cap=DRIVER_BODY_ROWS, bucket_seconds=7 * 86400.0)
+    bodies = ingest.build_bodies(numbered, ["batch_org", "body_no"], entry, received_col="updated_at")
+    e = ingest.parse_bodies(bodies, ingest.CASE_ENTRY)
+    return e.select("batch_org", "body_no", F.col("pos").cast("bigint").alias("pos"),
+                    F.coalesce("entry.status", F.lit("OPEN")).alias("status"),
+                    F.col("entry.primaryService").alias("primary_service"),
+                    iso(F.coalesce("entry.openedAt", "received_at")).alias("opened_at"),
+                    F.col("entry.signatureText").alias("signature_text"), r6("entry.similarityScore").alias("score"),
+                    F.coalesce("entry.occurrenceCount", F.lit(1)).alias("occurrence_count"),
+                    F.col("entry.severity").alias("severity"),
+                    F.coalesce("entry.orgId", F.lit("org-default")).alias("org_id"))
 
 
 @report("ingest_logs")
 def ingest_logs(spark, sf_dir):
     from ..functions import parse
     e = _ingested(spark, sf_dir, "logs")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "body_no",
                     F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.service").alias("service"), F.col("entry.level").alias("level"),
                     F.col("entry.event").alias("event"), F.col("entry.traceId").alias("trace_id"),
@@ -921,7 +963,7 @@ def ingest_logs(spark, sf_dir):
 @report("ingest_traces")
 def ingest_traces(spark, sf_dir):
     e = _ingested(spark, sf_dir, "traces")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "body_no",
                     F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.traceId").alias("trace_id"), F.col("entry.service").alias("service"),
                     F.col("entry.spanName").alias("span_name"), r6("entry.durationMs").alias("duration_ms"),
@@ -932,7 +974,7 @@ def ingest_traces(spark, sf_dir):
 @report("ingest_metrics")
 def ingest_metrics(spark, sf_dir):
     e = _ingested(spark, sf_dir, "metrics")
-    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"),
+    return e.select("batch_user", F.col("batch_day").cast("string").alias("batch_day"), "body_no",
                     F.col("pos").cast("bigint").alias("pos"),
                     F.col("entry.service").alias("service"), r6("entry.errorRate").alias("error_rate"),
                     r6("entry.p99LatencyMs").alias("p99_latency_ms"),
@@ -951,10 +993,11 @@ def ingest_alerts(spark, sf_dir):
     # alert ids of the driver data repeat: order entries by the whole row
     a = a.withColumn("batch_case", F.col("case_id")).withColumn(
         "_ord", F.struct("id", "case_id", "source_tool", "service", "metric", "severity", "triggered_at"))
-    capped = ingest.within_cap(a, ["batch_case"])
-    bodies = ingest.build_bodies(capped, ["batch_case"], entry, "_ord", received_col="received_at")
+    a = ingest.number_bodies(a, ["batch_case"], "_ord", ts_col="triggered_at", cap=DRIVER_BATCH_CAP,
+                             bucket_seconds=400 * 86400.0)
+    bodies = ingest.build_bodies(a, ["batch_case", "body_no"], entry, received_col="received_at")
     e = ingest.parse_bodies(bodies, ingest.ALERT_ENTRY)
-    return e.select("batch_case", F.col("pos").cast("bigint").alias("pos"), F.col("entry.service").alias("service"),
+    return e.select("batch_case", "body_no", F.col("pos").cast("bigint").alias("pos"), F.col("entry.service").alias("service"),
                     F.col("entry.metric").alias("metric"), F.col("entry.severity").alias("severity"),
                     iso("entry.triggeredAt").alias("triggered_at"),
                     F.coalesce(F.col("entry.duplicateCount"), F.lit(1)).alias("duplicate_count"),
