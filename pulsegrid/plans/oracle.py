@@ -931,3 +931,77 @@ both_ AS (SELECT * FROM bt UNION ALL SELECT * FROM bs)
 SELECT req_id, branch, line_id FROM (
   SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ts DESC, line_id DESC) AS rn FROM both_) t
 WHERE rn <= 50"""
+
+# ---------------------------------------------------------------- poll ticks and stages
+
+TICKS = 5  # at most so many 10-day slices have events; a slice without events changes nothing
+
+TICK_GROUPS = """slices AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS s, as_of FROM (
+  SELECT floor(epoch(ts) / 864000) AS f, max(ts) AS as_of FROM events GROUP BY 1) x),
+tr0 AS (
+  SELECT m.org_id, m.service, a.s, m.ts, CAST(m.rss_mb AS DOUBLE) AS v,
+    row_number() OVER (PARTITION BY a.s, m.org_id, m.service ORDER BY m.ts, m.id) - 1 AS rn,
+    count(*) OVER (PARTITION BY a.s, m.org_id, m.service) AS n
+  FROM metrics_v m JOIN slices a ON m.ts > a.as_of - INTERVAL 6 HOUR AND m.ts <= a.as_of WHERE m.rss_mb IS NOT NULL),
+tr1 AS (SELECT s, org_id, service, any_value(n) AS n, min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l, max(ts) AS ts,
+    avg(v) FILTER (rn < n // 2) AS a1, avg(v) FILTER (rn >= n // 2) AS a2 FROM tr0 GROUP BY s, org_id, service),
+breaches AS (
+  SELECT sl.s, b.* FROM (SELECT * FROM mb UNION ALL SELECT * FROM lb) b JOIN slices sl ON floor(epoch(b.ts) / 864000) = sl.f
+  UNION ALL SELECT s, org_id, service, 'rss_mb', (a2 - a1) / ((l - f) / 60000000.0), ts, 'warning', NULL, NULL, NULL,
+    1, -1, 0 FROM tr1 WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 0.1 AND a2 >= 150.0)"""
+
+TICK_VECTORS = """words AS (SELECT *, [CASE WHEN contains(signature_text, 'error_rate') THEN 1.0::DOUBLE ELSE 0 END,
+    CASE WHEN contains(signature_text, 'p99_latency_ms') THEN 1 ELSE 0 END,
+    CASE WHEN contains(signature_text, 'active_connections') THEN 1 ELSE 0 END,
+    CASE WHEN contains(signature_text, 'log_error') THEN 1 ELSE 0 END,
+    CASE WHEN contains(signature_text, 'rss_mb') THEN 1 ELSE 0 END,
+    CASE WHEN contains(signature_text, 'severity=critical') THEN 1 ELSE 0 END] AS w FROM sig),
+g AS (SELECT s, org_id, service, gs, first_ts, severity, list_transform(w, lambda x: x / sqrt(list_sum(w))) AS vec,
+  (s + 1) * 1000000000 + row_number() OVER (PARTITION BY s ORDER BY first_ts, org_id, service) AS gid FROM words),
+st0 AS (SELECT 0::BIGINT AS id, '' AS org_id, '' AS service, now()::TIMESTAMP AS opened_at, now()::TIMESTAMP AS updated_at,
+  0::BIGINT AS occ, '' AS severity, 0.0::DOUBLE AS score, [0.0::DOUBLE] AS vec WHERE FALSE)"""
+
+
+def _tick_sql(k: int, mode: str) -> str:
+    pair = "round(list_inner_product(g.vec, c.vec), 6)"
+    own = "c.org_id = g.org_id AND c.service = g.service AND c.updated_at >= a.as_of - INTERVAL 10 DAY"
+    if mode == "pre_filter":
+        hits = f"""SELECT g.gid, c.id, {pair} AS score, row_number() OVER (PARTITION BY g.gid ORDER BY {pair} DESC, c.id) AS r
+  FROM g JOIN slices a ON a.s = g.s JOIN st{k} c ON {own} WHERE g.s = {k}"""
+    else:
+        hits = f"""SELECT gid, id, score, row_number() OVER (PARTITION BY gid ORDER BY r) AS r FROM (
+    SELECT g.gid, c.id, {pair} AS score, {own} AS fits,
+      row_number() OVER (PARTITION BY g.gid ORDER BY {pair} DESC, c.id) AS r
+    FROM g JOIN slices a ON a.s = g.s CROSS JOIN st{k} c WHERE g.s = {k}) t WHERE r <= 5 AND fits"""
+    return f"""h{k} AS ({hits}),
+d{k} AS (SELECT g.*, a.as_of, h.score, h.score >= 0.86 AS dup, CASE WHEN h.score >= 0.86 THEN h.id ELSE g.gid END AS case_id
+  FROM g JOIN slices a ON a.s = g.s LEFT JOIN h{k} h ON h.gid = g.gid AND h.r = 1 WHERE g.s = {k}),
+m{k} AS (SELECT case_id, count(*) AS n, any_value(as_of) AS as_of, arg_max(score, (first_ts, gid)) AS score,
+  bool_or(severity = 'critical') AS crit FROM d{k} WHERE dup GROUP BY case_id),
+st{k + 1} AS (
+  SELECT c.id, c.org_id, c.service, c.opened_at, coalesce(m.as_of, c.updated_at) AS updated_at, c.occ + coalesce(m.n, 0) AS occ,
+    CASE WHEN m.crit THEN 'critical' ELSE c.severity END AS severity, coalesce(m.score, c.score) AS score, c.vec
+  FROM st{k} c LEFT JOIN m{k} m ON m.case_id = c.id
+  UNION ALL SELECT gid, org_id, service, first_ts, as_of, 1, severity, score, vec FROM d{k} WHERE NOT coalesce(dup, FALSE))"""
+
+
+def _replay_sql(mode: str) -> str:
+    by_slice = [x.replace("PARTITION BY org_id, service", "PARTITION BY s, org_id, service")
+                .replace("org_id, service, gs", "s, org_id, service, gs") for x in (GROUPED, SIGNATURES)]
+    steps = [_tick_sql(k, mode) for k in range(TICKS)]
+    return with_views(METRICS_V, LOGS_V) + ",\n".join([MB, LB, TICK_GROUPS, *by_slice, TICK_VECTORS, *steps])
+
+
+CASE_ROWS = f"""
+SELECT id, org_id, service AS primary_service, {iso('opened_at')} AS opened_at, {iso('updated_at')} AS updated_at,
+  occ::INTEGER AS occurrence_count, 'OPEN' AS status, severity, round(round(score, 4), 2) AS score FROM st{TICKS}"""
+
+ORACLE["stream_recurrence"] = _replay_sql("pre_filter") + CASE_ROWS
+ORACLE["recurrence_replay"] = _replay_sql("post_filter") + CASE_ROWS
+ORACLE["stream_stages"] = _replay_sql("pre_filter") + f""",
+assigned AS ({' UNION ALL '.join(f'SELECT s, org_id, service, gs, case_id FROM d{k}' for k in range(TICKS))}),
+alerts AS (SELECT a.case_id, count(DISTINCT metric) AS n_alerts, count(*) AS n_breaches
+  FROM grouped b JOIN assigned a USING (s, org_id, service, gs) GROUP BY a.case_id)
+SELECT id, org_id, service AS primary_service, {iso('opened_at')} AS opened_at, TRUE AS summarized, TRUE AS matched,
+  service || ' degradation' AS title, n_alerts, n_breaches, occ + 2 AS n_entries
+FROM st{TICKS} JOIN alerts ON case_id = id"""

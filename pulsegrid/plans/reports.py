@@ -1184,43 +1184,64 @@ def fetch_context_logs(spark, sf_dir):
     return out.select("req_id", "branch", "line_id")
 
 
-# ---------------------------------------------------------------- poll ticks and stages (rows-only checks)
+# ---------------------------------------------------------------- poll ticks and stages
 
 # Tick length of the driver replay (events span 30 days).
 DRIVER_TICK_DAYS = 10
 
 
+# Words whose presence is the replay's vector (SQL can compute it too), threshold, trend.
+DRIVER_VECTOR_WORDS = ("error_rate", "p99_latency_ms", "active_connections", "log_error", "rss_mb", "severity=critical")
+DRIVER_RECURRENCE = 0.86
+
+
+def _word_vector(text):
+    """Unit vector of the words a signature has; an injected embedder."""
+    hits = F.array(*[F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(w)), 1.0).otherwise(0.0)
+                     for w in DRIVER_VECTOR_WORDS])
+    norm = F.sqrt(F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x))
+    return F.transform(hits, lambda x: (x / F.greatest(norm, F.lit(1.0))).cast("float"))
+
+
 def _tick_replay(spark, sf_dir, mode="pre_filter"):
     from ..streaming import jobs, ticks
     src = ticks.split_by_day(spark, sf_dir, jobs.run_folder(spark, "tick-input"), DRIVER_TICK_DAYS)
-    state = jobs.run_folder(spark, "cases")
-    cur = ticks.stream_recurrence(spark, src, "*.parquet", DRIVER_GAP_SECONDS, state, threshold=0.86,
-                                  lookback_seconds=DRIVER_TICK_DAYS * 86400.0, mode=mode)
+    state = jobs.run_folder(spark, "case-state")
+    trend = ticks.Trend(lookback_seconds=6 * 3600.0, slope_mb_per_min=0.1, min_mb=150.0)
+    cur = ticks.stream_recurrence(spark, src, "*.parquet", DRIVER_GAP_SECONDS, state, threshold=DRIVER_RECURRENCE,
+                                  lookback_seconds=DRIVER_TICK_DAYS * 86400.0, mode=mode, embedder=_word_vector,
+                                  trend=trend)
     return state, cur
 
 
+def _case_rows(cur):
+    return cur.select("id", "org_id", "primary_service", iso("opened_at").alias("opened_at"),
+                      iso("updated_at").alias("updated_at"), "occurrence_count", "status", "severity",
+                      F.round(F.col("similarity_score").cast("double"), 2).alias("score"))
+
+
 @report("stream_recurrence")
 def stream_recurrence(spark, sf_dir):
-    _, cur = _tick_replay(spark, sf_dir)
-    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"), "occurrence_count",
-                      "status", "severity")
+    return _case_rows(_tick_replay(spark, sf_dir)[1])
 
 
 @report("recurrence_replay")
 def recurrence_replay(spark, sf_dir):
-    _, cur = _tick_replay(spark, sf_dir, mode="post_filter")
-    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"), "occurrence_count",
-                      "status", "severity")
+    return _case_rows(_tick_replay(spark, sf_dir, mode="post_filter")[1])
 
 
 @report("stream_stages")
 def stream_stages(spark, sf_dir):
-    from ..streaming import jobs, ticks
+    from ..streaming import ticks
     state, _ = _tick_replay(spark, sf_dir)
-    s2, s3 = jobs.run_folder(spark, "stage2"), jobs.run_folder(spark, "stage3")
-    ticks.summarize_stage(spark, state, s2, views.logs_v(spark, sf_dir))
-    ticks.match_stage(spark, s2, s3)
-    cur = ticks.current_cases(spark, state, s2, s3)
-    return cur.select("org_id", "primary_service", iso("opened_at").alias("opened_at"),
-                      F.col("summarized_at").isNotNull().alias("summarized"),
-                      F.col("matched_at").isNotNull().alias("matched"), "title")
+    ticks.summarize_stage(spark, state, views.logs_v(spark, sf_dir))
+    ticks.match_stage(spark, state)
+    cur = ticks.current_cases(spark, state)
+    al = ticks.current_alerts(spark, state).groupBy(F.col("case_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_alerts"), F.sum("duplicate_count").alias("n_breaches"))
+    tl = ticks.current_timeline(spark, state).groupBy(F.col("case_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_entries"))
+    return cur.join(al, "id", "left").join(tl, "id", "left").select(
+        "id", "org_id", "primary_service", iso("opened_at").alias("opened_at"),
+        F.col("summarized_at").isNotNull().alias("summarized"), F.col("matched_at").isNotNull().alias("matched"),
+        "title", "n_alerts", "n_breaches", "n_entries")
