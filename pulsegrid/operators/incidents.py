@@ -2,18 +2,22 @@
 
 For a batch of analyses (org, title, severity, services, team, ts, and
 optional duplicate_of / cascade_of / cascade_entry), processed in (ts, seq)
-order the way single requests would be:
+order the way single requests would be (an empty string counts as not given):
 
-1. duplicate: a given ``duplicate_of`` id of the org, else an OPEN incident of
+1. duplicate: a given ``duplicate_of`` id of the org, else one OPEN incident of
    the org with the same title, gets occurrences + 1 and last_seen; a given
    id that does not exist is ignored;
-2. cascade: an entry {service, symptom, detected_at} is appended to the root;
+2. cascade: if a root id and an entry are given and the root exists, the entry
+   {service, symptom, detected_at} is appended to the root;
 3. new: id ``INC-%04d`` of (incident count + 1), status open.
 
 Set-based: titles are grouped per org; the first analysis of a new title
-creates the incident and the rest of the group are its repeats. Ids come from
-a global sequence built from per-day counts and offsets, so numbering needs no
-single-partition sort of the data.
+creates the incident and later ones of the title are its repeats. Ids come
+from a global sequence built from per-day counts and offsets, so numbering
+needs no single-partition sort. Analyses may name incidents that the same
+batch created before them: the created incidents are computed again with
+those of the pass before until they stay the same (one pass if no analysis
+names an id unknown before the batch).
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def global_sequence(df: DataFrame, order_cols, bucket: Column, start: int | Column = 1,
                     out_col: str = "seq") -> DataFrame:
@@ -44,56 +50,124 @@ INCIDENT_SCHEMA = ("inc_id string, title string, severity string, status string,
 CASCADE_T = "array<struct<service:string,symptom:string,detected_at:string>>"
 
 
+def _given(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(""))
+
+
+_ORDER = F.struct("ts", "seq")
+
+
+def _created(analyses: DataFrame, known: DataFrame, base: int) -> DataFrame:
+    """org_id, title, made_id, made_at, and the first analysis of each new incident; ``known``: org_id, _kid, _kat."""
+    root = known.select("org_id", F.col("_kid").alias("_root"), F.col("_kat").alias("_rat"))
+    a = analyses.join(root, ["org_id", "_root"], "left")
+    exists = F.col("_rat").isNotNull() & (F.col("_rat") < _ORDER) & F.col("cascade_entry").isNotNull()
+    fresh = (a.where(F.col("_given_dup").isNull() & F.col("_open_id").isNull() & ~exists)
+             .groupBy("org_id", "title")
+             .agg(F.min_by(F.struct("severity", "services", "team", "ts", "seq"), _ORDER).alias("_f")))
+    numbered = global_sequence(fresh, [F.col("_f.ts"), F.col("_f.seq"), F.col("org_id"), F.col("title")],
+                               F.to_date(F.col("_f.ts")), start=base + 1)
+    return numbered.select("org_id", "title", F.format_string("INC-%04d", F.col("seq")).alias("made_id"),
+                           F.struct("_f.ts", "_f.seq").alias("made_at"), "_f")
+
+
+def decide(incidents: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The analyses with ``action`` (updated, ignored, cascade, created) and ``target`` id; the created incidents."""
+    checkpoint_dir(incidents.sparkSession)
+    incidents, analyses = incidents.checkpoint(), analyses.checkpoint()  # both are read several times
+    base = incidents.count()  # a scalar: the next id starts after the existing incidents
+    ids = incidents.select("org_id", F.col("inc_id").alias("_kid"),
+                           F.struct(F.lit("0001-01-01").cast("timestamp").alias("ts"),
+                                    F.lit(-1).cast("bigint").alias("seq")).alias("_kat"))
+    open_titles = (incidents.where(F.col("status") == "open").groupBy("org_id", "title")
+                   .agg(F.min("inc_id").alias("_open_id")))
+    a = (analyses.withColumns({"_given_dup": _given("duplicate_of"), "_root": _given("cascade_of"),
+                               "seq": F.col("seq").cast("bigint")})
+         .join(open_titles, ["org_id", "title"], "left"))
+    made = _created(a, ids, base).checkpoint()
+    named = a.where(F.col("_root").isNotNull() & F.col("cascade_entry").isNotNull()).select(
+        "org_id", F.col("_root").alias("_kid"))
+    if not named.join(ids, ["org_id", "_kid"], "left_anti").isEmpty():
+        while True:
+            again = _created(a, ids.unionByName(made.select("org_id", F.col("made_id").alias("_kid"),
+                                                            F.col("made_at").alias("_kat"))), base).checkpoint()
+            seen = ["org_id", "title", "made_id", "made_at"]
+            if again.select(*seen).exceptAll(made.select(*seen)).isEmpty() and \
+                    made.select(*seen).exceptAll(again.select(*seen)).isEmpty():
+                break
+            made = again
+    known = ids.unionByName(made.select("org_id", F.col("made_id").alias("_kid"), F.col("made_at").alias("_kat")))
+    a = a.join(made.select("org_id", "title", "made_id", "made_at"), ["org_id", "title"], "left")
+    for name, ref in (("_dup_at", "_given_dup"), ("_root_at", "_root")):
+        a = a.join(known.select("org_id", F.col("_kid").alias(ref), F.col("_kat").alias(name)), ["org_id", ref], "left")
+    repeat = F.coalesce("_open_id", F.when(F.col("made_at") < _ORDER, F.col("made_id")))
+    action = (F.when(F.col("_given_dup").isNotNull(),
+                     F.when(F.col("_dup_at") < _ORDER, F.lit("updated")).otherwise(F.lit("ignored")))
+              .when(repeat.isNotNull(), F.lit("updated"))
+              .when((F.col("_root_at") < _ORDER) & F.col("cascade_entry").isNotNull(), F.lit("cascade"))
+              .otherwise(F.lit("created")))
+    a = a.withColumn("action", action).withColumn(
+        "target", F.when(F.col("action") == "ignored", F.lit(None)).when(F.col("action") == "cascade", F.col("_root"))
+        .when(F.col("action") == "created", F.col("made_id")).otherwise(F.coalesce("_given_dup", repeat)))
+    return a.drop("_given_dup", "_root", "_open_id", "made_id", "made_at", "_dup_at", "_root_at").checkpoint(), made
+
+
 def upsert_incidents(incidents: DataFrame, analyses: DataFrame) -> DataFrame:
     """Next incident state after a batch of analyses.
 
     ``analyses``: org_id, title, severity, services, team, ts, seq, duplicate_of,
     cascade_of, cascade_entry (struct<service,symptom>); the last three may be NULL.
     """
-    base = incidents.count()  # a scalar: the next id starts after the existing incidents
-    ids = incidents.select("org_id", F.col("inc_id").alias("_id"), F.col("title").alias("_title"),
-                           F.col("status").alias("_status"))
-    open_titles = ids.where(F.col("_status") == "open").select(
-        "org_id", F.col("_title").alias("title"), F.col("_id").alias("_open_id"))
-    a = analyses.join(open_titles, ["org_id", "title"], "left")
-    a = a.join(ids.select("org_id", F.col("_id").alias("duplicate_of"), F.lit(True).alias("_dup_known")),
-               ["org_id", "duplicate_of"], "left")
-    a = a.join(ids.select("org_id", F.col("_id").alias("cascade_of"), F.lit(True).alias("_root_known")),
-               ["org_id", "cascade_of"], "left")
-    given = F.col("duplicate_of").isNotNull()
-    dup_target = F.when(given, F.when(F.col("_dup_known"), F.col("duplicate_of"))).otherwise(F.col("_open_id"))
-    a = (a.withColumn("_dup", dup_target)
-         .withColumn("_action", F.when(given & F.col("_dup_known").isNull(), F.lit("ignored"))
-                     .when(F.col("_dup").isNotNull(), F.lit("updated"))
-                     .when(F.col("_root_known"), F.lit("cascade"))
-                     .otherwise(F.lit("created"))))
-    updates = (a.where(F.col("_action") == "updated").groupBy("org_id", F.col("_dup").alias("inc_id"))
+    a, made = decide(incidents, analyses)
+    fresh = made.select(
+        F.col("made_id").alias("inc_id"), "title", F.col("_f.severity").alias("severity"), F.lit("open").alias("status"),
+        F.col("_f.services").alias("services"), F.coalesce("_f.team", F.lit("Unknown")).alias("team"),
+        F.lit(1).alias("occurrences"), F.array().cast(CASCADE_T).alias("cascades"),
+        F.col("_f.ts").alias("first_seen"), F.col("_f.ts").alias("last_seen"), "org_id")
+    updates = (a.where(F.col("action") == "updated").groupBy("org_id", F.col("target").alias("inc_id"))
                .agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last")))
     entry = F.struct(F.coalesce(F.col("cascade_entry.service"), F.lit("unknown")).alias("service"),
                      F.coalesce(F.col("cascade_entry.symptom"), F.lit("")).alias("symptom"),
                      F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("detected_at"))
-    casc = (a.where(F.col("_action") == "cascade").groupBy("org_id", F.col("cascade_of").alias("inc_id"))
+    casc = (a.where(F.col("action") == "cascade").groupBy("org_id", F.col("target").alias("inc_id"))
             .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), F.col("seq").alias("s"),
                                                                   entry.alias("e")))), lambda x: x["e"])
                  .alias("_c"), F.max("ts").alias("_clast")))
-    fresh = (a.where(F.col("_action") == "created").groupBy("org_id", "title")
-             .agg(F.min_by(F.struct("severity", "services", "team", "ts", "seq"), F.struct("ts", "seq")).alias("_f"),
-                  F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last")))
-    numbered = global_sequence(fresh, [F.col("_f.ts"), F.col("_f.seq"), F.col("org_id"), F.col("title")],
-                               F.to_date(F.col("_f.ts")), start=base + 1)
-    created = numbered.select(
-        F.format_string("INC-%04d", F.col("seq")).alias("inc_id"), "title", F.col("_f.severity").alias("severity"),
-        F.lit("open").alias("status"), F.col("_f.services").alias("services"), F.col("_f.team").alias("team"),
-        F.col("_n").cast("int").alias("occurrences"), F.array().cast(CASCADE_T).alias("cascades"),
-        F.col("_f.ts").alias("first_seen"), F.col("_last").alias("last_seen"), "org_id")
-    cur = incidents.join(updates, ["org_id", "inc_id"], "left").join(casc, ["org_id", "inc_id"], "left")
-    existing = cur.select(
+    cur = incidents.unionByName(fresh).join(updates, ["org_id", "inc_id"], "left").join(casc, ["org_id", "inc_id"], "left")
+    return cur.select(
         "inc_id", "title", "severity", "status", "services", "team",
         (F.col("occurrences") + F.coalesce("_n", F.lit(0))).cast("int").alias("occurrences"),
         F.concat(F.coalesce("cascades", F.array().cast(CASCADE_T)), F.coalesce("_c", F.array().cast(CASCADE_T)))
         .alias("cascades"),
         "first_seen", F.greatest("last_seen", "_last", "_clast").alias("last_seen"), "org_id")
-    return existing.unionByName(created)
+
+
+#: Texts and colours of incident timeline entries.
+CREATED_ENTRIES = (("Logs analyzed by AI agent", "#818cf8"), ("Root cause hypotheses generated", "#a78bfa"),
+                   ("Supporting evidence collected", "#34d399"))
+
+
+def timeline_entries(decided: DataFrame) -> DataFrame:
+    """Timeline rows of a batch's decisions: org_id, inc_id, ts, seq, pos, time, event, color."""
+    def entries(*pairs):
+        return F.array(*[F.struct(F.lit(e).alias("event") if isinstance(e, str) else e.alias("event"),
+                                  F.lit(c).alias("color")) for e, c in pairs])
+
+    service, symptom = F.col("cascade_entry.service"), F.col("cascade_entry.symptom")
+    what = (F.when(F.col("action") == "updated", entries(("Occurred again", "#fbbf24")))
+            .when(F.col("action") == "cascade", entries((F.concat(
+                F.lit("Cascade: "), F.coalesce(service, F.lit("?")), F.lit(" — "), F.coalesce(symptom, F.lit(""))), "#fb923c")))
+            .when(F.col("action") == "created", entries(*CREATED_ENTRIES, (F.concat(
+                F.lit("Routed to "), F.coalesce("team", F.lit("?"))), "#60a5fa"))))
+    return decided.select("org_id", F.col("target").alias("inc_id"), "ts", "seq", F.posexplode(what).alias("pos", "e")) \
+        .select("org_id", "inc_id", "ts", "seq", "pos", F.date_format("ts", "HH:mm:ss").alias("time"), "e.event", "e.color")
+
+
+def resolve_incidents(incidents: DataFrame, commands: DataFrame) -> DataFrame:
+    """Status resolved for the (org_id, inc_id) of the commands; others stay."""
+    hit = commands.select("org_id", "inc_id").distinct().withColumn("_hit", F.lit(True))
+    return incidents.join(hit, ["org_id", "inc_id"], "left").withColumn(
+        "status", F.when(F.col("_hit"), F.lit("resolved")).otherwise(F.col("status"))).drop("_hit")
 
 
 def open_incidents(incidents: DataFrame, limit: int = 20) -> DataFrame:

@@ -899,6 +899,50 @@ SELECT inc_id, org_id, title, severity, CAST(occurrences AS INTEGER) AS occurren
        {iso('first_seen')} AS first_seen, {iso('last_seen')} AS last_seen, 'open' AS status
 FROM numbered"""
 
+INCIDENT_BATCH = INCIDENTS.replace("FROM hdr GROUP", "FROM hdr WHERE ts < TIMESTAMP '2024-01-16' GROUP") + """,
+old AS (SELECT inc_id, org_id, title, CASE WHEN inc_id >= 'INC-0004' THEN 'resolved' ELSE 'open' END AS status,
+  CAST(occurrences AS BIGINT) AS occurrences, first_seen, last_seen FROM numbered),
+base AS (SELECT * FROM old UNION ALL SELECT 'INC-00' || substr(inc_id, 5, 4), org_id, title, 'open', occurrences, first_seen,
+  last_seen FROM old WHERE inc_id <= 'INC-0002'),
+a0 AS (SELECT env_id AS seq, org_id, ts, service, coalesce(app, 'Unknown') AS team,
+  coalesce(alertname, 'alert') || CASE WHEN env_id % 5 = 0 THEN ' #' || (env_id % 40) ELSE '' END AS title,
+  CASE WHEN env_id % 11 = 0 THEN 'INC-0002' WHEN env_id % 13 = 0 THEN 'INC-9999' END AS dup,
+  CASE WHEN env_id % 7 = 0 AND env_id % 14 <> 0 THEN 'INC-0001' END AS root FROM hdr WHERE ts >= TIMESTAMP '2024-01-16'),
+a1 AS (SELECT a.*, (SELECT min(b.inc_id) FROM base b WHERE b.org_id = a.org_id AND b.title = a.title AND b.status = 'open') AS open_id,
+  EXISTS (SELECT 1 FROM base b WHERE b.org_id = a.org_id AND b.inc_id = a.dup) AS dup_known,
+  EXISTS (SELECT 1 FROM base b WHERE b.org_id = a.org_id AND b.inc_id = a.root) AS root_known FROM a0 a),
+made AS (SELECT *, printf('INC-%04d', (SELECT count(*) FROM base) + row_number() OVER (ORDER BY ts, seq, org_id, title)) AS made_id
+  FROM (SELECT org_id, title, min((ts, seq)) AS at, min(ts) AS ts, arg_min(seq, (ts, seq)) AS seq FROM a1
+        WHERE dup IS NULL AND open_id IS NULL AND NOT root_known GROUP BY org_id, title) m),
+decided AS (SELECT a.*, CASE WHEN dup IS NOT NULL THEN CASE WHEN dup_known THEN 'updated' ELSE 'ignored' END
+    WHEN open_id IS NOT NULL OR (m.ts, m.seq) < (a.ts, a.seq) THEN 'updated' WHEN root_known THEN 'cascade' ELSE 'created' END AS action,
+  m.made_id FROM a1 a LEFT JOIN made m ON m.org_id = a.org_id AND m.title = a.title),
+targeted AS (SELECT *, CASE action WHEN 'ignored' THEN NULL WHEN 'cascade' THEN root WHEN 'created' THEN made_id
+  ELSE coalesce(dup, open_id, made_id) END AS target FROM decided)"""
+
+ORACLE["incident_decisions"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENT_BATCH + """
+SELECT seq, org_id, title, action, target FROM targeted"""
+
+ORACLE["incident_next_state"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENT_BATCH + f""",
+every AS (SELECT inc_id, org_id, title, status, occurrences, first_seen, last_seen FROM base
+  UNION ALL SELECT made_id, org_id, title, 'open', 1, ts, ts FROM made),
+hits AS (SELECT org_id, target, count(*) FILTER (WHERE action = 'updated') AS n, count(*) FILTER (WHERE action = 'cascade') AS c,
+  max(ts) AS ts FROM targeted WHERE action IN ('updated', 'cascade') GROUP BY ALL)
+SELECT e.inc_id, e.org_id, e.title, e.status, CAST(e.occurrences + coalesce(h.n, 0) AS INTEGER) AS occurrences,
+  CAST(coalesce(h.c, 0) AS INTEGER) AS n_cascades, {iso('e.first_seen')} AS first_seen,
+  {iso('greatest(e.last_seen, coalesce(h.ts, e.last_seen))')} AS last_seen
+FROM every e LEFT JOIN hits h ON h.org_id = e.org_id AND h.target = e.inc_id"""
+
+ORACLE["incident_timeline"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENT_BATCH + """,
+entries AS (SELECT *, unnest(CASE action WHEN 'updated' THEN [{'p': 0, 'event': 'Occurred again', 'color': '#fbbf24'}]
+  WHEN 'cascade' THEN [{'p': 0, 'event': 'Cascade: ' || coalesce(CASE WHEN seq % 4 <> 0 THEN service END, '?') || ' — slow',
+    'color': '#fb923c'}]
+  WHEN 'created' THEN [{'p': 0, 'event': 'Logs analyzed by AI agent', 'color': '#818cf8'},
+    {'p': 1, 'event': 'Root cause hypotheses generated', 'color': '#a78bfa'},
+    {'p': 2, 'event': 'Supporting evidence collected', 'color': '#34d399'},
+    {'p': 3, 'event': 'Routed to ' || team, 'color': '#60a5fa'}] END) AS e FROM targeted)
+SELECT seq, org_id, target AS inc_id, e.p AS pos, strftime(ts, '%H:%M:%S') AS time, e.event AS event, e.color AS color FROM entries"""
+
 ORACLE["open_incidents"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENTS + """
 SELECT org_id, inc_id, title, severity FROM (
   SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY last_seen DESC NULLS FIRST, inc_id DESC) AS rn

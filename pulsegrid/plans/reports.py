@@ -1164,6 +1164,52 @@ def incident_upsert(spark, sf_dir):
                       iso("last_seen").alias("last_seen"), "status")
 
 
+# The driver replay's split into known incidents and a new batch.
+DRIVER_INCIDENT_SPLIT = "2024-01-16 00:00:00"
+
+
+def _incident_batch(spark, sf_dir):
+    """Known incidents (two titles twice, some resolved) and a later batch that names duplicates and roots."""
+    from ..operators import incidents
+    a = _analyses(spark, sf_dir)
+    split = F.lit(DRIVER_INCIDENT_SPLIT).cast("timestamp")
+    old = incidents.upsert_incidents(spark.createDataFrame([], incidents.INCIDENT_SCHEMA),
+                                     a.where(F.col("ts") < split)).checkpoint()
+    twin = old.where(F.col("inc_id") <= "INC-0002").withColumn("inc_id", F.concat(F.lit("INC-00"), F.substring("inc_id", 5, 4)))
+    base = incidents.resolve_incidents(old, old.where(F.col("inc_id") >= "INC-0004")).unionByName(twin)
+    seq = F.col("seq")
+    batch = a.where(F.col("ts") >= split).withColumns({
+        "title": F.concat("title", F.when(seq % 5 == 0, F.concat(F.lit(" #"), (seq % 40).cast("string"))).otherwise(F.lit(""))),
+        "duplicate_of": F.when(seq % 11 == 0, F.lit("INC-0002")).when(seq % 13 == 0, F.lit("INC-9999"))
+        .when(seq % 17 == 0, F.lit("")),
+        "cascade_of": F.when(seq % 7 == 0, F.lit("INC-0001")).when(seq % 9 == 0, F.lit("")),
+        "cascade_entry": F.when(seq % 14 != 0, F.struct(
+            F.when(seq % 4 != 0, F.try_element_at("services", F.lit(1))).alias("service"), F.lit("slow").alias("symptom")))})
+    return base, batch
+
+
+@report("incident_decisions")
+def incident_decisions(spark, sf_dir):
+    from ..operators import incidents
+    decided, _ = incidents.decide(*_incident_batch(spark, sf_dir))
+    return decided.select("seq", "org_id", "title", "action", "target")
+
+
+@report("incident_next_state")
+def incident_next_state(spark, sf_dir):
+    from ..operators import incidents
+    out = incidents.upsert_incidents(*_incident_batch(spark, sf_dir))
+    return out.select("inc_id", "org_id", "title", "status", "occurrences", F.size("cascades").alias("n_cascades"),
+                      iso("first_seen").alias("first_seen"), iso("last_seen").alias("last_seen"))
+
+
+@report("incident_timeline")
+def incident_timeline(spark, sf_dir):
+    from ..operators import incidents
+    decided, _ = incidents.decide(*_incident_batch(spark, sf_dir))
+    return incidents.timeline_entries(decided).select("seq", "org_id", "inc_id", "pos", "time", "event", "color")
+
+
 @report("open_incidents")
 def open_incidents(spark, sf_dir):
     from ..operators import incidents
