@@ -146,32 +146,38 @@ SERVICE_LEVELS = "ERROR|CRITICAL|WARN"
 def fetch_context_logs(requests: DataFrame, lines: DataFrame, limit: int = 50,
                        trace_lookback: float = TRACE_LOOKBACK_SECONDS,
                        service_lookback: float = SERVICE_LOOKBACK_SECONDS) -> DataFrame:
-    """Log lines for each request (req_id, as_of, service, trace_id), keeping the last ``limit`` lines.
+    """Log lines for each request (req_id, org_id, as_of, service, trace_id), keeping the last ``limit`` lines.
 
     With a trace id: lines carrying ``trace_id=<id>`` in [as_of - 90 s, as_of];
-    if none, the service branch over the same 90 s. Without a trace id: the
-    service branch over 300 s. The service branch keeps lines of the service
-    (bracket label) matching ERROR|CRITICAL|WARN. Matching is on parsed
-    tokens, so both branches are equi-joins plus a time range.
+    if there are none, or no trace id was given, lines of the service (bracket
+    label) matching ERROR|CRITICAL|WARN, over 90 s after a trace id and 300 s
+    otherwise; without a service, all such lines. Only lines of the request's
+    org count. Matching is on parsed tokens, so all branches are equi-joins plus
+    a time range.
     """
-    lk = lines.select("line_id", "ts", "line",
+    lk = lines.select("org_id", "line_id", "ts",
                       F.regexp_extract("line", r"trace_id=(\S+)", 1).alias("trace_tok"),
-                      F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("svc_tok"))
-    t_us = int(trace_lookback * 1_000_000)
-    lb = F.expr(f"INTERVAL {t_us} MICROSECONDS")
-    by_trace = interval_join(
-        requests.where(F.col("trace_id").isNotNull()).select("req_id", "as_of", F.col("trace_id").alias("trace_tok")),
-        lk.where(F.col("trace_tok") != ""), ["trace_tok"], F.col("as_of") - lb, F.col("as_of"),
-        bucket_seconds=trace_lookback).select("req_id", "line_id", "ts").withColumn("branch", F.lit("trace"))
-    has_trace = by_trace.select("req_id").distinct()
-    svc_req = (requests.join(has_trace, "req_id", "left_anti")
-               .withColumn("_lb", F.when(F.col("trace_id").isNotNull(), F.lit(trace_lookback))
-                           .otherwise(F.lit(service_lookback))))
-    by_service = interval_join(
-        svc_req.select("req_id", "as_of", "_lb", F.col("service").alias("svc_tok")),
-        lk.where(F.col("line").rlike(SERVICE_LEVELS)), ["svc_tok"],
-        F.col("as_of") - F.make_dt_interval(secs=F.col("_lb")), F.col("as_of"),
-        bucket_seconds=service_lookback).select("req_id", "line_id", "ts").withColumn("branch", F.lit("service"))
-    both = by_trace.unionByName(by_service)
+                      F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("svc_tok"),
+                      F.col("line").rlike(SERVICE_LEVELS).alias("_level"))
+    wanted = requests.select("req_id", "org_id", "as_of", F.nullif("trace_id", F.lit("")).alias("trace_tok"),
+                             F.nullif("service", F.lit("")).alias("svc_tok"))
+
+    def joined(req: DataFrame, points: DataFrame, keys, seconds: Column, bucket_seconds: float, branch: str) -> DataFrame:
+        start = F.col("as_of") - F.make_dt_interval(secs=seconds)
+        out = interval_join(req, points.select(*keys, "line_id", "ts"), keys, start, F.col("as_of"),
+                            bucket_seconds=bucket_seconds)
+        return out.select("req_id", "line_id", "ts").withColumn("branch", F.lit(branch))
+
+    by_trace = joined(wanted.where(F.col("trace_tok").isNotNull()).drop("svc_tok"), lk.where(F.col("trace_tok") != ""),
+                      ["org_id", "trace_tok"], F.lit(trace_lookback), trace_lookback, "trace")
+    rest = (wanted.join(by_trace.select("req_id").distinct(), "req_id", "left_anti")
+            .withColumn("_lb", F.when(F.col("trace_tok").isNotNull(), F.lit(trace_lookback))
+                        .otherwise(F.lit(service_lookback))).drop("trace_tok"))
+    levels = lk.where("_level")
+    by_service = joined(rest.where(F.col("svc_tok").isNotNull()), levels, ["org_id", "svc_tok"], F.col("_lb"),
+                        service_lookback, "service")
+    by_level = joined(rest.where(F.col("svc_tok").isNull()).drop("svc_tok"), levels, ["org_id"], F.col("_lb"),
+                      service_lookback, "level")
+    every = by_trace.unionByName(by_service).unionByName(by_level)
     w = Window.partitionBy("req_id").orderBy(F.col("ts").desc(), F.col("line_id").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    return every.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")

@@ -153,14 +153,18 @@ def _seconds(interval: str) -> float:
     return float(num) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
 
 
-def all_breaches(metrics: DataFrame | None, logs: DataFrame | None, rules=DEFAULT_RULES,
-                 trend: bool = True, trend_bucket_seconds: float = 3600.0) -> DataFrame:
-    """Union in detector order metric, trend, log (the ``seq`` column keeps the order)."""
+def all_breaches(metrics: DataFrame | None, logs: DataFrame | None, rules=DEFAULT_RULES, trend: bool = True,
+                 trend_window: str = "120 seconds", trend_slide: str = "10 seconds",
+                 slope_mb_per_min: float = RSS_TREND_SLOPE_MB_PER_MIN, min_mb: float = RSS_TREND_MIN_MB) -> DataFrame:
+    """Union in detector order metric, trend, log (the ``seq`` column keeps the order).
+
+    The memory trend looks back ``trend_window`` at every ``trend_slide``, as a poll does.
+    """
     parts = []
     if metrics is not None:
         parts.append(detect_metric_breaches(metrics, rules))
         if trend:
-            parts.append(detect_rss_trend(metrics, bucket_seconds=trend_bucket_seconds))
+            parts.append(detect_rss_trend_sliding(metrics, trend_window, trend_slide, slope_mb_per_min, min_mb))
     if logs is not None:
         parts.append(detect_error_logs(logs))
     parts = [p.select(*BREACH_COLUMNS) for p in parts]

@@ -35,22 +35,24 @@ BREACHES = """mb AS (
          NULL, NULL, NULL, 0, id, 2
   FROM metrics_v WHERE active_connections >= 19),
 rss AS (
-  SELECT org_id, service, ts, CAST(rss_mb AS DOUBLE) AS v,
-         row_number() OVER (PARTITION BY org_id, service ORDER BY ts, id) - 1 AS rn,
-         count(*) OVER (PARTITION BY org_id, service) AS n
-  FROM metrics_v WHERE rss_mb IS NOT NULL),
+  SELECT org_id, service, ts, id, CAST(rss_mb AS DOUBLE) AS v,
+         (epoch_us(ts) // 3600000000 - k) * 3600000000 AS ws
+  FROM metrics_v, range(0, 6) AS r(k) WHERE rss_mb IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY org_id, service, ws ORDER BY ts, id) - 1 AS rn,
+         count(*) OVER (PARTITION BY org_id, service, ws) AS n
+  FROM rss),
 tr AS (
-  SELECT org_id, service, n,
-         avg(CASE WHEN rn < n // 2 THEN v END) AS a1,
-         avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+  SELECT org_id, service, ws, n,
+         avg(CASE WHEN rn < n // 2 THEN v END) AS a1, avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
          epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
-  FROM rss GROUP BY org_id, service, n),
+  FROM ranked GROUP BY org_id, service, ws, n),
 trend AS (
   SELECT org_id, service, 'rss_mb' AS metric, (a2 - a1) / ((l - f) / 60000000.0) AS value, last_ts AS ts,
          'warning' AS severity, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS message,
          CAST(NULL AS VARCHAR) AS trace_id, 1 AS seq, CAST(-1 AS BIGINT) AS src_id, 0 AS sub
   FROM tr
-  WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 5.0 AND a2 >= 200.0),
+  WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 0.1 AND a2 >= 150.0),
 lb AS (
   SELECT org_id, service, 'log_error' AS metric, CAST(1.0 AS DOUBLE) AS value, ts, 'critical' AS severity,
          event, message, trace_id, 2 AS seq, id AS src_id, 0 AS sub
@@ -103,8 +105,25 @@ SELECT org_id, service, {iso('first_ts')} AS first_ts, {iso('last_ts')} AS last_
        signature_text
 FROM sig"""
 
-MB, TREND_ALL, LB = BREACHES.split(",\nrss AS (")[0], "rss AS (" + BREACHES.split(",\nrss AS (")[1].split(",\nlb AS (")[0], \
-    "lb AS (" + BREACHES.split(",\nlb AS (")[1].split(",\nbreaches AS (")[0]
+MB = BREACHES.split(",\nrss AS (")[0]
+LB = "lb AS (" + BREACHES.split(",\nlb AS (")[1].split(",\nbreaches AS (")[0]
+TREND_ALL = """rss AS (
+  SELECT org_id, service, ts, CAST(rss_mb AS DOUBLE) AS v,
+         row_number() OVER (PARTITION BY org_id, service ORDER BY ts, id) - 1 AS rn,
+         count(*) OVER (PARTITION BY org_id, service) AS n
+  FROM metrics_v WHERE rss_mb IS NOT NULL),
+tr AS (
+  SELECT org_id, service, n,
+         avg(CASE WHEN rn < n // 2 THEN v END) AS a1,
+         avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+         epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
+  FROM rss GROUP BY org_id, service, n),
+trend AS (
+  SELECT org_id, service, 'rss_mb' AS metric, (a2 - a1) / ((l - f) / 60000000.0) AS value, last_ts AS ts,
+         'warning' AS severity, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS message,
+         CAST(NULL AS VARCHAR) AS trace_id, 1 AS seq, CAST(-1 AS BIGINT) AS src_id, 0 AS sub
+  FROM tr
+  WHERE n >= 4 AND l > f AND (a2 - a1) / ((l - f) / 60000000.0) >= 0.00005 AND a2 >= 160.0)"""
 
 
 def breach_select(src: str, where: str = "TRUE") -> str:
@@ -116,7 +135,7 @@ ORACLE["detect_error_rate"] = with_views(METRICS_V) + MB + "\n" + breach_select(
 ORACLE["detect_p99"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'p99_latency_ms'")
 ORACLE["detect_connections"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'active_connections'")
 ORACLE["detect_metric_breaches"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb")
-ORACLE["detect_rss_trend"] = with_views(METRICS_V) + TREND_ALL.replace(">= 5.0 AND a2 >= 200.0", ">= 0.00005 AND a2 >= 160.0") + "\n" + breach_select("trend")
+ORACLE["detect_rss_trend"] = with_views(METRICS_V) + TREND_ALL + "\n" + breach_select("trend")
 ORACLE["detect_error_logs"] = with_views(LOGS_V) + LB + "\n" + breach_select("lb")
 ORACLE["all_breaches"] = with_views(METRICS_V, LOGS_V) + BREACHES + "\n" + breach_select("breaches")
 ORACLE["breach_groups"] = with_views(METRICS_V, LOGS_V) + BREACHES + ",\n" + GROUPED + f"""
@@ -955,21 +974,24 @@ lines AS (
   FROM hdr h JOIN envelopes_v e USING (env_id)),
 """ + parse_lines_sql("lines", "env_id, pos") + """,
 req AS (
-  SELECT h.env_id AS req_id, h.ts AS as_of, h.service, c.trace_id
+  SELECT h.env_id AS req_id, h.org_id, h.ts AS as_of, CASE WHEN h.env_id % 3 <> 0 THEN h.service END AS service,
+    CASE WHEN h.env_id % 6 <> 0 THEN c.trace_id END AS trace_id
   FROM hdr h LEFT JOIN (SELECT p.env_id, c.trace_id FROM parsed p JOIN ctxtext c USING (env_id, pos)
                         WHERE p.pos = 0) c ON c.env_id = h.env_id),
 lk AS (
-  SELECT line_id, ts, line, regexp_extract(line, 'trace_id=(\\S+)', 1) AS trace_tok,
+  SELECT line_id, org_id, ts, line, regexp_extract(line, 'trace_id=(\\S+)', 1) AS trace_tok,
          regexp_extract(line, '\\[([^\\]]+)\\]', 1) AS svc_tok
   FROM log_lines_v),
 bt AS (
   SELECT r.req_id, l.line_id, l.ts, 'trace' AS branch FROM req r JOIN lk l
-    ON l.trace_tok = r.trace_id AND l.trace_tok <> '' AND l.ts BETWEEN r.as_of - INTERVAL 90 SECOND AND r.as_of),
+    ON l.org_id = r.org_id AND l.trace_tok = r.trace_id AND l.trace_tok <> '' AND l.ts BETWEEN r.as_of - INTERVAL 90 SECOND AND r.as_of),
 bs AS (
-  SELECT r.req_id, l.line_id, l.ts, 'service' AS branch FROM req r JOIN lk l
-    ON l.svc_tok = r.service AND regexp_matches(l.line, 'ERROR|CRITICAL|WARN')
-   AND l.ts BETWEEN r.as_of - (CASE WHEN r.trace_id IS NOT NULL THEN INTERVAL 90 SECOND ELSE INTERVAL 300 SECOND END)
-                AND r.as_of
+  SELECT r.req_id, l.line_id, l.ts, CASE WHEN coalesce(r.service, '') = '' THEN 'level' ELSE 'service' END AS branch
+  FROM req r JOIN lk l
+    ON l.org_id = r.org_id AND (coalesce(r.service, '') = '' OR l.svc_tok = r.service)
+   AND regexp_matches(l.line, 'ERROR|CRITICAL|WARN')
+   AND l.ts BETWEEN r.as_of - (CASE WHEN coalesce(r.trace_id, '') <> '' THEN INTERVAL 90 SECOND
+                                    ELSE INTERVAL 300 SECOND END) AND r.as_of
   WHERE r.req_id NOT IN (SELECT req_id FROM bt)),
 both_ AS (SELECT * FROM bt UNION ALL SELECT * FROM bs)
 SELECT req_id, branch, line_id FROM (

@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect, sessionize, signature
+from ..session import checkpoint_dir
 from ..sources import views
 
 # Parameters the driver data needs (event spacing is minutes).
 DRIVER_GAP_SECONDS = 1800.0
+# Trailing window, slide and trend thresholds (hourly spacing per key, so slopes per minute are small).
+DRIVER_TREND_WINDOW = "6 hours"
+DRIVER_TREND_SLIDE = "1 hour"
+DRIVER_TREND_SLOPE, DRIVER_TREND_MIN_MB = 0.1, 150.0
 DRIVER_SIMILARITY = 0.30
 
 REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +48,9 @@ def r6(c) -> Column:
 # ---------------------------------------------------------------- detection
 
 def _breaches(spark, sf_dir) -> DataFrame:
-    return detect.all_breaches(views.metrics_v(spark, sf_dir), views.logs_v(spark, sf_dir))
+    return detect.all_breaches(views.metrics_v(spark, sf_dir), views.logs_v(spark, sf_dir),
+                               trend_window=DRIVER_TREND_WINDOW, trend_slide=DRIVER_TREND_SLIDE,
+                               slope_mb_per_min=DRIVER_TREND_SLOPE, min_mb=DRIVER_TREND_MIN_MB)
 
 
 def _grouped(spark, sf_dir) -> DataFrame:
@@ -97,16 +104,10 @@ def detect_rss_trend(spark, sf_dir):
                                                min_mb=160.0, bucket_seconds=86400.0))
 
 
-# Trailing window, slide and trend thresholds for the driver data
-# (hourly spacing per key, so slopes per minute are small).
-DRIVER_TREND_WINDOW = "6 hours"
-DRIVER_TREND_SLIDE = "1 hour"
-
-
 @report("detect_rss_trend_sliding")
 def detect_rss_trend_sliding(spark, sf_dir):
     out = detect.detect_rss_trend_sliding(views.metrics_v(spark, sf_dir), DRIVER_TREND_WINDOW, DRIVER_TREND_SLIDE,
-                                          slope_mb_per_min=0.1, min_mb=150.0)
+                                          slope_mb_per_min=DRIVER_TREND_SLOPE, min_mb=DRIVER_TREND_MIN_MB)
     return out.select("org_id", "service", iso("win_start").alias("win_start"), r6("value").alias("value"),
                       iso("ts").alias("ts"), "severity")
 
@@ -1224,8 +1225,13 @@ def fetch_context_logs(spark, sf_dir):
     env = _envelopes(spark, sf_dir)
     hdr = envelopes.alert_header(env)
     traces = envelopes.alert_to_logs(env).where(F.col("pos") == 0).select("env_id", "trace_id")
-    req = hdr.join(traces, "env_id", "left").select(F.col("env_id").alias("req_id"), F.col("ts").alias("as_of"),
-                                                      "service", "trace_id")
+    # a third of the requests name no service, half of those no trace either
+    named = F.when(F.col("env_id") % 3 != 0, F.col("service"))
+    req = hdr.join(traces, "env_id", "left").select(
+        F.col("env_id").alias("req_id"), "org_id", F.col("ts").alias("as_of"), named.alias("service"),
+        F.when(F.col("env_id") % 6 != 0, F.col("trace_id")).alias("trace_id"))
+    checkpoint_dir(spark)
+    req = req.checkpoint()  # one parse of the envelopes for all branches
     out = context.fetch_context_logs(req, views.log_lines_v(spark, sf_dir), limit=50)
     return out.select("req_id", "branch", "line_id")
 
