@@ -54,17 +54,18 @@ def _given(col: str) -> Column:
     return F.nullif(F.col(col), F.lit(""))
 
 
-_ORDER = F.struct("ts", "seq")
+def _order() -> Column:
+    return F.struct("ts", "seq")
 
 
 def _created(analyses: DataFrame, known: DataFrame, base: int) -> DataFrame:
     """org_id, title, made_id, made_at, and the first analysis of each new incident; ``known``: org_id, _kid, _kat."""
     root = known.select("org_id", F.col("_kid").alias("_root"), F.col("_kat").alias("_rat"))
     a = analyses.join(root, ["org_id", "_root"], "left")
-    exists = F.col("_rat").isNotNull() & (F.col("_rat") < _ORDER) & F.col("cascade_entry").isNotNull()
+    exists = F.col("_rat").isNotNull() & (F.col("_rat") < _order()) & F.col("cascade_entry").isNotNull()
     fresh = (a.where(F.col("_given_dup").isNull() & F.col("_open_id").isNull() & ~exists)
              .groupBy("org_id", "title")
-             .agg(F.min_by(F.struct("severity", "services", "team", "ts", "seq"), _ORDER).alias("_f")))
+             .agg(F.min_by(F.struct("severity", "services", "team", "ts", "seq"), _order()).alias("_f")))
     numbered = global_sequence(fresh, [F.col("_f.ts"), F.col("_f.seq"), F.col("org_id"), F.col("title")],
                                F.to_date(F.col("_f.ts")), start=base + 1)
     return numbered.select("org_id", "title", F.format_string("INC-%04d", F.col("seq")).alias("made_id"),
@@ -100,11 +101,11 @@ def decide(incidents: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFr
     a = a.join(made.select("org_id", "title", "made_id", "made_at"), ["org_id", "title"], "left")
     for name, ref in (("_dup_at", "_given_dup"), ("_root_at", "_root")):
         a = a.join(known.select("org_id", F.col("_kid").alias(ref), F.col("_kat").alias(name)), ["org_id", ref], "left")
-    repeat = F.coalesce("_open_id", F.when(F.col("made_at") < _ORDER, F.col("made_id")))
+    repeat = F.coalesce("_open_id", F.when(F.col("made_at") < _order(), F.col("made_id")))
     action = (F.when(F.col("_given_dup").isNotNull(),
-                     F.when(F.col("_dup_at") < _ORDER, F.lit("updated")).otherwise(F.lit("ignored")))
+                     F.when(F.col("_dup_at") < _order(), F.lit("updated")).otherwise(F.lit("ignored")))
               .when(repeat.isNotNull(), F.lit("updated"))
-              .when((F.col("_root_at") < _ORDER) & F.col("cascade_entry").isNotNull(), F.lit("cascade"))
+              .when((F.col("_root_at") < _order()) & F.col("cascade_entry").isNotNull(), F.lit("cascade"))
               .otherwise(F.lit("created")))
     a = a.withColumn("action", action).withColumn(
         "target", F.when(F.col("action") == "ignored", F.lit(None)).when(F.col("action") == "cascade", F.col("_root"))
