@@ -1,7 +1,7 @@
 """Column functions for wire log lines, slugs, ids and timestamps.
 
-Everything here is a built-in Spark expression (JVM side, whole-stage codegen);
-no Python runs per row.
+Everything here is a built-in Spark expression (JVM side; higher-order functions
+are interpreted); no Python runs per row.
 
 Wire format: ``<date> <time> <LEVEL> [<service>] <message> | k=v | ... | trace_id=<id>``.
 The line is split on the exact separator `` | ``; the head must match
@@ -41,8 +41,13 @@ def head_match(head) -> Column:
     return _c(head).rlike(_FLAGS + HEAD_PATTERN)
 
 
-def head_group(head, n: int) -> Column:
-    return F.regexp_extract(_c(head), _FLAGS + HEAD_PATTERN, n)
+def head_groups(head) -> Column:
+    """[level, message, service] of a matching head, by one match.
+
+    The groups are joined by line feeds: level and message cannot hold one,
+    and the service comes last.
+    """
+    return F.split(F.regexp_replace(_c(head), _FLAGS + HEAD_PATTERN, "$1\n$3\n$2"), "\n", 3)
 
 
 def context_entries(pieces) -> Column:
@@ -51,16 +56,18 @@ def context_entries(pieces) -> Column:
     kv = F.transform(F.filter(rest, lambda p: p.contains("=")),
                      lambda p: F.struct(strip_ws(F.substring_index(p, "=", 1)).alias("key"),
                                         strip_ws(F.substr(p, F.instr(p, "=") + 1)).alias("value")))
-    # keep the first position of each key but the value of its last occurrence
-    return F.transform(
-        F.filter(kv, lambda e, i: ~F.exists(F.slice(kv, 1, i), lambda x: x["key"] == e["key"])),
-        lambda e: F.struct(e["key"].alias("key"),
-                           F.try_element_at(F.filter(kv, lambda x: x["key"] == e["key"]), F.lit(-1))["value"].alias("value")))
+    # the one-element arrays bind the pairs, then their keys, so each is built once per line
+    bound = F.flatten(F.transform(F.array(kv), lambda pairs: F.flatten(F.transform(
+        F.array(F.struct(F.transform(pairs, lambda e: e["key"]).alias("keys"), F.reverse(pairs).alias("last_first"))),
+        lambda s: F.transform(F.array_distinct(s["keys"]), lambda k: F.struct(
+            k.alias("key"),
+            F.element_at(s["last_first"], F.array_position(F.reverse(s["keys"]), k).cast("int"))["value"].alias("value")))))))
+    return bound
 
 
 def context_map(pieces) -> Column:
-    entries = context_entries(pieces)
-    return F.when(F.size(entries) > 0, F.map_from_entries(entries))
+    rest = F.slice(_c(pieces), 2, F.greatest(F.size(_c(pieces)) - 1, F.lit(0)))
+    return F.when(F.exists(rest, lambda p: p.contains("=")), F.map_from_entries(context_entries(pieces)))
 
 
 def context_text(ctx_map) -> Column:

@@ -13,12 +13,11 @@ def parse_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     pieces = parse.split_pieces(F.col(line_col))
     out = (df.withColumn("_pieces", pieces)
            .where(parse.head_match(F.try_element_at(F.col("_pieces"), F.lit(1))))
-           .withColumn("level", parse.head_group(F.try_element_at(F.col("_pieces"), F.lit(1)), 1))
-           .withColumn("service", parse.head_group(F.try_element_at(F.col("_pieces"), F.lit(1)), 2))
-           .withColumn("message", parse.head_group(F.try_element_at(F.col("_pieces"), F.lit(1)), 3))
+           .withColumn("_head", parse.head_groups(F.try_element_at(F.col("_pieces"), F.lit(1))))
            .withColumn("context", parse.context_map(F.col("_pieces")))
-           .withColumn("trace_id", F.col("context")["trace_id"])
-           .drop("_pieces"))
+           .withColumns({"level": F.col("_head")[0], "service": F.col("_head")[2], "message": F.col("_head")[1],
+                         "trace_id": F.col("context")["trace_id"]})
+           .drop("_pieces", "_head"))
     return out
 
 

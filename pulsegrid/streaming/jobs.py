@@ -21,6 +21,7 @@ from ..session import checkpoint_dir, prepare
 from ..sources import views
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -156,7 +157,6 @@ class CooldownProcessor(StatefulProcessor):
 def stream_cooldown(spark: SparkSession, src_dir: str, cooldown_seconds: float,
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """T-4 on a stream: wanted alerts (service, event type) pass through a per-key cooldown state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ev = events_stream(spark, src_dir, max_files_per_trigger=max_files_per_trigger)
     wanted = ev.select(views._svc("user_id").alias("service"), F.col("event_type").alias("alert"),
                        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
@@ -168,5 +168,10 @@ def stream_cooldown(spark: SparkSession, src_dir: str, cooldown_seconds: float,
         statefulProcessor=Proc(), outputStructType="service string, alert string, us long, id long",
         outputMode="Append", timeMode="None")
     out, ck = run_folder(spark, "cooldown-out"), run_folder(spark, "cooldown-ckpt")
-    run_available(fired, out, ck)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        run_available(fired, out, ck)
+    finally:
+        spark.conf.set(PROVIDER, before)
     return read_batches(spark, out).drop("batch", "_batch")
