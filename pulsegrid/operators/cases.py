@@ -76,39 +76,24 @@ ALERT_KEY = ("case_id", "service", "metric")
 def alert_rollup(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Alert upsert per (case_id, service, metric).
 
-    The first alert of a key keeps its severity, triggered_at and payload;
-    every later one adds 1 to duplicate_count and replaces received_at.
-    Batch order is (triggered_at, id). ``state`` may be empty.
+    The first alert of a key keeps its id, severity, triggered_at, source tool,
+    org and payload; every later one adds 1 to duplicate_count and replaces
+    received_at. Batch order is (triggered_at, id). ``state`` may be empty;
+    ``org_id`` and ``raw_payload`` are carried where both sides have them.
     """
+    first = ["id", "severity", "triggered_at", "source_tool",
+             *[c for c in ("org_id", "raw_payload") if c in batch.columns and c in state.columns]]
     order = F.struct("triggered_at", "id")
     agg = batch.groupBy(*ALERT_KEY).agg(
-        F.min_by(F.struct("id", "severity", "triggered_at", "source_tool"), order).alias("_first"),
-        F.count(F.lit(1)).alias("_n"),
+        F.min_by(F.struct(*first), order).alias("_first"), F.count(F.lit(1)).alias("_n"),
         F.max_by("received_at", order).alias("_recv"))
-    s = state.select(*ALERT_KEY, F.col("id").alias("_sid"), F.col("severity").alias("_ssev"),
-                     F.col("triggered_at").alias("_strig"), F.col("source_tool").alias("_stool"),
-                     F.col("duplicate_count").alias("_sdup"), F.col("received_at").alias("_srecv"))
-    j = s.join(agg, list(ALERT_KEY), "full")
-    known = F.col("_sid").isNotNull()
-    return j.select(
-        F.when(known, F.col("_sid")).otherwise(F.col("_first.id")).alias("id"), *ALERT_KEY,
-        F.when(known, F.col("_ssev")).otherwise(F.col("_first.severity")).alias("severity"),
-        F.when(known, F.col("_strig")).otherwise(F.col("_first.triggered_at")).alias("triggered_at"),
-        F.when(known, F.col("_stool")).otherwise(F.col("_first.source_tool")).alias("source_tool"),
+    s = state.select(*ALERT_KEY, F.struct(*first).alias("_known"), F.col("duplicate_count").alias("_sdup"),
+                     F.col("received_at").alias("_srecv"))
+    kept = F.coalesce("_known", "_first")
+    return s.join(agg, list(ALERT_KEY), "full").select(
+        kept["id"].alias("id"), *ALERT_KEY, *[kept[c].alias(c) for c in first[1:]],
         (F.coalesce("_sdup", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int").alias("duplicate_count"),
-        F.coalesce("_recv", "_srecv").alias("received_at"),
-    )
-
-
-def timeline_entry(ts, event: str | None = None, color: str = "#6366f1", event_col=None):
-    ev = event_col if event_col is not None else F.lit(event)
-    return F.struct(F.date_format(ts, "HH:mm:ss").alias("time"), ev.alias("event"), F.lit(color).alias("color"))
-
-
-def append_timeline(timeline, entry):
-    """``timeline || [entry]`` (NULL timeline counts as empty)."""
-    return F.concat(F.coalesce(timeline, F.array().cast("array<struct<time:string,event:string,color:string>>")),
-                    F.array(entry))
+        F.coalesce("_recv", "_srecv").alias("received_at"))
 
 
 def fold_timeline(entries: DataFrame, key: str = "case_id") -> DataFrame:
@@ -174,8 +159,41 @@ def apply_actions(commands: DataFrame, cases: DataFrame, case_actions: DataFrame
     new_status = (F.when(outcome != "applied", F.col("_status"))
                   .when(F.col("action_type") == "raise_pr", F.col("_status"))
                   .otherwise(F.lit("RESOLVED")))
-    return j.select("case_id", "org_id", "action_id", "at", outcome.alias("outcome"), "action_type",
-                    new_status.alias("new_status"))
+    return j.select("case_id", "org_id", "action_id", "at", outcome.alias("outcome"), "action_type", "name",
+                    new_status.alias("new_status"), *[c for c in ("user_id", "pr_url") if c in commands.columns])
+
+
+def applied_results(applied: DataFrame) -> DataFrame:
+    """Applied commands (from ``apply_actions``, with user_id and pr_url) with ``result`` JSON and timeline ``entries``."""
+    pr = F.col("action_type") == "raise_pr"
+    note = F.concat(F.lit("Simulated '"), F.col("action_type"), F.lit("': "), F.col("name"))
+    result = F.when(pr, F.to_json(F.struct("pr_url"))).otherwise(
+        F.to_json(F.struct(F.lit(True).alias("simulated"), note.alias("note"))))
+    event = F.when(pr, F.concat(F.lit("PR opened: "), F.coalesce("pr_url", F.lit("None")), F.lit(" — awaiting merge"))) \
+        .otherwise(F.concat(F.lit("Applied: "), F.col("name")))
+    first = F.struct(event.alias("event"), F.lit("#60a5fa").alias("color"))
+    done = F.struct(F.lit("Case resolved").alias("event"), F.lit("#34d399").alias("color"))
+    return (applied.where(F.col("outcome") == "applied").withColumn("result", result)
+            .withColumn("entries", F.when(pr, F.array(first)).otherwise(F.array(first, done))))
+
+
+def apply_to_case_actions(case_actions: DataFrame, results: DataFrame) -> DataFrame:
+    """case_actions with status, applied_by, applied_at and result after the commands (the last one wins)."""
+    last = results.groupBy("case_id", "action_id").agg(
+        F.max_by(F.struct("user_id", "at", "result"), F.col("at")).alias("_r"))
+    hit = F.col("_r").isNotNull()
+    return case_actions.join(last, ["case_id", "action_id"], "left").select(
+        *case_actions.columns, F.when(hit, "applied").otherwise("suggested").alias("status"),
+        F.col("_r.user_id").alias("applied_by"), F.col("_r.at").alias("applied_at"), F.col("_r.result").alias("result"))
+
+
+def apply_to_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """cases with the status and updated_at that the applied commands leave."""
+    last = results.groupBy("case_id").agg(
+        F.max("at").alias("_at"), F.bool_or(F.col("new_status") == "RESOLVED").alias("_done"))
+    return cases.join(last, cases.id == last.case_id, "left").withColumns({
+        "status": F.when(F.col("_done"), F.lit("RESOLVED")).otherwise(F.col("status")),
+        "updated_at": F.coalesce("_at", "updated_at")}).drop("case_id", "_at", "_done")
 
 
 def work_queues(cases: DataFrame) -> DataFrame:

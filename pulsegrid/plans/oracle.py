@@ -669,6 +669,15 @@ SELECT id, case_id, service, metric, severity, {iso('triggered_at')} AS triggere
        CAST(duplicate_count AS INTEGER) AS duplicate_count, {iso('received_at')} AS received_at
 FROM rolled"""
 
+ORACLE["alert_rollup_update"] = with_views(ALERTS_V) + f"""halves AS (
+  SELECT *, triggered_at >= TIMESTAMP '1996-01-01' AS h, 'org-' || (case_id % 3) AS org_id,
+    '{{"q":' || CAST(quantity AS INTEGER) || '}}' AS raw_payload FROM alerts_v)
+SELECT arg_min(id, (triggered_at, id)) AS id, any_value(org_id) AS org_id, case_id, service, metric,
+  arg_min(severity, (triggered_at, id)) AS severity, arg_min(raw_payload, (triggered_at, id)) AS raw_payload,
+  {iso('min(triggered_at)')} AS triggered_at, CAST(count(*) AS INTEGER) AS duplicate_count,
+  {iso('arg_max(received_at, (triggered_at, id))')} AS received_at
+FROM halves GROUP BY case_id, service, metric"""
+
 ORACLE["case_timeline"] = with_views(ALERTS_V) + ROLLED + """,
 e AS (SELECT case_id, triggered_at, id, service, metric, strftime(triggered_at, '%H:%M:%S') AS time,
              'Alert ' || metric || ' on ' || service || ' (' || severity || ')' AS event FROM rolled)
@@ -708,6 +717,29 @@ SELECT case_id, action_id,
             ELSE 'RESOLVED' END AS new_status
 FROM j"""
 
+APPLIED = "WITH " + CASES_V + ",\n" + CASE_ACTIONS + f""",
+done AS (SELECT x.case_id, x.action_id, a.action_type, a.name, CAST({AS_OF} AS TIMESTAMP) + to_seconds(x.action_id) AS at,
+    CASE WHEN a.action_type = 'raise_pr' THEN '{{"pr_url":"https://example.org/pr/' || x.case_id || '"}}'
+         ELSE '{{"simulated":true,"note":"Simulated ''' || a.action_type || ''': ' || a.name || '"}}' END AS result
+  FROM (SELECT DISTINCT case_id, action_id FROM case_actions WHERE case_id % 2 = 0) x
+  JOIN cases_v c ON c.id = x.case_id AND c.org_id = 'org-' || CAST(x.case_id % 4 AS VARCHAR)
+  LEFT JOIN {actions_sql()} ON a.id = x.action_id)"""
+
+ORACLE["applied_case_actions"] = APPLIED + f"""
+SELECT s.case_id, s.action_id, CASE WHEN d.case_id IS NULL THEN 'suggested' ELSE 'applied' END AS status,
+  CASE WHEN d.case_id IS NOT NULL THEN 'u' || s.action_id END AS applied_by, {iso('d.at')} AS applied_at, d.result
+FROM case_actions s LEFT JOIN done d ON d.case_id = s.case_id AND d.action_id = s.action_id"""
+
+ORACLE["applied_cases"] = APPLIED + f"""
+SELECT c.id, CASE WHEN bool_or(coalesce(d.action_type <> 'raise_pr', d.case_id IS NOT NULL)) THEN 'RESOLVED' ELSE c.status END AS status,
+  {iso('coalesce(max(d.at), c.updated_at)')} AS updated_at
+FROM cases_v c LEFT JOIN done d ON d.case_id = c.id GROUP BY c.id, c.status, c.updated_at"""
+
+ORACLE["applied_timeline"] = APPLIED + """
+SELECT case_id, action_id, 0 AS pos, CASE WHEN action_type = 'raise_pr'
+  THEN 'PR opened: https://example.org/pr/' || case_id || ' — awaiting merge' ELSE 'Applied: ' || name END AS event, '#60a5fa' AS color FROM done
+UNION ALL SELECT case_id, action_id, 1, 'Case resolved', '#34d399' FROM done WHERE action_type <> 'raise_pr'"""
+
 ORACLE["work_queues"] = with_views(CASES_V).rstrip().rstrip(",") + """
 SELECT id, CASE WHEN summarized_at IS NULL THEN 'summarize' WHEN matched_at IS NULL THEN 'match' ELSE 'done' END
          AS queue

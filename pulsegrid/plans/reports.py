@@ -702,6 +702,24 @@ def alert_rollup(spark, sf_dir):
                       "duplicate_count", iso("received_at").alias("received_at"))
 
 
+# Alerts before this day are the known state, the later ones a batch.
+DRIVER_ALERT_SPLIT = "1996-01-01"
+
+
+@report("alert_rollup_update")
+def alert_rollup_update(spark, sf_dir):
+    from ..operators import cases
+    a = views.alerts_v(spark, sf_dir).withColumns({
+        "org_id": F.concat(F.lit("org-"), (F.col("case_id") % 3).cast("string")),
+        "raw_payload": F.concat(F.lit('{"q":'), F.col("quantity").cast("int").cast("string"), F.lit("}"))})
+    empty = spark.createDataFrame([], _alert_state_schema() + ", org_id string, raw_payload string")
+    known = cases.alert_rollup(empty, a.where(F.col("triggered_at") < DRIVER_ALERT_SPLIT))
+    out = cases.alert_rollup(known, a.where(F.col("triggered_at") >= DRIVER_ALERT_SPLIT))
+    return out.select("id", "org_id", "case_id", "service", "metric", "severity", "raw_payload",
+                      iso("triggered_at").alias("triggered_at"), "duplicate_count",
+                      iso("received_at").alias("received_at"))
+
+
 @report("case_timeline")
 def case_timeline(spark, sf_dir):
     from ..operators import cases
@@ -760,6 +778,38 @@ def apply_actions(spark, sf_dir):
     return out.select("case_id", "action_id", "outcome", "action_type", "new_status")
 
 
+def _applied(spark, sf_dir):
+    from ..functions.catalog_data import actions_frame
+    from ..operators import cases
+    ca = _case_actions(spark, sf_dir)
+    cmds = ca.select("case_id", "action_id").where(F.col("case_id") % 2 == 0).distinct().select(
+        "case_id", F.concat(F.lit("org-"), (F.col("case_id") % 4).cast("string")).alias("org_id"), "action_id",
+        F.timestamp_seconds(F.unix_seconds(F.lit(DRIVER_AS_OF).cast("timestamp")) + F.col("action_id")).alias("at"),
+        F.concat(F.lit("u"), F.col("action_id").cast("string")).alias("user_id"),
+        F.concat(F.lit("https://example.org/pr/"), F.col("case_id").cast("string")).alias("pr_url"))
+    return ca, cases.applied_results(cases.apply_actions(cmds, views.cases_v(spark, sf_dir), ca, actions_frame(spark)))
+
+
+@report("applied_case_actions")
+def applied_case_actions(spark, sf_dir):
+    from ..operators import cases
+    out = cases.apply_to_case_actions(*_applied(spark, sf_dir))
+    return out.select("case_id", "action_id", "status", "applied_by", iso("applied_at").alias("applied_at"), "result")
+
+
+@report("applied_cases")
+def applied_cases(spark, sf_dir):
+    from ..operators import cases
+    out = cases.apply_to_cases(views.cases_v(spark, sf_dir), _applied(spark, sf_dir)[1])
+    return out.select("id", "status", iso("updated_at").alias("updated_at"))
+
+
+@report("applied_timeline")
+def applied_timeline(spark, sf_dir):
+    return _applied(spark, sf_dir)[1].select("case_id", "action_id", F.posexplode("entries").alias("pos", "e")).select(
+        "case_id", "action_id", "pos", "e.event", "e.color")
+
+
 @report("work_queues")
 def work_queues(spark, sf_dir):
     from ..operators import cases
