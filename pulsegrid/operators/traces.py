@@ -30,6 +30,33 @@ def logs_with_trace(logs: DataFrame, traces: DataFrame) -> DataFrame:
     return logs.join(roll.drop("first_ts", "last_ts"), ["org_id", "trace_id"], "left")
 
 
+SPAN_COLUMNS = ("span_name", "duration_ms", "is_error", "error_code")
+
+
+def logs_with_span(logs: DataFrame, traces: DataFrame) -> DataFrame:
+    """Each log row with the first span of its own service in its trace (by ts, id); NULLs if there is none.
+
+    Matching on the service too keeps one span per log; logs without a trace
+    id are not moved.
+    """
+    spans = (traces.where(F.col("trace_id").isNotNull()).groupBy("org_id", "trace_id", "service")
+             .agg(F.min_by(F.struct(*SPAN_COLUMNS), F.struct("ts", "id")).alias("_s"))
+             .select("org_id", "trace_id", "service", *[F.col(f"_s.{c}").alias(c) for c in SPAN_COLUMNS]))
+    traced = logs.where(F.col("trace_id").isNotNull()).join(spans, ["org_id", "trace_id", "service"], "left")
+    return traced.unionByName(logs.where(F.col("trace_id").isNull()), allowMissingColumns=True)
+
+
+def declared_edges(logs: DataFrame, traces: DataFrame) -> DataFrame:
+    """Caller to callee edges that log contexts and span attributes name as ``downstream_service``."""
+    def named(df: DataFrame, payload: str) -> DataFrame:
+        return df.select("org_id", F.col("service").alias("src"),
+                         F.get_json_object(payload, "$.downstream_service").alias("dst"))
+
+    every = named(logs, "context").unionByName(named(traces, "attributes"))
+    return (every.where(F.col("dst").isNotNull() & (F.col("dst") != "") & (F.col("dst") != F.col("src")))
+            .groupBy("org_id", "src", "dst").agg(F.count(F.lit(1)).alias("n_edges")))
+
+
 def service_edges(traces: DataFrame) -> DataFrame:
     """Caller to callee edges: consecutive spans of one trace (by ts, id) on different services."""
     w = Window.partitionBy("org_id", "trace_id").orderBy("ts", "id")
@@ -38,9 +65,9 @@ def service_edges(traces: DataFrame) -> DataFrame:
             .groupBy("org_id", "src", F.col("service").alias("dst")).agg(F.count(F.lit(1)).alias("n_edges")))
 
 
-def cascade_candidates(traces: DataFrame, cases: DataFrame) -> DataFrame:
-    """Edges whose callee has an open case; ``dst_is_root`` when the callee itself calls no open-case service."""
-    edges = service_edges(traces)
+def cascade_candidates(traces: DataFrame, cases: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Edges (by default of consecutive spans) whose callee has an open case; ``dst_is_root`` when the callee itself calls no open-case service."""
+    edges = service_edges(traces) if edges is None else edges
     open_cases = (cases.where(F.col("status") != "RESOLVED")
                   .groupBy("org_id", F.col("primary_service").alias("dst"))
                   .agg(F.count(F.lit(1)).alias("dst_open_cases")))

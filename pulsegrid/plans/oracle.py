@@ -616,6 +616,24 @@ SELECT org_id, dst, src, n_edges, dst_open_cases,
        NOT EXISTS (SELECT 1 FROM cand c2 WHERE c2.org_id = cand.org_id AND c2.src = cand.dst) AS dst_is_root
 FROM cand"""
 
+ORACLE["declared_cascades"] = with_views(LOGS_V, TRACES_V, CASES_V) + """edges AS (
+  SELECT org_id, service AS src, 'svc-' || ((CAST(substr(service, 5) AS INTEGER) + 1) % 5) AS dst, count(*) AS n_edges
+  FROM (SELECT org_id, service FROM logs_v WHERE id % 4 = 0 UNION ALL SELECT org_id, service FROM traces_v WHERE id % 6 = 0) x
+  GROUP BY ALL),
+oc AS (SELECT org_id, primary_service AS dst, count(*) AS dst_open_cases FROM cases_v
+       WHERE status <> 'RESOLVED' GROUP BY ALL),
+cand AS (SELECT * FROM edges JOIN oc USING (org_id, dst))
+SELECT org_id, dst, src, n_edges, dst_open_cases,
+       NOT EXISTS (SELECT 1 FROM cand c2 WHERE c2.org_id = cand.org_id AND c2.src = cand.dst) AS dst_is_root
+FROM cand"""
+
+ORACLE["log_own_span"] = with_views(LOGS_V, TRACES_V) + """spans AS (
+  SELECT org_id, trace_id, service, arg_min({'a': span_name, 'b': round(CAST(duration_ms AS DOUBLE), 6), 'c': is_error, 'd': error_code},
+    (ts, id)) AS s FROM traces_v GROUP BY ALL)
+SELECT l.id, CASE WHEN l.id % 5 <> 0 THEN l.trace_id END AS trace_id, l.service, s.a AS span_name, s.b AS duration_ms,
+  s.c AS is_error, s.d AS error_code
+FROM logs_v l LEFT JOIN spans x ON l.id % 5 <> 0 AND x.org_id = l.org_id AND x.trace_id = l.trace_id AND x.service = l.service"""
+
 ORACLE["cofailure_pairs"] = with_views(TRACES_V) + """es AS (
   SELECT DISTINCT org_id, trace_id, service FROM traces_v WHERE is_error)
 SELECT a.org_id, a.service AS service_a, b.service AS service_b, count(*) AS n_traces

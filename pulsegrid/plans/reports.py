@@ -630,6 +630,26 @@ def cascade_candidates(spark, sf_dir):
     return traces.cascade_candidates(views.traces_v(spark, sf_dir), views.cases_v(spark, sf_dir))
 
 
+@report("declared_cascades")
+def declared_cascades(spark, sf_dir):
+    """Every fourth log and every sixth span of the driver data names the service after its own."""
+    from ..operators import traces
+    nxt = F.concat(F.lit('{"downstream_service":"svc-'), ((F.substring("service", 5, 9).cast("int") + 1) % 5).cast("string"),
+                   F.lit('"}'))
+    lg = views.logs_v(spark, sf_dir).withColumn("context", F.when(F.col("id") % 4 == 0, nxt).otherwise(F.lit("{}")))
+    tr = views.traces_v(spark, sf_dir).withColumn("attributes", F.when(F.col("id") % 6 == 0, nxt).otherwise(F.lit("{}")))
+    return traces.cascade_candidates(tr, views.cases_v(spark, sf_dir), traces.declared_edges(lg, tr))
+
+
+@report("log_own_span")
+def log_own_span(spark, sf_dir):
+    from ..operators import traces
+    lg = views.logs_v(spark, sf_dir).withColumn("trace_id", F.when(F.col("id") % 5 != 0, F.col("trace_id")))
+    out = traces.logs_with_span(lg, views.traces_v(spark, sf_dir))
+    return out.select("id", "trace_id", "service", "span_name", r6("duration_ms").alias("duration_ms"), "is_error",
+                      "error_code")
+
+
 @report("cofailure_pairs")
 def cofailure_pairs(spark, sf_dir):
     from ..operators import traces
