@@ -54,7 +54,8 @@ LOGS = {
     "matches": "id bigint, epoch int, n_actions bigint, at timestamp",
     "case_actions": "case_id bigint, epoch int, action_id bigint, score double, rank int",
 }
-SOURCE_TOOL = "orchestrator"
+# Source tool of tick alerts; the texts and colours of timeline entries below are fixed too.
+SOURCE_TOOL = "stage1_poller"
 
 
 @dataclass(frozen=True)
