@@ -119,7 +119,8 @@ def judge(docs: DataFrame, carry: list[str] | None = None, order: int = kneserne
     model = kneserney.train(docs, order)
     measured = keep(measure(docs, model, list(dict.fromkeys([*carry, "lang"]))), "quality-rules")
     inside = F.coalesce(F.col("_q.log_perplexity").between(F.col("_lower"), F.col("_upper")), F.lit(False))
-    return (measured.join(bands(measured), F.expr("lang <=> _language"), "left")
+    limits = keep(bands(measured), "perplexity-bands")  # a file of known size: the planner needn't move the texts
+    return (measured.join(limits, F.expr("lang <=> _language"), "left")
             .withColumn("_base_failed", base_failed())
             .withColumn("_kept", ~F.col("_base_failed") & inside)
             .select(*carry, "_q", "_base_failed", "_kept"))
