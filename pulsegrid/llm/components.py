@@ -1,38 +1,51 @@
-"""Connected components of a link table by label minima and pointer jumping.
+"""Connected components of a link table by repeated local contraction.
 
-Every round takes the smallest label among a node's neighbours and then follows labels one step
-further, so the rounds grow with the logarithm of a component's diameter. Labels are written to the
-shared checkpoint folder each round; links and labels never come to the driver, only the number of
-labels that changed.
+Links are dealt to partitions by one of their ends, and every partition replaces its links by stars:
+each node linked to the smallest node that it reaches inside the partition. Dealing by the two ends
+in turn brings all roots of a node, and all nodes of a root, together, so the stars merge until each
+node has one root that has no root itself. The rounds grow with the logarithm of a component's
+diameter; a partition holds as many links as Spark deals to it. Links are written to the shared
+checkpoint folder each round and never come to the driver, only whether a star is unfinished.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (node, root) of a partition's components: root is the smallest node."""
+    parts = [np.stack([b.column("node").to_numpy(), b.column("root").to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, place = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    label = local_labels(len(nodes), a, b)
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "root"])
+
+
+def _contracted(links: DataFrame, end: str) -> DataFrame:
+    return links.repartition(end).mapInArrow(_stars, "node long, root long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (smallest node reachable) for links with long columns a and b, in any order."""
-    both = keep(links.select("a", "b").where("a <> b").distinct()
-                .select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
-                                         F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))), "links")
-    labels = keep(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
-                  .withColumn("changed", F.lit(True)), "labels")
+    stars = keep(_contracted(links.where("a <> b").select(F.greatest("a", "b").alias("node"),
+                                                          F.least("a", "b").alias("root")), "node"), "stars")
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other")
-                .groupBy("node").agg(F.min("theirs").alias("theirs")))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"),
-                                                  F.least("label", "theirs").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = keep(hooked.join(jump, "label").select(
-            "node", F.least("label", "further").alias("label"),
-            (F.least("label", "further") != F.col("old")).alias("changed")), "labels")
-        if labels.where("changed").isEmpty():
-            return labels.select("node", "label")
+        below = stars.select(F.col("root").alias("node")).distinct()
+        if (stars.groupBy("node").count().where("count > 1").select("node")
+                .unionByName(stars.select("node").join(below, "node", "left_semi")).isEmpty()):
+            return stars.unionByName(below.withColumn("root", F.col("node"))).withColumnRenamed("root", "label")
+        stars = keep(_contracted(_contracted(stars, "root"), "node"), "stars")
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,6 +56,8 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         new = label.copy()
         np.minimum.at(new, a, low)
         np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)  # roots too: regions merge as wholes
+        np.minimum.at(new, label[b], low)
         new = new[new]
         if np.array_equal(new, label):
             return label

@@ -38,8 +38,8 @@ from .components import components, local_labels
 WORDS = 5
 SLOTS = 1 << 18
 BLOCK = 4096           # entries of a posting list that meet in one task
-FAMILY_DOCS = 256      # sets in a block of a family, on average
-FAMILY_SHINGLES = 400_000
+FAMILY_DOCS = 1024     # sets in a block of a family, on average
+FAMILY_SHINGLES = 1_500_000
 FAMILY_SHARE = 0.1     # of the shorter prefix, in lists where two classes are neighbours
 RANGES = 64            # of the suffix filter
 
