@@ -6,7 +6,8 @@ corpus (2 ** 18 slots counted over all documents), then by hash, rare first. Two
 similarity of 0.75 or more share a shingle among the first |x| - ceil(0.75 |x|) + 1 of each.
 
 1. Prefix shingles with two classes or more are the posting lists, sorted by set size.
-2. Families: classes that stand next to each other in a good share of their lists. A family is only
+2. Families: classes that are neighbours in a good share of their lists (each entry of a list has the
+   first entry of its size range for a neighbour). A family is only
    a way to handle many mutual candidates without a row per pair: its sets are compared all with all
    in blocks of bounded size, and a block returns a spanning forest of the links it found.
 3. Pairs of different families in a list pass the length and positional filters; each pair is then
@@ -130,7 +131,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
                 waiting.append(_slots(grams))
-                if sum(map(len, waiting[-1:])) + len(waiting) * 500 > 2_000_000 or len(waiting) >= 4000:
+                if len(waiting) >= 2000:
                     add_up()
             add_up()
             none = [None] * len(keys)
@@ -169,7 +170,7 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """The postings of shingles with two classes or more: place in the list and the class before."""
+    """The postings of shingles with two classes or more: place in the list and a neighbour in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "key", "n", "pos", "rank", "prev", "prev_n"]
@@ -195,13 +196,25 @@ def _lists(postings: DataFrame) -> DataFrame:
             if held is not None and held[4]:
                 own = np.cumprod(linked).astype(bool)  # still the held row's list
                 rank[own] += held[5]
-            prev, prev_n = np.concatenate([[held[6] if held else 0], k[:-1]]), np.concatenate([[held[7] if held else 0], n[:-1]])
+            # neighbour: the first of its size range in the list, or for that one the entry before
+            band = np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int64)
+            opens = np.concatenate([[True], (g[1:] != g[:-1]) | (band[1:] != band[:-1])])
+            lead = np.maximum.accumulate(np.where(opens, np.arange(len(g)), 0))
+            prev = np.where(opens, np.concatenate([k[:1], k[:-1]]), k[lead])
+            prev_n = np.where(opens, np.concatenate([n[:1], n[:-1]]), n[lead])
+            lead_key, lead_n = k[lead], n[lead]
+            if held is not None:
+                same = lead == 0
+                lead_key, lead_n = np.where(same, held[8], lead_key), np.where(same, held[9], lead_n)
+                prev, prev_n = np.where(same, held[8], prev), np.where(same, held[9], prev_n)
+                prev[0], prev_n[0] = held[6], held[7]
             cols = (g, k, n, p, rank, prev, prev_n)
             useful = (linked | np.concatenate([linked[1:], [False]]))
             useful[-1] = False
             if useful.any():
                 yield rows(cols, linked, useful)
-            held = (g[-1], k[-1], n[-1], p[-1], bool(linked[-1]), int(rank[-1]), int(prev[-1]), int(prev_n[-1]))
+            held = (g[-1], k[-1], n[-1], p[-1], bool(linked[-1]), int(rank[-1]), int(prev[-1]), int(prev_n[-1]),
+                    int(lead_key[-1]), int(lead_n[-1]))
         if held is not None and held[4]:
             cols = tuple(np.array([x]) for x in (*held[:4], held[5], held[6], held[7]))
             yield rows(cols, np.array([True]), np.array([True]))
@@ -320,20 +333,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), 256).astype(np.int16) for s in (a, b))
         return pd.Series(np.abs(x - y).sum(axis=1) <= na + nb - 2 * overlap_needed(na, nb))
 
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        def test(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            return len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(len(x), len(y))
-        return pd.Series([test(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the pair's other set, which comes right before
+        for batch in batches:
+            found = []
+            for x, y, grams in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                                   batch.column("grams"), strict=True):
+                own = np.frombuffer(grams.as_buffer(), dtype=np.uint64)
+                if held is not None and held[:2] == (x, y):
+                    common = len(np.intersect1d(held[2], own, assume_unique=True))
+                    if common >= overlap_needed(len(held[2]), len(own)):
+                        found.append((x, y))
+                held = (x, y, own.copy())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)],
+                                                 names=["a", "b"])
 
     def side(name: str, *cols: str) -> DataFrame:
         return sets.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
 
-    near_udf, linked_udf = F.pandas_udf(near, "boolean"), F.pandas_udf(linked, "boolean")
+    near_udf = F.pandas_udf(near, "boolean")
     close = keep(pairs.join(side("a", "ranges", "n"), "a").join(side("b", "ranges", "n"), "b")
                  .where(near_udf("ranges_a", "ranges_b", "n_a", "n_b")).select("a", "b"), "close-pairs")
-    return (close.join(side("a", "grams"), "a").join(side("b", "grams"), "b")
-            .where(linked_udf("grams_a", "grams_b")).select("a", "b"))
+    # the sets move once, then each pair's two sets meet
+    wanted = close.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    return (wanted.join(sets.select("key", "grams"), "key").select("a", "b", "grams")
+            .repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(linked, "a long, b long"))
 
 
 def _spanning(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
