@@ -43,7 +43,7 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
 
     Returns (keys..., query_id, match_id, score, rank). ``exclude_self`` drops
     pairs with equal ids (self-search over one table). Scores are float64 sums
-    of products, rounded to SCORE_DIGITS; ties go to the lower index id.
+    of products; scores equal to SCORE_DIGITS are ties and go to the lower index id.
     """
     keys = list(keys)
     if not keys:  # one global partition key; keeps every step an equi-join
@@ -80,13 +80,14 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
         iids = idf["_iid"].to_numpy()
         by_id = np.argsort(iids, kind="stable")
         iids, im = iids[by_id], im[by_id]
-        scores = np.round(qm @ im.T, SCORE_DIGITS)
+        scores = qm @ im.T
         if exclude_self:
             scores[qids[:, None] == iids[None, :]] = -np.inf
         kk = min(k, scores.shape[1])
         # all above the k-th score, then of those at it the lowest ids (columns are in id order)
-        kth = np.partition(scores, scores.shape[1] - kk, axis=1)[:, [scores.shape[1] - kk]]
-        above, level = scores > kth, scores == kth
+        judged = np.round(scores, SCORE_DIGITS)
+        kth = np.partition(judged, judged.shape[1] - kk, axis=1)[:, [judged.shape[1] - kk]]
+        above, level = judged > kth, judged == kth
         level &= level.cumsum(axis=1) <= kk - above.sum(axis=1, keepdims=True)
         rows_q, cols_i = np.nonzero(above | level)
         sc = scores[rows_q, cols_i]
@@ -99,7 +100,7 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
     cells = (q.groupBy(*keys, "_qb", "_ib")
              .cogroup(i.groupBy(*i_keys, "_qb", "_ib"))
              .applyInPandas(cell, schema_str))
-    w = Window.partitionBy(*keys, "_qid").orderBy(F.col("score").desc(), F.col("_iid").asc())
+    w = Window.partitionBy(*keys, "_qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("_iid").asc())
     ranked = cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = ranked.select(*keys, F.col("_qid").alias("query_id"), F.col("_iid").alias("match_id"), "score", "rank")
     return out.drop("_all") if drop else out
