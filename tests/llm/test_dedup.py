@@ -221,3 +221,24 @@ def test_components_of_chains_and_stars(spark):
     nodes = {x for a, b in links for x in (a, b) if a != b}
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: r for n, r in roots(nodes, [x for x in links if x[0] != x[1]]).items()}
+
+
+def test_components_over_many_partitions(spark, monkeypatch):
+    """Rounds end although the links of a chain lie in different partitions that are not coalesced."""
+    monkeypatch.setattr(components, "PIECE", 16)
+    rng = random.Random(6)
+    names = rng.sample(range(10 ** 6), 200)
+    links = [*zip(names[:80], names[1:80], strict=False), *((names[80], x) for x in names[81:160])]
+    links += [(3, 2), (2, 1)] + [(rng.choice(names[160:]), rng.choice(names[160:])) for _ in range(30)]
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        frame = spark.createDataFrame(links, "a long, b long").repartition(64)
+        got = [tuple(r) for r in components.components(frame).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    links = [x for x in links if x[0] != x[1]]
+    assert sorted(got) == sorted(roots({x for link in links for x in link}, links).items())
