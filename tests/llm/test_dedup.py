@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import components, linededup, neardup, ngramjoin
@@ -242,3 +243,10 @@ def test_components_over_many_partitions(spark, monkeypatch):
             spark.conf.set(k, v)
     links = [x for x in links if x[0] != x[1]]
     assert sorted(got) == sorted(roots({x for link in links for x in link}, links).items())
+
+
+def test_pieces_of_a_large_star_are_bounded():
+    star = pa.RecordBatch.from_pydict({"a": list(range(1, 1001)), "b": [0] * 1000})
+    pieces = list(components._pieces(iter([star, star.slice(0, 0), star, star.slice(0, 70)]), 64))
+    assert max(len(a) for a, _ in pieces) == 64 and sum(len(a) for a, _ in pieces) == 2070
+    assert sorted(x for a, _ in pieces for x in a.tolist()) == sorted([*range(1, 1001)] * 2 + [*range(1, 71)])
