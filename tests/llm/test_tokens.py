@@ -148,3 +148,23 @@ def test_token_counts_hard_rows(hard, empty, clashing):
 def test_masks():
     text = "write to a.b@c-d.org or 10.0.0.1, call +1 (743) 555-3824"
     assert edited(text, tokencounts.masks(text)) == "write to <EMAIL> or <IP>, call <NUMBER>"
+
+
+def test_added_tokens_as_the_tokenizer_in_its_default_setting(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"a {end} b", f"x{end}{end}\n {end}  z", f"  {end}", end[:-1], f"{end[:5]}{end}{end[5:]}",
+             f"one two {end} three " * 300, f"word{end}" * 200]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(50256 in ids for ids in want)
+    assert [np.frombuffer(encoder().packed(t), dtype="<u2").tolist() for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencounts.token_counts(docs).collect()}
+    assert got == {i: len(ids) for i, ids in enumerate(want)}
+    ids = {}
+    for p in packing.pack(docs, window=64).orderBy("doc_id", "start").collect():
+        ids.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, dtype="<u4").tolist())
+    assert ids == {i: [*w, 1] for i, w in enumerate(want)}
+    for cut in range(len(texts[3]) + 1):  # an edit that makes or breaks the marker
+        before, after, _ = tokencounts.count_edited(texts[3], [(cut, cut, end)], encoder().count)
+        assert (before, after) == (len(want[3]), len(tokenizer.encode(texts[3][:cut] + end + texts[3][cut:]).ids))
