@@ -412,8 +412,8 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     return units.groupBy("label", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text hash, number of shingles and component label (null without words) of every row."""
     docs = docs.select("doc_id", "text")
     survey = keep(_survey(docs), "shingle-sets")
     uses = survey.where(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("used").alias("used")).toArrow()
@@ -432,8 +432,13 @@ def link_components(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     named = rows.join(found, F.col("key") == F.col("node"), "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
-    named = keep(named, "named-rows")
+        "doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
+    return keep(named, "named-rows")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    named = _labelled(docs)
     smallest = (named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"))
                 .withColumnRenamed("label", "of"))
     return named.join(smallest, F.col("label") == F.col("of"), "left").select(
@@ -441,6 +446,21 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is in the same component, with their own columns."""
-    found = link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_one")).distinct()
-    return docs.join(found, F.expr("doc_id <=> _one"), "left_semi")
+    """One row of each component, with its own columns, and every row without words.
+
+    It is the row with the smallest doc_id (null after all others), then text hash; of rows equal in
+    both, any one.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"),
+                    F.col("copies").alias("_copies"))
+    chosen = keep(_labelled(docs).where(F.col("label").isNotNull())
+                  .groupBy("label", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+                  .groupBy("label").agg(F.min(rank).alias("rank")).select("rank._id", "rank._th", "rank._copies"),
+                  "chosen-rows")
+    same = F.expr("doc_id <=> _id AND xxhash64(text) = _th")
+    # rows equal in both are added up before they move: they may be very many
+    repeated = (docs.join(chosen.where("_copies > 1"), same).groupBy("_id", "_th")
+                .agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return (docs.where(words).join(chosen.where("_copies = 1"), same, "left_semi")
+            .unionByName(repeated).unionByName(docs.where(~words)))

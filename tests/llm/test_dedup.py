@@ -156,6 +156,22 @@ def test_ngram_join_hard_rows(hard, empty, clashing):
     assert kept == [0, 1, 2, 3, 4, 5, 5, 7, 9, 10, 11, 12, 13]
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    a, b, c = line(1, 60), line(2, 60), line(3, 60)
+    rows = [(None, a), (None, f"{a} end"), (None, b), (4, c), (4, c), (4, c),  # no id; alone; repeated rows
+            (7, "first text of seven words stands here"), (7, f"{line(5, 60)} x"), (5, line(5, 60)),  # one id, two texts
+            (None, None), (None, None), (8, " "), (9, "one"), (None, "one")]
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string"),
+                  spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, th string, label string")):
+        out = ngramjoin.keep_one(frame)
+        assert out.columns == frame.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        pair = [r for r in got if r in rows[:2]]
+        assert len(pair) == 1
+        assert sorted((r for r in got if r not in rows[:2]), key=repr) == sorted(
+            [rows[2], rows[3], rows[6], rows[8], rows[9], rows[10], rows[11], rows[12]], key=repr)
+
+
 # --- embeddings
 
 VECTORS = "vec_id long, embedding array<float>, label int"
