@@ -24,3 +24,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> int:
     """Tasks that a scan of ``df`` gets at present."""
     return df.rdd.getNumPartitions()
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``keep`` returned; no plan may read it any more."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import classifier, htmltext, linededup, neardup, ngramjoin, packing, pieces, rules, tokencounts, urlfilter
+from . import centroids, classifier, htmltext, linededup, neardup, ngramjoin, packing, pieces, rules, tokencounts, urlfilter
 from .common import read
 
 
@@ -52,9 +52,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link_components(read(prepare(spark), sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(read(prepare(spark), sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op4_html_extraction, op5_url_filter,
-    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard)}
+    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard, op11_centroid_clustering)}
+
+# a round of op11: nearest centroids (structs are compared by distance, then number), then floors of the exact means
+_NEAREST = """a{i} AS MATERIALIZED (SELECT v.n, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x,
+  min({{'d': list_sum(list_transform(range(1, {dim} + 1), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i]))), 'c': k.c}}) AS near
+  FROM v CROSS JOIN c{i} k GROUP BY v.n)"""
+_ROUND = _NEAREST + """,
+s{j} AS (SELECT c, pos, sum(y) AS s, count(*) AS n FROM (SELECT near.c AS c, unnest(x) AS y, unnest(range({dim})) AS pos FROM a{i})
+  GROUP BY c, pos),
+m{j} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS x FROM s{j} GROUP BY c),
+c{j} AS MATERIALIZED (SELECT k.c, coalesce(m.x, k.x) AS x FROM c{i} k LEFT JOIN m{j} m ON m.c = k.c),
+"""
 
 ORACLE_SQL = {
     "op5_url_filter": """
@@ -117,4 +132,16 @@ lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
 degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT l.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, l.vec_id = l.component_id AS kept
 FROM lowest l LEFT JOIN degree d ON d.x = l.vec_id""",
+    "op11_centroid_clustering": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = {centroids.COMPONENTS}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), vec_id, x) - 1 AS c, x FROM v
+  QUALIFY c < {centroids.CENTROIDS}),
+{"".join(_ROUND.format(i=i, j=i + 1, dim=centroids.COMPONENTS) for i in range(centroids.ROUNDS))}
+{_NEAREST.format(i=centroids.ROUNDS, dim=centroids.COMPONENTS)},
+parts AS (SELECT near.c, sum(near.d)::BIGINT AS s FROM a{centroids.ROUNDS} GROUP BY near.c)
+SELECT a.vec_id, near.c::INTEGER AS cluster, near.d::BIGINT AS distance, p.s AS cluster_inertia,
+  (SELECT sum(s)::BIGINT FROM parts) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN parts p ON p.c = near.c JOIN c{centroids.ROUNDS} k ON k.c = near.c""",
 }
