@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import centroids, classifier, htmltext, linededup, neardup, ngramjoin, packing, pieces, rules, tokencounts, urlfilter
+from . import centroids, classifier, htmltext, linededup, neardup, ngramjoin, packing, periodic, pieces, rules, tokencounts, urlfilter
 from .common import read
 
 
@@ -56,9 +56,13 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(read(prepare(spark), sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(read(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op4_html_extraction, op5_url_filter,
-    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard, op11_centroid_clustering)}
+    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard, op11_centroid_clustering, op12_periodic_runs)}
 
 # a round of op11: nearest centroids (structs are compared by distance, then number), then floors of the exact means
 _NEAREST = """a{i} AS MATERIALIZED (SELECT v.n, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x,
