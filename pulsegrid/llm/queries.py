@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import prepare
 
-from . import centroids, classifier, htmltext, linededup, neardup, ngramjoin, packing, periodic, pieces, rules, tokencounts, urlfilter
+from . import (anchors, centroids, classifier, htmltext, linededup, neardup, ngramjoin, packing, periodic, pieces, rules,
+               tokencounts, urlfilter)
 from .common import read
 
 
@@ -60,9 +61,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(read(prepare(spark), sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.report(read(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_sentencepiece, op4_html_extraction, op5_url_filter,
-    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard, op11_centroid_clustering, op12_periodic_runs)}
+    op6_line_dedup, op7_token_counts, op8_embedding_neardup, op9_packing, op10_ngram_jaccard, op11_centroid_clustering, op12_periodic_runs,
+    op13_substring_dedup)}
 
 # a round of op11: nearest centroids (structs are compared by distance, then number), then floors of the exact means
 _NEAREST = """a{i} AS MATERIALIZED (SELECT v.n, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x,
@@ -148,4 +154,15 @@ parts AS (SELECT near.c, sum(near.d)::BIGINT AS s FROM a{centroids.ROUNDS} GROUP
 SELECT a.vec_id, near.c::INTEGER AS cluster, near.d::BIGINT AS distance, p.s AS cluster_inertia,
   (SELECT sum(s)::BIGINT FROM parts) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
 FROM a{centroids.ROUNDS} a JOIN parts p ON p.c = near.c JOIN c{centroids.ROUNDS} k ON k.c = near.c""",
+    "op13_substring_dedup": """
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) AS content
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM words WHERE len(w) >= 20)),
+again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM again),
+cut AS (SELECT doc_id, count(*) AS n, list(pos) AS p FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN c.n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(c.p, k - 1)) END, ' '))
+    AS kept_sha256
+FROM words d LEFT JOIN cut c ON c.doc_id = d.doc_id""",
 }
