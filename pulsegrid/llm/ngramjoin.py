@@ -7,12 +7,13 @@ similarity of 0.75 or more share a shingle among the first |x| - ceil(0.75 |x|)
 
 1. Prefix shingles with two classes or more are the posting lists, sorted by set size.
 2. Families: classes that are neighbours in a good share of their lists (each entry of a list has the
-   first entry of its size range for a neighbour). A family is only
-   a way to handle many mutual candidates without a row per pair: its sets are compared all with all
-   in blocks of bounded size, and a block returns a spanning forest of the links it found.
+   first entry of its size range for a neighbour). A family is only a way to handle many mutual
+   candidates without a row per pair: its sets are compared all with all in parts of bounded size,
+   which some pivots tie together; members outside the largest component so far are compared with
+   the whole family. A part returns a spanning forest of the links it found.
 3. Pairs of different families in a list pass the length and positional filters; each pair is then
-   kept once, passes the suffix filter (a bound of the set difference by counts in 64 hash ranges)
-   and is verified once with the whole sets.
+   kept once, passes the suffix filter (a bound of the set difference by counts in hash ranges of 4
+   to 8 shingles on average) and is verified once with the whole sets.
 4. Components of all links.
 
 Lists longer than a block are joined block by block. Any split into families gives the same result.
@@ -39,10 +40,10 @@ from .components import components, local_labels
 WORDS = 5
 SLOTS = 1 << 18
 BLOCK = 4096           # entries of a posting list that meet in one task
-FAMILY_DOCS = 1024     # sets in a block of a family, on average
+FAMILY_DOCS = 1024     # sets in a part of a family, on average
+PIVOTS = 16            # members of a large family that are compared with all its parts, on average
 FAMILY_SHINGLES = 1_500_000
 FAMILY_SHARE = 0.1     # of the shorter prefix, in lists where two classes are neighbours
-RANGES = 64            # of the suffix filter
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -105,6 +106,23 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def range_counts(grams: np.ndarray) -> bytes:
+    """Shingles in equal ranges of hashes, of which each has 4 to 8 on average (at least 32 ranges)."""
+    bits = max(5, len(grams).bit_length() - 3)
+    counts = np.bincount((grams >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """Whether the range counts allow a link: what they differ by is in one of the sets only."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(b, dtype=np.uint16).astype(np.int64)
+    least = min(len(x), len(y))
+    x, y = x.reshape(least, -1).sum(axis=1), y.reshape(least, -1).sum(axis=1)
+    return int(np.abs(x - y).sum()) <= n_a + n_b - 2 * overlap_needed(n_a, n_b)
+
+
 def _slots(grams: np.ndarray) -> np.ndarray:
     return ((grams >> _U(8)) % _U(SLOTS)).astype(np.int64)
 
@@ -299,39 +317,48 @@ def _cross_pairs(lists: DataFrame, families: DataFrame) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
-def _sets(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, n, shingles and counts by hash range of the classes in ``keys``."""
-    rep = (rows.join(keys, "key", "left_semi").groupBy("key")
-           .agg(F.min(F.struct("doc_id", "th")).alias("rep"))
-           .select(F.col("key").alias("rep_key"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+def _classes(rows: DataFrame, keys: DataFrame, families: DataFrame) -> DataFrame:
+    """Of the classes in ``keys``: one of their rows, their family (label, or null) and its number of parts."""
+    told = (rows.join(keys, "key", "left_semi").groupBy("key")
+            .agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n"))
+            .join(families.withColumnRenamed("node", "key"), "key", "left"))
+    parts = (told.where(F.col("label").isNotNull()).groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / FAMILY_DOCS), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("long").alias("parts"))
+        .withColumnRenamed("label", "of"))
+    return told.join(parts, F.col("label") == F.col("of"), "left").select(
+        F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "label", "parts")
+
+
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, n, shingles, counts by hash range, label and parts of the given classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # repeated rows come to the same task
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
+            out, at = [], []
+            for i, text in enumerate(batch.column("text")):
                 grams = shingles(text.as_py())
                 key = set_key(grams)
                 if key not in seen:
                     seen.add(key)
-                    ranges = np.bincount((grams >> _U(64 - 8)).astype(np.int64), minlength=256)
-                    out.append((key, len(grams), grams.tobytes(), np.minimum(ranges, 255).astype(np.uint8).tobytes()))
+                    out.append((key, len(grams), grams.tobytes(), range_counts(grams)))
+                    at.append(i)
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                                                 names=["key", "n", "grams", "ranges"])
+                family = [batch.column(c).take(pa.array(at)) for c in ("label", "parts")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)),
+                                                  *family], names=["key", "n", "grams", "ranges", "label", "parts"])
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return (texts.join(rep, F.expr("doc_id <=> rep_id AND th = rep_th")).select("text")
-            .mapInArrow(run, "key long, n long, grams binary, ranges binary"))
+    return (texts.join(classes, F.expr("doc_id <=> rep_id AND th = rep_th")).select("text", "label", "parts")
+            .mapInArrow(run, "key long, n long, grams binary, ranges binary, label long, parts long"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are links: suffix filter by counts in hash ranges, then the whole sets."""
 
     def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), 256).astype(np.int16) for s in (a, b))
-        return pd.Series(np.abs(x - y).sum(axis=1) <= na + nb - 2 * overlap_needed(na, nb))
+        return pd.Series([may_link(*x) for x in zip(a, b, na.tolist(), nb.tolist(), strict=True)], dtype=bool)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the pair's other set, which comes right before
@@ -389,27 +416,57 @@ def _spanning(keys: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     return [(int(keys[i]), int(keys[label[i]])) for i in moved]
 
 
-def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside families, block by block."""
-    members = families.join(sets.select(F.col("key").alias("node"), "n"), "node")
-    parts = members.groupBy("label").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / FAMILY_DOCS), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("long").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    units = (families.join(parts, "label").withColumn("own", own)
-             .select("label", "node", "own", F.inline(F.transform(
-                 F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-                 lambda b: F.struct(F.least("own", b).alias("lo"), F.greatest("own", b).alias("hi")))))
-             .join(sets.select(F.col("key").alias("node"), "grams"), "node"))
+def _block_links(units: DataFrame, *block: str) -> DataFrame:
+    """Spanning forests of the links between the left and the right sets of each block."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, own = table["node"].to_numpy(), table["own"].to_numpy()
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        keys = table["node"].to_numpy()
         grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["grams"]]
-        links = _spanning(keys, grams, np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+        left, right = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("is_left", "is_right"))
+        links = _spanning(keys, grams, left, right)
         return pa.table({"a": pa.array([x for x, _ in links], type=pa.int64()),
                          "b": pa.array([y for _, y in links], type=pa.int64())})
 
-    return units.groupBy("label", "lo", "hi").applyInArrow(run, "a long, b long")
+    return units.select(*block, "node", "is_left", "is_right", "grams").groupBy(*block).applyInArrow(run, "a long, b long")
+
+
+def _family_links(sets: DataFrame) -> DataFrame:
+    """Links inside families, as forests.
+
+    A family is dealt into parts of bounded size. Each part is compared all with all, together with
+    some pivots (about PIVOTS members, the same in all parts), which tie the parts' components
+    together. Only members that are then outside the family's largest component are compared with all
+    the others of the family, in blocks.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    family = (sets.where(F.col("label").isNotNull())
+              .select("label", F.col("key").alias("node"), "n", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "grams"))
+    pivots = (family.where((F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts") * max(1, FAMILY_DOCS // PIVOTS)) == 0))
+              .withColumn("own", F.col("part"))
+              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> own").drop("own"))
+    units = family.unionByName(pivots).withColumns({"is_left": yes, "is_right": yes})
+    links = _block_links(units, "label", "part")
+    if not family.where("parts > 1").limit(1).count():
+        return links
+    links = keep(links, "part-links")
+    large = family.where("parts > 1").select("label", "node", "n", "parts", "part")
+    found = components(links).select(F.col("node").alias("of"), F.col("label").alias("comp"))
+    members = keep(large.join(found, F.col("node") == F.col("of"), "left")
+                   .select("label", "node", "n", "parts", F.coalesce("comp", "node").alias("comp")), "family-members")
+    main = (members.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("size"))
+            .groupBy("label").agg(F.max(F.struct("size", "comp")).alias("main")).select("label", "main.comp"))
+    open_ = keep(members.join(main, ["label", "comp"], "left_anti").select("label", "node", "n"), "open-members")
+    blocks = (open_.groupBy("label").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / FAMILY_DOCS), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("long").alias("blocks")))
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    rest = family.join(blocks, "label")
+    left = (rest.join(open_.select("node"), "node", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .withColumn("part", each("parts")).withColumns({"is_left": yes, "is_right": no}))
+    right = rest.withColumn("block", each("blocks")).withColumns({"is_left": no, "is_right": yes})
+    return links.unionByName(_block_links(left.unionByName(right), "label", "block", "part"))
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -427,8 +484,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
     needed = (families.select(F.col("node").alias("key"))
               .unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key")))
               .distinct())
-    sets = keep(_sets(docs, rows, needed), "needed-sets")
-    links = _family_links(families, sets).unionByName(_verified(pairs, sets))
+    sets = keep(_sets(docs, _classes(rows, needed, families)), "needed-sets")
+    links = _family_links(sets).unionByName(_verified(pairs, sets))
     found = components(links)
 
     named = rows.join(found, F.col("key") == F.col("node"), "left").select(
@@ -439,8 +496,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     named = _labelled(docs)
-    smallest = (named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"))
-                .withColumnRenamed("label", "of"))
+    # written before the join: Spark can then split the rows of a hot label
+    smallest = keep(named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("smallest"))
+                    .withColumnRenamed("label", "of"), "smallest-ids")
     return named.join(smallest, F.col("label") == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 

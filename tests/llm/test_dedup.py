@@ -140,6 +140,17 @@ def test_filters_lose_no_link():
                 assert a - need + 1 <= ngramjoin.prefix_length(a) and b - need + 1 <= ngramjoin.prefix_length(b)
 
 
+def test_range_counts_reject_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:n - n // 8], rng.integers(0, 2 ** 64, n // 9, dtype=np.uint64)]))
+        assert 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        assert ngramjoin.may_link(ngramjoin.range_counts(a), ngramjoin.range_counts(b), len(a), len(b))
+        c = np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64))
+        assert n < 40 or not ngramjoin.may_link(ngramjoin.range_counts(a), ngramjoin.range_counts(c), len(a), len(c))
+
+
 def test_ngram_join_hard_rows(hard, empty, clashing):
     for df in (hard, clashing):
         rows = ngramjoin.link_components(df).collect()
@@ -152,8 +163,8 @@ def test_ngram_join_hard_rows(hard, empty, clashing):
         assert {c for _, c in groups[7] | groups[8]} == {7}
         assert (356, 7) in groups[None] and (0, None) in groups[None]
     assert ngramjoin.link_components(empty).count() == 0
-    kept = sorted(r.doc_id for r in ngramjoin.keep_one(clashing).collect())
-    assert kept == [0, 1, 2, 3, 4, 5, 5, 7, 9, 10, 11, 12, 13]
+    kept = sorted((r.doc_id for r in ngramjoin.keep_one(clashing).collect()), key=lambda d: (d is None, d or 0))
+    assert kept == [0, 1, 2, 3, 4, 5, 7, 9, 10, 11, 12, 13, None]  # one of each group, and all without words
 
 
 def test_keep_one_with_null_and_repeated_ids(spark):
