@@ -78,12 +78,16 @@ def alert_rollup(state: DataFrame, batch: DataFrame) -> DataFrame:
 
     The first alert of a key keeps its id, severity, triggered_at, source tool,
     org and payload; every later one adds 1 to duplicate_count and replaces
-    received_at. Batch order is (triggered_at, id). ``state`` may be empty;
+    received_at. Batch order is (triggered_at, id), then the ingest sequence
+    ``ingest_seq`` where the batch has one, then received_at and whatever else
+    is kept: rows that agree in all of it are interchangeable, so the result
+    does not depend on how twins were dealt. ``state`` may be empty;
     ``org_id`` and ``raw_payload`` are carried where both sides have them.
     """
     first = ["id", "severity", "triggered_at", "source_tool",
              *[c for c in ("org_id", "raw_payload") if c in batch.columns and c in state.columns]]
-    order = F.struct("triggered_at", "id")
+    sequence = ["ingest_seq"] if "ingest_seq" in batch.columns else []
+    order = F.struct("triggered_at", "id", *sequence, "received_at", *first[1:2], *first[3:])
     agg = batch.groupBy(*ALERT_KEY).agg(
         F.min_by(F.struct(*first), order).alias("_first"), F.count(F.lit(1)).alias("_n"),
         F.max_by("received_at", order).alias("_recv"))

@@ -71,12 +71,14 @@ def trend_stats(metrics: DataFrame, keys, value_col: str = "rss_mb", bucket_seco
     are counted per (key, time bucket), bucket prefix counts locate the one
     bucket holding the split row, and only that bucket is ranked row by row.
     So a hot key costs one partial aggregate plus one bucket-sized sort.
+    Values keep their type: decimals are added up exactly, in any order, and
+    divided once, so the means do not depend on how rows were dealt.
     """
     keys = list(keys)
     bucket_us = int(bucket_seconds * 1_000_000)
     rows = (metrics.where(F.col(value_col).isNotNull())
             .select(*keys, F.unix_micros("ts").alias("us"), F.col("id").alias("rid"),
-                    F.col(value_col).cast("double").alias("v"))
+                    F.col(value_col).alias("v"))
             .withColumn("bucket", F.floor(F.col("us") / F.lit(bucket_us))))
     per_bucket = rows.groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("cnt"), F.sum("v").alias("s"),
@@ -90,25 +92,25 @@ def trend_stats(metrics: DataFrame, keys, value_col: str = "rss_mb", bucket_seco
     head = per_bucket.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("mid").alias("mid"),
         F.sum("s").alias("s_all"),
-        F.sum(F.when(F.col("before") + F.col("cnt") <= F.col("mid"), F.col("s")).otherwise(0.0)).alias("s_full"),
+        F.sum(F.when(F.col("before") + F.col("cnt") <= F.col("mid"), F.col("s"))).alias("s_full"),
         F.min("b_first").alias("first_us"), F.max("b_last").alias("last_us"),
         F.max(F.when((F.col("before") <= F.col("mid")) & (F.col("mid") < F.col("before") + F.col("cnt")),
                      F.col("bucket"))).alias("split_bucket"),
         F.max(F.when((F.col("before") <= F.col("mid")) & (F.col("mid") < F.col("before") + F.col("cnt")),
                      F.col("mid") - F.col("before"))).alias("take"),
     )
-    split_rows = rows.join(head.select(*keys, F.col("split_bucket").alias("bucket"), "take"),
-                           [*keys, "bucket"], "inner")
+    # the split row lies in some bucket of every key: its rows carry the key's totals along
     local = Window.partitionBy(*keys, "bucket").orderBy("us", "rid")
-    partial = (split_rows.withColumn("rn", F.row_number().over(local))
-               .where(F.col("rn") <= F.col("take"))
-               .groupBy(*keys).agg(F.sum("v").alias("s_part")))
-    out = head.join(partial, keys, "left").withColumn("s_part", F.coalesce("s_part", F.lit(0.0)))
-    s1 = F.col("s_full") + F.col("s_part")
+    out = (rows.join(head.withColumnRenamed("split_bucket", "bucket"), [*keys, "bucket"])
+           .withColumn("rn", F.row_number().over(local))
+           .groupBy(*keys).agg(
+               *[F.first(c).alias(c) for c in ("n", "mid", "s_all", "s_full", "first_us", "last_us")],
+               F.sum(F.when(F.col("rn") <= F.col("take"), F.col("v"))).alias("s_part")))
+    s1 = F.coalesce("s_full", F.lit(0)) + F.coalesce("s_part", F.lit(0))
     return out.select(
         *keys, "n", "first_us", "last_us",
-        F.try_divide(s1, F.col("mid")).alias("avg1"),
-        F.try_divide(F.col("s_all") - s1, F.col("n") - F.col("mid")).alias("avg2"),
+        F.try_divide(s1.cast("double"), F.col("mid")).alias("avg1"),
+        F.try_divide((F.col("s_all") - s1).cast("double"), F.col("n") - F.col("mid")).alias("avg2"),
     )
 
 

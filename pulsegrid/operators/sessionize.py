@@ -72,6 +72,57 @@ def sessionize_plain(df: DataFrame, keys, gap_seconds: float, ts_col: str = "ts"
     return out.withColumn(out_col, F.timestamp_micros("_st")).drop("_st")
 
 
+def session_rollup(df: DataFrame, keys, gap_seconds: float, ts_col: str = "ts", order_cols=("seq", "src_id", "sub"),
+                   bucket_seconds: float = 3600.0, out_col: str = GROUP_START) -> DataFrame:
+    """Sessions rolled up in one pass: ``group_rollup`` of ``sessionize`` and the first two sample messages.
+
+    Rows are folded into one summary per session part (key, time bucket, session in the bucket): first and
+    last time, count, whether critical, the small metric and event sets, and its first two distinct
+    critical messages with their places. Summaries merge: the parts of a session are found from their
+    times alone by one window over the summaries, and every field of the whole comes from the fields of
+    the parts. The rows are read and moved once, by (key, bucket), so a hot key is spread over its buckets;
+    what is ordered by key is a few summaries an hour. The second message is the first one among the
+    parts' that differs from the session's first, which each part's two messages suffice to tell.
+    """
+    keys = list(keys)
+    gap_us, bucket_us = int(round(gap_seconds * 1_000_000)), int(bucket_seconds * 1_000_000)
+    said = (F.col("severity") == "critical") & F.col("message").isNotNull() & (F.col("message") != "")
+    rows = (df.withColumn("_us", F.unix_micros(F.col(ts_col)))
+            .select(*keys, "_us", F.floor(F.col("_us") / F.lit(bucket_us)).alias("_bucket"), *order_cols,
+                    (F.col("severity") == "critical").alias("_critical"), "metric",
+                    F.when(F.col("event") != "", F.col("event")).alias("event"),
+                    F.when(said, F.struct("_us", *order_cols, "message")).alias("_said")))
+    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_us", *order_cols)
+    before = F.lag("_us").over(in_bucket)
+    rows = (rows.withColumn("_new", before.isNull() | (F.col("_us") - before > gap_us))
+            .withColumn("_part", F.sum(F.col("_new").cast("int")).over(
+                in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .withColumn("_one", F.min("_said").over(Window.partitionBy(*keys, "_bucket", "_part"))))
+    parts = rows.groupBy(*keys, "_bucket", "_part").agg(
+        F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n"),
+        F.bool_or("_critical").alias("_critical"), F.array_sort(F.collect_set("metric")).alias("_metrics"),
+        F.array_sort(F.collect_set("event")).alias("_events"), F.min("_one").alias("_one"),
+        F.min(F.when(F.col("_said.message") != F.col("_one.message"), F.col("_said"))).alias("_two"))
+
+    by_key = Window.partitionBy(*keys).orderBy("_bucket", "_part")
+    end = F.lag("_last").over(by_key)
+    begins = F.when(end.isNull() | (F.col("_first") - end > gap_us), F.col("_first"))
+    parts = (parts.withColumn("_begins", begins)
+             .withColumn("_start", F.max("_begins").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("_whole", F.min("_one").over(Window.partitionBy(*keys, "_start")))
+             .withColumn("_other", F.when(F.col("_one.message") == F.col("_whole.message"), F.col("_two"))
+                         .otherwise(F.col("_one"))))
+    return parts.groupBy(*keys, F.timestamp_micros("_start").alias(out_col)).agg(
+        F.timestamp_micros(F.min("_first")).alias("first_ts"), F.timestamp_micros(F.max("_last")).alias("last_ts"),
+        F.sum("_n").alias("n_breaches"),
+        F.when(F.bool_or(F.coalesce("_critical", F.lit(False))), "critical").otherwise("warning").alias("severity"),
+        # sets over small vocabularies: as many different arrays as their combinations, at most
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_metrics")))).alias("metrics"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_events")))).alias("events"),
+        F.filter(F.array(F.min("_whole")["message"], F.min("_other")["message"]),
+                 lambda m: m.isNotNull()).alias("samples"))
+
+
 def group_rollup(grouped: DataFrame, keys=("org_id", "service"), group_col: str = GROUP_START) -> DataFrame:
     """first_ts, last_ts, size, severity (critical if any), sorted distinct metrics and events.
 

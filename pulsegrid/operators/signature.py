@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sessionize import GROUP_START, group_rollup
+from .sessionize import GROUP_START, group_rollup, session_rollup
 
 MESSAGE_CHARS = 200
 SAMPLE_MESSAGES = 2
@@ -62,3 +62,10 @@ def group_signatures(grouped: DataFrame, keys=("org_id", "service"), group_col:
         "signature_text",
         signature_text(F.col("service"), F.col("metrics"), F.col("events"), F.col("severity"),
                        F.coalesce(F.col("samples"), F.array().cast("array<string>"))))
+
+
+def session_signatures(breaches: DataFrame, gap_seconds: float, keys=("org_id", "service")) -> DataFrame:
+    """``group_signatures`` of the gap sessions of ``breaches``, from one pass over them."""
+    out = session_rollup(breaches, keys, gap_seconds)
+    return out.withColumn("signature_text", signature_text(
+        F.col("service"), F.col("metrics"), F.col("events"), F.col("severity"), F.col("samples")))

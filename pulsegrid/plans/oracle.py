@@ -35,7 +35,7 @@ BREACHES = """mb AS (
          NULL, NULL, NULL, 0, id, 2
   FROM metrics_v WHERE active_connections >= 19),
 rss AS (
-  SELECT org_id, service, ts, id, CAST(rss_mb AS DOUBLE) AS v,
+  SELECT org_id, service, ts, id, rss_mb AS v,
          (epoch_us(ts) // 3600000000 - k) * 3600000000 AS ws
   FROM metrics_v, range(0, 6) AS r(k) WHERE rss_mb IS NOT NULL),
 ranked AS (
@@ -44,7 +44,7 @@ ranked AS (
   FROM rss),
 tr AS (
   SELECT org_id, service, ws, n,
-         avg(CASE WHEN rn < n // 2 THEN v END) AS a1, avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+         CAST(sum(v) FILTER (rn < n // 2) AS DOUBLE) / count(v) FILTER (rn < n // 2) AS a1, CAST(sum(v) FILTER (rn >= n // 2) AS DOUBLE) / count(v) FILTER (rn >= n // 2) AS a2,
          epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
   FROM ranked GROUP BY org_id, service, ws, n),
 trend AS (
@@ -108,14 +108,14 @@ FROM sig"""
 MB = BREACHES.split(",\nrss AS (")[0]
 LB = "lb AS (" + BREACHES.split(",\nlb AS (")[1].split(",\nbreaches AS (")[0]
 TREND_ALL = """rss AS (
-  SELECT org_id, service, ts, CAST(rss_mb AS DOUBLE) AS v,
+  SELECT org_id, service, ts, rss_mb AS v,
          row_number() OVER (PARTITION BY org_id, service ORDER BY ts, id) - 1 AS rn,
          count(*) OVER (PARTITION BY org_id, service) AS n
   FROM metrics_v WHERE rss_mb IS NOT NULL),
 tr AS (
   SELECT org_id, service, n,
-         avg(CASE WHEN rn < n // 2 THEN v END) AS a1,
-         avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+         CAST(sum(v) FILTER (rn < n // 2) AS DOUBLE) / count(v) FILTER (rn < n // 2) AS a1,
+         CAST(sum(v) FILTER (rn >= n // 2) AS DOUBLE) / count(v) FILTER (rn >= n // 2) AS a2,
          epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
   FROM rss GROUP BY org_id, service, n),
 trend AS (
@@ -145,7 +145,7 @@ ORACLE["signature_text"] = with_views(METRICS_V, LOGS_V) + ",\n".join([BREACHES,
 SELECT org_id, service, {iso('first_ts')} AS first_ts, signature_text FROM sig"""
 
 ORACLE["detect_rss_trend_sliding"] = with_views(METRICS_V) + f"""rssw AS (
-  SELECT org_id, service, ts, id, CAST(rss_mb AS DOUBLE) AS v,
+  SELECT org_id, service, ts, id, rss_mb AS v,
          (epoch_us(ts) // 3600000000 - k) * 3600000000 AS ws
   FROM metrics_v, range(0, 6) AS r(k) WHERE rss_mb IS NOT NULL),
 ranked AS (
@@ -154,7 +154,7 @@ ranked AS (
   FROM rssw),
 st AS (
   SELECT org_id, service, ws, n,
-         avg(CASE WHEN rn < n // 2 THEN v END) AS a1, avg(CASE WHEN rn >= n // 2 THEN v END) AS a2,
+         CAST(sum(v) FILTER (rn < n // 2) AS DOUBLE) / count(v) FILTER (rn < n // 2) AS a1, CAST(sum(v) FILTER (rn >= n // 2) AS DOUBLE) / count(v) FILTER (rn >= n // 2) AS a2,
          epoch_us(min(ts)) AS f, epoch_us(max(ts)) AS l, max(ts) AS last_ts
   FROM ranked GROUP BY org_id, service, ws, n)
 SELECT org_id, service, {iso('make_timestamp(ws)')} AS win_start,
@@ -677,9 +677,9 @@ SELECT c.id,
 FROM cases_v c LEFT JOIN m ON m.case_id = c.id"""
 
 ROLLED = """rolled AS (
-  SELECT arg_min(id, (triggered_at, id)) AS id, case_id, service, metric,
-         arg_min(severity, (triggered_at, id)) AS severity, min(triggered_at) AS triggered_at,
-         count(*) AS duplicate_count, arg_max(received_at, (triggered_at, id)) AS received_at
+  SELECT arg_min(id, (triggered_at, id, received_at, severity)) AS id, case_id, service, metric,
+         arg_min(severity, (triggered_at, id, received_at, severity)) AS severity, min(triggered_at) AS triggered_at,
+         count(*) AS duplicate_count, arg_max(received_at, (triggered_at, id, received_at)) AS received_at
   FROM alerts_v GROUP BY case_id, service, metric)"""
 
 ORACLE["alert_rollup"] = with_views(ALERTS_V) + ROLLED + f"""
@@ -690,10 +690,11 @@ FROM rolled"""
 ORACLE["alert_rollup_update"] = with_views(ALERTS_V) + f"""halves AS (
   SELECT *, triggered_at >= TIMESTAMP '1996-01-01' AS h, 'org-' || (case_id % 3) AS org_id,
     '{{"q":' || CAST(quantity AS INTEGER) || '}}' AS raw_payload FROM alerts_v)
-SELECT arg_min(id, (triggered_at, id)) AS id, any_value(org_id) AS org_id, case_id, service, metric,
-  arg_min(severity, (triggered_at, id)) AS severity, arg_min(raw_payload, (triggered_at, id)) AS raw_payload,
+SELECT arg_min(id, (triggered_at, id, received_at, severity, raw_payload)) AS id, any_value(org_id) AS org_id, case_id,
+  service, metric, arg_min(severity, (triggered_at, id, received_at, severity, raw_payload)) AS severity,
+  arg_min(raw_payload, (triggered_at, id, received_at, severity, raw_payload)) AS raw_payload,
   {iso('min(triggered_at)')} AS triggered_at, CAST(count(*) AS INTEGER) AS duplicate_count,
-  {iso('arg_max(received_at, (triggered_at, id))')} AS received_at
+  {iso('arg_max(received_at, (triggered_at, id, received_at))')} AS received_at
 FROM halves GROUP BY case_id, service, metric"""
 
 ORACLE["case_timeline"] = with_views(ALERTS_V) + ROLLED + """,
@@ -1055,12 +1056,12 @@ TICKS = 5  # at most so many 10-day slices have events; a slice without events c
 TICK_GROUPS = """slices AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS s, as_of FROM (
   SELECT floor(epoch(ts) / 864000) AS f, max(ts) AS as_of FROM events GROUP BY 1) x),
 tr0 AS (
-  SELECT m.org_id, m.service, a.s, m.ts, CAST(m.rss_mb AS DOUBLE) AS v,
+  SELECT m.org_id, m.service, a.s, m.ts, m.rss_mb AS v,
     row_number() OVER (PARTITION BY a.s, m.org_id, m.service ORDER BY m.ts, m.id) - 1 AS rn,
     count(*) OVER (PARTITION BY a.s, m.org_id, m.service) AS n
   FROM metrics_v m JOIN slices a ON m.ts > a.as_of - INTERVAL 6 HOUR AND m.ts <= a.as_of WHERE m.rss_mb IS NOT NULL),
 tr1 AS (SELECT s, org_id, service, any_value(n) AS n, min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l, max(ts) AS ts,
-    avg(v) FILTER (rn < n // 2) AS a1, avg(v) FILTER (rn >= n // 2) AS a2 FROM tr0 GROUP BY s, org_id, service),
+    CAST(sum(v) FILTER (rn < n // 2) AS DOUBLE) / count(v) FILTER (rn < n // 2) AS a1, CAST(sum(v) FILTER (rn >= n // 2) AS DOUBLE) / count(v) FILTER (rn >= n // 2) AS a2 FROM tr0 GROUP BY s, org_id, service),
 breaches AS (
   SELECT sl.s, b.* FROM (SELECT * FROM mb UNION ALL SELECT * FROM lb) b JOIN slices sl ON floor(epoch(b.ts) / 864000) = sl.f
   UNION ALL SELECT s, org_id, service, 'rss_mb', (a2 - a1) / ((l - f) / 60000000.0), ts, 'warning', NULL, NULL, NULL,

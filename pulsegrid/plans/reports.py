@@ -65,7 +65,7 @@ def _breach_out(df: DataFrame) -> DataFrame:
 
 @report("breach_group_rollup")
 def breach_group_rollup(spark, sf_dir):
-    sig = signature.group_signatures(_grouped(spark, sf_dir))
+    sig = signature.session_signatures(_breaches(spark, sf_dir), DRIVER_GAP_SECONDS)
     return sig.select(
         "org_id", "service", iso("first_ts").alias("first_ts"), iso("last_ts").alias("last_ts"),
         "n_breaches", "severity", F.array_join("metrics", ",").alias("metrics"),
@@ -131,7 +131,7 @@ def breach_groups(spark, sf_dir):
 
 @report("signature_text")
 def signature_text_report(spark, sf_dir):
-    sig = signature.group_signatures(_grouped(spark, sf_dir))
+    sig = signature.session_signatures(_breaches(spark, sf_dir), DRIVER_GAP_SECONDS)
     return sig.select("org_id", "service", iso("first_ts").alias("first_ts"), "signature_text")
 
 
@@ -672,7 +672,7 @@ DRIVER_AS_OF = "2024-02-01 00:00:00"
 
 
 def _groups(spark, sf_dir):
-    return signature.group_signatures(_grouped(spark, sf_dir))
+    return signature.session_signatures(_breaches(spark, sf_dir), DRIVER_GAP_SECONDS)
 
 
 def _opened(spark, sf_dir):

@@ -47,7 +47,7 @@ LOGS = {
     "alerts": "org_id string, case_id bigint, service string, metric string, severity string, "
               "triggered_at timestamp, raw_payload string, source_tool string, n bigint, received_at timestamp",
     "timeline": "case_id bigint, org_id string, at timestamp, seq bigint, event string, color string",
-    "recent_metrics": "id bigint, org_id string, service string, ts timestamp, rss_mb double",
+    "recent_metrics": "id bigint, org_id string, service string, ts timestamp, rss_mb decimal(18,3)",
     "resolutions": "id bigint, epoch int, at timestamp",
     "summaries": f"id bigint, epoch int, title string, ai_summary string, hypotheses {HYPOTHESES}, "
                  f"evidence {EVIDENCE}, at timestamp",
@@ -140,7 +140,7 @@ def _recent_metrics(spark: SparkSession, metrics: DataFrame, state_dir: str, bat
     """Memory values after ``since``: those of this batch, and those the batch before has kept."""
     kept = read_log(spark, state_dir, "recent_metrics", batch_id)
     newest = kept.agg(F.max("batch")).first()[0]
-    own = metrics.select("id", "org_id", "service", "ts", F.col("rss_mb").cast("double").alias("rss_mb"))
+    own = metrics.select("id", "org_id", "service", "ts", F.col("rss_mb").cast("decimal(18,3)").alias("rss_mb"))
     both = own if newest is None else own.unionByName(kept.where(F.col("batch") == newest).drop("batch"))
     return both.where((F.col("ts") > since) & F.col("rss_mb").isNotNull())
 
@@ -167,7 +167,7 @@ def tick(spark: SparkSession, events: DataFrame, state_dir: str, batch_id: int,
     for p in parts[1:]:
         breaches = breaches.unionByName(p.select(*detect.BREACH_COLUMNS))
     grouped = sessionize.sessionize(breaches, ["org_id", "service"], gap_seconds, order_cols=["seq", "src_id", "sub"])
-    signed = embed.embed_text(signature.group_signatures(grouped), "signature_text", dim=dim, embedder=embedder)
+    signed = embed.embed_text(signature.session_signatures(breaches, gap_seconds), "signature_text", dim=dim, embedder=embedder)
     numbered = incidents.global_sequence(signed, ["first_ts", "org_id", "service"], F.to_date("first_ts"),
                                          start=(batch_id + 1) * 1_000_000_000 + 1, out_col="gid")
     _write(numbered.withColumn("vector", F.col("vector").cast("array<float>")), state_dir, "groups", batch_id)

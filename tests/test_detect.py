@@ -78,3 +78,35 @@ def test_signature_text(spark):
     sig = signature.group_signatures(g).collect()[0]["signature_text"]
     assert sig == ('service=payments-service; metrics=[log_error]; events=[payment_gateway_timeout]; '
                    'severity=critical; sample_messages="Timeout calling card processor"')
+
+
+def test_trend_does_not_depend_on_the_order_of_rows(spark):
+    vals = [Decimal(v) / 10 for v in (2001, 2013, 2107, 2299, 2301, 2403, 2507, 2611, 2703)]
+    rows = [(i, T0 + dt.timedelta(seconds=15 * i), "s", None, None, None, v, "o") for i, v in enumerate(vals)]
+    mean = [float(sum(vals[:4])) / 4, float(sum(vals[4:])) / 5]
+    for k in range(4):
+        got = detect.detect_rss_trend(_metrics(spark, rows[k:] + rows[:k]).repartition(k + 1), bucket_seconds=20).collect()
+        assert [r["value"] for r in got] == [(mean[1] - mean[0]) / 2.0]
+
+
+SESSIONS = st.lists(st.tuples(st.integers(0, 300), st.sampled_from(["critical", "warning"]), st.sampled_from(["a", "b", "c", "", None]),
+                              st.sampled_from(["error_rate", "rss_mb"]), st.sampled_from(["e1", "", None])),
+                    min_size=1, max_size=40)
+
+
+@settings(max_examples=12, deadline=None)
+@given(SESSIONS, st.sampled_from([1.0, 10.0, 45.0]))
+def test_one_pass_rollup_equals_grouping_first(spark, rows, gap):
+    """Sessions over many buckets: summaries merge to what the rows of each group give."""
+    data = [("o", "st"[i % 2], metric, 1.0, T0 + dt.timedelta(seconds=at), severity, event, message, None, 2, i, 0)
+            for i, (at, severity, message, metric, event) in enumerate(rows)]
+    b = spark.createDataFrame(data, "org_id string, service string, metric string, value double, ts timestamp, "
+                                    "severity string, event string, message string, trace_id string, seq int, "
+                                    "src_id bigint, sub int")
+    grouped = sessionize.sessionize_plain(b, ["org_id", "service"], gap, order_cols=["seq", "src_id", "sub"])
+    columns = ["org_id", "service", "group_start", "first_ts", "last_ts", "n_breaches", "severity", "metrics", "events"]
+    want = signature.group_signatures(grouped).select(*columns, "signature_text").collect()
+    one_pass = sessionize.session_rollup(b, ["org_id", "service"], gap, bucket_seconds=7)
+    got = one_pass.withColumn("signature_text", signature.signature_text(
+        F.col("service"), F.col("metrics"), F.col("events"), F.col("severity"), F.col("samples"))).select(*columns, "signature_text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))

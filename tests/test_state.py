@@ -66,3 +66,16 @@ def test_incident_upsert_numbers_and_repeats(spark):
     assert set(out) == {"Boom", "Other"}
     assert out["Boom"]["inc_id"] == "INC-0001" and out["Boom"]["occurrences"] == 2
     assert out["Other"]["inc_id"] == "INC-0002"
+
+
+def test_twin_alerts_are_rolled_up_alike_in_any_order(spark):
+    schema = ("id bigint, case_id bigint, service string, metric string, severity string, triggered_at timestamp, "
+              "source_tool string, duplicate_count int, received_at timestamp, org_id string, raw_payload string")
+    twins = [(7, 1, "s", "m", "warning", T0, "t", 1, T0, "o", f'{{"q":{q}}}') for q in (3, 1, 2)]
+    empty = spark.createDataFrame([], schema)
+    for rows in (twins, twins[::-1], twins[1:] + twins[:1]):
+        out = cases.alert_rollup(empty, spark.createDataFrame(rows, schema).repartition(3)).collect()
+        assert [(r["id"], r["raw_payload"], r["duplicate_count"]) for r in out] == [(7, '{"q":1}', 3)]
+    first = [(*twins[0], 2), (*twins[1], 1), (*twins[2], 0)]  # a real sequence decides before the payload
+    out = cases.alert_rollup(empty, spark.createDataFrame(first, schema + ", ingest_seq long")).collect()
+    assert [r["raw_payload"] for r in out] == ['{"q":2}']
