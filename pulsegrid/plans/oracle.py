@@ -937,7 +937,7 @@ ORACLE["stream_cooldown"] = COOLDOWN_SQL
 STREAM_BREACHES = MB + ",\n" + LB + """,
 breaches AS (SELECT * FROM mb UNION ALL SELECT * FROM lb)"""
 
-ORACLE["stream_detect"] = with_views(METRICS_V, LOGS_V) + STREAM_BREACHES + "\n" + breach_select("breaches")
+ORACLE["stream_detect"] = ORACLE["all_breaches"]  # a stream finds what the batch finds, the trend included
 
 ORACLE["stream_breach_sessions"] = with_views(METRICS_V, LOGS_V) + STREAM_BREACHES + ",\n" + GROUPED + f"""
 SELECT org_id, service, {iso('min(ts)')} AS first_ts, {iso('max(ts)')} AS last_ts, count(*) AS n_breaches,

@@ -1137,7 +1137,9 @@ def stream_cooldown(spark, sf_dir):
 @report("stream_detect")
 def stream_detect(spark, sf_dir):
     from ..streaming import jobs
-    return _breach_out(jobs.stream_detect(spark, sf_dir))
+    trend = {"window_seconds": detect._seconds(DRIVER_TREND_WINDOW), "slide_seconds": detect._seconds(DRIVER_TREND_SLIDE),
+             "slope_mb_per_min": DRIVER_TREND_SLOPE, "min_mb": DRIVER_TREND_MIN_MB}
+    return _breach_out(jobs.stream_detect(spark, sf_dir, trend))
 
 
 @report("stream_breach_sessions")

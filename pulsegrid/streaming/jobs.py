@@ -40,7 +40,7 @@ def events_stream(spark: SparkSession, src_dir: str, glob: str = "events.parquet
 
 
 def stream_breaches(events: DataFrame) -> DataFrame:
-    """Threshold and error-log breaches of a stream (the trend detector needs ranked windows: batch only)."""
+    """Threshold and error-log breaches of a stream, which need no state (the trend is ``stream_trend``)."""
     parts = [detect.detect_metric_breaches(views.metrics_from(events)),
              detect.detect_error_logs(views.logs_from(events))]
     return parts[0].select(*detect.BREACH_COLUMNS).unionByName(parts[1].select(*detect.BREACH_COLUMNS))
@@ -82,12 +82,127 @@ def read_batches(spark: SparkSession, out_dir: str, schema: str | None = None) -
     return r.parquet(out_dir)
 
 
-def stream_detect(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """T-1: breaches detected micro-batch by micro-batch, appended; returns the sink contents."""
+class TrendProcessor(StatefulProcessor):
+    """Per key: memory values by slide bucket with their running sums; a timer at each window's end.
+
+    When the watermark passes the end of a window, its halves are added up from the sums of whole buckets
+    and the values of the one bucket that the middle falls into, the trend is emitted if it is a breach,
+    and the window's first bucket, which no later window holds, is evicted. So the state of a key is the
+    values of one window and the watermark's delay. Values are whole thousandths: sums are exact.
+    """
+
+    slide_us, per_window = 10_000_000, 12
+    slope_mb_per_min = min_mb = 0.0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket long", "total long, us array<long>, id array<long>, v array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            pdf = pdf[pdf["v"].notna()]
+            for b, part in pdf.groupby(pdf["us"] // self.slide_us):
+                b, new = int(b), [[int(x) for x in part[c]] for c in ("us", "id", "v")]
+                total, old = sum(new[2]), self.buckets.getValue((b,))
+                if old is not None:
+                    total += int(old[0])
+                    new = [[*(int(x) for x in o), *n] for o, n in zip(old[1:], new, strict=True)]
+                else:
+                    for later in range(1, self.per_window + 1):  # windows with this bucket end here
+                        self.handle.registerTimer((b + later) * self.slide_us // 1000)
+                self.buckets.updateValue((b,), (total, *new))
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slide_us
+        held = [self.buckets.getValue((b,)) for b in range(end - self.per_window, end)]
+        found = self._trend([b for b in held if b is not None])
+        if held[0] is not None:
+            self.buckets.removeKey((end - self.per_window,))
+        yield self._rows(key, found)
+
+    def _trend(self, buckets: list[tuple]) -> list[tuple[float, int]]:
+        n = sum(len(b[1]) for b in buckets)
+        if n < 4:
+            return []
+        first, last, middle = int(min(buckets[0][1])), int(max(buckets[-1][1])), n // 2
+        if last <= first:
+            return []
+        whole, early, before = sum(int(b[0]) for b in buckets), 0, 0
+        for total, us, ids, values in buckets:
+            if before + len(us) <= middle:
+                early += int(total)
+            elif before < middle:
+                ranked = sorted(zip(map(int, us), map(int, ids), map(int, values)))
+                early += sum(v for _, _, v in ranked[:middle - before])
+            before += len(us)
+        means = early / 1000 / middle, (whole - early) / 1000 / (n - middle)
+        slope = (means[1] - means[0]) / ((last - first) / 60_000_000.0)
+        return [(slope, last)] if slope >= self.slope_mb_per_min and means[1] >= self.min_mb else []
+
+    @staticmethod
+    def _rows(key, found: list[tuple[float, int]]) -> pd.DataFrame:
+        names = [pd.Series([k] * len(found), dtype="object") for k in key]
+        return pd.DataFrame({"org_id": names[0], "service": names[1],
+                             "value": pd.Series([f[0] for f in found], dtype="float64"),
+                             "us": pd.Series([f[1] for f in found], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_trend(metrics: DataFrame, window_seconds: float, slide_seconds: float, slope_mb_per_min: float, min_mb: float,
+                 watermark: str = "1 hour") -> DataFrame:
+    """D5 on a stream: the trailing memory trend of each (org, service) at every slide, in breach columns.
+
+    A window is judged once the watermark has passed its end; equal to ``detect_rss_trend_sliding`` over
+    the same rows. The window must be a multiple of the slide, the slide whole milliseconds.
+    """
+    slide = int(round(slide_seconds * 1_000_000))
+    of_window = int(round(window_seconds * 1_000_000)) // slide
+
+    class Proc(TrendProcessor):
+        slide_us, per_window = slide, of_window
+
+    Proc.slope_mb_per_min, Proc.min_mb = slope_mb_per_min, min_mb
+    rows = metrics.withWatermark("ts", watermark).select(
+        "org_id", "service", "ts", F.unix_micros("ts").alias("us"), "id", (F.col("rss_mb") * 1000).cast("bigint").alias("v"))
+    found = rows.groupBy("org_id", "service").transformWithStateInPandas(
+        statefulProcessor=Proc(), outputStructType="org_id string, service string, value double, us long",
+        outputMode="Append", timeMode="EventTime")
+    none = F.lit(None).cast("string")
+    return found.select("org_id", "service", F.lit("rss_mb").alias("metric"), "value", F.timestamp_micros("us").alias("ts"),
+                        F.lit("warning").alias("severity"), none.alias("event"), none.alias("message"),
+                        none.alias("trace_id"), F.lit(detect.SEQ_TREND).alias("seq"),
+                        F.lit(-1).cast("bigint").alias("src_id"), F.lit(0).alias("sub"))
+
+
+def stream_detect(spark: SparkSession, src_dir: str, trend: dict | None = None, watermark: str = "1 hour",
+                  max_files_per_trigger: int | None = None, close: bool = True, glob: str = "events.parquet") -> DataFrame:
+    """T-1: breaches of all three detectors, micro-batch by micro-batch; returns the sink contents.
+
+    ``trend`` holds the arguments of ``stream_trend`` besides metrics and watermark (None: no trend).
+    ``close`` and multi-batch replays are as in ``stream_breach_sessions``.
+    """
     out, ck = run_folder(spark, "detect-out"), run_folder(spark, "detect-ckpt")
-    run_available(stream_breaches(events_stream(spark, src_dir, max_files_per_trigger=max_files_per_trigger)),
-                  out, ck)
-    return read_batches(spark, out).drop("batch", "_batch")
+    ev = events_stream(spark, src_dir, glob=glob, max_files_per_trigger=max_files_per_trigger)
+    if close and not max_files_per_trigger:
+        ev = ev.unionByName(events_stream(spark, end_of_input_marker(spark), glob="*.parquet"))
+    found = stream_breaches(ev)
+    if trend is not None:
+        found = found.unionByName(stream_trend(views.metrics_from(ev), watermark=watermark, **trend))
+    _with_rocksdb(spark, lambda: run_available(found, out, ck))
+    return read_batches(spark, out).drop("batch", "_batch").where(F.col("org_id") != MARKER_ORG)
+
+
+def _with_rocksdb(spark: SparkSession, work) -> None:
+    """Runs a query whose state needs the RocksDB store."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        work()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def end_of_input_marker(spark: SparkSession, path: str | None = None) -> str:
@@ -168,10 +283,5 @@ def stream_cooldown(spark: SparkSession, src_dir: str, cooldown_seconds: float,
         statefulProcessor=Proc(), outputStructType="service string, alert string, us long, id long",
         outputMode="Append", timeMode="None")
     out, ck = run_folder(spark, "cooldown-out"), run_folder(spark, "cooldown-ckpt")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        run_available(fired, out, ck)
-    finally:
-        spark.conf.set(PROVIDER, before)
+    _with_rocksdb(spark, lambda: run_available(fired, out, ck))
     return read_batches(spark, out).drop("batch", "_batch")
