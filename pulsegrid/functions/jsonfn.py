@@ -28,3 +28,14 @@ def parse_summary(text) -> Column:
     """Struct of the summary fields, NULL when the cleaned text is not valid JSON."""
     clean = strip_fences(text)
     return F.when(F.try_parse_json(clean).isNotNull(), F.from_json(clean, SUMMARY_SCHEMA))
+
+
+def is_json(text) -> Column:
+    """Whether the cleaned text is valid JSON (null: no)."""
+    return F.coalesce(F.try_parse_json(strip_fences(text)).isNotNull(), F.lit(False))
+
+
+def has_fields(text, fields) -> Column:
+    """Whether the cleaned text is a JSON object with all the fields."""
+    keys = F.json_object_keys(strip_fences(text))
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, fields)), keys)) == 0, F.lit(False))

@@ -143,6 +143,14 @@ def resolve_cases(cases: DataFrame, commands: DataFrame) -> DataFrame:
                     F.coalesce("_n", F.lit(0)).alias("resolve_commands"))
 
 
+def resolution_entries(cases: DataFrame, commands: DataFrame) -> DataFrame:
+    """Timeline entries of resolve commands: one per command that names a case of its own org, also if resolved before."""
+    known = cases.select(F.col("id").alias("case_id"), "org_id")
+    return commands.join(known, ["case_id", "org_id"]).select(
+        "case_id", "org_id", "at", F.date_format("at", "HH:mm:ss").alias("time"),
+        F.lit("Case resolved").alias("event"), F.lit("#34d399").alias("color"))  # fixed values
+
+
 def apply_actions(commands: DataFrame, cases: DataFrame, case_actions: DataFrame, actions: DataFrame) -> DataFrame:
     """Apply-action commands (case_id, org_id, action_id, at) with their outcome.
 

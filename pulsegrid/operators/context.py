@@ -9,6 +9,7 @@ time instead of landing in one task, and no cross product is formed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonfn
 from ..functions.rules import CASE_CONTEXT_PADDING_SECONDS, RECURRENCE_LOOKBACK_SECONDS
+from ..session import checkpoint_dir
 
 
 def _bucket(ts: Column, bucket_us: int) -> Column:
@@ -122,6 +124,51 @@ def summarize_cases(prompts: DataFrame, client: Callable | None = None) -> DataF
     return resp.withColumn("s", jsonfn.parse_summary("response"))
 
 
+# What a prompt ends with when its first answer was no JSON, and the fields of an answer.
+STRICT_SUFFIX = "\n\nIMPORTANT: Keep ai_summary under 60 words. Response must be valid complete JSON."
+ANSWER_FIELDS = ("title", "hypotheses", "evidence", "ai_summary")
+ANSWERS = "case_id long, response string"
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = f"{checkpoint_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(ANSWERS).parquet(path)
+
+
+def model_answers(prompts: DataFrame, client: Callable | None = None,
+                  store: Callable[[DataFrame, str], DataFrame] = _stored) -> DataFrame:
+    """Two rounds of a model over prompts: case_id, outcome, reason, rounds, response and ``s`` of each.
+
+    The answers of a round are written by ``store`` (rows, name) before anything reads them, so a prompt
+    is sent once a round however many sinks follow, and all of them see the same answer. An answer that
+    is no JSON is asked for once more with a stricter prompt. Outcomes: ``ok``, ``retried`` (the second
+    answer will do), ``rejected`` with the reason ``no answer`` (the client failed, null), ``malformed``
+    (twice no JSON) or ``missing field`` (not asked again); ``s`` is null then and the case stays queued.
+    ``client`` is as in ``summarize_cases``; case ids are distinct.
+    """
+    fn = client or offline_summarizer
+
+    def ask(rows: DataFrame, name: str) -> DataFrame:
+        return store(rows.select("case_id", "prompt").mapInPandas(fn, ANSWERS), name)
+
+    first = ask(prompts, "answers_first")
+    failed = first.where(F.col("response").isNotNull() & ~jsonfn.is_json("response"))
+    strict = (prompts.join(failed.select("case_id"), "case_id", "left_semi")
+              .withColumn("prompt", F.concat("prompt", F.lit(STRICT_SUFFIX))))
+    second = ask(strict, "answers_strict").select("case_id", F.col("response").alias("_second"), F.lit(2).alias("_rounds"))
+    out = (first.join(second, "case_id", "left")
+           .withColumn("rounds", F.coalesce("_rounds", F.lit(1)))
+           .withColumn("response", F.when(F.col("rounds") == 2, F.col("_second")).otherwise(F.col("response"))))
+    valid = jsonfn.is_json("response")
+    whole = valid & jsonfn.has_fields("response", ANSWER_FIELDS)
+    return out.select(
+        "case_id",
+        F.when(whole, F.when(F.col("rounds") == 2, "retried").otherwise("ok")).otherwise("rejected").alias("outcome"),
+        F.when(F.col("response").isNull(), "no answer").when(~valid, "malformed").when(~whole, "missing field").alias("reason"),
+        "rounds", "response", F.when(whole, jsonfn.parse_summary("response")).alias("s"))
+
+
 def remediation_note(case_id: Column, service: Column, title: Column, ai_summary: Column, action_name: Column,
                      action_description: Column, hypotheses: Column) -> Column:
     """Markdown note for an applied action (title and summary fall back when empty)."""

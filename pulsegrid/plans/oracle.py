@@ -359,6 +359,19 @@ SELECT case_id, json_valid(t) AS ok,
        CASE WHEN json_valid(t) THEN json_extract_string(t, '$.ai_summary') END AS ai_summary
 FROM cleaned"""
 
+ORACLE["model_answers"] = with_views(CASES_V) + """told AS (
+  SELECT id AS case_id, id % 13 = 5 AS none, id % 11 = 3 AS missing, id % 8 = 7 AS bad, id % 16 = 15 AS worse FROM cases_v),
+judged AS (
+  SELECT case_id, bad AND NOT none AND NOT missing AS again,
+    CASE WHEN none THEN 'no answer' WHEN missing THEN 'missing field' WHEN bad AND worse THEN 'malformed' END AS reason
+  FROM told)
+SELECT case_id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN again THEN 'retried' ELSE 'ok' END AS outcome, reason,
+  CASE WHEN again THEN 2 ELSE 1 END AS rounds,
+  CASE WHEN reason IS NULL THEN 'case ' || case_id END AS title,
+  CASE WHEN reason IS NULL THEN CAST(case_id % 100 AS INTEGER) END AS confidence,
+  CASE WHEN reason IS NULL THEN CASE WHEN again THEN 'short' ELSE 'full' END END AS ai_summary
+FROM judged"""
+
 ALERTS_SQL = """env AS (
   SELECT env_id, ts, org_id, payload,
          CASE WHEN json_extract(payload, '$.alerts') IS NULL THEN [CAST(payload AS JSON)]
@@ -714,6 +727,12 @@ SELECT c.id,
 FROM cases_v c LEFT JOIN cleaned m ON m.case_id = c.id
 WHERE c.summarized_at IS NULL"""
 
+ORACLE["resolved_timeline"] = with_views(CASES_V, ALERTS_V) + f"""cmds AS (
+  SELECT case_id, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id, received_at FROM alerts_v WHERE metric = 'R')
+SELECT m.case_id, m.org_id, {iso('m.received_at')} AS "at", strftime(m.received_at, '%H:%M:%S') AS time,
+       'Case resolved' AS event, '#34d399' AS color
+FROM cmds m JOIN cases_v c ON c.id = m.case_id AND c.org_id = m.org_id"""
+
 ORACLE["resolve_cases"] = with_views(CASES_V, ALERTS_V) + f"""agg AS (
   SELECT case_id, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id, max(received_at) AS at, count(*) AS n
   FROM alerts_v WHERE metric = 'R' GROUP BY ALL)

@@ -773,18 +773,28 @@ def save_summaries(spark, sf_dir):
                       iso("summarized_at").alias("summarized_at"))
 
 
-@report("resolve_cases")
-def resolve_cases(spark, sf_dir):
-    from ..operators import cases
+def _resolve_commands(spark, sf_dir):
     a = views.alerts_v(spark, sf_dir)
-    cmds = a.where(F.col("metric") == "R").select(
+    return a.where(F.col("metric") == "R").select(
         "case_id", F.concat(F.lit("org-"), (F.col("id") % 3).cast("string")).alias("org_id"),
         F.col("received_at").alias("at"))
-    out = cases.resolve_cases(views.cases_v(spark, sf_dir), cmds)
+
+
+@report("resolve_cases")
+def resolve_cases(spark, sf_dir):
+    from ..operators import cases
+    out = cases.resolve_cases(views.cases_v(spark, sf_dir), _resolve_commands(spark, sf_dir))
     return out.where(F.col("resolve_commands") > 0).select("id", "status", iso("updated_at").alias("updated_at"),
                                                            "resolve_commands")
 
 
+@report("resolved_timeline")
+def resolved_timeline(spark, sf_dir):
+    from ..operators import cases
+    out = cases.resolution_entries(views.cases_v(spark, sf_dir), _resolve_commands(spark, sf_dir))
+    return out.select("case_id", "org_id", iso("at").alias("at"), "time", "event", "color")
+
+
 @report("apply_actions")
 def apply_actions(spark, sf_dir):
     from ..functions.catalog_data import actions_frame
@@ -897,6 +907,41 @@ def summarize_cases(spark, sf_dir):
                       F.col("s").isNotNull().alias("ok"), F.col("s.title").alias("title"))
 
 
+def _case_client(batches):
+    """A model that answers by case id: well, in fences, badly once, badly twice, incompletely or not at all."""
+    import json
+
+    import pandas as pd
+
+    from ..operators import context
+
+    def answer(case_id: int, strict: bool) -> str | None:
+        if case_id % 13 == 5:
+            return None
+        if case_id % 11 == 3:
+            return json.dumps({"title": f"case {case_id}", "hypotheses": [], "ai_summary": "no evidence"})
+        if case_id % 8 == 7 and (not strict or case_id % 16 == 15):
+            return f'{{"title": "case {case_id}'
+        body = json.dumps({"title": f"case {case_id}", "hypotheses": [{"rank": 1, "text": "load", "confidence": case_id % 100}],
+                           "evidence": [], "ai_summary": "short" if strict else "full"})
+        return f"```json\n{body}\n```" if case_id % 2 else body
+
+    for pdf in batches:
+        strict = pdf["prompt"].str.endswith(context.STRICT_SUFFIX)
+        yield pd.DataFrame({"case_id": pdf["case_id"],
+                            "response": [answer(int(i), bool(s)) for i, s in zip(pdf["case_id"], strict)]})
+
+
+@report("model_answers")
+def model_answers(spark, sf_dir):
+    from ..operators import context
+    prompts = views.cases_v(spark, sf_dir).select(
+        F.col("id").alias("case_id"), F.concat(F.lit("CASE\nservice="), "primary_service").alias("prompt"))
+    out = context.model_answers(prompts, _case_client)
+    return out.select("case_id", "outcome", "reason", "rounds", F.col("s.title").alias("title"),
+                      F.col("s.hypotheses")[0]["confidence"].alias("confidence"), F.col("s.ai_summary").alias("ai_summary"))
+
+
 @report("upload_context")
 def upload_context(spark, sf_dir):
     from pyspark.sql import Window

@@ -51,9 +51,13 @@ LOGS = {
     "resolutions": "id bigint, epoch int, at timestamp",
     "summaries": f"id bigint, epoch int, title string, ai_summary string, hypotheses {HYPOTHESES}, "
                  f"evidence {EVIDENCE}, at timestamp",
+    "answers_first": context.ANSWERS,
+    "answers_strict": context.ANSWERS,
+    "rejects": "id bigint, epoch int, reason string, rounds int, response string, at timestamp",
     "matches": "id bigint, epoch int, n_actions bigint, at timestamp",
     "case_actions": "case_id bigint, epoch int, action_id bigint, score double, rank int",
 }
+RESOLVED_BATCHES = -(1 << 40)  # timeline batches of resolutions, apart from those of ticks and stages
 # Source tool of tick alerts; the texts and colours of timeline entries below are fixed too.
 SOURCE_TOOL = "stage1_poller"
 
@@ -246,7 +250,9 @@ def stream_recurrence(spark: SparkSession, src_dir: str, glob: str, gap_seconds:
 def resolve(spark: SparkSession, state_dir: str, ids: list[int], batch_id: int, at) -> None:
     """Records that cases were resolved in their present epoch."""
     known = current_cases(spark, state_dir).where(F.col("id").isin(ids))
-    _write(known.select("id", "epoch", F.lit(at).cast("timestamp").alias("at")), state_dir, "resolutions", batch_id)
+    done = known.select("id", "org_id", "epoch", F.lit(at).cast("timestamp").alias("at"))
+    _write(done, state_dir, "resolutions", batch_id)
+    _stage_entry(done, F.lit("Case resolved"), "#34d399", state_dir, "timeline", RESOLVED_BATCHES - batch_id)
 
 
 def _wake(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
@@ -255,13 +261,18 @@ def _wake(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
 
 
 def summarize_stage(spark: SparkSession, state_dir: str, logs: DataFrame, client=None) -> None:
-    """Stage 2: all cases without a summary in their epoch are summarised; failures stay queued."""
+    """Stage 2: all cases without a summary in their epoch are summarised; rejected answers leave them queued.
+
+    Answers are written before the summary, its timeline entry and the rejects are, which all read them.
+    """
     def on_batch(_: DataFrame, batch_id: int):
         done = read_log(spark, state_dir, "summaries", batch_id).select("id", "epoch")
         queue = current_cases(spark, state_dir).join(done, ["id", "epoch"], "left_anti")
         prompts = context.case_prompt(queue, current_alerts(spark, state_dir), context.case_context_logs(queue, logs))
-        ok = context.summarize_cases(prompts, client).where(F.col("s").isNotNull()).withColumnRenamed("case_id", "id")
-        saved = queue.select("id", "epoch", "org_id").join(ok, "id").withColumn("at", F.current_timestamp())
+        told = context.model_answers(prompts, client, _once(spark, state_dir, batch_id)).withColumnRenamed("case_id", "id")
+        told = queue.select("id", "epoch", "org_id").join(told, "id").withColumn("at", F.current_timestamp())
+        _write(told.where(F.col("outcome") == "rejected"), state_dir, "rejects", batch_id)
+        saved = told.where(F.col("outcome") != "rejected")
         _stage_entry(saved, F.lit("AI summary generated"), "#a78bfa", state_dir, "timeline", -2 * batch_id - 1)
         _write(saved.select("id", "epoch", F.col("s.title").alias("title"), F.col("s.ai_summary").alias("ai_summary"),
                             F.col("s.hypotheses").alias("hypotheses"), F.col("s.evidence").alias("evidence"), "at"),
@@ -292,6 +303,15 @@ def match_stage(spark: SparkSession, state_dir: str, actions: DataFrame | None =
     _run(spark, _wake(spark, state_dir, "summaries"), state_dir, "matches", on_batch)
 
 
+def _once(spark: SparkSession, state_dir: str, batch_id: int):
+    """Storage for ``context.model_answers``: a retried batch reads the answers that it has already paid for."""
+    def store(rows: DataFrame, name: str) -> DataFrame:
+        if not _exists(spark, f"{state_dir}/{name}/batch={batch_id}/_SUCCESS"):
+            _write(rows, state_dir, name, batch_id)
+        return read_log(spark, state_dir, name).where(F.col("batch") == batch_id).drop("batch")
+    return store
+
+
 def _stage_entry(rows: DataFrame, event, color: str, state_dir: str, name: str, batch: int) -> None:
     """Timeline entries of stages 2 and 3: batches below zero, odd and even, apart from the ticks' own."""
     _write(rows.select(F.col("id").alias("case_id"), "org_id", "at", F.lit(0).cast("bigint").alias("seq"),

@@ -27,10 +27,10 @@ def test_stream_sessions_equal_batch(spark):
 def test_stream_trend_equals_batch_over_several_batches(spark):
     src = ticks.split_by_day(spark, SF, jobs.run_folder(spark, "t-trend"), days=10)
     jobs.end_of_input_marker(spark, src)
-    trend = {"window_seconds": 21600.0, "slide_seconds": 3600.0, "slope_mb_per_min": -1000.0, "min_mb": 0.0}  # all windows
+    trend = {"window_seconds": 172800.0, "slide_seconds": 21600.0, "slope_mb_per_min": -1000.0, "min_mb": 0.0}  # all windows
     got = jobs.stream_detect(spark, src, trend, watermark="2 hours", max_files_per_trigger=1, glob="*.parquet")
-    want = detect.all_breaches(views.metrics_v(spark, SF), views.logs_v(spark, SF), trend_window="6 hours",
-                               trend_slide="1 hour", slope_mb_per_min=-1000.0, min_mb=0.0)
+    want = detect.all_breaches(views.metrics_v(spark, SF), views.logs_v(spark, SF), trend_window="48 hours",
+                               trend_slide="6 hours", slope_mb_per_min=-1000.0, min_mb=0.0)
     columns = ["org_id", "service", "metric", "ts", "seq", "src_id", "sub", "value"]
     got, want = (sorted(tuple(r) for r in df.select(*columns).collect()) for df in (got, want))
     assert got == want and sum(r[2] == "rss_mb" for r in got) > 50

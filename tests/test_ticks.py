@@ -57,7 +57,8 @@ def test_retry_reopening_and_stage_order(spark):
     alerts = ticks.current_alerts(spark, state).collect()
     assert {a["case_id"] for a in alerts} == set(ids) and all(a["org_id"] and "service" in a["raw_payload"] for a in alerts)
     events_of = [r["event"].split(" ")[0] for r in ticks.current_timeline(spark, state).orderBy("at", "seq").collect()]
-    assert events_of.count("Case") == len(ids) and events_of.count("Recurred") == 2 * len(ids)
+    assert events_of.count("Case") == 2 * len(ids)  # opened, resolved
+    assert events_of.count("Recurred") == 2 * len(ids)
 
 
 def test_only_a_missing_log_is_empty(spark):
@@ -73,3 +74,48 @@ def test_initial_checkpoint(spark):
     assert pick("2024-01-03", "2024-01-02", "2024-01-01").startswith("2024-01-03")
     assert pick(None, "2024-01-02", "2024-01-01").startswith("2024-01-02")
     assert pick(None, None, "2024-01-01").startswith("2024-01-01")
+
+
+def test_each_prompt_is_sent_once_a_round(spark, tmp_path):
+    """A model that varies and fails: one call per case and round, whatever sinks and retries follow."""
+    calls = str(tmp_path / "calls")
+
+    def client(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for i, p in zip(pdf["case_id"], pdf["prompt"]):
+                strict = "IMPORTANT: Keep" in p
+                with open(calls, "a") as f:  # one process group on one machine here
+                    f.write(f"{i} {int(strict)}\n")
+                n = sum(1 for _ in open(calls))
+                whole = json.dumps({"title": f"call {n}", "hypotheses": [], "evidence": [], "ai_summary": "s"})
+                out.append(whole if strict or i % 2 else "{broken")
+            yield pd.DataFrame({"case_id": pdf["case_id"], "response": out})
+
+    state = jobs.run_folder(spark, "t-model")
+    run(spark, state, 0, 0)
+    logs = spark.createDataFrame([], "id long, org_id string, service string, ts timestamp, level string, event string, "
+                                     "message string, trace_id string")
+    ticks.summarize_stage(spark, state, logs, client)
+    asked = sorted(tuple(map(int, x.split())) for x in open(calls))
+    ids = [r[0] for r in state_rows(spark, state)]
+    assert asked == sorted([(i, 0) for i in ids] + [(i, 1) for i in ids if i % 2 == 0])
+    summaries = {r["id"]: r["title"] for r in ticks.read_log(spark, state, "summaries").collect()}
+    assert set(summaries) == set(ids) and all(t.startswith("call ") for t in summaries.values())
+    entries = [r["case_id"] for r in ticks.current_timeline(spark, state).where("event = 'AI summary generated'").collect()]
+    assert sorted(entries) == sorted(ids)  # no entry without its summary
+    assert ticks.read_log(spark, state, "rejects").count() == 0
+
+    store = ticks._once(spark, state, 0)
+    store(spark.createDataFrame([(1, "never written")], ticks.context.ANSWERS), "answers_first")
+    assert ticks.read_log(spark, state, "answers_first").where("response = 'never written'").count() == 0
+
+
+def test_resolution_writes_its_timeline_entry(spark):
+    state = jobs.run_folder(spark, "t-resolve")
+    run(spark, state, 0, 0)
+    ids = [r[0] for r in state_rows(spark, state)]
+    ticks.resolve(spark, state, ids[:1], 0, DAY + dt.timedelta(hours=1))
+    rows = ticks.current_timeline(spark, state).where("event = 'Case resolved'").collect()
+    assert [(r["case_id"], r["time"]) for r in rows] == [(ids[0], "01:00:00")]
