@@ -50,7 +50,7 @@ WINDOW = 20
 BLOCK = (WINDOW + 1) // 2
 BITS = 46            # of an anchor's hash
 BUCKET = 1 << 21     # hashes that meet in one group, about
-SENT = 1 << 22       # words of a task whose anchors are sorted together
+SENT = 1 << 20       # words of a task whose anchors are sorted together
 MOST_BUCKETS = 50_000
 NULL_ID = -(1 << 63)
 
@@ -159,13 +159,16 @@ def _roles(texts: Texts) -> DataFrame:
     """
     rows = texts.table.where(F.col("_n") >= WINDOW)
     docs = keep(rows.groupBy("_doc", "_d1", "_d2").agg(F.min(F.struct("_task", "_row")).alias("_place")), "substring-docs")
-    first = docs.groupBy("_d1", "_d2").agg(F.min("_doc").alias("_first"))
-    several = docs.groupBy("_doc").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1")
-    roles = keep(docs.join(first, ["_d1", "_d2"]).join(several, "_doc", "left").select(
+    # written before they are joined: Spark can then split the rows of a large group of copies
+    first = keep(docs.groupBy("_d1", "_d2").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_ids"))
+                 .where("_ids > 1"), "substring-copies")
+    several = keep(docs.groupBy("_doc").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1"), "substring-ids")
+    roles = keep(docs.join(first, ["_d1", "_d2"], "left").join(several, "_doc", "left").select(
         F.col("_place._task").alias("_task"), F.col("_place._row").alias("_row"),
-        (F.col("_doc") != F.col("_first")).alias("_copy"),
+        F.coalesce(F.col("_doc") != F.col("_first"), F.lit(False)).alias("_copy"),
         F.when(F.col("_texts") > 1, F.col("_d1")).otherwise(0).alias("_tie")), "substring-roles")
-    drop(docs)
+    for table in (docs, first, several):
+        drop(table)
     return roles
 
 
