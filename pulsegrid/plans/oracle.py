@@ -928,27 +928,27 @@ SELECT {iso('greatest((SELECT max(ts) FROM metrics_v), (SELECT max(ts) FROM logs
 # ---------------------------------------------------------------- cooldown and streams
 
 COOLDOWN_SQL = f"""WITH RECURSIVE items AS (
-  SELECT 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service, event_type AS alert, epoch_us(ts) AS us,
+  SELECT 'org-' || CAST(user_id % 3 AS VARCHAR) AS org_id, 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service, event_type AS alert, epoch_us(ts) AS us,
          event_id AS id
   FROM events),
 nx AS (
-  SELECT *, min(us) OVER (PARTITION BY service, alert ORDER BY us
+  SELECT *, min(us) OVER (PARTITION BY org_id, service, alert ORDER BY us
                           RANGE BETWEEN 21600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_us
   FROM items),
 nx2 AS (
-  SELECT nx.service, nx.alert, nx.us, nx.id, nx.n_us, m.n_id
-  FROM nx LEFT JOIN (SELECT service, alert, us, min(id) AS n_id FROM items GROUP BY ALL) m
-    ON m.service = nx.service AND m.alert = nx.alert AND m.us = nx.n_us),
+  SELECT nx.org_id, nx.service, nx.alert, nx.us, nx.id, nx.n_us, m.n_id
+  FROM nx LEFT JOIN (SELECT org_id, service, alert, us, min(id) AS n_id FROM items GROUP BY ALL) m
+    ON m.org_id = nx.org_id AND m.service = nx.service AND m.alert = nx.alert AND m.us = nx.n_us),
 heads AS (
-  SELECT service, alert, us, id FROM (
-    SELECT *, row_number() OVER (PARTITION BY service, alert ORDER BY us, id) AS rn FROM items) t WHERE rn = 1),
-chain(service, alert, us, id) AS (
-  SELECT service, alert, us, id FROM heads
+  SELECT org_id, service, alert, us, id FROM (
+    SELECT *, row_number() OVER (PARTITION BY org_id, service, alert ORDER BY us, id) AS rn FROM items) t WHERE rn = 1),
+chain(org_id, service, alert, us, id) AS (
+  SELECT org_id, service, alert, us, id FROM heads
   UNION ALL
-  SELECT n.service, n.alert, n.n_us, n.n_id FROM chain c
-  JOIN nx2 n ON n.service = c.service AND n.alert = c.alert AND n.us = c.us AND n.id = c.id
+  SELECT n.org_id, n.service, n.alert, n.n_us, n.n_id FROM chain c
+  JOIN nx2 n ON n.org_id = c.org_id AND n.service = c.service AND n.alert = c.alert AND n.us = c.us AND n.id = c.id
   WHERE n.n_us IS NOT NULL)
-SELECT service, alert, id, {iso('make_timestamp(us)')} AS ts FROM chain"""
+SELECT org_id, service, alert, id, {iso('make_timestamp(us)')} AS ts FROM chain"""
 
 ORACLE["alert_cooldown"] = COOLDOWN_SQL
 ORACLE["stream_cooldown"] = COOLDOWN_SQL

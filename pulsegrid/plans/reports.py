@@ -1157,19 +1157,19 @@ DRIVER_COOLDOWN_SECONDS = 21600.0
 
 def _wanted_alerts(spark, sf_dir):
     ev = views.table(spark, sf_dir, "events")
-    return ev.select(views._svc("user_id").alias("service"), F.col("event_type").alias("alert"),
-                     F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
+    return ev.select(views._org("user_id").alias("org_id"), views._svc("user_id").alias("service"),
+                     F.col("event_type").alias("alert"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
 
 
 def _fired_out(df):
-    return df.select("service", "alert", "id", iso(F.timestamp_micros("us")).alias("ts"))
+    return df.select("org_id", "service", "alert", "id", iso(F.timestamp_micros("us")).alias("ts"))
 
 
 @report("alert_cooldown")
 def alert_cooldown(spark, sf_dir):
     from ..operators import cooldown
-    fired = cooldown.fired_alerts(_wanted_alerts(spark, sf_dir), ["service", "alert"], DRIVER_COOLDOWN_SECONDS,
-                                  bucket_seconds=86400.0)
+    fired = cooldown.fired_alerts(_wanted_alerts(spark, sf_dir), ["org_id", "service", "alert"],
+                                  DRIVER_COOLDOWN_SECONDS, bucket_seconds=86400.0)
     return _fired_out(fired)
 
 

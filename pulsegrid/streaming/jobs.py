@@ -262,7 +262,7 @@ class CooldownProcessor(StatefulProcessor):
                 last = us
         if last is not None:
             self.last.update((int(last),))
-        yield pd.DataFrame({"service": [key[0]] * len(fired), "alert": [key[1]] * len(fired),
+        yield pd.DataFrame({"org_id": [key[0]] * len(fired), "service": [key[1]] * len(fired), "alert": [key[2]] * len(fired),
                             "us": [f[0] for f in fired], "id": [f[1] for f in fired]})
 
     def close(self) -> None:
@@ -271,16 +271,16 @@ class CooldownProcessor(StatefulProcessor):
 
 def stream_cooldown(spark: SparkSession, src_dir: str, cooldown_seconds: float,
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """T-4 on a stream: wanted alerts (service, event type) pass through a per-key cooldown state."""
+    """T-4 on a stream: wanted alerts (org, service, event type) pass through a per-key cooldown state."""
     ev = events_stream(spark, src_dir, max_files_per_trigger=max_files_per_trigger)
-    wanted = ev.select(views._svc("user_id").alias("service"), F.col("event_type").alias("alert"),
+    wanted = ev.select(views._org("user_id").alias("org_id"), views._svc("user_id").alias("service"), F.col("event_type").alias("alert"),
                        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
 
     class Proc(CooldownProcessor):
         cooldown_us = int(round(cooldown_seconds * 1_000_000))
 
-    fired = wanted.groupBy("service", "alert").transformWithStateInPandas(
-        statefulProcessor=Proc(), outputStructType="service string, alert string, us long, id long",
+    fired = wanted.groupBy("org_id", "service", "alert").transformWithStateInPandas(
+        statefulProcessor=Proc(), outputStructType="org_id string, service string, alert string, us long, id long",
         outputMode="Append", timeMode="None")
     out, ck = run_folder(spark, "cooldown-out"), run_folder(spark, "cooldown-ckpt")
     _with_rocksdb(spark, lambda: run_available(fired, out, ck))

@@ -51,6 +51,7 @@ LOGS = {
     "resolutions": "id bigint, epoch int, at timestamp",
     "summaries": f"id bigint, epoch int, title string, ai_summary string, hypotheses {HYPOTHESES}, "
                  f"evidence {EVIDENCE}, at timestamp",
+    "pins": "name string, last bigint",
     "answers_first": context.ANSWERS,
     "answers_strict": context.ANSWERS,
     "rejects": "id bigint, epoch int, reason string, rounds int, response string, at timestamp",
@@ -108,11 +109,30 @@ def _last(df: DataFrame, keys, order: str) -> DataFrame:
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
-def current_cases(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
-    """Latest version of each case with what holds in its epoch: resolution, summary, match."""
+PATCHES = ("resolutions", "summaries", "matches")
+
+
+def patches_of(spark: SparkSession, state_dir: str, batch_id: int) -> dict[str, int | None]:
+    """The last batch of each patch log that a tick reads: noted by its first attempt, found again by a retry."""
+    if not _exists(spark, f"{state_dir}/pins/batch={batch_id}/_SUCCESS"):
+        last = [(name, read_log(spark, state_dir, name).agg(F.max("batch")).first()[0]) for name in PATCHES]
+        _write(spark.createDataFrame(last, LOGS["pins"]).coalesce(1), state_dir, "pins", batch_id)
+    noted = read_log(spark, state_dir, "pins").where(F.col("batch") == batch_id)
+    return {r["name"]: r["last"] for r in noted.collect()}  # one row per log
+
+
+def current_cases(spark: SparkSession, state_dir: str, before: int | None = None,
+                  upto: dict[str, int | None] | None = None) -> DataFrame:
+    """Latest version of each case with what holds in its epoch: resolution, summary, match.
+
+    ``upto`` names the last batch of each patch log that counts (None: no batch); by default all do.
+    """
+    def patches(name: str) -> DataFrame:
+        rows = read_log(spark, state_dir, name)
+        return rows if upto is None else rows.where(F.col("batch") <= F.lit(upto[name]).cast("bigint"))
+
     cases = _last(read_log(spark, state_dir, "cases", before), ["id"], "batch").drop("batch")
-    patch = {name: _last(read_log(spark, state_dir, name), ["id", "epoch"], "batch").drop("batch")
-             for name in ("resolutions", "summaries", "matches")}
+    patch = {name: _last(patches(name), ["id", "epoch"], "batch").drop("batch") for name in PATCHES}
     resolved = patch["resolutions"].withColumnRenamed("at", "resolved_at")
     summary = patch["summaries"].withColumnRenamed("at", "summarized_at")
     matched = patch["matches"].withColumnRenamed("at", "matched_at").drop("n_actions")
@@ -177,7 +197,7 @@ def tick(spark: SparkSession, events: DataFrame, state_dir: str, batch_id: int,
     _write(numbered.withColumn("vector", F.col("vector").cast("array<float>")), state_dir, "groups", batch_id)
     groups = read_log(spark, state_dir, "groups").where(F.col("batch") == batch_id).drop("batch")
 
-    state = current_cases(spark, state_dir, before=batch_id)
+    state = current_cases(spark, state_dir, before=batch_id, upto=patches_of(spark, state_dir, batch_id))
     q = groups.select(F.col("gid").alias("case_id"), "org_id", "service", "vector")
     idx = state.select(F.col("id").alias("case_id"), "org_id", F.col("primary_service").alias("service"), "vector",
                        "updated_at")

@@ -119,3 +119,17 @@ def test_resolution_writes_its_timeline_entry(spark):
     ticks.resolve(spark, state, ids[:1], 0, DAY + dt.timedelta(hours=1))
     rows = ticks.current_timeline(spark, state).where("event = 'Case resolved'").collect()
     assert [(r["case_id"], r["time"]) for r in rows] == [(ids[0], "01:00:00")]
+
+
+def test_a_retry_after_a_resolution_finds_what_the_first_attempt_found(spark):
+    state = jobs.run_folder(spark, "t-pins")
+    run(spark, state, 0, 0)
+    run(spark, state, 1, 1)
+    ids = [r[0] for r in state_rows(spark, state)]
+    written = sorted(tuple(r) for r in ticks.read_log(spark, state, "cases").select("id", "status", "epoch", "batch").collect())
+    ticks.resolve(spark, state, ids, 0, DAY + dt.timedelta(days=1, hours=1))
+    run(spark, state, 1, 1)  # the same tick again, after the cases were resolved
+    again = sorted(tuple(r) for r in ticks.read_log(spark, state, "cases").select("id", "status", "epoch", "batch").collect())
+    assert again == written and {r[2] for r in again} == {0}
+    run(spark, state, 2, 2)  # the next tick sees the resolution
+    assert all(r[2] == "INVESTIGATING" and r[5] == 1 for r in state_rows(spark, state))
