@@ -1169,7 +1169,7 @@ def _fired_out(df):
 def alert_cooldown(spark, sf_dir):
     from ..operators import cooldown
     fired = cooldown.fired_alerts(_wanted_alerts(spark, sf_dir), ["org_id", "service", "alert"],
-                                  DRIVER_COOLDOWN_SECONDS, bucket_seconds=86400.0)
+                                  DRIVER_COOLDOWN_SECONDS)
     return _fired_out(fired)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pulsegrid.operators import cases, cooldown, incidents, teams
@@ -13,10 +14,54 @@ def test_cooldown_chain(spark):
     at = [0, 30, 59, 60, 100, 120]
     items = spark.createDataFrame([("s", "a", int(s * 1e6), i) for i, s in enumerate(at)],
                                   "service string, alert string, us long, id long")
-    fired = cooldown.fired_alerts(items, ["service", "alert"], 60, bucket_seconds=60)
+    fired = cooldown.fired_alerts(items, ["service", "alert"], 60)
     assert sorted(r["us"] // 1_000_000 for r in fired.collect()) == [0, 60, 120]
 
 
+def _fired_one_by_one(rows, cooldown_us):
+    last, out = {}, []
+    for key, us, rid in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+        if key not in last or us - last[key] >= cooldown_us:
+            out.append((key, us, rid))
+            last[key] = us
+    return sorted(out, key=str)
+
+
+def test_cooldown_equals_the_sequential_rule(spark):
+    """Bursts, gaps, ties, one hot key, null keys and times, moments on both sides of 1970."""
+    rng = random.Random(7)
+    rows, rid = [], 0
+    for key, n, span in (("hot", 1500, 40_000), ("sparse", 40, 2_000_000), ("burst", 200, 90), (None, 60, 5_000), ("one", 1, 1)):
+        base = -span // 2 if key in ("hot", "sparse", None) else 10_000
+        for _ in range(n):
+            rid += 1
+            rows.append((key, (base + rng.randrange(span)) * 1_000_000 + rng.choice((0, 0, 1, 999_999)), rid))
+    rows += [(k, us, rid + i) for i, (k, us, _) in enumerate(rows[::9], 1)] + [("hot", None, 0)]
+    items = spark.createDataFrame(rows, "k string, us long, id long").repartition(7)
+    for seconds in (60, 61.5, 3600):
+        got = cooldown.fired_alerts(items, ["k"], seconds).collect()
+        assert sorted(((r["k"], r["us"], r["id"]) for r in got), key=str) == _fired_one_by_one(rows, int(seconds * 1e6))
+
+
+def test_cooldown_levels_hold_no_more_steps_than_alerts(spark):
+    """All functions together stay linear in the alerts, whatever the number of levels."""
+    rows = [("k", s * 1_000_000, s) for s in range(0, 40_000, 7)]
+    level = cooldown._stretch_functions(spark.createDataFrame(rows, "k string, us long, id long"), ["k"], 60_000_000)
+    total = 0
+    for _ in range(11):
+        level = cooldown._compose(level, ["k"]).checkpoint()
+        total += level.count()
+    assert level.select("node").distinct().count() == 1 and total <= 2 * len(rows)
+
+
+def test_cooldown_edges(spark):
+    schema = "k string, us long, id long"
+    assert cooldown.fired_alerts(spark.createDataFrame([], schema), ["k"], 60).collect() == []
+    assert cooldown.fired_alerts(spark.createDataFrame([("a", None, 1)], schema), ["k"], 60).collect() == []
+    none = cooldown.fired_alerts(spark.createDataFrame([("a", 5, 2), ("a", 5, 1), ("a", 6, 3)], schema), ["k"], 0)
+    assert sorted((r["us"], r["id"]) for r in none.collect()) == [(5, 1), (6, 3)]
+
+
 def test_recurrence_reopens_and_escalates(spark):
     c = spark.createDataFrame([
         (1, "o", "RESOLVED", "s", T0, T0, None, 1, "warning", T0, T0),
