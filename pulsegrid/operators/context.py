@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonfn
 from ..functions.rules import CASE_CONTEXT_PADDING_SECONDS, RECURRENCE_LOOKBACK_SECONDS
 from ..session import checkpoint_dir
+from .substring import contains_join
 
 
 def _bucket(ts: Column, bucket_us: int) -> Column:
@@ -188,6 +189,7 @@ def remediation_note(case_id: Column, service: Column, title: Column, ai_summary
 TRACE_LOOKBACK_SECONDS = 90.0
 SERVICE_LOOKBACK_SECONDS = 300.0
 SERVICE_LEVELS = "ERROR|CRITICAL|WARN"
+TRACE_FIELD = "trace_id="
 
 
 def fetch_context_logs(requests: DataFrame, lines: DataFrame, limit: int = 50,
@@ -195,36 +197,34 @@ def fetch_context_logs(requests: DataFrame, lines: DataFrame, limit: int = 50,
                        service_lookback: float = SERVICE_LOOKBACK_SECONDS) -> DataFrame:
     """Log lines for each request (req_id, org_id, as_of, service, trace_id), keeping the last ``limit`` lines.
 
-    With a trace id: lines carrying ``trace_id=<id>`` in [as_of - 90 s, as_of];
-    if there are none, or no trace id was given, lines of the service (bracket
-    label) matching ERROR|CRITICAL|WARN, over 90 s after a trace id and 300 s
-    otherwise; without a service, all such lines. Only lines of the request's
-    org count. Matching is on parsed tokens, so all branches are equi-joins plus
-    a time range.
+    With a trace id: lines that hold ``trace_id=<id>`` anywhere, in [as_of - 90 s, as_of]; if there are
+    none, or no trace id was given, lines matching ERROR|CRITICAL|WARN that hold the service anywhere,
+    over 90 s after a trace id and 300 s otherwise; without a service, all such lines. Only lines of the
+    request's org count. Both texts are found by ``substring.contains_join``; the hits by trace are
+    written once, since the other branches ask for requests without any.
     """
-    lk = lines.select("org_id", "line_id", "ts",
-                      F.regexp_extract("line", r"trace_id=(\S+)", 1).alias("trace_tok"),
-                      F.regexp_extract("line", r"\[([^\]]+)\]", 1).alias("svc_tok"),
-                      F.col("line").rlike(SERVICE_LEVELS).alias("_level"))
-    wanted = requests.select("req_id", "org_id", "as_of", F.nullif("trace_id", F.lit("")).alias("trace_tok"),
-                             F.nullif("service", F.lit("")).alias("svc_tok"))
-
-    def joined(req: DataFrame, points: DataFrame, keys, seconds: Column, bucket_seconds: float, branch: str) -> DataFrame:
-        start = F.col("as_of") - F.make_dt_interval(secs=seconds)
-        out = interval_join(req, points.select(*keys, "line_id", "ts"), keys, start, F.col("as_of"),
-                            bucket_seconds=bucket_seconds)
+    lk = lines.select("org_id", "line_id", "ts", "line")
+    wanted = requests.select("req_id", "org_id", "as_of", F.nullif("trace_id", F.lit("")).alias("trace"),
+                             F.nullif("service", F.lit("")).alias("needle"))
+
+    def since(seconds: Column) -> Column:
+        return F.col("as_of") - F.make_dt_interval(secs=seconds)
+
+    def held(req: DataFrame, points: DataFrame, seconds: Column, bucket_seconds: float, branch: str) -> DataFrame:
+        out = contains_join(req, points, ["org_id"], since(seconds), F.col("as_of"), bucket_seconds=bucket_seconds)
         return out.select("req_id", "line_id", "ts").withColumn("branch", F.lit(branch))
 
-    by_trace = joined(wanted.where(F.col("trace_tok").isNotNull()).drop("svc_tok"), lk.where(F.col("trace_tok") != ""),
-                      ["org_id", "trace_tok"], F.lit(trace_lookback), trace_lookback, "trace")
+    traced = (wanted.where(F.col("trace").isNotNull())
+              .select("req_id", "org_id", "as_of", F.concat(F.lit(TRACE_FIELD), "trace").alias("needle")))
+    by_trace = held(traced, lk, F.lit(trace_lookback), trace_lookback, "trace").checkpoint()
     rest = (wanted.join(by_trace.select("req_id").distinct(), "req_id", "left_anti")
-            .withColumn("_lb", F.when(F.col("trace_tok").isNotNull(), F.lit(trace_lookback))
-                        .otherwise(F.lit(service_lookback))).drop("trace_tok"))
-    levels = lk.where("_level")
-    by_service = joined(rest.where(F.col("svc_tok").isNotNull()), levels, ["org_id", "svc_tok"], F.col("_lb"),
-                        service_lookback, "service")
-    by_level = joined(rest.where(F.col("svc_tok").isNull()).drop("svc_tok"), levels, ["org_id"], F.col("_lb"),
-                      service_lookback, "level")
+            .withColumn("_lb", F.when(F.col("trace").isNotNull(), F.lit(trace_lookback))
+                        .otherwise(F.lit(service_lookback))).drop("trace"))
+    levels = lk.where(F.col("line").rlike(SERVICE_LEVELS))
+    by_service = held(rest, levels, F.col("_lb"), service_lookback, "service")
+    by_level = (interval_join(rest.where(F.col("needle").isNull()).drop("needle"), levels, ["org_id"], since(F.col("_lb")),
+                              F.col("as_of"), bucket_seconds=service_lookback)
+                .select("req_id", "line_id", "ts").withColumn("branch", F.lit("level")))
     every = by_trace.unionByName(by_service).unionByName(by_level)
     w = Window.partitionBy("req_id").orderBy(F.col("ts").desc(), F.col("line_id").desc())
     return every.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")

@@ -1049,16 +1049,14 @@ req AS (
   FROM hdr h LEFT JOIN (SELECT p.env_id, c.trace_id FROM parsed p JOIN ctxtext c USING (env_id, pos)
                         WHERE p.pos = 0) c ON c.env_id = h.env_id),
 lk AS (
-  SELECT line_id, org_id, ts, line, regexp_extract(line, 'trace_id=(\\S+)', 1) AS trace_tok,
-         regexp_extract(line, '\\[([^\\]]+)\\]', 1) AS svc_tok
-  FROM log_lines_v),
+  SELECT line_id, org_id, ts, line FROM log_lines_v),
 bt AS (
   SELECT r.req_id, l.line_id, l.ts, 'trace' AS branch FROM req r JOIN lk l
-    ON l.org_id = r.org_id AND l.trace_tok = r.trace_id AND l.trace_tok <> '' AND l.ts BETWEEN r.as_of - INTERVAL 90 SECOND AND r.as_of),
+    ON l.org_id = r.org_id AND r.trace_id <> '' AND contains(l.line, 'trace_id=' || r.trace_id) AND l.ts BETWEEN r.as_of - INTERVAL 90 SECOND AND r.as_of),
 bs AS (
   SELECT r.req_id, l.line_id, l.ts, CASE WHEN coalesce(r.service, '') = '' THEN 'level' ELSE 'service' END AS branch
   FROM req r JOIN lk l
-    ON l.org_id = r.org_id AND (coalesce(r.service, '') = '' OR l.svc_tok = r.service)
+    ON l.org_id = r.org_id AND (coalesce(r.service, '') = '' OR contains(l.line, r.service))
    AND regexp_matches(l.line, 'ERROR|CRITICAL|WARN')
    AND l.ts BETWEEN r.as_of - (CASE WHEN coalesce(r.trace_id, '') <> '' THEN INTERVAL 90 SECOND
                                     ELSE INTERVAL 300 SECOND END) AND r.as_of
