@@ -17,6 +17,14 @@ last batch wins. ``epoch`` counts how often a case was reopened. Resolutions,
 summaries and matches are rows of their own that name the epoch they belong
 to, and count only while the case is in it. So no stage overwrites another,
 and an older summary cannot undo a newer reopening.
+
+A log that is read as a state (``STATE_LOGS``) is kept like a log-structured merge tree: every
+``COMPACT_EVERY`` batches a tick folds the last snapshot and the batches behind it, one row per key,
+into a new snapshot ``<state>/_snapshots/<log>/upto=<batch>``. Readers open the newest snapshot they
+may see and the batch folders behind it, never the older ones, so a tick reads as much after a year
+as after a day if as many cases are known. Only batches that can no longer be replaced are folded;
+a write to a folded batch is refused. A snapshot counts once it is complete; the two newest stay, for
+readers that have opened the older one.
 """
 
 from __future__ import annotations
@@ -77,16 +85,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_log(spark: SparkSession, state_dir: str, name: str, before: int | None = None) -> DataFrame:
-    """Rows of a log with their ``batch``; ``before`` leaves out that batch and later ones."""
+def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders ``<path>/<name>=<number>``, ascending; none if there is no such path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{name}="))
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any(not f.getPath().getName().startswith(("_", "."))
+               for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+
+
+def read_log(spark: SparkSession, state_dir: str, name: str, before: int | None = None, after: int | None = None,
+             only: int | None = None) -> DataFrame:
+    """Rows of a log with their ``batch``: of batches below ``before``, above ``after``, or of one alone.
+
+    Folders of other batches are not opened.
+    """
     path, schema = f"{state_dir}/{name}", f"{LOGS[name]}, batch bigint"
-    if not _exists(spark, path):
+    wanted = [b for b in _numbered(spark, path, "batch") if (before is None or b < before)
+              and (after is None or b > after) and (only is None or b == only)]
+    if not wanted:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(path)
-    return rows if before is None else rows.where(F.col("batch") < before)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/batch={b}" for b in wanted])
 
 
 def _write(df: DataFrame, state_dir: str, name: str, batch_id: int) -> None:
+    folded = _snapshots(df.sparkSession, state_dir, name) if name in STATE_LOGS else []
+    if folded and batch_id <= folded[-1]:
+        raise ValueError(f"batch {batch_id} of {name} is part of the snapshot of batch {folded[-1]}")
     names = [c.strip().split(" ")[0] for c in _fields(LOGS[name])]
     df.select(*names).write.mode("overwrite").parquet(f"{state_dir}/{name}/batch={batch_id}")
 
@@ -109,16 +141,60 @@ def _last(df: DataFrame, keys, order: str) -> DataFrame:
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
+def _fold_alerts(rows: DataFrame) -> DataFrame:
+    """One row per (case, service, metric): the first one's values, all occurrences, the last arrival."""
+    first = F.min_by(F.struct("org_id", "severity", "triggered_at", "raw_payload", "source_tool"), F.col("batch"))
+    return (rows.groupBy("case_id", "service", "metric")
+            .agg(first.alias("f"), F.sum("n").alias("n"), F.max("received_at").alias("received_at"),
+                 F.min("batch").alias("batch"))
+            .select("case_id", "service", "metric", "f.*", "n", "received_at", "batch"))
+
+
 PATCHES = ("resolutions", "summaries", "matches")
+# How rows of a log become one row per key; folding a folded part with later rows gives the whole fold.
+STATE_LOGS = {"cases": lambda rows: _last(rows, ["id"], "batch"), "alerts": _fold_alerts,
+              **{name: lambda rows: _last(rows, ["id", "epoch"], "batch") for name in PATCHES}}
+COMPACT_EVERY = 8  # batches behind the last snapshot that make the next one worth writing
+_KEPT_SNAPSHOTS = 2
+
+
+def _snapshots(spark: SparkSession, state_dir: str, name: str) -> list[int]:
+    """Last batches of the complete snapshots of a log, ascending."""
+    path = f"{state_dir}/_snapshots/{name}"
+    return [u for u in _numbered(spark, path, "upto") if _exists(spark, f"{path}/upto={u}/_SUCCESS")]
+
+
+def read_state(spark: SparkSession, state_dir: str, name: str, before: int | None = None) -> DataFrame:
+    """The fold of a log's batches below ``before`` (all by default): the newest snapshot that may be seen, and what follows."""
+    usable = [u for u in _snapshots(spark, state_dir, name) if before is None or u < before]
+    schema = f"{LOGS[name]}, batch bigint"
+    if not usable:
+        return STATE_LOGS[name](read_log(spark, state_dir, name, before))
+    base = spark.read.schema(schema).parquet(f"{state_dir}/_snapshots/{name}/upto={usable[-1]}")
+    return STATE_LOGS[name](base.unionByName(read_log(spark, state_dir, name, before, after=usable[-1])))
+
+
+def compact(spark: SparkSession, state_dir: str, name: str, before: int) -> None:
+    """A snapshot of the batches below ``before``, if ``COMPACT_EVERY`` of them are behind the last one."""
+    old = _snapshots(spark, state_dir, name)
+    fresh = [b for b in _numbered(spark, f"{state_dir}/{name}", "batch") if b < before and (not old or b > old[-1])]
+    if len(fresh) < COMPACT_EVERY:
+        return
+    path = f"{state_dir}/_snapshots/{name}"
+    names = [c.strip().split(" ")[0] for c in _fields(f"{LOGS[name]}, batch bigint")]
+    read_state(spark, state_dir, name, before).select(*names).write.mode("overwrite").parquet(f"{path}/upto={fresh[-1]}")
+    for u in old[:1 - _KEPT_SNAPSHOTS]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/upto={u}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def patches_of(spark: SparkSession, state_dir: str, batch_id: int) -> dict[str, int | None]:
     """The last batch of each patch log that a tick reads: noted by its first attempt, found again by a retry."""
     if not _exists(spark, f"{state_dir}/pins/batch={batch_id}/_SUCCESS"):
-        last = [(name, read_log(spark, state_dir, name).agg(F.max("batch")).first()[0]) for name in PATCHES]
+        last = [(name, next((b for b in reversed(_numbered(spark, f"{state_dir}/{name}", "batch"))
+                             if _committed(spark, f"{state_dir}/{name}/batch={b}")), None)) for name in PATCHES]
         _write(spark.createDataFrame(last, LOGS["pins"]).coalesce(1), state_dir, "pins", batch_id)
-    noted = read_log(spark, state_dir, "pins").where(F.col("batch") == batch_id)
-    return {r["name"]: r["last"] for r in noted.collect()}  # one row per log
+    return {r["name"]: r["last"] for r in read_log(spark, state_dir, "pins", only=batch_id).collect()}  # one row per log
 
 
 def current_cases(spark: SparkSession, state_dir: str, before: int | None = None,
@@ -128,11 +204,12 @@ def current_cases(spark: SparkSession, state_dir: str, before: int | None = None
     ``upto`` names the last batch of each patch log that counts (None: no batch); by default all do.
     """
     def patches(name: str) -> DataFrame:
-        rows = read_log(spark, state_dir, name)
-        return rows if upto is None else rows.where(F.col("batch") <= F.lit(upto[name]).cast("bigint"))
+        if upto is not None and upto[name] is None:
+            return spark.createDataFrame([], LOGS[name])
+        return read_state(spark, state_dir, name, None if upto is None else upto[name] + 1).drop("batch")
 
-    cases = _last(read_log(spark, state_dir, "cases", before), ["id"], "batch").drop("batch")
-    patch = {name: _last(patches(name), ["id", "epoch"], "batch").drop("batch") for name in PATCHES}
+    cases = read_state(spark, state_dir, "cases", before).drop("batch")
+    patch = {name: patches(name) for name in PATCHES}
     resolved = patch["resolutions"].withColumnRenamed("at", "resolved_at")
     summary = patch["summaries"].withColumnRenamed("at", "summarized_at")
     matched = patch["matches"].withColumnRenamed("at", "matched_at").drop("n_actions")
@@ -145,12 +222,9 @@ def current_cases(spark: SparkSession, state_dir: str, before: int | None = None
 
 def current_alerts(spark: SparkSession, state_dir: str) -> DataFrame:
     """One alert per (case, service, metric): the first one's values, all occurrences counted."""
-    rows = read_log(spark, state_dir, "alerts")
-    first = F.min_by(F.struct("org_id", "severity", "triggered_at", "raw_payload", "source_tool"), F.col("batch"))
-    return (rows.groupBy("case_id", "service", "metric")
-            .agg(first.alias("f"), F.sum("n").cast("int").alias("duplicate_count"),
-                 F.max("received_at").alias("received_at"))
-            .select(F.xxhash64("case_id", "service", "metric").alias("id"), "case_id", "service", "metric", "f.*",
+    return (read_state(spark, state_dir, "alerts").withColumn("id", F.xxhash64("case_id", "service", "metric"))
+            .withColumn("duplicate_count", F.col("n").cast("int"))
+            .select("id", "case_id", "service", "metric", "org_id", "severity", "triggered_at", "raw_payload", "source_tool",
                     "duplicate_count", "received_at"))
 
 
@@ -162,10 +236,9 @@ def current_timeline(spark: SparkSession, state_dir: str) -> DataFrame:
 
 def _recent_metrics(spark: SparkSession, metrics: DataFrame, state_dir: str, batch_id: int, since) -> DataFrame:
     """Memory values after ``since``: those of this batch, and those the batch before has kept."""
-    kept = read_log(spark, state_dir, "recent_metrics", batch_id)
-    newest = kept.agg(F.max("batch")).first()[0]
     own = metrics.select("id", "org_id", "service", "ts", F.col("rss_mb").cast("decimal(18,3)").alias("rss_mb"))
-    both = own if newest is None else own.unionByName(kept.where(F.col("batch") == newest).drop("batch"))
+    earlier = [b for b in _numbered(spark, f"{state_dir}/recent_metrics", "batch") if b < batch_id]
+    both = own.unionByName(read_log(spark, state_dir, "recent_metrics", only=earlier[-1]).drop("batch")) if earlier else own
     return both.where((F.col("ts") > since) & F.col("rss_mb").isNotNull())
 
 
@@ -183,7 +256,7 @@ def tick(spark: SparkSession, events: DataFrame, state_dir: str, batch_id: int,
         return
     recent = _recent_metrics(spark, metrics, state_dir, batch_id, _back(as_of, trend.lookback_seconds))
     _write(recent, state_dir, "recent_metrics", batch_id)
-    recent = read_log(spark, state_dir, "recent_metrics").where(F.col("batch") == batch_id)
+    recent = read_log(spark, state_dir, "recent_metrics", only=batch_id)
     parts = (detect.detect_metric_breaches(metrics),
              detect.detect_rss_trend(recent, slope_mb_per_min=trend.slope_mb_per_min, min_mb=trend.min_mb),
              detect.detect_error_logs(logs))
@@ -195,9 +268,15 @@ def tick(spark: SparkSession, events: DataFrame, state_dir: str, batch_id: int,
     numbered = incidents.global_sequence(signed, ["first_ts", "org_id", "service"], F.to_date("first_ts"),
                                          start=(batch_id + 1) * 1_000_000_000 + 1, out_col="gid")
     _write(numbered.withColumn("vector", F.col("vector").cast("array<float>")), state_dir, "groups", batch_id)
-    groups = read_log(spark, state_dir, "groups").where(F.col("batch") == batch_id).drop("batch")
-
-    state = current_cases(spark, state_dir, before=batch_id, upto=patches_of(spark, state_dir, batch_id))
+    groups = read_log(spark, state_dir, "groups", only=batch_id).drop("batch")
+
+    pinned = patches_of(spark, state_dir, batch_id)
+    for name in ("cases", "alerts"):
+        compact(spark, state_dir, name, batch_id)
+    for name, last in pinned.items():
+        if last is not None:
+            compact(spark, state_dir, name, last)  # the last batch itself may still be replaced by a retry
+    state = current_cases(spark, state_dir, before=batch_id, upto=pinned)
     q = groups.select(F.col("gid").alias("case_id"), "org_id", "service", "vector")
     idx = state.select(F.col("id").alias("case_id"), "org_id", F.col("primary_service").alias("service"), "vector",
                        "updated_at")
@@ -286,7 +365,7 @@ def summarize_stage(spark: SparkSession, state_dir: str, logs: DataFrame, client
     Answers are written before the summary, its timeline entry and the rejects are, which all read them.
     """
     def on_batch(_: DataFrame, batch_id: int):
-        done = read_log(spark, state_dir, "summaries", batch_id).select("id", "epoch")
+        done = read_state(spark, state_dir, "summaries", batch_id).select("id", "epoch")
         queue = current_cases(spark, state_dir).join(done, ["id", "epoch"], "left_anti")
         prompts = context.case_prompt(queue, current_alerts(spark, state_dir), context.case_context_logs(queue, logs))
         told = context.model_answers(prompts, client, _once(spark, state_dir, batch_id)).withColumnRenamed("case_id", "id")
@@ -306,13 +385,13 @@ def match_stage(spark: SparkSession, state_dir: str, actions: DataFrame | None =
     acts = actions if actions is not None else actions_frame(spark)
 
     def on_batch(_: DataFrame, batch_id: int):
-        done = read_log(spark, state_dir, "matches", batch_id).select("id", "epoch")
+        done = read_state(spark, state_dir, "matches", batch_id).select("id", "epoch")
         queue = current_cases(spark, state_dir).where(F.col("summarized_at").isNotNull()).join(
             done, ["id", "epoch"], "left_anti").select("id", "epoch", "org_id", "title", "ai_summary")
         found = embed.match_actions(queue, acts, embedder=embedder).join(
             queue.select(F.col("id").alias("case_id"), "epoch", "org_id"), "case_id")
         _write(found, state_dir, "case_actions", batch_id)
-        rows = read_log(spark, state_dir, "case_actions").where(F.col("batch") == batch_id)
+        rows = read_log(spark, state_dir, "case_actions", only=batch_id)
         counted = (rows.groupBy(F.col("case_id").alias("id"), "epoch").agg(F.count(F.lit(1)).alias("n_actions"))
                    .withColumn("at", F.current_timestamp()))
         _stage_entry(counted.join(queue.select("id", "org_id"), "id"),
@@ -328,7 +407,7 @@ def _once(spark: SparkSession, state_dir: str, batch_id: int):
     def store(rows: DataFrame, name: str) -> DataFrame:
         if not _exists(spark, f"{state_dir}/{name}/batch={batch_id}/_SUCCESS"):
             _write(rows, state_dir, name, batch_id)
-        return read_log(spark, state_dir, name).where(F.col("batch") == batch_id).drop("batch")
+        return read_log(spark, state_dir, name, only=batch_id).drop("batch")
     return store
 
 

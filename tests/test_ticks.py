@@ -133,3 +133,77 @@ def test_a_retry_after_a_resolution_finds_what_the_first_attempt_found(spark):
     assert again == written and {r[2] for r in again} == {0}
     run(spark, state, 2, 2)  # the next tick sees the resolution
     assert all(r[2] == "INVESTIGATING" and r[5] == 1 for r in state_rows(spark, state))
+
+
+def _case_rows(spark, batch, ids):
+    rows = [(i, "o", "OPEN", "s", DAY, DAY + dt.timedelta(hours=batch), "text", None, batch + 1, "warning", [0.5] * 16, 0) for i in ids]
+    return spark.createDataFrame(rows, ticks.LOGS["cases"]).coalesce(1)
+
+
+def _alert_rows(spark, batch, ids):
+    rows = [("o", i, "s", "m", f"sev{batch}", DAY + dt.timedelta(hours=batch), "{}", "t", batch + 1, DAY + dt.timedelta(hours=batch))
+            for i in ids]
+    return spark.createDataFrame(rows, ticks.LOGS["alerts"]).coalesce(1)
+
+
+def _bytes_of(df):
+    from urllib.parse import unquote, urlparse
+    import os
+    return sum(os.path.getsize(unquote(urlparse(f).path)) for f in df.inputFiles())
+
+
+def test_bytes_of_the_state_stay_flat_over_fifty_batches(spark):
+    """The same cases recur for ever: a read opens one snapshot and the batches behind it, and equals the fold of all."""
+    state = jobs.run_folder(spark, "t-snap")
+    read = []
+    for b in range(50):
+        ticks._write(_case_rows(spark, b, range(b % 3, 30, 2)), state, "cases", b)
+        ticks._write(_alert_rows(spark, b, range(b % 5, 30, 3)), state, "alerts", b)
+        for name in ("cases", "alerts"):
+            ticks.compact(spark, state, name, b)
+        read.append(_bytes_of(ticks.read_state(spark, state, "cases")) + _bytes_of(ticks.read_state(spark, state, "alerts")))
+        if b in (30, 49):
+            for name in ("cases", "alerts"):
+                for before in (None, b - 2):
+                    whole = ticks.STATE_LOGS[name](ticks.read_log(spark, state, name, before))
+                    seen = ticks.read_state(spark, state, name, before).select(*whole.columns)
+                    assert sorted(map(str, seen.collect())) == sorted(map(str, whole.collect()))
+    assert max(read[40:]) <= 1.2 * max(read[9:25]) < 0.5 * _bytes_of(ticks.read_log(spark, state, "cases").unionByName(
+        ticks.read_log(spark, state, "alerts"), allowMissingColumns=True))
+    assert len(ticks._snapshots(spark, state, "cases")) == 2
+    with pytest.raises(ValueError):
+        ticks._write(_case_rows(spark, 3, [1]), state, "cases", 3)
+
+
+def test_a_snapshot_without_its_marker_does_not_count(spark):
+    import os
+    from urllib.parse import urlparse
+    state = jobs.run_folder(spark, "t-half")
+    for b in range(ticks.COMPACT_EVERY + 1):
+        ticks._write(_case_rows(spark, b, [b % 4]), state, "cases", b)
+    ticks.compact(spark, state, "cases", ticks.COMPACT_EVERY)
+    newest = ticks._snapshots(spark, state, "cases")[-1]
+    want = sorted(map(str, ticks.read_state(spark, state, "cases").collect()))
+    os.remove(f"{urlparse(state).path}/_snapshots/cases/upto={newest}/_SUCCESS")
+    assert ticks._snapshots(spark, state, "cases") == []
+    assert sorted(map(str, ticks.read_state(spark, state, "cases").collect())) == want
+
+
+def test_ticks_with_snapshots_equal_ticks_without(spark, monkeypatch):
+    """Resolutions, reopenings and a retry over snapshots of two batches each."""
+    def history(every):
+        monkeypatch.setattr(ticks, "COMPACT_EVERY", every)
+        state = jobs.run_folder(spark, "t-hist")
+        for b in range(4):
+            run(spark, state, b, b)
+            if b in (1, 2):
+                ids = [r[0] for r in state_rows(spark, state)]
+                ticks.resolve(spark, state, ids[b % 2:], b, DAY + dt.timedelta(days=b, hours=1))
+        run(spark, state, 3, 3)
+        alerts = sorted(map(str, ticks.current_alerts(spark, state).drop("id", "case_id").collect()))
+        return state, state_rows(spark, state), alerts
+
+    plain, rows, alerts = history(1000)
+    merged, rows2, alerts2 = history(2)
+    assert ticks._snapshots(spark, plain, "cases") == [] and ticks._snapshots(spark, merged, "cases")
+    assert rows2 == rows and alerts2 == alerts and max(r[5] for r in rows) > 0
