@@ -61,11 +61,13 @@ DEFAULT_RULES = (
 )
 
 
+RULE_BOUND = "decimal(38,6)"
+
+
 def rules_frame(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
-    """Rules as a small table (users add rules as rows)."""
-    rows = [(r.metric, float(r.threshold), r.scale, str(r.warn_from), str(r.critical_from)) for r in rules]
-    return spark.createDataFrame(rows, "metric string, threshold double, scale int, "
-                                       "warn_from string, critical_from string")
+    """Rules as rows, numbered in their order, with exact bounds; users append rows of their own."""
+    rows = [(i, r.metric, r.warn_from, r.critical_from) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, f"rule_id int, metric string, warn_from {RULE_BOUND}, critical_from {RULE_BOUND}")
 
 
 def severity(value: Column, rule: Rule) -> Column:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import (DEFAULT_RULES, RSS_TREND_MIN_MB, RSS_TREND_SLOPE_MB_PER_MIN,
+from ..functions.rules import (DEFAULT_RULES, RSS_TREND_MIN_MB, RSS_TREND_SLOPE_MB_PER_MIN, RULE_BOUND,
                                breached, severity)
 
 BREACH_COLUMNS = ("org_id", "service", "metric", "value", "ts", "severity", "event", "message",
@@ -54,6 +54,43 @@ def detect_metric_breaches(metrics: DataFrame, rules=DEFAULT_RULES) -> DataFrame
     )
 
 
+# Columns that rules given as rows may name, and into how many parts each metric's values are dealt.
+METRIC_COLUMNS = ("error_rate", "p99_latency_ms", "active_connections", "rss_mb")
+RULE_PARTS = 64
+
+
+def detect_by_rules(metrics: DataFrame, rules: DataFrame, columns=METRIC_COLUMNS) -> DataFrame:
+    """Threshold breaches by rules that are rows (rule_id, metric, warn_from, critical_from), see ``rules_frame``.
+
+    A row breaches a rule if its value is at or above ``warn_from``, critically from ``critical_from``. The
+    lowest bound of each metric filters the scan before anything is unpivoted (one number per column goes to
+    the driver). There are few metrics, so a join on the metric alone would meet in few tasks: values are dealt
+    over ``RULE_PARTS`` parts by row id and each rule is copied to all parts. Rules of other columns or without
+    ``warn_from`` never fire, without ``critical_from`` they only warn; null values breach nothing; no rules, no
+    rows. ``sub`` is the rule's id.
+    """
+    lowest = (rules.where(F.col("metric").isin(*columns) & F.col("warn_from").isNotNull())
+              .groupBy("metric").agg(F.min("warn_from").alias("low")))
+    low = {r["metric"]: r["low"] for r in lowest.collect()}  # at most one row per column
+    hit = {m: F.col(m) >= F.lit(v).cast(RULE_BOUND) for m, v in low.items()}
+    any_hit = reduce(lambda a, b: a | b, hit.values(), F.lit(False))
+    values = [F.when(h, F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"),
+                                 F.col(m).cast(RULE_BOUND).alias("exact"))) for m, h in hit.items()]
+    if not values:
+        metrics, values = metrics.limit(0), [F.lit(None).cast(f"struct<metric:string,value:double,exact:{RULE_BOUND}>")]
+    long = (metrics.where(any_hit)
+            .select("org_id", "service", "ts", F.col("id").alias("src_id"),
+                    F.inline(F.filter(F.array(*values), lambda x: x.isNotNull())))
+            .withColumn("_part", F.pmod(F.xxhash64("src_id"), F.lit(RULE_PARTS)).cast("int")))
+    copied = rules.select("rule_id", "metric", "warn_from", "critical_from",
+                          F.explode(F.sequence(F.lit(0), F.lit(RULE_PARTS - 1))).alias("_part"))
+    grade = F.when(F.col("exact") >= F.col("critical_from"), "critical").otherwise("warning")
+    return (long.join(copied, ["metric", "_part"]).where(F.col("exact") >= F.col("warn_from"))
+            .select("org_id", "service", "metric", "value", "ts", grade.alias("severity"), _null_str().alias("event"),
+                    _null_str().alias("message"), _null_str().alias("trace_id"), F.lit(SEQ_METRIC).alias("seq"), "src_id",
+                    F.col("rule_id").alias("sub")))
+
+
 def detect_error_logs(logs: DataFrame) -> DataFrame:
     """ERROR / CRITICAL log rows become ``log_error`` breaches (value 1, critical)."""
     return logs.where(F.col("level").isin("ERROR", "CRITICAL")).select(

@@ -39,6 +39,41 @@ def rebuild_vectors(cases: DataFrame, dim: int = DEFAULT_DIM, embedder=None) ->
     return embed_text(c, "signature_text", dim=dim, embedder=embedder)
 
 
+def live_index(index: DataFrame) -> DataFrame:
+    """Vectors that hold now: of each case the row of the last version, unless that is a tombstone."""
+    rest = [c for c in index.columns if c != "case_id"]
+    last = index.groupBy("case_id").agg(F.max_by(F.struct(*rest), F.col("version")).alias("r"))
+    return last.select("case_id", "r.*").where("NOT gone")
+
+
+def index_changes(index: DataFrame | None, cases: DataFrame, version: int, whole: bool = False, dim: int = DEFAULT_DIM,
+                  embedder=None) -> DataFrame:
+    """Rows that bring a vector index up to date: case_id, org_id, service, digest, gone, vector, version.
+
+    ``index`` holds the rows appended so far (None: none yet), ``cases`` the cases that may have changed
+    (id, org_id, primary_service, signature_text; ids are distinct). Only new cases and those whose signature,
+    org or service differs are embedded; an unchanged case gives no row, so adding twice adds nothing. A case
+    without a signature that is in the index gets a tombstone, and so does, if ``cases`` are ``whole``, a case
+    that is not among them. Appending the rows gives the same ``live_index`` as a rebuild. One join by
+    case id, without vectors; ``version`` is above all earlier ones.
+    """
+    known = (live_index(index).select("case_id", F.struct("org_id", "service", "digest").alias("_old")) if index is not None
+             else cases.select(F.col("id").alias("case_id"), F.struct("org_id", F.col("primary_service").alias("service"),
+                                                                      F.lit("").alias("digest")).alias("_old")).limit(0))
+    now = cases.select(F.col("id").alias("case_id"), "signature_text",
+                       F.struct("org_id", F.col("primary_service").alias("service"),
+                                F.sha2("signature_text", 256).alias("digest")).alias("_new"))
+    both = known.join(now, "case_id", "full_outer" if whole else "right")
+    signed = F.col("signature_text").isNotNull()
+    added = both.where(signed & ~F.col("_new").eqNullSafe(F.col("_old"))).select("case_id", "_new.*", "signature_text")
+    gone = both.where(~signed & F.col("_old").isNotNull()).select("case_id", "_old.*", F.lit(True).alias("gone"),
+                                                                  F.lit(None).cast("array<float>").alias("vector"))
+    vectors = (embed_text(added, "signature_text", dim=dim, embedder=embedder)
+               .select("case_id", "org_id", "service", "digest", F.lit(False).alias("gone"),
+                       F.col("vector").cast("array<float>").alias("vector")))
+    return vectors.unionByName(gone).withColumn("version", F.lit(version))
+
+
 def action_vectors(actions: DataFrame, dim: int = DEFAULT_DIM, embedder=None) -> DataFrame:
     return embed_text(actions.select("id", "name", "description"), "description", dim=dim, embedder=embedder)
 

@@ -135,6 +135,17 @@ ORACLE["detect_error_rate"] = with_views(METRICS_V) + MB + "\n" + breach_select(
 ORACLE["detect_p99"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'p99_latency_ms'")
 ORACLE["detect_connections"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb", "metric = 'active_connections'")
 ORACLE["detect_metric_breaches"] = with_views(METRICS_V) + MB + "\n" + breach_select("mb")
+ORACLE["detect_rule_rows"] = with_views(METRICS_V) + f"""rules(rule_id, metric, warn_from, critical_from) AS (VALUES
+  (0, 'error_rate', 0.150, 0.300), (1, 'p99_latency_ms', 800.1, 1600.1), (2, 'active_connections', 19, 37),
+  (3, 'p99_latency_ms', 1200.1, 2400.1), (4, 'rss_mb', 180.1, 360.1)),
+long AS (
+  SELECT id, org_id, service, ts, 'error_rate' AS metric, CAST(error_rate AS DECIMAL(18,3)) AS v FROM metrics_v
+  UNION ALL SELECT id, org_id, service, ts, 'p99_latency_ms', CAST(p99_latency_ms AS DECIMAL(18,3)) FROM metrics_v
+  UNION ALL SELECT id, org_id, service, ts, 'active_connections', CAST(active_connections AS DECIMAL(18,3)) FROM metrics_v
+  UNION ALL SELECT id, org_id, service, ts, 'rss_mb', CAST(rss_mb AS DECIMAL(18,3)) FROM metrics_v)
+SELECT CAST(r.rule_id AS INTEGER) AS rule_id, l.org_id, l.service, l.metric, round(CAST(l.v AS DOUBLE), 6) AS value, {iso('l.ts')} AS ts,
+  CASE WHEN l.v >= r.critical_from THEN 'critical' ELSE 'warning' END AS severity, l.id AS src_id
+FROM long l JOIN rules r ON r.metric = l.metric AND l.v >= r.warn_from"""
 ORACLE["detect_rss_trend"] = with_views(METRICS_V) + TREND_ALL + "\n" + breach_select("trend")
 ORACLE["detect_error_logs"] = with_views(LOGS_V) + LB + "\n" + breach_select("lb")
 ORACLE["all_breaches"] = with_views(METRICS_V, LOGS_V) + BREACHES + "\n" + breach_select("breaches")
@@ -1096,6 +1107,19 @@ st0 AS (SELECT 0::BIGINT AS id, '' AS org_id, '' AS service, now()::TIMESTAMP AS
   0::BIGINT AS occ, '' AS severity, 0.0::DOUBLE AS score, [0.0::DOUBLE] AS vec WHERE FALSE)"""
 
 
+ORACLE["index_upkeep"] = with_views(CASES_V).rstrip().rstrip(",") + """,
+final AS (
+  SELECT id, org_id, primary_service, CASE WHEN id % 5 = 0 THEN signature_text || ' error_rate' ELSE signature_text END AS sig,
+    CASE WHEN id % 3 <> 0 AND id % 5 <> 0 THEN 1 ELSE 2 END AS version
+  FROM cases_v WHERE id % 7 <> 0 AND signature_text IS NOT NULL),
+w AS (SELECT *, [""" + ", ".join(f"CASE WHEN contains(sig, '{x}') THEN 1.0::DOUBLE ELSE 0 END" for x in (
+    "error_rate", "p99_latency_ms", "active_connections", "log_error", "rss_mb", "severity=critical")) + """] AS h FROM final)
+SELECT id AS case_id, org_id, primary_service AS service, sha256(sig) AS digest,
+  array_to_string(list_transform(h, lambda x: CAST(CAST(round(x / greatest(sqrt(list_sum(h)), 1), 4) AS DECIMAL(6,4)) AS VARCHAR)), ',') AS vector,
+  version
+FROM w"""
+
+
 def _tick_sql(k: int, mode: str) -> str:
     pair = "round(list_inner_product(g.vec, c.vec), 6)"
     own = "c.org_id = g.org_id AND c.service = g.service AND c.updated_at >= a.as_of - INTERVAL 10 DAY"

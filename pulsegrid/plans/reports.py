@@ -98,6 +98,19 @@ def detect_metric_breaches(spark, sf_dir):
     return _breach_out(detect.detect_metric_breaches(views.metrics_v(spark, sf_dir)))
 
 
+# Rules that a user of the driver data has added as rows to the default ones.
+DRIVER_ADDED_RULES = (("p99_latency_ms", 1200.0, 1), ("rss_mb", 180.0, 1))
+
+
+@report("detect_rule_rows")
+def detect_rule_rows(spark, sf_dir):
+    from ..functions.rules import DEFAULT_RULES, Rule, rules_frame
+    rules = rules_frame(spark, (*DEFAULT_RULES, *[Rule(*r) for r in DRIVER_ADDED_RULES]))
+    out = detect.detect_by_rules(views.metrics_v(spark, sf_dir), rules)
+    return out.select(F.col("sub").alias("rule_id"), "org_id", "service", "metric", r6("value").alias("value"),
+                      iso("ts").alias("ts"), "severity", "src_id")
+
+
 @report("detect_rss_trend")
 def detect_rss_trend(spark, sf_dir):
     return _breach_out(detect.detect_rss_trend(views.metrics_v(spark, sf_dir), slope_mb_per_min=0.00005,
@@ -1372,6 +1385,21 @@ def _word_vector(text):
     return F.transform(hits, lambda x: (x / F.greatest(norm, F.lit(1.0))).cast("float"))
 
 
+@report("index_upkeep")
+def index_upkeep(spark, sf_dir):
+    """Index after three additions: two thirds of the cases, all with a fifth of the signatures replaced, a seventh gone."""
+    from ..operators import embed
+    checkpoint_dir(spark)
+    c = views.cases_v(spark, sf_dir).select("id", "org_id", "primary_service", "signature_text").checkpoint()
+    text = F.when(F.col("id") % 5 == 0, F.concat("signature_text", F.lit(" error_rate"))).otherwise(F.col("signature_text"))
+    index = embed.index_changes(None, c.where("id % 3 <> 0"), 1, embedder=_word_vector).checkpoint()
+    for version, cases in ((2, c.withColumn("signature_text", text)),
+                           (3, c.withColumn("signature_text", text).where("id % 7 <> 0"))):
+        index = index.unionByName(embed.index_changes(index, cases, version, whole=True, embedder=_word_vector)).checkpoint()
+    parts = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("decimal(6,4)").cast("string")), ",")
+    return embed.live_index(index).select("case_id", "org_id", "service", "digest", parts.alias("vector"), "version")
+
+
 def _tick_replay(spark, sf_dir, mode="pre_filter"):
     from ..streaming import jobs, ticks
     src = ticks.split_by_day(spark, sf_dir, jobs.run_folder(spark, "tick-input"), DRIVER_TICK_DAYS)

@@ -47,3 +47,26 @@ def test_ties_go_to_the_lowest_ids_in_every_block(spark):
         top = exact_topk(query, index, 5, q_id="case_id", i_id="case_id", block_rows=block).orderBy("rank").collect()
         assert [r.match_id for r in top] == [100, 101, 102, 103, 104]
         assert dedup_pre_filter(query, index, threshold=0.5, block_rows=block).first().matched_case_id == 100
+
+
+def test_adding_to_the_index_equals_a_rebuild(spark):
+    """New, changed, moved, emptied, absent and unchanged cases; only changed ones are embedded."""
+    from pulsegrid.operators import embed
+    schema = "id long, org_id string, primary_service string, signature_text string"
+    first = [(i, "o", "s", f"service=s; metrics=[m{i}]") for i in range(12)]
+    later = [(0, "o", "s", first[0][3]), (1, "o", "s", "changed text"), (2, "p", "s", first[2][3]), (3, "o", "s", None),
+             (40, "o", "s", "new one"), (41, "o", "s", "")]
+    a, b = spark.createDataFrame(first, schema), spark.createDataFrame(later, schema)
+    shape = lambda df: sorted(str(tuple(r)) for r in embed.live_index(df).select("case_id", "org_id", "service", "digest", "vector").collect())
+    one = embed.index_changes(None, a, 1, dim=32)
+    two = embed.index_changes(one, b, 2, dim=32)
+    assert sorted(r["case_id"] for r in two.collect()) == [1, 2, 3, 40, 41]
+    index = one.unionByName(two)
+    merged = [r for r in first if r[0] > 3] + later
+    assert shape(index) == shape(embed.index_changes(None, spark.createDataFrame(merged, schema), 1, dim=32))
+    assert embed.index_changes(index, b, 3, dim=32).collect() == []
+    whole = index.unionByName(embed.index_changes(index, b, 3, whole=True, dim=32))
+    assert shape(whole) == shape(embed.index_changes(None, b, 1, dim=32))
+    back = whole.unionByName(embed.index_changes(whole, a, 4, dim=32))
+    assert {r["case_id"] for r in embed.live_index(back).collect()} == {*range(12), 40, 41}
+    assert shape(embed.index_changes(None, a.limit(0), 1, dim=32)) == []
