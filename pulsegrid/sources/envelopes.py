@@ -22,8 +22,18 @@ ENVELOPE = (f"struct<alerts:array<{ALERT}>,status:string,labels:map<string,strin
             "context:struct<logs:array<string>,traces:array<string>>>")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row however often it is used.
+
+    It is generated (a list of one, exploded), so later filters and projections refer to the value and
+    the optimizer does not copy its expression into each of them. A null value stays a row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def parse_envelopes(df: DataFrame, payload_col: str = "payload") -> DataFrame:
-    return df.withColumn("env", F.from_json(F.col(payload_col), ENVELOPE))
+    """Adds ``env``, the payload parsed once; null where the payload is null."""
+    return once(df, "env", F.from_json(F.col(payload_col), ENVELOPE))
 
 
 def _alerts(env: Column) -> Column:
@@ -57,8 +67,8 @@ def alert_header(envs: DataFrame, id_col: str = "env_id") -> DataFrame:
     """service, app, alertname per payload with at least one firing alert."""
     keep = [c for c in (id_col, "ts", "org_id") if c in envs.columns]
     # the firing list is computed once per row and referenced by name below
-    step = envs.select(*keep, F.filter(_alerts(F.col("env")), _firing).alias("_firing"),
-                       F.coalesce(F.col("env.context.logs"), F.array().cast("array<string>")).alias("logs"))
+    step = envs.select(*keep, F.coalesce(F.col("env.context.logs"), F.array().cast("array<string>")).alias("logs"),
+                       F.filter(_alerts(F.col("env")), _firing).alias("_firing"))
     step = step.where(F.size("_firing") > 0)
     found = F.array_position(F.transform("_firing", lambda a: _svc(a).isNotNull()), True)
     upto = F.when(found > 0, found).otherwise(F.size("_firing"))

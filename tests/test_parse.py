@@ -31,3 +31,19 @@ def test_slug_and_case_ids(spark):
     ids = spark.createDataFrame([("CASE-0007",), ("7",), ("CASE-x",)], "t string")
     assert [r[0] for r in ids.select(parse.parse_case_id("t")).collect()] == [7, 7, None]
     assert ids.select(parse.case_label(F.lit(7))).first()[0] == "CASE-0007"
+
+
+def test_payloads_are_parsed_once(spark):
+    """One ``from_json`` in the plans over envelopes; broken and null payloads stay rows without alerts."""
+    from pulsegrid.operators import catalog
+    from pulsegrid.sources import envelopes
+    rows = [(1, '{"alerts":[{"labels":{"alertname":"Slow","service":"a","app":"x"}}],"context":{"logs":["l1","l2"]}}'),
+            (2, '{"status":"resolved","labels":{"service":"b"}}'), (3, "{broken"), (4, None), (5, '{"labels":{"service":"c"}}')]
+    raw = spark.createDataFrame([(i, p, 7) for i, p in rows], "env_id long, payload string, ts long").repartition(2)
+    env = envelopes.parse_envelopes(raw)
+    assert env.count() == 5
+    hdr = {r["env_id"]: r["service"] for r in envelopes.alert_header(env).collect()}
+    assert hdr[1] == "a" and hdr[5] == "c" and 2 not in hdr
+    for out in (envelopes.alert_to_logs(env), envelopes.alert_header(env), catalog.service_catalog(envelopes.alert_header(env))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
