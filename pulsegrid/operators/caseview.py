@@ -57,20 +57,30 @@ def ranked_case_actions(case_actions: DataFrame, actions: DataFrame) -> DataFram
     return j.orderBy(F.col("case_id"), F.col("similarity_score").desc_nulls_last(), F.col("action_id"))
 
 
+# Columns of a suggested action that an application fills; what they are until then.
+APPLIED_STATE = {"status": ("string", "suggested"), "applied_by": ("string", None), "applied_at": ("timestamp", None),
+                 "result": ("string", None)}
+
+
 def case_detail(requests: DataFrame, cases: DataFrame, teams: DataFrame, case_actions: DataFrame,
                 actions: DataFrame, ref_col: str = "ref") -> DataFrame:
     """Batch of ``GET case`` requests (ref, org_id): found cases with their ranked actions nested.
 
-    A case of another org is not found, exactly like a missing one.
+    A nested action has its name, type and description, its score and its state: status, applied_by,
+    applied_at and result of ``cases.apply_to_case_actions``, or ``suggested`` where ``case_actions`` lack
+    them. Best score first, null scores last, ties by action id. A case of another org is not found,
+    exactly like a missing one.
     """
     req = requests.withColumn("case_id", parse.parse_case_id(F.col(ref_col))).where(F.col("case_id").isNotNull())
-    view = case_view(cases.join(req.select(F.col("case_id").alias("id"), "org_id").distinct(), ["id", "org_id"],
-                                "left_semi"), teams)
-    acts = ranked_case_actions(case_actions, actions).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("similarity_score").cast("double"),
-                                                          F.lit(float("-inf")))).alias("neg_score"),
-                                             "action_id", "name", "action_type",
-                                             "similarity_score"))).alias("actions"))
+    wanted = req.select("case_id", "org_id").distinct()
+    view = case_view(cases.join(wanted.withColumnRenamed("case_id", "id"), ["id", "org_id"], "left_semi"), teams)
+    state = case_actions.withColumns({c: F.lit(first).cast(t) for c, (t, first) in APPLIED_STATE.items()
+                                      if c not in case_actions.columns})
+    named = state.join(wanted.select("case_id").distinct(), "case_id", "left_semi").join(
+        actions.select(F.col("id").alias("action_id"), "name", "action_type", "description"), "action_id")
+    order = (-F.coalesce(F.col("similarity_score").cast("double"), F.lit(float("-inf")))).alias("neg_score")
+    acts = named.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
+        order, "action_id", "name", "action_type", "description", "similarity_score", *APPLIED_STATE))).alias("actions"))
     found = req.join(view.withColumnRenamed("id", "case_id"), ["case_id", "org_id"], "inner")
     return found.join(acts, "case_id", "left").withColumn(
         "actions", F.coalesce("actions", F.array()))

@@ -779,6 +779,17 @@ SELECT s.case_id, s.action_id, CASE WHEN d.case_id IS NULL THEN 'suggested' ELSE
   CASE WHEN d.case_id IS NOT NULL THEN 'u' || s.action_id END AS applied_by, {iso('d.at')} AS applied_at, d.result
 FROM case_actions s LEFT JOIN done d ON d.case_id = s.case_id AND d.action_id = s.action_id"""
 
+ORACLE["case_detail_actions"] = APPLIED + ",\n" + CASE_REFS + f""",
+req AS (SELECT ref, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id,
+               TRY_CAST(string_split(ref, '-')[-1] AS BIGINT) AS case_id FROM refs)
+SELECT r.ref, CAST(row_number() OVER (PARTITION BY r.ref ORDER BY s.similarity_score DESC NULLS LAST, s.action_id) - 1 AS INTEGER) AS pos,
+  s.action_id, a.name, a.action_type, a.description, round(CAST(s.similarity_score AS DOUBLE), 6) AS score,
+  CASE WHEN d.case_id IS NULL THEN 'suggested' ELSE 'applied' END AS status,
+  CASE WHEN d.case_id IS NOT NULL THEN 'u' || s.action_id END AS applied_by, {iso('d.at')} AS applied_at, d.result
+FROM req r JOIN cases_v c ON c.id = r.case_id AND c.org_id = r.org_id JOIN case_actions s ON s.case_id = r.case_id
+JOIN {actions_sql()} ON a.id = s.action_id
+LEFT JOIN done d ON d.case_id = s.case_id AND d.action_id = s.action_id"""
+
 ORACLE["applied_cases"] = APPLIED + f"""
 SELECT c.id, CASE WHEN bool_or(coalesce(d.action_type <> 'raise_pr', d.case_id IS NOT NULL)) THEN 'RESOLVED' ELSE c.status END AS status,
   {iso('coalesce(max(d.at), c.updated_at)')} AS updated_at
@@ -1048,6 +1059,11 @@ SELECT org_id, inc_id, title, severity FROM (
   SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY last_seen DESC NULLS FIRST, inc_id DESC) AS rn
   FROM numbered) t WHERE rn <= 20"""
 
+ORACLE["incidents_of_services"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + ",\n" + INCIDENTS.replace(
+    "count(*) AS occurrences", "arg_min(coalesce(service, ''), (ts, env_id)) AS service, count(*) AS occurrences") + f"""
+SELECT inc_id, title, severity, service AS services, {iso('last_seen')} AS last_seen
+FROM numbered WHERE org_id = 'org-1' AND service IN ('svc-1', 'svc-3')"""
+
 ORACLE["fetch_context_logs"] = with_views(LOG_LINES_V, ENVELOPES_V) + ALERTS_SQL + """,
 lines AS (
   SELECT h.env_id, h.alertname, unnest(CAST(json_extract(e.payload, '$.context.logs') AS VARCHAR[])) AS line,

@@ -527,6 +527,19 @@ def case_detail(spark, sf_dir):
                       F.try_element_at("actions", F.lit(1))["name"].alias("top_action"))
 
 
+@report("case_detail_actions")
+def case_detail_actions(spark, sf_dir):
+    """Nested actions of all requested cases with their applied state, one row each."""
+    from ..functions.catalog_data import actions_frame
+    from ..operators import cases, caseview
+    req = _case_refs(spark, sf_dir).select("ref", F.concat(F.lit("org-"), (F.col("id") % 3).cast("string")).alias("org_id"))
+    out = caseview.case_detail(req, views.cases_v(spark, sf_dir), views.teams_v(spark, sf_dir),
+                               cases.apply_to_case_actions(*_applied(spark, sf_dir)), actions_frame(spark))
+    return out.select("ref", F.posexplode("actions").alias("pos", "a")).select(
+        "ref", "pos", "a.action_id", "a.name", "a.action_type", "a.description", r6("a.similarity_score").alias("score"),
+        "a.status", "a.applied_by", iso("a.applied_at").alias("applied_at"), "a.result")
+
+
 @report("services_for_teams")
 def services_for_teams(spark, sf_dir):
     from ..operators import teams
@@ -1348,6 +1361,14 @@ def open_incidents(spark, sf_dir):
     return out.select("org_id", "inc_id", "title", "severity")
 
 
+@report("incidents_of_services")
+def incidents_of_services(spark, sf_dir):
+    from ..operators import incidents
+    out = incidents.incidents_overlapping(_incidents(spark, sf_dir), "org-1", ["svc-1", "svc-3"])
+    return out.select("inc_id", "title", "severity", F.array_join("services", ",").alias("services"),
+                      iso("last_seen").alias("last_seen"))
+
+
 @report("fetch_context_logs")
 def fetch_context_logs(spark, sf_dir):
     from ..operators import context
