@@ -72,16 +72,19 @@ def _lines(arr: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(arr, "\n"), F.lit("")), F.lit("none"))
 
 
-def case_prompt(cases: DataFrame, alerts: DataFrame, logs: DataFrame) -> DataFrame:
+def case_prompt(cases: DataFrame, alerts: DataFrame, logs: DataFrame, payloads: bool = False) -> DataFrame:
     """Prompt text per case: case line, signature, alert lines and log lines in time order ('none' if empty).
 
     ``alerts`` are the rolled-up alerts (one per case, service, metric) and
-    ``logs`` the case-window logs, so each list is bounded by the case.
+    ``logs`` the case-window logs, so each list is bounded by the case. With
+    ``payloads`` an alert line ends with the alert's ``raw_payload``.
     """
+    line = F.format_string("- [%s] %s on %s at %s seen %dx", "severity", "metric", "service",
+                           F.date_format("triggered_at", "yyyy-MM-dd HH:mm:ss"), "duplicate_count")
+    if payloads:
+        line = F.concat(line, F.lit(" | "), F.coalesce("raw_payload", F.lit("None")))
     a = alerts.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "triggered_at", "id", F.format_string("- [%s] %s on %s at %s seen %dx", "severity", "metric", "service",
-                                              F.date_format("triggered_at", "yyyy-MM-dd HH:mm:ss"),
-                                              "duplicate_count").alias("t")))), lambda x: x["t"]).alias("al"))
+        "triggered_at", "id", line.alias("t")))), lambda x: x["t"]).alias("al"))
     lg = logs.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "ts", "log_id", F.format_string("[%s] [%s] [%s] %s", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "level",
                                         "event", "message").alias("t")))), lambda x: x["t"]).alias("ll"))
@@ -96,13 +99,31 @@ def case_prompt(cases: DataFrame, alerts: DataFrame, logs: DataFrame) -> DataFra
                     F.coalesce(F.size("ll"), F.lit(0)).alias("n_logs"))
 
 
+SUMMARY_TASK = ("Summarize the case below for the engineer on call. Its breaches are grouped already and the decision whether it "
+                "recurred is made: do not decide it again. Give a title, root causes ranked by likelihood, the evidence for "
+                "them, and what to do next.")
+# The fields of an answer and what each holds.
+ANSWER_SCHEMA = """{"title": "at most 8 words",
+ "hypotheses": [{"rank": 1, "text": "root cause", "confidence": 0-100}],
+ "evidence": [{"type": "log|metric|pattern", "label": "source", "text": "detail"}],
+ "ai_summary": "2 sentences: what happened, next step"}"""
+
+
+def summary_prompt(cases: DataFrame, alerts: DataFrame, logs: DataFrame, task: str = SUMMARY_TASK,
+                   answer: str = ANSWER_SCHEMA) -> DataFrame:
+    """What a model is sent: the task, the case with its alerts' payloads, and the JSON to answer with."""
+    body = case_prompt(cases, alerts, logs, payloads=True)
+    return body.withColumn("prompt", F.concat(F.lit(f"{task}\n\n"), "prompt",
+                                              F.lit(f"\n\nANSWER with this JSON alone, without markdown\n{answer}")))
+
+
 def offline_summarizer(batches):
     """Deterministic stand-in for a hosted model: a JSON summary derived from the prompt."""
     import json
     for pdf in batches:
         out = []
         for p in pdf["prompt"]:
-            first = p.split("\n", 2)[1] if "\n" in p else p
+            first = next((x for x in p.split("\n") if x.startswith("service=")), p)
             service = first.split("|")[0].replace("service=", "").strip()
             n_err = p.count("[ERROR]") + p.count("[CRITICAL]")
             out.append("```json\n" + json.dumps({

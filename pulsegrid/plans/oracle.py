@@ -845,6 +845,42 @@ SELECT s.org_id, s.service AS primary_service, {iso('s.first_ts')} AS opened_at,
          || coalesce(nullif(g.txt, ''), 'none') AS prompt
 FROM sig s LEFT JOIN al a USING (org_id, service, gs) LEFT JOIN lg g USING (org_id, service, gs)"""
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+SENT_TASK = ("Summarize the case below for the engineer on call. Its breaches are grouped already and the decision whether it "
+             "recurred is made: do not decide it again. Give a title, root causes ranked by likelihood, the evidence for "
+             "them, and what to do next.\n\nCASE\n")
+SENT_ANSWER = """\n\nANSWER with this JSON alone, without markdown
+{"title": "at most 8 words",
+ "hypotheses": [{"rank": 1, "text": "root cause", "confidence": 0-100}],
+ "evidence": [{"type": "log|metric|pattern", "label": "source", "text": "detail"}],
+ "ai_summary": "2 sentences: what happened, next step"}"""
+
+ORACLE["summary_prompts"] = with_views(CASES_V, ALERTS_V, LOGS_V) + f"""waiting AS (SELECT * FROM cases_v WHERE summarized_at IS NULL),
+paid AS (SELECT a.*, '{{"q":' || CAST(a.quantity AS INTEGER) || '}}' AS raw_payload FROM alerts_v a
+         WHERE a.case_id IN (SELECT id FROM waiting)),
+rolled AS (
+  SELECT case_id, service, metric, min(triggered_at) AS triggered_at, count(*) AS n,
+    arg_min({{'id': id, 'severity': severity, 'raw_payload': raw_payload}}, (triggered_at, id, received_at, severity, raw_payload)) AS f
+  FROM paid GROUP BY case_id, service, metric),
+al AS (
+  SELECT case_id, count(*) AS n, string_agg(printf('- [%s] %s on %s at %s seen %dx | %s', f.severity, metric, service,
+    strftime(triggered_at, '%Y-%m-%d %H:%M:%S'), n, f.raw_payload), chr(10) ORDER BY triggered_at, f.id,
+    printf('- [%s] %s on %s', f.severity, metric, service)) AS t
+  FROM rolled GROUP BY case_id),
+lg AS (
+  SELECT c.id AS case_id, count(*) AS n, string_agg(printf('[%s] [%s] [%s] %s', strftime(l.ts, '%Y-%m-%d %H:%M:%S'), l.level, l.event,
+    l.message), chr(10) ORDER BY l.ts, l.id) AS t
+  FROM waiting c JOIN logs_v l ON l.org_id = c.org_id AND l.service = c.primary_service
+   AND l.ts BETWEEN c.opened_at - INTERVAL 30 SECOND AND c.updated_at + INTERVAL 30 SECOND GROUP BY c.id)
+SELECT c.id AS case_id, {_text(SENT_TASK)} || 'service=' || c.primary_service || ' | status=' || c.status || ' | occurrence_count='
+    || c.occurrence_count || chr(10) || 'signature: ' || coalesce(c.signature_text, '') || chr(10) || chr(10) || 'ALERTS' || chr(10)
+    || coalesce(al.t, 'none') || chr(10) || chr(10) || 'LOGS' || chr(10) || coalesce(lg.t, 'none') || {_text(SENT_ANSWER)} AS prompt,
+  CAST(coalesce(al.n, 0) AS INTEGER) AS n_alerts, CAST(coalesce(lg.n, 0) AS INTEGER) AS n_logs
+FROM waiting c LEFT JOIN al ON al.case_id = c.id LEFT JOIN lg ON lg.case_id = c.id"""
+
 ORACLE["upload_context"] = with_views(CASES_V, LOG_FILES_V) + """top AS (
   SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY updated_at DESC NULLS FIRST, id DESC) AS rn
   FROM cases_v WHERE status <> 'RESOLVED'),

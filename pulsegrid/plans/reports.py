@@ -923,6 +923,18 @@ def case_prompt(spark, sf_dir):
                       "prompt")
 
 
+@report("summary_prompts")
+def summary_prompts(spark, sf_dir):
+    """What the model is sent for each case that waits for a summary."""
+    from ..operators import cases, context
+    waiting = views.cases_v(spark, sf_dir).where("summarized_at IS NULL")
+    alerts = views.alerts_v(spark, sf_dir).join(waiting.select(F.col("id").alias("case_id")), "case_id", "left_semi").withColumns({
+        "org_id": F.concat(F.lit("org-"), (F.col("case_id") % 3).cast("string")),
+        "raw_payload": F.concat(F.lit('{"q":'), F.col("quantity").cast("int").cast("string"), F.lit("}"))})
+    rolled = cases.alert_rollup(alerts.limit(0), alerts)
+    return context.summary_prompt(waiting, rolled, context.case_context_logs(waiting, views.logs_v(spark, sf_dir)))
+
+
 @report("summarize_cases")
 def summarize_cases(spark, sf_dir):
     from ..operators import context

@@ -367,7 +367,7 @@ def summarize_stage(spark: SparkSession, state_dir: str, logs: DataFrame, client
     def on_batch(_: DataFrame, batch_id: int):
         done = read_state(spark, state_dir, "summaries", batch_id).select("id", "epoch")
         queue = current_cases(spark, state_dir).join(done, ["id", "epoch"], "left_anti")
-        prompts = context.case_prompt(queue, current_alerts(spark, state_dir), context.case_context_logs(queue, logs))
+        prompts = context.summary_prompt(queue, current_alerts(spark, state_dir), context.case_context_logs(queue, logs))
         told = context.model_answers(prompts, client, _once(spark, state_dir, batch_id)).withColumnRenamed("case_id", "id")
         told = queue.select("id", "epoch", "org_id").join(told, "id").withColumn("at", F.current_timestamp())
         _write(told.where(F.col("outcome") == "rejected"), state_dir, "rejects", batch_id)
