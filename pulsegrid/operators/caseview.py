@@ -19,11 +19,28 @@ def _or_empty_array(c: Column, elem: str) -> Column:
     return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array().cast(f"array<{elem}>"))
 
 
+# Lists of a case and what they hold; a case table may lack them.
+CASE_LISTS = {"hypotheses": "struct<rank:int,text:string,confidence:int>", "evidence": "struct<type:string,label:string,text:string>",
+              "timeline": "struct<time:string,event:string,color:string>"}
+CASCADE = "struct<service:string,symptom:string,detected_at:string>"
+
+
+def with_timeline(cases: DataFrame, entries: DataFrame) -> DataFrame:
+    """cases with ``timeline``, the entries (case_id, at, seq, time, event, color) in order of (at, seq).
+
+    Entries are a few per case: openings, recurrences, summaries, matches and actions.
+    """
+    lists = entries.groupBy(F.col("case_id").alias("id")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "seq", "time", "event", "color"))),
+        lambda e: F.struct(e["time"].alias("time"), e["event"].alias("event"), e["color"].alias("color"))).alias("timeline"))
+    return cases.drop("timeline").join(lists, "id", "left")
+
+
 def case_view(cases: DataFrame, teams: DataFrame) -> DataFrame:
+    """API shape of cases. Lists that are null, empty or absent are empty; cascades and latest logs are never kept."""
     routed = teams_op.route(cases, teams)
-    cols = set(cases.columns)
-    hyp = F.col("hypotheses") if "hypotheses" in cols else F.lit(None).cast(
-        "array<struct<rank:int,text:string,confidence:int>>")
+    lists = {c: _or_empty_array(F.col(c) if c in cases.columns else F.lit(None).cast(f"array<{t}>"), t).alias(c)
+             for c, t in CASE_LISTS.items()}
     return routed.select(
         "id", "org_id",
         parse.case_label("id").alias("inc_id"),
@@ -34,9 +51,11 @@ def case_view(cases: DataFrame, teams: DataFrame) -> DataFrame:
         F.when(parse.nonempty(F.col("primary_service")).isNotNull(), F.array(F.col("primary_service")))
         .otherwise(F.array().cast("array<string>")).alias("services"),
         "team",
-        _or_empty_array(hyp, "struct<rank:int,text:string,confidence:int>").alias("hypotheses"),
+        *lists.values(),
         F.coalesce(F.col("ai_summary"), F.lit("")).alias("ai_summary"),
         F.col("occurrence_count").alias("occurrences"),
+        F.array().cast(f"array<{CASCADE}>").alias("cascades"),
+        F.lit(None).cast("string").alias("latest_logs"),
         parse.py_isoformat("opened_at").alias("first_seen"),
         parse.py_isoformat("updated_at").alias("last_seen"),
         "updated_at",

@@ -57,6 +57,18 @@ def org_detail(orgs: DataFrame, teams: DataFrame, users: DataFrame) -> DataFrame
     return orgs.join(tl, "org_id", "left").join(ul, "org_id", "left")
 
 
+def org_entries(orgs: DataFrame, teams: DataFrame, users: DataFrame) -> DataFrame:
+    """Teams and users of each org with their details, one row each: org_id, kind, id, name, role, services.
+
+    Users are rows and no list in their org's row, since an org may hold any share of them; an org without
+    teams and users has no rows, entries of unknown orgs are left out.
+    """
+    no_list, no_text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    both = teams.select("org_id", F.lit("team").alias("kind"), "id", "name", no_text.alias("role"), "services").unionByName(
+        users.select("org_id", F.lit("user").alias("kind"), "id", "name", "role", no_list.alias("services")))
+    return both.join(orgs.select("org_id"), "org_id", "left_semi")
+
+
 def visible_case_counts(users: DataFrame, teams: DataFrame, cases: DataFrame,
                         admin_role: str = "org_admin") -> DataFrame:
     """Cases each user may list: admins and members whose teams list no services see the whole org."""

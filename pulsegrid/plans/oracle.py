@@ -558,6 +558,11 @@ LEFT JOIN (SELECT org_id, string_agg(name, ',' ORDER BY name, id) AS teams FROM
 LEFT JOIN (SELECT org_id, count(*) AS n, arg_min(name, (name, id)) AS first_user FROM users_v GROUP BY org_id) u
   USING (org_id)"""
 
+ORACLE["org_entries"] = with_views(ORGS_V, TEAMS_V, USERS_V).rstrip().rstrip(",") + """
+SELECT org_id, 'team' AS kind, id, name, CAST(NULL AS VARCHAR) AS role, array_to_string(services, ',') AS services
+FROM teams_v WHERE org_id IN (SELECT org_id FROM orgs_v)
+UNION ALL SELECT org_id, 'user', id, name, role, NULL FROM users_v WHERE org_id IN (SELECT org_id FROM orgs_v)"""
+
 ORACLE["visible_cases"] = with_views(CASES_V, TEAMS_V, USERS_V) + """per_svc AS (
   SELECT org_id, primary_service AS service, count(*) AS n FROM cases_v GROUP BY ALL),
 per_org AS (SELECT org_id, sum(n) AS org_n FROM per_svc GROUP BY org_id),
@@ -744,6 +749,13 @@ SELECT m.case_id, m.org_id, {iso('m.received_at')} AS "at", strftime(m.received_
        'Case resolved' AS event, '#34d399' AS color
 FROM cmds m JOIN cases_v c ON c.id = m.case_id AND c.org_id = m.org_id"""
 
+ORACLE["case_view_timeline"] = with_views(CASES_V, TEAMS_V, ALERTS_V) + CASE_VIEW + """,
+cmds AS (SELECT case_id, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id, received_at FROM alerts_v WHERE metric = 'R')
+SELECT v.inc_id, v.team, 0 AS n_evidence, 0 AS n_cascades,
+  CAST(row_number() OVER (PARTITION BY v.id ORDER BY m.received_at) - 1 AS INTEGER) AS pos,
+  strftime(m.received_at, '%H:%M:%S') AS time, 'Case resolved' AS event, '#34d399' AS color
+FROM cmds m JOIN view v ON v.id = m.case_id AND v.org_id = m.org_id"""
+
 ORACLE["resolve_cases"] = with_views(CASES_V, ALERTS_V) + f"""agg AS (
   SELECT case_id, 'org-' || CAST(id % 3 AS VARCHAR) AS org_id, max(received_at) AS at, count(*) AS n
   FROM alerts_v WHERE metric = 'R' GROUP BY ALL)

@@ -563,6 +563,25 @@ def org_detail(spark, sf_dir):
                       F.col("first_user.name").alias("first_user"))
 
 
+@report("org_entries")
+def org_entries(spark, sf_dir):
+    from ..operators import teams
+    out = teams.org_entries(views.orgs_v(spark, sf_dir), views.teams_v(spark, sf_dir), views.users_v(spark, sf_dir))
+    return out.withColumn("services", F.array_join("services", ","))
+
+
+@report("case_view_timeline")
+def case_view_timeline(spark, sf_dir):
+    """Views of the cases that commands have resolved, with their timelines, one row per entry."""
+    from ..operators import cases, caseview
+    c = views.cases_v(spark, sf_dir)
+    entries = cases.resolution_entries(c, _resolve_commands(spark, sf_dir)).withColumn("seq", F.lit(0))
+    view = caseview.case_view(caseview.with_timeline(c, entries), views.teams_v(spark, sf_dir))
+    return view.select("inc_id", "team", F.size("evidence").alias("n_evidence"), F.size("cascades").alias("n_cascades"),
+                       F.posexplode("timeline").alias("pos", "e")).select(
+        "inc_id", "team", "n_evidence", "n_cascades", "pos", "e.time", "e.event", "e.color")
+
+
 @report("visible_cases")
 def visible_cases(spark, sf_dir):
     from ..operators import teams

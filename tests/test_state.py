@@ -124,3 +124,21 @@ def test_twin_alerts_are_rolled_up_alike_in_any_order(spark):
     first = [(*twins[0], 2), (*twins[1], 1), (*twins[2], 0)]  # a real sequence decides before the payload
     out = cases.alert_rollup(empty, spark.createDataFrame(first, schema + ", ingest_seq long")).collect()
     assert [r["raw_payload"] for r in out] == ['{"q":2}']
+
+
+def test_case_view_has_all_lists(spark):
+    """Stored lists and the timeline in order; absent, null and empty ones are empty."""
+    from pulsegrid.operators import caseview
+    schema = CASES + (", title string, ai_summary string, signature_text string, "
+                      f"hypotheses array<{caseview.CASE_LISTS['hypotheses']}>, evidence array<{caseview.CASE_LISTS['evidence']}>")
+    row = lambda i, hyp, ev: (i, "o", "OPEN", "svc", T0, T0, None, 1, None, None, None, "", None, "t", hyp, ev)
+    c = spark.createDataFrame([row(1, [(1, "cause", 80)], [("log", "svc", "line")]), row(2, [], None)], schema)
+    teams = spark.createDataFrame([(1, "o", "core", ["svc"])], "id long, org_id string, name string, services array<string>")
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    entries = spark.createDataFrame([(1, at(2), 0, "b", "two", "#2"), (1, at(1), 1, "a", "one'", "#1"), (1, at(1), 0, "a", "one", "#1")],
+                                    "case_id long, at timestamp, seq long, time string, event string, color string")
+    out = {r["id"]: r for r in caseview.case_view(caseview.with_timeline(c, entries), teams).collect()}
+    assert [e["event"] for e in out[1]["timeline"]] == ["one", "one'", "two"] and out[1]["evidence"][0]["text"] == "line"
+    assert out[1]["hypotheses"][0]["confidence"] == 80 and out[1]["team"] == "core" and out[1]["severity"] == "warning"
+    assert all(out[2][k] == [] for k in ("timeline", "evidence", "hypotheses", "cascades")) and out[2]["latest_logs"] is None
+    assert caseview.case_view(c.drop("evidence"), teams).where("id = 1").first()["evidence"] == []
