@@ -1,10 +1,13 @@
 """Modified Kneser-Ney model of symbol n-grams, counted by Spark and kept in sorted key arrays.
 
-Texts are read as symbols of a fixed alphabet of 64 classes (letters of either case, digits, some
-punctuation, accented and other letters by classes), so an n-gram packs into a key without
-collisions and the model has a proven bound: at most 64 ** order entries (16.8 million of 12 bytes
-at order 4; tens of thousands in practice). Every text is counted whole; each task adds up its keys
-before the shuffle.
+Texts are read as symbols, which pack into keys without collisions. In the whole alphabet (``WHOLE``
+classes) every letter of every script stands for itself: code points below 3584 (Latin to Thai's
+neighbours) are a symbol each, those above two, by their upper and lower bits; only blanks, digits
+and the punctuation and the signs of ASCII are read as one symbol each. Five symbols of 12 bits fill a key. The model has
+an entry for each distinct n-gram of the corpus (12 bytes, and as many for its context): hundreds of thousands for the
+driver's documents, with the corpus's vocabulary and not with its length. The small alphabet (64
+classes; accented and other letters by classes) bounds a model by 64 ** order entries. Every text is
+counted whole; each task adds up its keys before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 4
+ORDER = 5
 CLASSES = 64
+WHOLE = 4096
+_SINGLE = 3584      # code points below are one symbol of the whole alphabet, those from here on two
 _FLUSH = 2_000_000  # symbols gathered in a task before their keys are added up
 
 
@@ -40,13 +45,39 @@ def _alphabet() -> np.ndarray:
 _TABLE = _alphabet()
 
 
-def ngram_keys(points: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Key of the n-gram that ends at each code point; blanks stand before the text."""
-    s = np.zeros(len(points) + order - 1, dtype=np.int64)
-    s[order - 1:] = _TABLE[np.minimum(points, 0xFFFF)]
-    keys = np.zeros(len(points), dtype=np.int64)
+def _whole_alphabet() -> np.ndarray:
+    table = np.arange(_SINGLE, dtype=np.int64)
+    for one in ([9, 10, 11, 12, 13, 32], range(48, 58), map(ord, "!\"'()-/:;?@[\\]^_`{}~+="), map(ord, "#*$%&|<>")):
+        group = list(one)
+        table[group] = group[0]
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    return table
+
+
+_LETTERS = _whole_alphabet()
+
+
+def symbols(points: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The symbols of a text: in the small alphabet one a code point, in the whole one two from _SINGLE on."""
+    if classes != WHOLE:
+        return _TABLE[np.minimum(points, 0xFFFF)]
+    out = _LETTERS[np.minimum(points, _SINGLE - 1)]
+    wide = points >= _SINGLE
+    if wide.any():
+        at = np.flatnonzero(wide)
+        out[at] = _SINGLE + (points[at] >> 12)
+        out = np.insert(out, at + 1, points[at] & 4095)
+    return out
+
+
+def ngram_keys(points: np.ndarray, order: int = ORDER, classes: int = CLASSES) -> np.ndarray:
+    """Key of the n-gram that ends at each symbol; blanks stand before the text."""
+    found = symbols(points, classes)
+    s = np.zeros(len(found) + order - 1, dtype=np.int64)
+    s[order - 1:] = found
+    keys = np.zeros(len(found), dtype=np.int64)
     for k in range(order):
-        keys = keys * CLASSES + s[k:k + len(points)]
+        keys = keys * classes + s[k:k + len(found)]
     return keys
 
 
@@ -54,7 +85,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def count(docs: DataFrame, order: int = ORDER, classes: int = CLASSES) -> DataFrame:
     """key and n of every n-gram in all texts."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +104,7 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 if text.is_valid:
-                    waiting.append(ngram_keys(code_points(text.as_py()), order))
+                    waiting.append(ngram_keys(code_points(text.as_py()), order, classes))
                     size += len(waiting[-1])
                     if size >= _FLUSH:
                         merge()
@@ -104,18 +135,19 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int = ORDER, classes: int = CLASSES):
+        self.classes = classes
         by_key = np.argsort(keys)
         tables = [(keys[by_key], n[by_key])]
         for k in range(order - 1, 0, -1):  # below the top: in how many contexts an n-gram continues
-            tables.append(np.unique(tables[-1][0] % CLASSES ** k, return_counts=True))
+            tables.append(np.unique(tables[-1][0] % classes ** k, return_counts=True))
         self.levels: list[Level] = []
         for at, (ks, ns) in enumerate(reversed(tables)):
-            contexts, place = np.unique(ks // CLASSES, return_inverse=True)
+            contexts, place = np.unique(ks // classes, return_inverse=True)
             cut = _discounts(ns)[np.minimum(ns, 3)]
             total = np.bincount(place, ns, len(contexts))
             left = np.bincount(place, cut, len(contexts)) / np.maximum(total, 1)
-            below = np.exp(self._logp(ks % CLASSES ** at, at)) if at else 1.0 / CLASSES
+            below = np.exp(self._logp(ks % classes ** at, at)) if at else 1.0 / classes
             p = (ns - cut) / total[place] + left[place] * below if len(ks) else np.zeros(0)
             with np.errstate(divide="ignore"):
                 self.levels.append(Level(ks, np.log(np.maximum(p, 1e-300)).astype(np.float32), contexts,
@@ -124,27 +156,30 @@ class Model:
     def _logp(self, keys: np.ndarray, upto: int) -> np.ndarray:
         """Log probability of the last symbol of each key by the lowest ``upto`` orders."""
         if upto == 0 or not len(self.levels[upto - 1].keys):
-            return np.full(len(keys), -np.log(CLASSES), dtype=np.float32)
+            return np.full(len(keys), -np.log(self.classes), dtype=np.float32)
         level = self.levels[upto - 1]
         at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
         out = level.logp[at]
         missing = np.flatnonzero(level.keys[at] != keys)
         if len(missing):
             rest = keys[missing]
-            c = np.minimum(np.searchsorted(level.contexts, rest // CLASSES), len(level.contexts) - 1)
-            weight = np.where(level.contexts[c] == rest // CLASSES, level.weight[c], 0.0)
-            out[missing] = weight + self._logp(rest % CLASSES ** (upto - 1), upto - 1)
+            c = np.minimum(np.searchsorted(level.contexts, rest // self.classes), len(level.contexts) - 1)
+            weight = np.where(level.contexts[c] == rest // self.classes, level.weight[c], 0.0)
+            out[missing] = weight + self._logp(rest % self.classes ** (upto - 1), upto - 1)
         return out
 
-    def log_perplexity(self, points: np.ndarray) -> float | None:
-        """Mean negative log probability of a text's symbols; None for an empty text."""
+    def log_perplexities(self, points: np.ndarray) -> tuple[float | None, float | None]:
+        """Mean negative log probability of a text's symbols, by all orders and without the highest; None for an
+        empty text."""
         if not len(points):
-            return None
+            return None, None
         order = len(self.levels)
-        return float(-self._logp(ngram_keys(points, order), order).mean(dtype=np.float64))
+        keys = ngram_keys(points, order, self.classes)
+        short = self._logp(keys % self.classes ** (order - 1), order - 1)
+        return (float(-self._logp(keys, order).mean(dtype=np.float64)), float(-short.mean(dtype=np.float64)))
 
 
-def train(docs: DataFrame, order: int = ORDER) -> Model:
-    """Counts in Spark; the table of at most 64 ** order keys comes to the driver to be sorted."""
-    table = count(docs, order).toArrow()
-    return Model(table["key"].to_numpy(), table["n"].to_numpy(), order)
+def train(docs: DataFrame, order: int = ORDER, classes: int = CLASSES) -> Model:
+    """Counts in Spark; the table of distinct n-grams comes to the driver to be sorted."""
+    table = count(docs, order, classes).toArrow()
+    return Model(table["key"].to_numpy(), table["n"].to_numpy(), order, classes)

@@ -72,6 +72,30 @@ def test_bands_reject_odd_texts_and_keep_clean_ones(spark):
     assert sum(clean) / len(clean) > 0.97 and sum(junk) / len(junk) < 0.4
 
 
+def test_letters_of_all_scripts_count(spark):
+    """Words in disorder and letters in disorder are rejected in any script, prose is not."""
+    import random
+    rng = random.Random(8)
+    rows, odd = [], set()
+    for lang, letters in (("ru", "абвгдежзиклмнопрстуф"), ("el", "αβγδεζηθικλμνξοπρστυ"), ("th", "กขคงจชซณดตถทนบปผพมยร")):
+        words = ["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(60)]
+        after = {w: rng.sample(words, 4) for w in words}
+        for n in range(90):
+            text = [rng.choice(words)]
+            while len(text) < 120:
+                text.append(rng.choice(after[text[-1]]))
+            if n < 6:  # same letters and blanks
+                text = ["".join(rng.sample(w, len(w))) for w in text]
+                odd.add(len(rows))
+            rows.append((len(rows), " ".join(text), lang))
+    got = {r.doc_id: r.kept for r in rules.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i] for i in odd)
+    assert sum(got[i] for i in got if i not in odd) > 0.9 * (len(got) - len(odd))
+    points = kneserney.code_points("a\t7é Я漢😀\U0010ffff")
+    assert kneserney.symbols(points, kneserney.WHOLE).tolist() == [
+        97, 0, 48, 0xE9, 0, 0x42F, 3584 + 6, 0x6F22 & 4095, 3584 + 0x1F, 0x600, 3584 + 0x10F, 4095]
+
+
 def test_trees_learn_and_are_deterministic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 5))
