@@ -1014,7 +1014,7 @@ def upload_context(spark, sf_dir):
         "rn", F.concat(F.lit("- "), parse.case_label("id"), F.lit(": "), F.coalesce("title", F.lit("None")),
                        F.lit(" | "), F.coalesce("severity", F.lit("None")), F.lit(" | "),
                        F.coalesce("ai_summary", F.lit("None"))).alias("t")))), lambda x: x["t"]).alias("lines"))
-    j = docs.join(inc, "org_id", "left")
+    j = docs.join(F.broadcast(inc), "org_id", "left")  # a row of at most 20 lines for each of three orgs; texts stay in place
     section = F.when(F.coalesce(F.size("lines"), F.lit(0)) > 0,
                      F.concat(F.lit("CURRENTLY OPEN INCIDENTS:\n"), F.array_join("lines", "\n"))) \
         .otherwise(F.lit("CURRENTLY OPEN INCIDENTS: none"))

@@ -21,3 +21,15 @@ def test_entry_imports_without_the_subpackage(tmp_path, left):
     from pulsegrid.plans.reports import REPORTS
     assert int(out.split()[0]) == len(REPORTS)
     assert not [x for x in out.split("[", 1)[1].strip("]\n ").split(",") if x.strip().strip("'").startswith(("op1_", "op2_", "pipeline"))]
+
+
+def test_upload_texts_stay_in_place(spark):
+    """Whatever Spark expects of their sizes, the incidents go to the texts: none is moved to its org's task."""
+    from pulsegrid.plans.reports import REPORTS
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = REPORTS["upload_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
