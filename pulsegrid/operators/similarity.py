@@ -2,21 +2,26 @@
 
 Exact top-k by inner product is a block nested-loop join. Per partition key
 (e.g. org and service, or none) the query side is cut into ``QB`` hash blocks
-and the index side into ``IB`` hash blocks, with ``QB``/``IB`` chosen from the
-key's row counts so no block exceeds ``block_rows``. Query rows are copied to
-each index block and index rows to each query block; each (key, qb, ib) cell
-is one cogroup where numpy multiplies a bounded query block by a bounded
-index block and keeps only each query's best k. A ``row_number() <= k`` merge
-(planned as a partial group limit before the shuffle) then picks the global
+and the index side into ``IB`` hash blocks. A block holds an ``SPLIT``-th of its
+side, but ``block_rows`` at least and ``BLOCK_VALUES`` components at most, so
+rows are copied about ``SPLIT`` times however many there are, until blocks have
+reached their bound. Query rows are copied to each index block and index rows to
+each query block; each (key, qb, ib) cell is one cogroup where numpy multiplies
+tiles of the two blocks and keeps only each query's best k: after the first tile
+only scores above a query's k-th so far are looked at. A ``row_number() <= k``
+merge (planned as a partial group limit before the shuffle) then picks the global
 best k per query. Nothing passes whole through the driver, one task or one
 group, and no all-pairs rows are emitted; the cost is the inherent
-``|Q| x |I|`` dot products, spread over ``QB x IB`` tasks per key.
+``|Q| x |I|`` dot products, spread over ``QB x IB`` tasks per key. An index of
+one small block (a catalog) is broadcast instead, and no query row is moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +31,114 @@ DEFAULT_BLOCK_ROWS = 2048
 # Sums of products differ in the last bits with the block's shape: scores count to this many
 # decimals, so equal vectors tie in every block.
 SCORE_DIGITS = 9
+SMALL_INDEX = 2048       # rows of an index that is broadcast, at most
+SPLIT = 8                # blocks a side is cut into, while they are neither too small nor too large
+BLOCK_VALUES = 1 << 22   # components of a block at most
+_TILE_QUERIES, _TILE_INDEX = 512, 2048
+
+
+def _block_counts(queries: DataFrame, index: DataFrame, keys, vec: str, block_rows: int) -> DataFrame:
+    def sized(side: DataFrame, name: str) -> DataFrame:
+        n = F.count(F.lit(1))
+        most = F.greatest(F.lit(block_rows), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.max(F.size(vec)), F.lit(1))))
+        rows = F.least(most, F.greatest(F.lit(block_rows), F.ceil(n / SPLIT)))
+        return side.groupBy(*keys).agg(F.ceil(n / rows).cast("int").alias(name))
+
+    return sized(queries, "_qb_n").join(sized(index, "_ib_n"), keys, "inner")
+
+
+def _matrix(table: pa.Table, column: str = "_v") -> np.ndarray:
+    lists = table.column(column).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _ids(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (0 for null) and which of them are not null."""
+    ids = table.column(column).combine_chunks()
+    return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+
 
+def _best(qm: np.ndarray, qids: np.ndarray, im: np.ndarray, iids: np.ndarray, k: int,
+          exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, index place and score of each query's best ``k``; index rows are in id order."""
+    found = []
+    width = max(_TILE_INDEX, k)
+    for q0 in range(0, len(qm), _TILE_QUERIES):
+        q, ids = qm[q0:q0 + _TILE_QUERIES], qids[q0:q0 + _TILE_QUERIES]
+        rows = at = np.zeros(0, dtype=np.int64)
+        score = np.zeros(0)
+        low = np.full(len(q), -np.inf)
+        for i0 in range(0, len(im), width):
+            tile = im[i0:i0 + width]
+            scores = q @ tile.T
+            if exclude_self:
+                first, end = (np.searchsorted(iids[i0:i0 + width], ids, side) for side in ("left", "right"))
+                for more in range(int((end - first).max(initial=0))):
+                    own = np.flatnonzero(first + more < end)
+                    scores[own, first[own] + more] = -np.inf
+            if i0 == 0:
+                # all above the k-th score, then of those at it the lowest ids (columns are in id order)
+                scores[~np.isfinite(scores)] = -np.inf
+                judged = np.round(scores, SCORE_DIGITS)
+                kk = min(k, judged.shape[1])
+                kth = np.partition(judged, judged.shape[1] - kk, axis=1)[:, [judged.shape[1] - kk]]
+                above, level = judged > kth, judged == kth
+                level &= level.cumsum(axis=1) <= kk - above.sum(axis=1, keepdims=True)
+                rows, at = np.nonzero(above | level)
+                score = scores[rows, at]
+                if kk == k:
+                    low = kth[:, 0]
+                continue
+            # ids are higher from tile to tile: only a score above the k-th so far changes anything
+            new, col = np.nonzero(scores > (low + 0.4 * 10.0 ** -SCORE_DIGITS)[:, None])
+            value = scores[new, col]
+            real = np.isfinite(value) & (np.round(value, SCORE_DIGITS) > low[new])
+            if not real.any():
+                continue
+            rows, at = np.concatenate([rows, new[real]]), np.concatenate([at, col[real] + i0])
+            score = np.concatenate([score, value[real]])
+            judged = np.round(score, SCORE_DIGITS)
+            order = np.lexsort((at, -judged, rows))
+            start = np.searchsorted(rows[order], np.arange(len(q)))
+            rank = np.arange(len(order)) - start[rows[order]]
+            order, rank = order[rank < k], rank[rank < k]
+            rows, at, score = rows[order], at[order], score[order]
+            low[rows[rank == k - 1]] = judged[order[rank == k - 1]]
+        real = np.isfinite(score)
+        found.append((rows[real] + q0, at[real], score[real]))
+    return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, dtype=t)
+                 for c, t in enumerate((np.int64, np.int64, np.float64)))
 
-def _block_counts(queries: DataFrame, index: DataFrame, keys, block_rows: int) -> DataFrame:
-    qn = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
-    inn = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ni"))
-    return qn.join(inn, keys, "inner").select(
-        *keys, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_qb_n"),
-        F.ceil(F.col("_ni") / block_rows).cast("int").alias("_ib_n"))
+
+def _in_id_order(index: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    ids, known = _ids(index, "_iid")
+    by_id = np.lexsort((ids, ~known))  # null ids last
+    return index.take(pa.array(by_id)), ids[by_id], known[by_id]
+
+
+def _pairs(queries: pa.Table, index: pa.Table, k: int, exclude_self: bool) -> pa.Table:
+    """The query columns but the vector, with _iid and score of each query's best ``k``."""
+    rest = queries.drop_columns(["_v"])
+    index, iids, known = _in_id_order(index)
+    parts = []
+    # null ids equal nothing: they are searched for, and found, as themselves by nobody
+    qids, q_known = _ids(queries, "_qid")
+    ends = iids[known]
+    places = np.concatenate([ends, np.full(len(iids) - len(ends), np.iinfo(np.int64).max)])
+    own = exclude_self and bool(q_known.any())
+    if not len(queries) or not len(index):
+        taken = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        parts.append(taken)
+    else:
+        qm, im = _matrix(queries), _matrix(index)
+        for which, excluded in ((np.flatnonzero(q_known), own), (np.flatnonzero(~q_known), False)):
+            if len(which):
+                rows, at, score = _best(qm[which], qids[which], im, places, k, excluded)
+                parts.append((which[rows], at, score))
+    rows, at, score = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    out = rest.take(pa.array(rows))
+    return (out.append_column("_iid", index.column("_iid").take(pa.array(at)))
+            .append_column("score", pa.array(score, type=pa.float64())))
 
 
 def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i_id: str = "id",
@@ -51,55 +156,42 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, q_id: str = "id", i
             ["_all"], True
     else:
         drop = False
-    counts = _block_counts(queries, index, keys, block_rows)
-    q = (queries.select(*keys, F.col(q_id).cast("bigint").alias("_qid"), F.col(vec).alias("_v"))
-         .join(counts, keys, "inner")
-         .select(*keys, "_qid", "_v",
-                 F.pmod(F.xxhash64("_qid"), F.col("_qb_n")).cast("int").alias("_qb"),
-                 F.explode(F.sequence(F.lit(0), F.col("_ib_n") - 1)).alias("_ib")))
-    i = (index.select(*keys, F.col(i_id).cast("bigint").alias("_iid"), F.col(vec).alias("_v"))
-         .join(counts, keys, "inner")
-         .select(*[F.col(c).alias(f"_ik{j}") for j, c in enumerate(keys)], "_iid", "_v",
-                 F.pmod(F.xxhash64("_iid"), F.col("_ib_n")).cast("int").alias("_ib"),
-                 F.explode(F.sequence(F.lit(0), F.col("_qb_n") - 1)).alias("_qb")))
+    q = queries.select(*keys, F.col(q_id).cast("bigint").alias("_qid"), F.col(vec).alias("_v")).where("_v IS NOT NULL")
     # index-side keys get their own names: both sides may come from one table,
     # and a cogroup on identically named self-join columns is ambiguous
     i_keys = [f"_ik{j}" for j in range(len(keys))]
-
     key_types = {f.name: f.dataType.simpleString() for f in queries.schema.fields if f.name in keys}
     schema_str = ", ".join([f"{kname} {key_types[kname]}" for kname in keys]
                            + ["_qid bigint", "_iid bigint", "score double"])
+    i = (index.select(*[F.col(c).alias(f"_ik{j}") for j, c in enumerate(keys)], F.col(i_id).cast("bigint").alias("_iid"),
+                      F.col(vec).alias("_v")).where("_v IS NOT NULL"))
+    small = i.select("_iid", "_v").limit(SMALL_INDEX + 1).toArrow() if drop else None
+    if small is not None and len(small) <= min(SMALL_INDEX, block_rows):
+        shared = queries.sparkSession.sparkContext.broadcast(small)  # at most SMALL_INDEX rows
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _pairs(pa.Table.from_batches([batch]), shared.value, k, exclude_self).to_batches()
+
+        cells = q.mapInArrow(scan, schema_str)
+    else:
+        counts = _block_counts(q.withColumnRenamed("_v", vec), i.select(*[F.col(f"_ik{j}").alias(c) for j, c in enumerate(keys)],
+                                                                        F.col("_v").alias(vec)), keys, vec, block_rows)
+        q = (q.join(counts, keys, "inner")
+             .select(*keys, "_qid", "_v",
+                     F.pmod(F.xxhash64("_qid"), F.col("_qb_n")).cast("int").alias("_qb"),
+                     F.explode(F.sequence(F.lit(0), F.col("_ib_n") - 1)).alias("_ib")))
+        i = (i.join(counts.select(*[F.col(c).alias(f"_ik{j}") for j, c in enumerate(keys)], "_qb_n", "_ib_n"), i_keys, "inner")
+             .select(*i_keys, "_iid", "_v",
+                     F.pmod(F.xxhash64("_iid"), F.col("_ib_n")).cast("int").alias("_ib"),
+                     F.explode(F.sequence(F.lit(0), F.col("_qb_n") - 1)).alias("_qb")))
+
+        def cell(qt: pa.Table, it: pa.Table) -> pa.Table:
+            return _pairs(qt.select([*keys, "_qid", "_v"]), it.select(["_iid", "_v"]), k, exclude_self)
 
-    def cell(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, "_qid", "_iid", "score"]
-        if qdf.empty or idf.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        qm = np.stack(qdf["_v"].to_numpy()).astype(np.float64)
-        im = np.stack(idf["_v"].to_numpy()).astype(np.float64)
-        qids = qdf["_qid"].to_numpy()
-        iids = idf["_iid"].to_numpy()
-        by_id = np.argsort(iids, kind="stable")
-        iids, im = iids[by_id], im[by_id]
-        scores = qm @ im.T
-        if exclude_self:
-            scores[qids[:, None] == iids[None, :]] = -np.inf
-        kk = min(k, scores.shape[1])
-        # all above the k-th score, then of those at it the lowest ids (columns are in id order)
-        judged = np.round(scores, SCORE_DIGITS)
-        kth = np.partition(judged, judged.shape[1] - kk, axis=1)[:, [judged.shape[1] - kk]]
-        above, level = judged > kth, judged == kth
-        level &= level.cumsum(axis=1) <= kk - above.sum(axis=1, keepdims=True)
-        rows_q, cols_i = np.nonzero(above | level)
-        sc = scores[rows_q, cols_i]
-        keep = np.isfinite(sc)
-        out = pd.DataFrame({"_qid": qids[rows_q][keep], "_iid": iids[cols_i][keep], "score": sc[keep]})
-        for kname in keys:
-            out[kname] = qdf[kname].iloc[0]
-        return out[cols]
-
-    cells = (q.groupBy(*keys, "_qb", "_ib")
-             .cogroup(i.groupBy(*i_keys, "_qb", "_ib"))
-             .applyInPandas(cell, schema_str))
+        cells = (q.groupBy(*keys, "_qb", "_ib")
+                 .cogroup(i.groupBy(*i_keys, "_qb", "_ib"))
+                 .applyInArrow(cell, schema_str))
     w = Window.partitionBy(*keys, "_qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("_iid").asc())
     ranked = cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = ranked.select(*keys, F.col("_qid").alias("query_id"), F.col("_iid").alias("match_id"), "score", "rank")

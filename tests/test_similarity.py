@@ -70,3 +70,36 @@ def test_adding_to_the_index_equals_a_rebuild(spark):
     back = whole.unionByName(embed.index_changes(whole, a, 4, dim=32))
     assert {r["case_id"] for r in embed.live_index(back).collect()} == {*range(12), 40, 41}
     assert shape(embed.index_changes(None, a.limit(0), 1, dim=32)) == []
+
+
+def test_best_of_tiles_equals_brute_force():
+    """Several tiles, ties, repeated ids, a query's own id, not-a-number components."""
+    rng = np.random.default_rng(6)
+    index = rng.integers(-3, 4, size=(9000, 4)).astype(float)  # many equal scores
+    index[17, 0] = np.nan
+    ids = np.sort(rng.integers(0, 6000, size=9000))
+    queries, qids = np.concatenate([index[5000:5030], rng.normal(size=(600, 4))]), np.concatenate([ids[5000:5030], np.arange(600)])
+    for own in (True, False):
+        rows, at, score = similarity._best(queries, qids, index, ids, 5, own)
+        for q in (*range(0, 40), 300, 629):
+            s = index @ queries[q]
+            use = np.isfinite(s) & ~(own & (ids == qids[q]))
+            want = sorted((-round(v, 9), int(i)) for v, i in zip(s[use], ids[use]))[:5]
+            got = sorted((-round(v, 9), int(ids[i])) for i, v in zip(at[rows == q], score[rows == q]))
+            assert got == want
+
+
+def test_blocks_grow_with_their_side(spark):
+    """Rows are copied to a number of blocks that does not grow with the table, until blocks reach their bound."""
+    from pyspark.sql import functions as F
+    side = spark.range(60_000).select(F.lit(0).alias("k"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    r = similarity._block_counts(side, side.limit(100), ["k"], "vector", 64).first()
+    assert (r["_qb_n"], r["_ib_n"]) == (similarity.SPLIT, 2)
+
+
+def test_null_ids_find_and_are_found(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.1]), (2, [0.9, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for block in (1, 2048):  # blocks, and the index broadcast
+        got = {(r.query_id, r.match_id) for r in similarity.exact_topk(df, df, 3, exclude_self=True, block_rows=block).collect()}
+        assert got == {(1, None), (1, 2), (2, 1), (2, None), (None, 1), (None, 2), (None, None)}
