@@ -103,3 +103,12 @@ def test_null_ids_find_and_are_found(spark):
     for block in (1, 2048):  # blocks, and the index broadcast
         got = {(r.query_id, r.match_id) for r in similarity.exact_topk(df, df, 3, exclude_self=True, block_rows=block).collect()}
         assert got == {(1, None), (1, 2), (2, 1), (2, None), (None, 1), (None, 2), (None, None)}
+
+
+def test_a_catalog_is_broadcast_and_no_case_vector_moves(spark):
+    from pulsegrid.functions.catalog_data import actions_frame
+    from pulsegrid.operators import embed
+    cases = spark.createDataFrame([(1, "a b", "c"), (2, None, "restart pool"), (3, "x", None)], "id long, title string, ai_summary string")
+    out = embed.match_actions(cases, actions_frame(spark))
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["rank"] for r in out.collect()) == [1] * 3 + [2] * 3 + [3] * 3
