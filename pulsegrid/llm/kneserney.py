@@ -1,13 +1,13 @@
 """Modified Kneser-Ney model of symbol n-grams, counted by Spark and kept in sorted key arrays.
 
 Texts are read as symbols, which pack into keys without collisions. In the whole alphabet (``WHOLE``
-classes) every letter of every script stands for itself: code points below 3584 (Latin to Thai's
-neighbours) are a symbol each, those above two, by their upper and lower bits; only blanks, digits
-and the punctuation and the signs of ASCII are read as one symbol each. Five symbols of 12 bits fill a key. The model has
-an entry for each distinct n-gram of the corpus (12 bytes, and as many for its context): hundreds of thousands for the
-driver's documents, with the corpus's vocabulary and not with its length. The small alphabet (64
-classes; accented and other letters by classes) bounds a model by 64 ** order entries. Every text is
-counted whole; each task adds up its keys before the shuffle.
+classes) a letter of any script stands for itself: code points below 3584 (all scripts before Thai) are
+a symbol each, those above two, by their upper and lower bits; only blanks, digits, the punctuation and
+the signs of ASCII are folded. Five symbols of 12 bits fill a key. The model has an entry for each
+distinct n-gram of the corpus (12 bytes, and as many for its context): it grows with the corpus's
+vocabulary, without a fixed bound. The small alphabet (64 classes; accented and other letters by
+classes) bounds a model by 64 ** order entries. Every text is counted whole; each task adds up its keys
+before the shuffle.
 """
 
 from __future__ import annotations
