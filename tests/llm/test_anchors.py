@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -136,3 +137,74 @@ def test_empty_columns_give_no_rows(spark):
     none = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", 0)], DOCS)
     assert rows_of(none) == brute([(1, None), (2, "")])
     assert anchors.dedup(none.where(F.lit(False))).count() == 0
+
+
+def test_a_worker_holds_pieces_of_a_task(spark, monkeypatch):
+    for name, value in (("PIECE", 500), ("PIECES", 5)):
+        monkeypatch.setattr(anchors, name, value, raising=False)
+    rows = shared_passages(5)
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    texts = anchors.Texts(df.limit(60).coalesce(1), ["doc_id"])
+    held = texts.table.groupBy("_task").agg(F.sum("_n").alias("words"), F.count("*").alias("rows")).collect()
+    longest = texts.table.agg(F.max("_n")).first()[0]
+    assert 2 < len(held) <= 5 and max(r.words + 8 * r.rows for r in held) <= 2 * (500 + longest + 8)
+    assert len({f for f in texts.table.inputFiles()}) == 1  # still one bucket a task
+    texts.drop()
+    assert rows_of(df) == brute(rows)  # the last pieces share labels
+
+
+def packed(r, senders, each):
+    """Rows as they meet in a bucket of step 3 and of step 4."""
+    hashes = [np.unique(r.integers(0, 1 << 40, each, dtype=np.uint64)) for _ in range(senders)]
+    anchored = pa.table({"_bucket": pa.array([0] * senders, type=pa.int32()), "_task": list(range(senders)),
+                         "_data": [anchors.pack_sorted(h) for h in hashes]})
+    sent = []
+    for k in range(senders):
+        a = np.sort(r.integers(0, 1 << 62, each, dtype=np.uint64))
+        row, place = np.sort(r.integers(0, 50, each)), r.integers(0, 500, each).astype(np.int32)
+        of, at = np.unique(row, return_inverse=True)
+        sent.append((a.tobytes() + (a & np.uint64(0xFF)).astype(np.uint32).tobytes(), anchors.squeeze(
+            of + 1000 * k, of * senders - k, 0 * of, np.diff(at, prepend=0).astype(np.int32), place)))
+    met = pa.table({"_bucket": pa.array([0] * senders, type=pa.int32()), "_task": list(range(senders)),
+                    "_content": [c for c, _ in sent], "_places": [p for _, p in sent],
+                    "_later": pa.nulls(senders, pa.binary())})
+    return anchored, met
+
+
+def test_memory_of_a_bucket():
+    import tracemalloc
+
+    anchored, met = packed(np.random.default_rng(3), 40, 20_000)
+    most = []
+    for work, table in ((anchors._hits(8)[0], anchored), (anchors._later, met)):
+        tracemalloc.start()
+        work(table)
+        most.append(tracemalloc.get_traced_memory()[1] / 800_000)
+        tracemalloc.stop()
+    assert most[0] < 30 and most[1] < 60  # bytes a hash and a window
+
+
+def test_later_places_by_slices(monkeypatch):
+    r = np.random.default_rng(4)
+    tables, rows = [], []
+    for k in range(7):
+        a, row = r.integers(0, 60, 40).astype(np.uint64) << np.uint64(56), np.sort(r.integers(0, 9, 40))
+        b, place = r.integers(0, 2, 40).astype(np.uint32), r.permutation(40).astype(np.int32)
+        of, at = np.unique(row, return_inverse=True)
+        rows += [(int(x), int(y), 100 * (20 - k) + int(d) - 50, k, 1000 * k + int(d), int(p))
+                 for x, y, d, p in zip(a, b, row, place, strict=True)]
+        step = np.diff(at, prepend=0).astype(np.int32)
+        places = anchors.squeeze(of + 1000 * k, 100 * (20 - k) + of - 50, 0 * of, step, place)
+        tables.append(pa.table({"_task": [k], "_content": [a.tobytes() + b.tobytes()], "_places": [places],
+                                "_later": pa.nulls(1, pa.binary())}))
+    want, seen = set(), set()
+    for x, y, doc, k, row, place in sorted(rows, key=lambda t: (t[2], t[5])):
+        if (x, y) in seen:
+            want.add((k, row, place))
+        seen.add((x, y))
+    for size in (1 << 18, 16):
+        monkeypatch.setattr(anchors, "SLICE", size, raising=False)
+        told = anchors._later(pa.concat_tables(tables))
+        got = {(t, int(row), int(p)) for t, d in zip(told["_task"].to_pylist(), told["_data"].to_pylist(), strict=True)
+               for row, p in zip(*anchors.unsqueeze(d, np.int64, np.int32), strict=True)}
+        assert got == want
