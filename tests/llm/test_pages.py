@@ -109,3 +109,74 @@ def test_articles_of_the_driver_pages(spark):
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?p>|</?h1>", inside))
         want = "\n".join(x for x in parts if x)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+def by_rule(rows, depth=htmltext.DEPTH):
+    """The text of each row by the rule of the module's head, from counts of all heads of all blocks."""
+    from collections import defaultdict
+
+    def heads(text):
+        words = text.split(" ")
+        return [(at, tuple(words[at:at + depth])) for at in range(max(1, len(words) - depth + 1))]
+
+    host = lambda url: brute(url, [])[0]
+    pages = {r: htmltext.blocks(r[2]) for r in rows}
+    all_, as_text, other = defaultdict(set), defaultdict(set), defaultdict(set)
+    for r, page in pages.items():
+        all_[host(r[1])].add(r)
+        for kind, text in page:
+            for _, head in heads(text):
+                (as_text if kind == htmltext.TEXT else other)[host(r[1]), head].add(r)
+    out = []
+    for r in rows:
+        parts, h = [], host(r[1])
+        for kind, text in pages[r]:
+            gone = set()
+            for at, head in heads(text):
+                n, m = len(other[h, head]), len(as_text[h, head])
+                if kind == htmltext.OPEN and n >= 2 and n > m or kind == htmltext.TEXT and len(all_[h]) >= htmltext.CROWD \
+                        and 2 * len(other[h, head] | as_text[h, head]) > len(all_[h]):
+                    gone |= set(range(at, at + len(head)))
+            if kind != htmltext.TEMPLATE:
+                parts.append(" ".join(w for i, w in enumerate(text.split(" ")) if i not in gone))
+        out.append((r[0], "\n".join(p for p in parts if p)))
+    return sorted(out, key=str)
+
+
+def texts_of(spark, rows, n=3):
+    got = htmltext.extract(spark.createDataFrame(rows, PAGES).repartition(n)).collect()
+    assert all(r.n_chars == len(r.text) for r in got)
+    return sorted(((r.page_id, r.text) for r in got), key=str)
+
+
+def test_article_text_enters_the_host_step(spark):
+    line = "please write to our friendly desk and get the weekly letter by mail"
+    rows = [(i, f"http://big.com/{i}", f"<article><p>only page {i} says {'so ' * i}here</p><p>{i} told {line} {i}</p></article>")
+            for i in range(14)]
+    rows += [(20 + i, f"http://small.com/{i}", f"<article><p>small {i}</p><p>{line}</p></article>") for i in range(3)]
+    story = "a story that stands as an article and once more as a plain view for printers"
+    rows += [(30 + i, f"http://s.com/{i}", f"<article><p>{story}</p></article>") for i in range(2)]
+    rows += [(40 + i, f"http://s.com/print/{i}", f"<div>{story}</div><div>printed {i}</div>") for i in range(2)]
+    got = dict(texts_of(spark, rows))
+    assert all(got[i] == f"only page {i} says {'so ' * i}here\n{i} {i}" for i in range(14))  # on all pages: a notice
+    assert all(got[20 + i] == f"small {i}\n{line}" for i in range(3))  # too few pages to tell
+    assert all(got[30 + i] == story and got[40 + i] == f"{story}\nprinted {i}" for i in range(2))  # article text elsewhere
+    assert sorted(got.items(), key=str) == by_rule(rows)
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 40])
+def test_host_step_equals_counts_of_all_heads(spark, monkeypatch, piece):
+    monkeypatch.setattr(htmltext, "PIECE", piece)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(300)}"
+    passages = [" ".join(word() for _ in range(r.choice([1, 3, 7, 8, 9, 30]))) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        inside = [f"<p>{word()} {r.choice(passages[:3]) if r.random() < 0.6 else word()} {passages[r.randrange(12)]}</p>"
+                  for _ in range(3)]
+        outer = [f"<{t}>{' '.join([passages[r.randrange(12)], word(), *r.choices(passages, k=r.randrange(2))])}</{t}>"
+                 for t in r.choices(["div", "nav", "p", "footer"], k=4)]
+        page = f"<article>{''.join(inside)}<div>{passages[5]} {i}</div></article>" if r.random() < 0.6 else "".join(inside)
+        rows.append((i, r.choice([None, "http://a.com/", "http://b.com/"]) if i % 7 else "http://c.com/", page + "".join(outer)))
+    rows += [rows[3], rows[4], (None, "http://a.com/", None), (200, None, ""), (201, None, f"<div>{'x ' * 50_000}</div>")]
+    assert texts_of(spark, rows) == by_rule(rows)
